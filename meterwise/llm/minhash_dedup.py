@@ -149,7 +149,8 @@ def components(edges: DataFrame) -> DataFrame:
         edges = stored(small, "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
-            return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+            found = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+            return found.unionAll(found.select(F.col("component").alias("node"), "component").distinct())
         before = now
 
 
