@@ -102,3 +102,19 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: int, most: int = 1 <<
             size += len(x)
         if at < len(texts):
             yield batch.slice(at), texts[at:]
+
+
+def text_batches(batches: Iterator[pa.RecordBatch], text: int, most: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of the batches with their texts (null: empty), about `most` characters each, or one text that is longer."""
+    for batch in batches:
+        at = size = 0
+        texts: list[str] = []
+        for i in range(batch.num_rows):
+            x = batch.column(text)[i].as_py() or ""
+            if size and size + len(x) > most:
+                yield batch.slice(at, i - at), texts
+                at, size, texts = i, 0, []
+            texts.append(x)
+            size += len(x)
+        if texts:
+            yield batch.slice(at), texts
