@@ -3,10 +3,10 @@
 1. A document's set is its distinct word shingles. Documents with equal sets collapse to one node, the smallest id.
 2. Each node has BANDS * ROWS minima of universal hashes; nodes that agree on a whole band share a bucket. A pair at the
    threshold 0.85 meets in no bucket with a probability of (1 - 0.85 ** 6) ** 28 = 1.8e-6.
-3. In each bucket the most connected node leads; it is paired with the others. Signatures sort out pairs, the full sets
-   confirm the rest, and confirmed pairs go to the components.
-4. Buckets that still hold several components compare, in blocks, the signatures of nodes of different components, so
-   that no link is lost; only pairs that the signatures pass leave a block.
+3. In each bucket the most connected node leads. Each node is paired with the leader whose signature is closest to its
+   own, the full sets confirm the pairs, and confirmed pairs go to the components.
+4. Buckets that still hold several components compare, in blocks, nodes of different components, so that no link is
+   lost: signatures first, then the full sets; only confirmed links leave a block.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, small_batches, stored
+from .common import Words, small_batches, stored, utf8
 
 BANDS, ROWS = 28, 6
 #: Signatures this far below the threshold rule a pair out: five standard errors of the estimate.
@@ -57,12 +57,13 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
-SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hi", pa.int64()), ("set_lo", pa.int64()), ("bands", pa.list_(pa.int64())), ("signature", pa.binary())])
+SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hi", pa.int64()), ("set_lo", pa.int64()), ("bytes", pa.int64()), ("bands", pa.list_(pa.int64())), ("signature", pa.binary())])
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in small_batches(batches, 1):
         sizes, hi, lo, bands, signatures = [], [], [], [], []
+        lengths = [len(x) for x in texts]
         for s in shingle_sets(texts):
             sizes.append(len(s))
             digest = np.frombuffer(hashlib.md5(s.tobytes()).digest(), np.int64)
@@ -80,11 +81,11 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 h ^= h >> np.uint64(29)
             bands.append(h.view(np.int64))
             signatures.append((least >> np.uint64(48)).astype(np.uint16).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(x, t) for x, t in zip((sizes, hi, lo, bands, signatures), SKETCH.types[1:], strict=True))], schema=SKETCH)
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(x, t) for x, t in zip((sizes, hi, lo, lengths, bands, signatures), SKETCH.types[1:], strict=True))], schema=SKETCH)
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_sketch, "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>, signature binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_sketch, "doc_id long, n_shingles long, set_hi long, set_lo long, bytes long, bands array<long>, signature binary")
 
 
 def _alike(floor: float):
@@ -154,53 +155,115 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _crossing(floor: float):
-    """Within rows (bucket, i, j, side, node, component, signature) of one block pair, pairs of other components that are alike."""
+def _crossing(floor: float, percent: int | None):
+    """Compares the nodes of one block pair: rows (bucket, kind, i, j, side, node, component, bands, signature[, text]).
+
+    A pair counts if its components differ, its signatures agree in `floor` of the places, and this bucket is the first
+    that the two share. Without percent, gives the rows of nodes that have such a pair; with it, links (a, b) that hold
+    on the full sets, none between nodes that links of the same block pair have joined already.
+    """
+
+    def pairs(rows: list) -> list[tuple[int, int]]:
+        left = [n for n, r in enumerate(rows) if r[4] == 0]
+        right = [n for n, r in enumerate(rows) if r[4] == 1] or left
+        if not left or not right:
+            return []
+        signatures = np.frombuffer(b"".join(r[8] for r in rows), np.uint16).reshape(len(rows), -1)
+        components, bands = np.array([r[6] for r in rows]), np.array([r[7] for r in rows])
+        at = np.array(right)
+        found = []
+        for n in left:
+            near = at[(components[at] != components[n]) & ((at > n) | (left is not right))]
+            share = (signatures[near] == signatures[n]).mean(1)
+            near, share = near[share >= floor], share[share >= floor]
+            if len(near):
+                first = bands[n][(bands[near] == bands[n]).argmax(1)]
+                found += [(x, n, m) for x, m, own in zip(share, near, first == rows[n][0], strict=True) if own]
+        return [(n, m) for _, n, m in sorted(found, key=lambda f: -f[0])]
+
+    def links(rows: list) -> tuple[list, ...]:
+        found = pairs(rows)
+        used = sorted({n for pair in found for n in pair})
+        if percent is None:
+            return tuple([rows[n][c] for n in used] for c in range(7))
+        sets = dict(zip(used, shingle_sets([rows[n][9] for n in used]), strict=True)) if used else {}
+        up: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in up:
+                c = up[c]
+            return c
+
+        out: tuple[list, ...] = ([], [])
+        for n, m in found:
+            x, y, c, d = sets[n], sets[m], root(rows[n][6]), root(rows[m][6])
+            if c == d or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                continue
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                up[c] = d
+                out[0].append(rows[n][5])
+                out[1].append(rows[m][5])
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(rows: list) -> pa.RecordBatch:
-            left, right = ([r for r in rows if r[3] == side] for side in (0, 1))
-            right = right or left
-            out = []
-            if left:
-                y = np.frombuffer(b"".join(r[6] for r in right), np.uint16).reshape(len(right), -1)
-                cy, ny = np.array([r[5] for r in right]), np.array([r[4] for r in right])
-                for r in left:
-                    ok = cy != r[5]
-                    if ok.any():
-                        share = (y[ok] == np.frombuffer(r[6], np.uint16)).mean(1)
-                        out += [(min(r[4], n), max(r[4], n)) for n in ny[ok][share >= floor]]
-            out = sorted(set(out))
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        def result(rows: list) -> pa.RecordBatch:
+            kinds = BLOCK.types if percent is None else [pa.int64()] * 2
+            names = BLOCK.names if percent is None else ["a", "b"]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(links(rows), kinds, strict=True)], names=names)
 
         key, rows = None, []
         for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if r[:3] != key:
+            text = utf8(batch.column(9)) if percent is not None else []
+            for n, r in enumerate(zip(*(c.to_pylist() for c in batch.columns[:9]), strict=True)):
+                if r[:4] != key:
                     if rows:
-                        yield pairs(rows)
-                    key, rows = r[:3], []
-                rows.append(r)
+                        yield result(rows)
+                    key, rows = r[:4], []
+                rows.append((*r, text[n]) if text else r)
         if rows:
-            yield pairs(rows)
+            yield result(rows)
 
     return run
 
 
-def crossing_pairs(buckets: DataFrame, labels: DataFrame, signatures: DataFrame, floor: float, block: int = 512) -> DataFrame:
-    """Pairs of nodes that share a bucket (bucket, node) but no component and whose signatures are alike.
+BLOCK = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32()), ("node", pa.int64()), ("component", pa.int64())])
+
 
-    A bucket's nodes are dealt into blocks of about `block`; each pair of blocks is a task's work of its own.
+def crossing_links(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int, block: int = 512, block_bytes: int = 8 << 20) -> DataFrame:
+    """Links (a, b) between nodes that share a bucket (bucket, node, bytes) but no component, all of them but for those
+    that join what others join already.
+
+    In each bucket the nodes of its largest component and all others are dealt into blocks of about `block` nodes or
+    `block_bytes` of text. Each block of others meets every block; two blocks of the largest component never meet. The
+    signatures are compared first; texts go only to block pairs where a node has a pair that they pass.
     """
-    rows = buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    split = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    split = split.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    dealt = rows.join(split, "bucket").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    dealt = dealt.select("bucket", "node", "component", "i", F.explode(other).alias("o"))
-    dealt = dealt.select("bucket", F.least("i", "o").alias("i"), F.greatest("i", "o").alias("j"), F.when(F.col("i") <= F.col("o"), 0).otherwise(1).alias("side"), "node", "component")
-    dealt = dealt.join(signatures.select(F.col("doc_id").alias("node"), "signature"), "node").select("bucket", "i", "j", "side", "node", "component", "signature")
-    return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_crossing(floor), "a long, b long").distinct()
+    floor = percent / 100 - MARGIN
+    rows = buckets.join(labels, "node", "left").select("bucket", "node", "bytes", F.coalesce("component", "node").alias("component"))
+    parts = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    top = F.max(F.struct("n", "bytes", "component")).alias("top")
+    split = parts.groupBy("bucket").agg(top, F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda n, size: F.greatest(F.ceil(n / block), F.ceil(size / block_bytes), F.lit(1)).cast("int")
+    split = split.select("bucket", F.col("top.component").alias("largest"), blocks(F.col("top.n"), F.col("top.bytes")).alias("k"), blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("others"))
+    dealt = rows.join(split, "bucket").withColumn("main", F.col("component") == F.col("largest"))
+    dealt = dealt.withColumn("home", F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("k")).otherwise(F.col("others"))).cast("int"))
+    dealt = dealt.withColumn("x", F.explode(F.sequence(F.lit(0), F.when(F.col("main"), F.col("others")).otherwise(F.col("k") + F.col("others")) - 1)))
+    main, mixed, o = F.col("main"), F.col("x") < F.col("k"), F.col("x") - F.col("k")
+    dealt = dealt.select(
+        "bucket",
+        F.when(main | mixed, 0).otherwise(1).alias("kind"),
+        F.when(main, F.col("home")).when(mixed, F.col("x")).otherwise(F.least("home", o)).alias("i"),
+        F.when(main, F.col("x")).when(mixed, F.col("home")).otherwise(F.greatest("home", o)).alias("j"),
+        F.when(main, 0).when(mixed, 1).otherwise((F.col("home") > o).cast("int")).alias("side"),
+        "node",
+        "component",
+    )
+    key = ["bucket", "kind", "i", "j"]
+    known = nodes.select(F.col("doc_id").alias("node"), "bands", "signature")
+    signed = dealt.join(known, "node").select(*BLOCK.names, "bands", "signature").repartition(*key).sortWithinPartitions(*key, "node")
+    alike = stored(signed.mapInArrow(_crossing(floor, None), "bucket long, kind int, i int, j int, side int, node long, component long"), "alike")
+    whole = alike.join(known, "node").join(texts.select(F.col("doc_id").alias("node"), "text"), "node").select(*BLOCK.names, "bands", "signature", "text")
+    return whole.repartition(*key).sortWithinPartitions(*key, "node").mapInArrow(_crossing(floor, percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -217,43 +280,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketch = stored(sketches(docs, id_col, text_col), "sketch")
     known = sketch.where("n_shingles > 0 and doc_id is not null")
     classes = known.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("node"))
-    nodes = stored(known.join(classes.withColumnRenamed("node", "doc_id"), ["set_hi", "set_lo", "doc_id"], "left_semi").select("doc_id", "bands", "signature"), "nodes")
-    bands = nodes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket"))
+    nodes = stored(known.join(classes.withColumnRenamed("node", "doc_id"), ["set_hi", "set_lo", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_hi", "set_lo"]).select("doc_id", "bands", "signature", "bytes"), "nodes")
+    bands = nodes.select(F.col("doc_id").alias("node"), "bytes", F.explode("bands").alias("bucket"))
     crowded = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket", "n")
-    buckets = stored(bands.join(crowded, "bucket").select("bucket", "node", "n"), "buckets")
+    buckets = stored(bands.join(crowded, "bucket").select("bucket", "node", "n", "bytes"), "buckets")
     rank = buckets.groupBy("node").agg(F.sum("n").alias("rank"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(rank.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    texts = stored(texts, "texts")
-    signatures = nodes.select("doc_id", "signature").join(rank.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    # the hint: all texts are dealt by id at every size of the input
+    wanted = rank.select(F.col("node").alias("doc_id")).hint("merge")
+    texts = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id", "left_semi"), "texts")
     ranked = buckets.select("bucket", "node").join(rank, "node")
     leaders = ranked.groupBy("bucket").agg(F.max(F.struct("rank", (-F.col("node")).alias("minus"))).alias("top")).select("bucket", (-F.col("top.minus")).alias("a"))
     stars = ranked.join(leaders, "bucket").where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    left = signatures.select(F.col("doc_id").alias("a"), F.col("signature").alias("sig_a"))
-    right = signatures.select(F.col("doc_id").alias("b"), F.col("signature").alias("sig_b"))
+    left = nodes.select(F.col("doc_id").alias("a"), F.col("signature").alias("sig_a"))
+    right = nodes.select(F.col("doc_id").alias("b"), F.col("signature").alias("sig_b"))
     stars = stars.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_alike(floor), "a long, b long, share double")
-    stars = stored(stars, "stars")
     best = stars.groupBy("b").agg(F.max(F.struct("share", (-F.col("a")).alias("minus"))).alias("top")).select((-F.col("top.minus")).alias("a"), "b")
-    links = stored(confirmed(best, texts, percent), "links")
+    links = stored(confirmed(stored(best, "best"), texts, percent), "links")
     labels = stored(components(links), "labels")
-    for rest in (_apart(stars, labels), None):
-        rest = crossing_pairs(buckets.select("bucket", "node"), labels, signatures, floor) if rest is None else rest
-        rest = stored(rest, "pairs")
-        if not rest.isEmpty():
-            links = stored(links.unionAll(confirmed(rest, texts, percent)), "links")
-            labels = stored(components(links), "labels")
+    more = stored(crossing_links(buckets.select("bucket", "node", "bytes"), labels, nodes, texts, percent), "crossing")
+    if not more.isEmpty():
+        labels = stored(components(links.unionAll(more)), "labels")
     named = classes.join(labels, "node", "left").select("set_hi", "set_lo", F.coalesce("component", "node").alias("c"))
     rows = sketch.select("doc_id", "n_shingles", "set_hi", "set_lo").join(named, ["set_hi", "set_lo"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose nodes are not yet in one component."""
-    one, two = (labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    both = pairs.join(one, "a", "left").join(two, "b", "left")
-    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """The rows of docs whose document stands for its component, with all their columns."""
     out = near_duplicates(docs, id_col, text_col, percent).where("kept").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_id")).distinct()

@@ -41,7 +41,7 @@ def test_filters_are_pushed_and_payloads_decoded(spark, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Filter (" not in plan
     assert W.read_warc(spark, path, "skip").where("record_type <> 'revisit'").where(F.col("payload").isNotNull()).count() == 0
-    assert W.read_warc(spark, path).where("refers_to is null and http_status = 200").count() == 7
+    assert W.read_warc(spark, path).where("refers_to is null and http_status = 200").count() == 6
     W.write_pages(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/none")
     assert W.read_warc(spark, f"file://{tmp_path}/none").count() == 0
 
