@@ -169,20 +169,21 @@ def encode_pieces(pieces: list[bytes], vocabulary: Ranks) -> dict[bytes, bytes]:
 
 
 class CachedEncoder:
-    """Encodes texts through `encode`, asking it once for each chunk.
+    """Encodes texts through `encode`, asking it once for each chunk. encode(heads, words) gives the ids of the heads,
+    which begin a text, and then of the words, each with a blank before it.
 
     A text is cut at every blank between two characters that are not white space. The patterns of byte-level
     vocabularies always begin a match there, so ids of a text are those of its chunks, one after another.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], cache_bytes: int = CACHE_BYTES):
+    def __init__(self, encode: Callable[[list[str], list[str]], list[bytes]], cache_bytes: int = CACHE_BYTES):
         self.encode, self.cache_bytes, self.known, self.held = encode, cache_bytes, {}, 0
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         chunks = [_CUT.split(text) for text in texts]
         heads = list({c[0] for c in chunks})
         new = list(set().union(*(c[1:] for c in chunks)) - self.known.keys())
-        ids = self.encode([*heads, *(f" {c}" for c in new)])
+        ids = self.encode(heads, new)
         head = dict(zip(heads, ids, strict=False))
         self.known.update(zip(new, ids[len(heads) :], strict=True))
         self.held += sum(map(len, new)) + sum(map(len, ids)) + 150 * len(new)
@@ -196,8 +197,8 @@ class CachedEncoder:
 def encoder_of(path: str, pattern: str) -> CachedEncoder:
     vocabulary, find = ranks_of(path), regex.compile(pattern).findall
 
-    def encode(chunks: list[str]) -> list[bytes]:
-        cut = [[piece.encode() for piece in find(chunk)] for chunk in chunks]
+    def encode(heads: list[str], words: list[str]) -> list[bytes]:
+        cut = [[piece.encode() for piece in find(chunk)] for chunk in [*heads, *(f" {w}" for w in words)]]
         ids = encode_pieces([piece for pieces in cut for piece in pieces], vocabulary)
         return [b"".join(map(ids.__getitem__, pieces)) for pieces in cut]
 

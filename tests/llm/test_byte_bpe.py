@@ -43,7 +43,7 @@ def test_both_trees_agree():
 
 def test_cache_is_bounded():
     asked = []
-    encode = B.CachedEncoder(lambda chunks: asked.append(len(chunks)) or [c.encode() for c in chunks], cache_bytes=1000)
+    encode = B.CachedEncoder(lambda heads, words: asked.append(len(words)) or [c.encode() for c in (*heads, *(f" {w}" for w in words))], cache_bytes=1000)
     for n in range(40):
         text = " ".join(f"w{n}x{i}" for i in range(20))
         assert encode([text]) == [text.encode()]
