@@ -39,6 +39,8 @@ _LOWER = _BYTES.copy()
 _LOWER[65:91] = _BYTES[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 2**64)
 _powers: list[np.ndarray] = []
@@ -60,21 +62,29 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words [^\\x20\\x09-\\x0D]+ of a few texts: byte spans in `data`, hashes, and where each text begins."""
+    """The words [^\\x20\\x09-\\x0D]+ of a few texts: byte spans in `data`, hashes, and where each text begins.
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
+    With letters=True words are runs of ASCII letters and of bytes beyond ASCII.
+    """
+
+    def __init__(self, texts: list[bytes], lower: bool = False, letters: bool = False):
         self.data = b"\n".join(texts)
         raw = np.frombuffer(self.data, np.uint8)
         ends_of_text = np.cumsum(np.fromiter((len(x) + 1 for x in texts), np.int64, len(texts)))
-        inside = np.concatenate(([False], ~_SPACE[raw], [False]))
+        inside = np.concatenate(([False], (_LETTER if letters else ~_SPACE)[raw], [False]))
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         self.starts, self.ends = edges[0::2], edges[1::2]
         up, down = _power(len(raw) + 1)
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((_LOWER if lower else _BYTES)[raw] * up[: len(raw)], dtype=np.uint64)))
-        self.hashes = mix((total[self.ends] - total[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        self._total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((_LOWER if lower else _BYTES)[raw] * up[: len(raw)], dtype=np.uint64)))
+        self._down = down
+        self.hashes = self.spans(self.starts, self.ends)
         #: text i has the words first[i] to first[i + 1]
         self.first = np.concatenate(([0], np.searchsorted(self.starts, ends_of_text))) if len(texts) else np.zeros(1, np.int64)
 
+    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of the bytes from starts to ends."""
+        return mix((self._total[ends] - self._total[starts]) * self._down[starts] + (ends - starts).astype(np.uint64))
+
     def grams(self, k: int) -> np.ndarray:
         """Hashes of k consecutive words, from each word on; those that leave a text are meaningless."""
         n = max(len(self.hashes) - k + 1, 0)

@@ -12,6 +12,8 @@ from .common import table
 from .exact_dedup import exact_groups
 from .minhash_dedup import near_duplicates
 from .packing import best_fit_packing
+from .substring_dedup import remove_repeats
+from .toxicity import classify, labelled_chain
 from .warc import archived_pages
 
 
@@ -67,17 +69,29 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = remove_repeats(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return classify(docs, labelled_chain(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_byte_bpe": op2_byte_bpe,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_warc": op5_warc,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_exact_dedup": op7_exact_dedup,
         "op9_minhash_dedup": op9_minhash_dedup,
+        "op10_toxicity": op10_toxicity,
     }
 
 
