@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, small_batches, stored, utf8
+from .blocks import crossing_links
+from .common import Words, small_batches, stored
 
 BANDS, ROWS = 28, 6
 #: Signatures this far below the threshold rule a pair out: five standard errors of the estimate.
@@ -155,115 +156,35 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _crossing(floor: float, percent: int | None):
-    """Compares the nodes of one block pair: rows (bucket, kind, i, j, side, node, component, bands, signature[, text]).
+def _near(floor: float):
+    """For blocks.crossing_links: keys are a node's bands, its sketch is the signature."""
 
-    A pair counts if its components differ, its signatures agree in `floor` of the places, and this bucket is the first
-    that the two share. Without percent, gives the rows of nodes that have such a pair; with it, links (a, b) that hold
-    on the full sets, none between nodes that links of the same block pair have joined already.
-    """
-
-    def pairs(rows: list) -> list[tuple[int, int]]:
-        left = [n for n, r in enumerate(rows) if r[4] == 0]
-        right = [n for n, r in enumerate(rows) if r[4] == 1] or left
-        if not left or not right:
-            return []
-        signatures = np.frombuffer(b"".join(r[8] for r in rows), np.uint16).reshape(len(rows), -1)
-        components, bands = np.array([r[6] for r in rows]), np.array([r[7] for r in rows])
-        at = np.array(right)
+    def near(bucket: int, sketches: list, n: int, others: list) -> list[tuple[float, int]]:
+        signatures = np.frombuffer(b"".join(sketches[m][1] for m in others), np.uint16).reshape(len(others), -1)
+        share = (signatures == np.frombuffer(sketches[n][1], np.uint16)).mean(1)
         found = []
-        for n in left:
-            near = at[(components[at] != components[n]) & ((at > n) | (left is not right))]
-            share = (signatures[near] == signatures[n]).mean(1)
-            near, share = near[share >= floor], share[share >= floor]
-            if len(near):
-                first = bands[n][(bands[near] == bands[n]).argmax(1)]
-                found += [(x, n, m) for x, m, own in zip(share, near, first == rows[n][0], strict=True) if own]
-        return [(n, m) for _, n, m in sorted(found, key=lambda f: -f[0])]
-
-    def links(rows: list) -> tuple[list, ...]:
-        found = pairs(rows)
-        used = sorted({n for pair in found for n in pair})
-        if percent is None:
-            return tuple([rows[n][c] for n in used] for c in range(7))
-        sets = dict(zip(used, shingle_sets([rows[n][9] for n in used]), strict=True)) if used else {}
-        up: dict[int, int] = {}
-
-        def root(c: int) -> int:
-            while c in up:
-                c = up[c]
-            return c
-
-        out: tuple[list, ...] = ([], [])
-        for n, m in found:
-            x, y, c, d = sets[n], sets[m], root(rows[n][6]), root(rows[m][6])
-            if c == d or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                continue
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * both >= percent * (len(x) + len(y) - both):
-                up[c] = d
-                out[0].append(rows[n][5])
-                out[1].append(rows[m][5])
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def result(rows: list) -> pa.RecordBatch:
-            kinds = BLOCK.types if percent is None else [pa.int64()] * 2
-            names = BLOCK.names if percent is None else ["a", "b"]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(links(rows), kinds, strict=True)], names=names)
+        for k in np.flatnonzero(share >= floor).tolist():
+            m = others[k]
+            first = next((x for x, y in zip(sketches[n][0], sketches[m][0], strict=True) if x == y), None)
+            if first == bucket:
+                found.append((float(share[k]), m))
+        return found
 
-        key, rows = None, []
-        for batch in batches:
-            text = utf8(batch.column(9)) if percent is not None else []
-            for n, r in enumerate(zip(*(c.to_pylist() for c in batch.columns[:9]), strict=True)):
-                if r[:4] != key:
-                    if rows:
-                        yield result(rows)
-                    key, rows = r[:4], []
-                rows.append((*r, text[n]) if text else r)
-        if rows:
-            yield result(rows)
-
-    return run
+    return near
 
 
-BLOCK = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32()), ("node", pa.int64()), ("component", pa.int64())])
+def _linked(percent: int):
+    def linked(x: np.ndarray, y: np.ndarray) -> bool:
+        if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+            return False
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * both >= percent * (len(x) + len(y) - both)
 
+    return linked
 
-def crossing_links(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int, block: int = 512, block_bytes: int = 8 << 20) -> DataFrame:
-    """Links (a, b) between nodes that share a bucket (bucket, node, bytes) but no component, all of them but for those
-    that join what others join already.
 
-    In each bucket the nodes of its largest component and all others are dealt into blocks of about `block` nodes or
-    `block_bytes` of text. Each block of others meets every block; two blocks of the largest component never meet. The
-    signatures are compared first; texts go only to block pairs where a node has a pair that they pass.
-    """
-    floor = percent / 100 - MARGIN
-    rows = buckets.join(labels, "node", "left").select("bucket", "node", "bytes", F.coalesce("component", "node").alias("component"))
-    parts = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
-    top = F.max(F.struct("n", "bytes", "component")).alias("top")
-    split = parts.groupBy("bucket").agg(top, F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("parts")).where("parts > 1")
-    blocks = lambda n, size: F.greatest(F.ceil(n / block), F.ceil(size / block_bytes), F.lit(1)).cast("int")
-    split = split.select("bucket", F.col("top.component").alias("largest"), blocks(F.col("top.n"), F.col("top.bytes")).alias("k"), blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("others"))
-    dealt = rows.join(split, "bucket").withColumn("main", F.col("component") == F.col("largest"))
-    dealt = dealt.withColumn("home", F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("k")).otherwise(F.col("others"))).cast("int"))
-    dealt = dealt.withColumn("x", F.explode(F.sequence(F.lit(0), F.when(F.col("main"), F.col("others")).otherwise(F.col("k") + F.col("others")) - 1)))
-    main, mixed, o = F.col("main"), F.col("x") < F.col("k"), F.col("x") - F.col("k")
-    dealt = dealt.select(
-        "bucket",
-        F.when(main | mixed, 0).otherwise(1).alias("kind"),
-        F.when(main, F.col("home")).when(mixed, F.col("x")).otherwise(F.least("home", o)).alias("i"),
-        F.when(main, F.col("x")).when(mixed, F.col("home")).otherwise(F.greatest("home", o)).alias("j"),
-        F.when(main, 0).when(mixed, 1).otherwise((F.col("home") > o).cast("int")).alias("side"),
-        "node",
-        "component",
-    )
-    key = ["bucket", "kind", "i", "j"]
-    known = nodes.select(F.col("doc_id").alias("node"), "bands", "signature")
-    signed = dealt.join(known, "node").select(*BLOCK.names, "bands", "signature").repartition(*key).sortWithinPartitions(*key, "node")
-    alike = stored(signed.mapInArrow(_crossing(floor, None), "bucket long, kind int, i int, j int, side int, node long, component long"), "alike")
-    whole = alike.join(known, "node").join(texts.select(F.col("doc_id").alias("node"), "text"), "node").select(*BLOCK.names, "bands", "signature", "text")
-    return whole.repartition(*key).sortWithinPartitions(*key, "node").mapInArrow(_crossing(floor, percent), "a long, b long").distinct()
+def _sets(texts: list[str]) -> list[np.ndarray]:
+    return list(shingle_sets([(t or "").encode() for t in texts]))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -297,7 +218,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     best = stars.groupBy("b").agg(F.max(F.struct("share", (-F.col("a")).alias("minus"))).alias("top")).select((-F.col("top.minus")).alias("a"), "b")
     links = stored(confirmed(stored(best, "best"), texts, percent), "links")
     labels = stored(components(links), "labels")
-    more = stored(crossing_links(buckets.select("bucket", "node", "bytes"), labels, nodes, texts, percent), "crossing")
+    known = nodes.select(F.col("doc_id").alias("node"), F.col("bands").alias("keys"), F.col("signature").alias("sketch"))
+    bodies = texts.select(F.col("doc_id").alias("node"), F.col("text").alias("body"))
+    more = stored(crossing_links(buckets.select("bucket", "node", "bytes"), labels, known, bodies, _near(floor), _sets, _linked(percent)), "crossing")
     if not more.isEmpty():
         labels = stored(components(links.unionAll(more)), "labels")
     named = classes.join(labels, "node", "left").select("set_hi", "set_lo", F.coalesce("component", "node").alias("c"))
