@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import bpe_decode, bpe_encode
 from .common import table
 from .exact_dedup import exact_groups
+from .image_copies import drawn, image_copies
 from .minhash_dedup import near_duplicates
 from .packing import best_fit_packing
 from .substring_dedup import remove_repeats
@@ -23,6 +24,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no media, so every row of embeddings is drawn as an image; each row whose id is divisible by 20
+    has a cropped and edited copy besides, which must be found among all images."""
+    return image_copies(drawn(table(spark, sf_dir, "embeddings")))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -85,6 +92,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_image_copies": op1_image_copies,
         "op2_byte_bpe": op2_byte_bpe,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_warc": op5_warc,
