@@ -39,8 +39,11 @@ _LOWER = _BYTES.copy()
 _LOWER[65:91] = _BYTES[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
+#: Kinds of bytes that words may consist of.
+LETTERS = np.zeros(256, bool)
+LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
+LETTERS_AND_DIGITS = LETTERS.copy()
+LETTERS_AND_DIGITS[48:58] = True
 _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 2**64)
 _powers: list[np.ndarray] = []
@@ -64,14 +67,14 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Words:
     """The words [^\\x20\\x09-\\x0D]+ of a few texts: byte spans in `data`, hashes, and where each text begins.
 
-    With letters=True words are runs of ASCII letters and of bytes beyond ASCII.
+    With `kind` (LETTERS: ASCII letters and bytes beyond ASCII) words are runs of such bytes instead.
     """
 
-    def __init__(self, texts: list[bytes], lower: bool = False, letters: bool = False):
+    def __init__(self, texts: list[bytes], lower: bool = False, kind: np.ndarray | None = None):
         self.data = b"\n".join(texts)
         raw = np.frombuffer(self.data, np.uint8)
         ends_of_text = np.cumsum(np.fromiter((len(x) + 1 for x in texts), np.int64, len(texts)))
-        inside = np.concatenate(([False], (_LETTER if letters else ~_SPACE)[raw], [False]))
+        inside = np.concatenate(([False], (~_SPACE if kind is None else kind)[raw], [False]))
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         self.starts, self.ends = edges[0::2], edges[1::2]
         up, down = _power(len(raw) + 1)

@@ -13,6 +13,7 @@ from .byte_bpe import bpe_decode, bpe_encode
 from .common import table
 from .exact_dedup import exact_groups
 from .image_copies import drawn, image_copies
+from .licenses import corpus_lines, license_scan, train_scanner
 from .minhash_dedup import near_duplicates
 from .packing import best_fit_packing
 from .pii import pseudonymised
@@ -88,6 +89,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = license_scan(docs, train_scanner(corpus_lines(docs)))
+    return found.select("doc_id", F.array_distinct("spans.family").alias("families"), F.size("spans").cast("long").alias("n_spans"), F.array_max("spans.probability").alias("probability"))
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -106,6 +113,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_warc": op5_warc,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_license_scan": op8_license_scan,
         "op9_minhash_dedup": op9_minhash_dedup,
         "op10_toxicity": op10_toxicity,
         "pipeline": corpus_pipeline.run,

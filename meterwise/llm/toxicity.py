@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, small_batches, stored
+from .common import LETTERS, Words, mix, small_batches, stored
 
 #: At most so many labelled rows train the chain; more are sampled by a hash of their id.
 SAMPLE = 12_000
@@ -45,7 +45,7 @@ class Chain:
 
 def features_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(text, feature) without repeats: the hashed words of the texts (A-Z lower-cased) and their beginnings."""
-    words = Words(texts, lower=True, letters=True)
+    words = Words(texts, lower=True, kind=LETTERS)
     text = np.repeat(np.arange(len(texts)), np.diff(words.first))
     found, of = [words.hashes], [text]
     for n in BEGINNINGS:
@@ -74,7 +74,7 @@ def _lists(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(sizes)), sizes), np.concatenate([np.asarray(x, np.int64) for x in column]) if sizes.sum() else np.zeros(0, np.int64)
 
 
-def _sigmoid(z: np.ndarray) -> np.ndarray:
+def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
@@ -94,7 +94,7 @@ def fit(row: np.ndarray, place: np.ndarray, dense: np.ndarray, y: np.ndarray, wi
     t = 1.0
     for _ in range(steps):
         z = np.bincount(row, v[place], minlength=n) + dense @ v[width : width + extra] + v[-1]
-        gap = _sigmoid(z) - y
+        gap = sigmoid(z) - y
         slope = np.concatenate((np.bincount(place, gap[row], minlength=width), dense.T @ gap, [gap.sum()])) / n + penalty / n * np.append(v[:-1], 0)
         after = v - rate * slope
         t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
@@ -118,7 +118,7 @@ def _fit_fold(category: int, width: int, folds: int):
         if model == folds:
             return pd.DataFrame({"id": [None], "probability": [None], "weights": [w.tolist()]})
         z = np.bincount(row, w[place], minlength=len(rows)) + dense @ w[width:-1] + w[-1]
-        return pd.DataFrame({"id": rows["id"][~train], "probability": _sigmoid(z[~train]), "weights": None})
+        return pd.DataFrame({"id": rows["id"][~train], "probability": sigmoid(z[~train]), "weights": None})
 
     return run
 
@@ -207,7 +207,7 @@ def _score(chain: Chain):
                 z = np.bincount(text, chain.weights[i][at], minlength=len(texts)) + chain.bias[i]
                 for j, p in enumerate(found):
                     z = z + chain.earlier[i, j] * p
-                found.append(_sigmoid(z))
+                found.append(sigmoid(z))
             flagged = found[chain.categories.index(chain.decides)] > chain.threshold
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found), pa.array(flagged)], names=["doc_id", *(f"p_{c}" for c in chain.categories), chain.decides])
 
