@@ -32,13 +32,18 @@ def _hash(key: str, kind: str, *parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) that evaluates value once, however often it is named there."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _at(text: Column, i: Column) -> Column:
     return F.substr(text, i, F.lit(1))
 
 
 def _each(text: Column, change) -> Column:
     """text with change(character, position) in place of each character."""
-    return F.when(F.length(text) == 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: change(_at(text, i), i)), ""))
+    return let(text, lambda t: F.when(F.length(t) == 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: change(_at(t, i), i)), "")))
 
 
 def _shifted(c: Column, by: Column, letters: int) -> Column:
@@ -52,22 +57,25 @@ def feistel(text: Column, key: str, kind: str, tweak: Column | None = None, lett
 
     In each round every character of one half moves by a keyed hash of the other half, the round and its position.
     """
-    half = F.floor(F.length(text) / 2).cast("int")
-    tweak = F.lit("") if tweak is None else tweak
 
-    def round_(state: Column, i: Column) -> Column:
-        left, right = state["left"], state["right"]
-        mixed = lambda own, other: _each(own, lambda c, j: _shifted(c, _hash(key, kind, tweak, F.length(text), i, j, other), letters))
-        return F.when(i % 2 == 0, F.struct(mixed(left, right).alias("left"), right.alias("right"))).otherwise(F.struct(left.alias("left"), mixed(right, left).alias("right")))
+    def network(text: Column, tweak: Column) -> Column:
+        half = F.floor(F.length(text) / 2).cast("int")
 
-    begin = F.struct(F.substr(text, F.lit(1), half).alias("left"), F.substr(text, half + 1, F.length(text)).alias("right"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), begin, round_, lambda s: F.concat(s["left"], s["right"]))
+        def round_(state: Column, i: Column) -> Column:
+            left, right = state["left"], state["right"]
+            mixed = lambda own, other: _each(own, lambda c, j: let(_hash(key, kind, tweak, F.length(text), i, j, other), lambda by: _shifted(c, by, letters)))
+            return F.when(i % 2 == 0, F.struct(mixed(left, right).alias("left"), right.alias("right"))).otherwise(F.struct(left.alias("left"), mixed(right, left).alias("right")))
+
+        begin = F.struct(F.substr(text, F.lit(1), half).alias("left"), F.substr(text, half + 1, F.length(text)).alias("right"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), begin, round_, lambda s: F.concat(s["left"], s["right"]))
+
+    return let(text, lambda t: let(F.lit("") if tweak is None else tweak, lambda w: network(t, w)))
 
 
 def _fill(shape: Column, values: Column, of: str) -> Column:
     """shape with its characters of the class `of` replaced by values, one after another."""
-    place = lambda i: F.length(F.regexp_replace(F.substr(shape, F.lit(1), i), f"[^{of}]", ""))
-    return _each(shape, lambda c, i: F.when(c.rlike(f"[{of}]"), _at(values, place(i))).otherwise(c))
+    place = lambda whole, i: F.length(F.regexp_replace(F.substr(whole, F.lit(1), i), f"[^{of}]", ""))
+    return let(values, lambda v: let(shape, lambda whole: _each(whole, lambda c, i: F.when(c.rlike(f"[{of}]"), _at(v, place(whole, i))).otherwise(c))))
 
 
 def luhn(digits: Column) -> Column:
@@ -93,20 +101,26 @@ def mod97(text: Column) -> Column:
 
 def _card(value: Column, key: str) -> Column:
     """The first digit stays, the last is the check digit again."""
-    digits = F.regexp_replace(value, "[^0-9]", "")
-    body = F.concat(_at(digits, F.lit(1)), feistel(F.substr(digits, F.lit(2), F.length(digits) - 2), key, "card", _at(digits, F.lit(1))))
-    check = F.pmod(10 - luhn(F.concat(body, F.lit("0"))) % 10, F.lit(10))
-    return F.when(luhn(digits) % 10 == 0, _fill(value, F.concat(body, check.cast("string")), "0-9")).otherwise(value)
+
+    def changed(digits: Column) -> Column:
+        first, middle = _at(digits, F.lit(1)), F.substr(digits, F.lit(2), F.length(digits) - 2)
+        check = lambda body: F.pmod(10 - luhn(F.concat(body, F.lit("0"))) % 10, F.lit(10)).cast("string")
+        whole = let(F.concat(first, feistel(middle, key, "card", first)), lambda body: F.concat(body, check(body)))
+        return F.when(luhn(digits) % 10 == 0, _fill(value, whole, "0-9")).otherwise(value)
+
+    return let(F.regexp_replace(value, "[^0-9]", ""), changed)
 
 
 def _iban(value: Column, key: str) -> Column:
     """The country stays, the check digits are those of the permuted account."""
-    bare = F.replace(value, F.lit(" "), F.lit(""))
-    country, account = F.substr(bare, F.lit(1), F.lit(2)), F.substr(bare, F.lit(5), F.length(bare))
-    new = feistel(account, key, "iban", country)
-    check = 98 - mod97(F.concat(new, country, F.lit("00")))
-    whole = F.concat(country, F.lpad(check.cast("string"), 2, "0"), new)
-    return F.when(mod97(F.concat(account, F.substr(bare, F.lit(1), F.lit(4)))) == 1, _fill(value, whole, "A-Z0-9")).otherwise(value)
+
+    def changed(bare: Column) -> Column:
+        country, account = F.substr(bare, F.lit(1), F.lit(2)), F.substr(bare, F.lit(5), F.length(bare))
+        check = lambda new: F.lpad((98 - mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
+        whole = let(feistel(account, key, "iban", country), lambda new: F.concat(country, check(new), new))
+        return F.when(mod97(F.concat(account, F.substr(bare, F.lit(1), F.lit(4)))) == 1, _fill(value, whole, "A-Z0-9")).otherwise(value)
+
+    return let(F.replace(value, F.lit(" "), F.lit("")), changed)
 
 
 def _phone(value: Column, key: str) -> Column:
@@ -155,27 +169,32 @@ def _date(value: Column, key: str) -> Column:
     year, month, day = (F.when(value.contains("-"), part[a]).when(value.contains("."), part[b]).otherwise(part[c]).cast("int") for a, b, c in ((0, 2, 2), (1, 1, 0), (2, 0, 1)))
     date = F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd")
     number = F.date_diff(date, F.to_date(F.lit(FIRST_DAY))).cast("long")
-    new = F.date_add(F.to_date(F.lit(FIRST_DAY)), _day(number, key).cast("int"))
     short = ~value.rlike(r"^\d\d[./]\d\d[./]|-")
-    out = F.when(value.contains("-"), F.date_format(new, "yyyy-MM-dd"))
-    out = out.when(value.contains("."), F.when(short, F.date_format(new, "d.M.yyyy")).otherwise(F.date_format(new, "dd.MM.yyyy")))
-    out = out.otherwise(F.when(short, F.date_format(new, "M/d/yyyy")).otherwise(F.date_format(new, "MM/dd/yyyy")))
-    return F.when(number.between(0, _DAYS - 1), out).otherwise(value)
+
+    def written(new: Column) -> Column:
+        out = F.when(value.contains("-"), F.date_format(new, "yyyy-MM-dd"))
+        out = out.when(value.contains("."), F.when(short, F.date_format(new, "d.M.yyyy")).otherwise(F.date_format(new, "dd.MM.yyyy")))
+        return out.otherwise(F.when(short, F.date_format(new, "M/d/yyyy")).otherwise(F.date_format(new, "MM/dd/yyyy")))
+
+    changed = let(number, lambda n: let(F.date_add(F.to_date(F.lit(FIRST_DAY)), _day(n, key).cast("int")), written))
+    return F.when(number.between(0, _DAYS - 1), changed).otherwise(value)
+
+
+def _cased(shape: Column, small: Column) -> Column:
+    """small with capitals where shape has some."""
+    return let(small, lambda new: _each(shape, lambda c, i: F.when(c.between("A", "Z"), F.upper(_at(new, i))).otherwise(_at(new, i))))
 
 
 def _email(value: Column, key: str) -> Column:
     """The domain stays; capitals count as small letters, and stay capitals."""
     name, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
-    new = feistel(F.lower(name), key, "email", F.lower(domain))
-    return F.concat(_each(name, lambda c, i: F.when(c.between("A", "Z"), F.upper(_at(new, i))).otherwise(_at(new, i))), F.lit("@"), domain)
+    return F.concat(_cased(name, feistel(F.lower(name), key, "email", F.lower(domain))), F.lit("@"), domain)
 
 
 def _secret(value: Column, key: str) -> Column:
     """The hexadecimal digits after the name; capitals count as small letters, and stay capitals."""
     secret = F.regexp_extract(value, "[0-9a-fA-F]+$", 0)
-    new = feistel(F.lower(secret), key, "secret", letters=6)
-    cased = _each(secret, lambda c, i: F.when(c.between("A", "F"), F.upper(_at(new, i))).otherwise(_at(new, i)))
-    return F.concat(F.substr(value, F.lit(1), F.length(value) - F.length(secret)), cased)
+    return F.concat(F.substr(value, F.lit(1), F.length(value) - F.length(secret)), _cased(secret, feistel(F.lower(secret), key, "secret", letters=6)))
 
 
 def pseudonym(value: Column, key: str) -> Column:
