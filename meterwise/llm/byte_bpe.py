@@ -27,6 +27,7 @@ SHORT = 64
 #: The cache of chunks is emptied beyond this many bytes of keys and values, so that memory is bounded.
 CACHE_BYTES = 48 << 20
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_MARKS = "!#$%&*+,-./:;<=>?@^_|~)]}\""
 _NONE = np.int32(2**31 - 1)
 
 
@@ -172,24 +173,40 @@ class CachedEncoder:
     """Encodes texts through `encode`, asking it once for each chunk. encode(heads, words) gives the ids of the heads,
     which begin a text, and then of the words, each with a blank before it.
 
-    A text is cut at every blank between two characters that are not white space. The patterns of byte-level
-    vocabularies always begin a match there, so ids of a text are those of its chunks, one after another.
+    A text is cut at blanks. The patterns of byte-level vocabularies begin a match at a blank that no white space comes
+    before, so ids of a text are those of its chunks, one after another. Where white space does come before a blank,
+    only blanks between two other characters cut.
     """
 
     def __init__(self, encode: Callable[[list[str], list[str]], list[bytes]], cache_bytes: int = CACHE_BYTES):
-        self.encode, self.cache_bytes, self.known, self.held = encode, cache_bytes, {}, 0
+        self.encode, self.cache_bytes = encode, cache_bytes
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, bytes] = {}
+        self.loose: set[str] = set()  # of the known chunks those that a cut may not follow
+        self.held = 0
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        chunks = [_CUT.split(text) for text in texts]
-        heads = list({c[0] for c in chunks})
-        new = list(set().union(*(c[1:] for c in chunks)) - self.known.keys())
-        ids = self.encode(heads, new)
-        head = dict(zip(heads, ids, strict=False))
-        self.known.update(zip(new, ids[len(heads) :], strict=True))
+        chunks = [t.split(" ") for t in texts]
+        new = set().union(*(c[1:] for c in chunks)).difference(self.known)
+        loose = {c for c in new if not c or c[-1].isspace()} | self.loose
+        if loose or any(not c[0] or c[0][-1].isspace() for c in chunks):
+            chunks = [_CUT.split(t) if not loose.isdisjoint(c) or not c[0] or c[0][-1].isspace() else c for t, c in zip(texts, chunks, strict=True)]
+            new = set().union(*(c[1:] for c in chunks)).difference(self.known)
+        self.loose.update(c for c in new if not c or c[-1].isspace())
+        # a word of letters and the marks after it are matches of their own
+        words = {c: w for c in new if (w := c.rstrip(_MARKS)) != c and w.isalpha()}
+        asked = list(new.difference(words).union(words.values()).difference(self.known))
+        alone = list({c[0] for c in chunks}.union(c[len(w) :] for c, w in words.items()))
+        ids = self.encode(alone, asked)
+        head = dict(zip(alone, ids, strict=False))
+        self.known.update(zip(asked, ids[len(alone) :], strict=True))
+        self.known.update((c, self.known[w] + head[c[len(w) :]]) for c, w in words.items())
         self.held += sum(map(len, new)) + sum(map(len, ids)) + 150 * len(new)
         out = [b"".join([head[c[0]], *map(self.known.__getitem__, c[1:])]) for c in chunks]
         if self.held > self.cache_bytes:
-            self.known, self.held = {}, 0
+            self._forget()
         return out
 
 

@@ -46,13 +46,15 @@ def tokenizer_of(path: str) -> CachedEncoder:
     def encode(heads: list[str], words: list[str]) -> list[bytes]:
         """The words go to the library as one text, which is cut where their bytes end."""
         out = [ids(head) for head in heads]
-        for at in range(0, len(words), 4096):
-            some = words[at : at + 4096]
+        plain = [w for w in words if w and not (w[0].isspace() or w[-1].isspace())]
+        known = {w: ids(f" {w}") for w in set(words).difference(plain)}
+        for at in range(0, len(plain), 4096):
+            some = plain[at : at + 4096]
             found = ids(" " + " ".join(some))
             ends = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in some), np.int64, len(some)))
             cuts = 4 * (np.searchsorted(np.cumsum(widths[np.frombuffer(found, "<u4")]), ends) + 1)
-            out += [found[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
-        return out
+            known.update(zip(some, (found[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)), strict=True))
+        return [*out, *map(known.__getitem__, words)]
 
     return CachedEncoder(encode, 128 << 20)
 
