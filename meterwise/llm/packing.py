@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .byte_bpe import CachedEncoder
-from .common import stored, text_batches
+from .common import few_rows, stored, text_batches
 
 #: Pieces for one packing task: enough that its open sequences at the end weigh little, few enough for many tasks.
 TASK_PIECES = 20_000
+#: Sequences that a task may hold open.
+OPEN = 1 << 14
 
 
 @functools.lru_cache(2)
@@ -84,7 +86,7 @@ def tokenized_pieces(docs: DataFrame, path: str, end: int, capacity: int, with_i
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names=["doc_id", *schema.names])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return few_rows(rows).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 class OpenSequences:
@@ -121,11 +123,10 @@ class OpenSequences:
         return sequence, self.capacity - free
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, open_sequences: int = 512, task_pieces: int = TASK_PIECES) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 1024, open_sequences: int = OPEN, task_pieces: int = TASK_PIECES) -> DataFrame:
     """pieces (doc_id, piece, length, ...) with sequence_id and offset; lengths are from 1 to the capacity.
 
-    pieces is read twice, so give a stored table. Tasks pack independently of each other: at most `open_sequences` of
-    each are left with free space that a longer run might have used.
+    pieces is read twice, so give a stored table. Tasks pack independently of each other, the longest pieces first.
     """
     tasks = max(1, -(-pieces.count() // task_pieces))
     names, at = [*pieces.columns, "sequence_id", "offset"], pieces.columns.index("length")
@@ -136,12 +137,12 @@ def pack(pieces: DataFrame, capacity: int = 1024, open_sequences: int = 512, tas
             placed = [sequences.place(n) for n in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([p[i] + base * (1 - i) for p in placed], pa.int64()) for i in (0, 1))], names=names)
 
-    order = [c for c in ("doc_id", "piece", "ids_crc32") if c in pieces.columns]
-    dealt = pieces.repartition(tasks, *(F.col(c) for c in order)).sortWithinPartitions(*order)  # alike in a repeated task
+    keys = [F.col(c) for c in ("doc_id", "piece", "ids_crc32") if c in pieces.columns]
+    dealt = pieces.repartition(tasks, *keys).sortWithinPartitions(F.desc("length"), *keys)  # alike in a repeated task
     return dealt.mapInArrow(run, StructType([*pieces.schema, StructField("sequence_id", LongType()), StructField("offset", LongType())]))
 
 
-def best_fit_packing(docs: DataFrame, path: str, end: int = 2, capacity: int = 1024, open_sequences: int = 512, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def best_fit_packing(docs: DataFrame, path: str, end: int = 2, capacity: int = 1024, open_sequences: int = OPEN, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if asked for).
 
     A document's ids are those of the tokenizer file `path`, without special tokens, then `end`. A document of more than
