@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import day_slices, days_between, sliding_windows
 from ..operators import hosts, rollups, usage
+from ..options import CONNECTION_FIELD, HOST_FIELD, MACHINE_FIELD, SERIAL_FIELD
 from ..sources import adapters, extract
 
 PRICE = 11.55
@@ -184,7 +185,7 @@ def oracle_sql() -> dict[str, str]:
         "usage_by_role": _by_content("role_name"),
         "usage_by_module": _by_content("module_name"),
         "jobhost_extract": f"""WITH {_database("job_hosts", "jobs", "unified_jobs", "templates", "inventories", "organizations", "hosts")}
-SELECT r.id, r.created, r.modified, r.host_name, r.host_id AS host_remote_id, {_variable("ansible_host")} AS host_variable, {_variable("ansible_connection")} AS connection_variable,
+SELECT r.id, r.created, r.modified, r.host_name, r.host_id AS host_remote_id, {_variable(HOST_FIELD)} AS host_variable, {_variable(CONNECTION_FIELD)} AS connection_variable,
   r.changed, r.dark, r.failures, r.ok, r.processed, r.skipped, r.failed, r.ignored, r.rescued, u.created AS job_created, r.job_id AS job_remote_id,
   u.unified_job_template_id AS job_template_remote_id, u.name AS job_template_name, i.id AS inventory_remote_id, i.name AS inventory_name, o.id AS organization_remote_id, o.name AS organization_name,
   t.id AS project_remote_id, t.name AS project_name
@@ -200,8 +201,8 @@ FROM (SELECT *, replace(event_data, chr(92) || 'u', chr(92) || 'u005cu') AS d FR
 WHERE e.event LIKE 'runner%' AND r.modified >= TIMESTAMP '1990-01-01' AND r.modified < TIMESTAMP '2010-01-01'""",
         "host_metric_extract": f"""WITH {_database("host_metrics", "hosts")}
 SELECT m.hostname, coalesce(h.id, 0) AS host_id, m.first_automation, m.last_automation, m.automated_counter, m.deleted_counter, m.last_deleted, m.deleted,
-  json_extract_string(h.facts, '$.ansible_product_serial') AS product_serial, json_extract_string(h.facts, '$.ansible_machine_id') AS machine_id,
-  {_variable("ansible_host")} AS host_variable, {_variable("ansible_connection")} AS connection_variable
+  json_extract_string(h.facts, '$.{SERIAL_FIELD}') AS product_serial, json_extract_string(h.facts, '$.{MACHINE_FIELD}') AS machine_id,
+  {_variable(HOST_FIELD)} AS host_variable, {_variable(CONNECTION_FIELD)} AS connection_variable
 FROM db_host_metrics m LEFT JOIN db_hosts h ON h.name = m.hostname WHERE m.last_automation >= TIMESTAMP '1998-06-01'""",
         "host_dedup": f"WITH RECURSIVE {_NODES} SELECT * FROM nodes",
         "managed_nodes": f"WITH RECURSIVE {_NODES} SELECT * FROM nodes WHERE NOT deleted",

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..options import CONNECTION_FIELD, HOST_FIELD, MACHINE_FIELD, SERIAL_FIELD
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 JOB_HOSTS = """
@@ -41,7 +43,7 @@ SELECT s.s_suppkey AS idx, s.s_name AS hostname, min(l.l_shipdate) AS first_auto
 FROM {lineitem} l JOIN {supplier} s ON l.l_suppkey = s.s_suppkey WHERE l.l_orderkey % 37 = 0 GROUP BY s.s_suppkey, s.s_name, s.s_acctbal
 """
 
-#: Relations of a controller's database.
+#: Relations of a controller's database; @HOST and the like are the fields named in the options.
 DATABASE = {
     "job_hosts": """
 SELECT l_orderkey * 10 + l_linenumber AS id, l_shipdate AS created, l_shipdate AS modified, concat('host-', CAST(l_suppkey AS STRING)) AS host_name, l_suppkey AS host_id,
@@ -58,10 +60,10 @@ SELECT o_orderkey AS id, o_orderdate AS created, o_custkey % 100 AS unified_job_
     "organizations": "SELECT n_nationkey AS id, n_name AS name FROM {nation}",
     "hosts": """
 SELECT s_suppkey AS id, concat('host-', CAST(s_suppkey % 60 AS STRING)) AS name,
-  concat('{"ansible_product_serial": "SN', CAST(s_suppkey % 9 AS STRING), '", "ansible_machine_id": "M', CAST(s_suppkey AS STRING), '"}') AS facts,
-  CASE s_suppkey % 5 WHEN 0 THEN concat('{"ansible_host": "10.0.0.', CAST(s_suppkey AS STRING), '", "ansible_connection": "ssh"}')
-    WHEN 1 THEN concat('---', chr(10), 'ansible_host: "node', CAST(s_suppkey AS STRING), '"', chr(10), 'ansible_connection=local')
-    WHEN 2 THEN concat('other: 1', chr(10), '  ansible_host: indented') WHEN 3 THEN '' ELSE NULL END AS variables FROM {supplier}
+  concat('{"@SERIAL": "SN', CAST(s_suppkey % 9 AS STRING), '", "@MACHINE": "M', CAST(s_suppkey AS STRING), '"}') AS facts,
+  CASE s_suppkey % 5 WHEN 0 THEN concat('{"@HOST": "10.0.0.', CAST(s_suppkey AS STRING), '", "@CONNECTION": "ssh"}')
+    WHEN 1 THEN concat('---', chr(10), '@HOST: "node', CAST(s_suppkey AS STRING), '"', chr(10), '@CONNECTION=local')
+    WHEN 2 THEN concat('other: 1', chr(10), '  @HOST: indented') WHEN 3 THEN '' ELSE NULL END AS variables FROM {supplier}
 """,
     "host_metrics": """
 SELECT concat('host-', CAST(s_suppkey AS STRING)) AS hostname, min(l_shipdate) AS first_automation, max(l_shipdate) AS last_automation, count(*) AS automated_counter,
@@ -77,6 +79,10 @@ SELECT e.event_id AS id, e.ts AS created, e.ts AS modified, o.o_orderdate AS job
 FROM {events} e JOIN {orders} o ON o.o_orderkey = e.event_id JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey AND l.l_linenumber = 1
 """,
 }
+for _name, _text in DATABASE.items():
+    for _mark, _field in (("@HOST", HOST_FIELD), ("@CONNECTION", CONNECTION_FIELD), ("@SERIAL", SERIAL_FIELD), ("@MACHINE", MACHINE_FIELD)):
+        _text = _text.replace(_mark, _field)
+    DATABASE[_name] = _text
 _SPARK_K, _DUCKDB_K = "get_json_object(props, '$.k')", "json_extract_string(props, '$.k')"
 
 
