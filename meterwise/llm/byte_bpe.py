@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import text_batches
+from .common import few_rows, text_batches
 
 #: Matches up to this many bytes are merged side by side.
 SHORT = 64
@@ -180,20 +180,30 @@ class CachedEncoder:
 
     def __init__(self, encode: Callable[[list[str], list[str]], list[bytes]], cache_bytes: int = CACHE_BYTES):
         self.encode, self.cache_bytes = encode, cache_bytes
+        self.known: dict[str, bytes] = {}
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, bytes] = {}
+        """Only what is met again before the next time stays."""
+        self.older, self.known = self.known, {}
         self.loose: set[str] = set()  # of the known chunks those that a cut may not follow
         self.held = 0
 
+    def _new(self, chunks: list[list[str]]) -> set[str]:
+        new = set().union(*(c[1:] for c in chunks)).difference(self.known)
+        again = new & self.older.keys()
+        self.known.update((c, self.older[c]) for c in again)
+        self.held += sum(len(c) + len(self.known[c]) + 150 for c in again)
+        self.loose.update(c for c in again if not c or c[-1].isspace())
+        return new - again
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         chunks = [t.split(" ") for t in texts]
-        new = set().union(*(c[1:] for c in chunks)).difference(self.known)
+        new = self._new(chunks)
         loose = {c for c in new if not c or c[-1].isspace()} | self.loose
         if loose or any(not c[0] or c[0][-1].isspace() for c in chunks):
             chunks = [_CUT.split(t) if not loose.isdisjoint(c) or not c[0] or c[0][-1].isspace() else c for t, c in zip(texts, chunks, strict=True)]
-            new = set().union(*(c[1:] for c in chunks)).difference(self.known)
+            new = self._new(chunks)
         self.loose.update(c for c in new if not c or c[-1].isspace())
         # a word of letters and the marks after it are matches of their own
         words = {c: w for c in new if (w := c.rstrip(_MARKS)) != c and w.isalpha()}
@@ -205,7 +215,7 @@ class CachedEncoder:
         self.known.update((c, self.known[w] + head[c[len(w) :]]) for c, w in words.items())
         self.held += sum(map(len, new)) + sum(map(len, ids)) + 150 * len(new)
         out = [b"".join([head[c[0]], *map(self.known.__getitem__, c[1:])]) for c in chunks]
-        if self.held > self.cache_bytes:
+        if self.held > self.cache_bytes // 2:
             self._forget()
         return out
 
@@ -236,7 +246,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(encode(texts), pa.binary())], names=["doc_id", "ids"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary")
+    return few_rows(rows).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary")
 
 
 def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -251,4 +261,4 @@ def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
                 decoded = [None if ids is None else vocabulary.decode(ids) for ids in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.binary())], names=names)
 
-    return encoded.mapInArrow(run, StructType([*encoded.schema, StructField("decoded", BinaryType())]))
+    return few_rows(encoded).mapInArrow(run, StructType([*encoded.schema, StructField("decoded", BinaryType())]))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,40 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+@contextmanager
+def session_conf(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for what runs inside."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+#: Rows with texts that a Python worker gets at once; a few thousand long ones would not fit in its memory.
+TEXT_ROWS = 1000
+
+
+def few_rows(df: DataFrame) -> DataFrame:
+    """df, in whose session a Python worker now gets TEXT_ROWS rows at once, if it got more."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= TEXT_ROWS:
+        conf.set(name, str(TEXT_ROWS))
+    return df
+
+
+def spare(columns: list[str], *names: str) -> list[str]:
+    """names, with underscores where one is among the columns already."""
+    taken, found = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: its lineage is cut and executors may be lost."""
     spark = df.sparkSession

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import spare, stored
 
 BLANKS = " \t\n\x0b\f\r"
 
@@ -68,7 +68,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     The surviving rows are found again by id, digest and length, and of rows equal in all of these one is left, in the
     partitions of the join.
     """
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.xxhash64("doc_id").alias("_id"), F.unhex("text_sha256").alias("_sha"), F.col("best_chars").alias("_chars"))
+    keys = spare(docs.columns, "kept_id", "kept_sha", "kept_chars")
+    found = F.xxhash64("doc_id"), F.unhex("text_sha256"), F.col("best_chars")
+    kept = exact_groups(docs, id_col, text_col).where("kept").select(*(c.alias(k) for c, k in zip(found, keys, strict=True)))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    whole = docs.withColumns({"_id": F.xxhash64(id_col), "_sha": F.unhex(F.sha2(normalised(F.col(text_col)), 256)), "_chars": F.length(text)})
-    return whole.join(kept, ["_id", "_sha", "_chars"], "left_semi").dropDuplicates(["_id", "_sha", "_chars"]).select(docs.columns)
+    own = F.xxhash64(id_col), F.unhex(F.sha2(normalised(F.col(text_col)), 256)), F.length(text)
+    whole = docs.withColumns(dict(zip(keys, own, strict=True)))
+    return whole.join(kept, keys, "left_semi").dropDuplicates(keys).select(docs.columns)

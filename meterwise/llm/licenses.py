@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS_AND_DIGITS, Words, mix, small_batches
+from .common import LETTERS_AND_DIGITS, Words, few_rows, mix, small_batches
 from .toxicity import fit, sigmoid
 
 #: Sentences of well-known licences and of their notices.
@@ -222,4 +222,4 @@ def license_scan(docs: DataFrame, scanner: Scanner, likely: float = 0.5, id_col:
     Null and empty texts have no spans; repeated rows and null ids stay; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_scan(scanner, likely), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, spans {SPANS}")
+    return few_rows(rows).mapInArrow(_scan(scanner, likely), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, spans {SPANS}")

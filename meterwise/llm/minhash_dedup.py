@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import crossing_links
-from .common import Words, small_batches, stored
+from .common import Words, few_rows, small_batches, spare, stored
 
 BANDS, ROWS = 28, 6
 #: Signatures this far below the threshold rule a pair out: five standard errors of the estimate.
@@ -86,7 +86,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_sketch, "doc_id long, n_shingles long, set_hi long, set_lo long, bytes long, bands array<long>, signature binary")
+    return few_rows(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_sketch, "doc_id long, n_shingles long, set_hi long, set_lo long, bytes long, bands array<long>, signature binary")
 
 
 def _alike(floor: float):
@@ -231,5 +231,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """The rows of docs whose document stands for its component, with all their columns."""
-    out = near_duplicates(docs, id_col, text_col, percent).where("kept").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_id")).distinct()
-    return docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))).join(out, "_id", "left_semi").select(docs.columns)
+    [key] = spare(docs.columns, "kept_id")
+    none = F.lit(-(2**63))  # stands for a null id
+    kept = near_duplicates(docs, id_col, text_col, percent).where("kept").select(F.coalesce("doc_id", none).alias(key)).distinct()
+    return docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), none)).join(kept, key, "left_semi").select(docs.columns)

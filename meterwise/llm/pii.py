@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import spare
+
 ROUNDS = 8
 #: Fixed formats. Each begins where no longer value of its kind can have begun, so that a search takes linear time.
 EMAIL = r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -212,7 +214,7 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", count_col:
 
     Null texts stay null, with 0 values; empty texts stay empty. Other columns and repeated rows stay as they are.
     """
-    count, found, parts = "_pii_count", "_pii_found", "_pii_parts"
+    count, found, parts = spare(docs.columns, "pii_count", "pii_found", "pii_parts")
     text = F.col(text_col)
     may = text.rlike("[0-9@]")  # every value has a digit or an @
     out = docs.withColumns({found: F.when(may, F.regexp_extract_all(text, F.lit(ALL), F.lit(0))), parts: F.when(may, F.split(text, ALL, -1))})

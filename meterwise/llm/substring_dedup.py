@@ -25,7 +25,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, small_batches, stored
+from .common import Words, few_rows, mix, small_batches, stored
 
 WINDOW, PREFIX = 13, 5
 #: Suffixes that a subtree may hold.
@@ -262,7 +262,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
-    known = rows.where("doc_id is not null")
+    known = few_rows(rows).where("doc_id is not null")
     places = known.mapInArrow(_places(window, prefix), "deal long, prefix long, doc_id long, row long, place int, sure boolean")
     places = places.repartition("deal").sortWithinPartitions("prefix", "doc_id")
     shared = stored(places.mapInArrow(_shared(group), "doc_id long, row long, place int, heavy long"), "places")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, Words, mix, small_batches, stored
+from .common import LETTERS, Words, few_rows, mix, small_batches, stored
 
 #: At most so many labelled rows train the chain; more are sampled by a hash of their id.
 SAMPLE = 12_000
@@ -136,7 +136,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...],
     some = known.select(F.col(id_col).alias("id"), F.array(*(F.col(c).cast("int") for c in categories)).alias("labels")).orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(some), "id")  # bounded by `sample`
     kind = texts.schema["id"].dataType.simpleString()
-    rows = stored(texts.select("id", "text", "labels").mapInArrow(_features, f"id {kind}, labels array<int>, features array<long>").dropDuplicates(["id"]), "labelled")
+    rows = stored(few_rows(texts).select("id", "text", "labels").mapInArrow(_features, f"id {kind}, labels array<int>, features array<long>").dropDuplicates(["id"]), "labelled")
     told = [F.sum(F.col("labels")[i]).alias(f"n{i}") for i in range(len(categories))]
     totals = rows.agg(F.count("*").alias("n"), *told).first()
     counts = stored(rows.select("labels", F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("n"), *told).where(F.col("n") >= LEAST_DOCS), "counts")
@@ -152,12 +152,16 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...],
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places, hits = [], []
-            for x in batch.column(2).to_pylist():
-                x = np.array(x, np.int64)
-                places.append(np.flatnonzero(np.isin(features, x)).tolist())
-                hits.append(int(np.isin(strong, x).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(places, pa.list_(pa.int32())), pa.array(hits, pa.int32())], names=["id", "labels", "places", "hits"])
+            lists = batch.column(2)
+            ends, value = lists.offsets.to_numpy(), lists.flatten().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            at = np.searchsorted(features, value)
+            at[at == width] = 0
+            known = features[at] == value if width else np.zeros(len(value), bool)
+            hits = np.bincount(row[np.isin(value, strong)], minlength=batch.num_rows)
+            counts = np.bincount(row[known], minlength=batch.num_rows)
+            places = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(at[known].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), places, pa.array(hits.astype(np.int32))], names=["id", "labels", "places", "hits"])
 
     rows = rows.mapInArrow(chosen, f"id {kind}, labels array<int>, places array<int>, hits int")
     rows = rows.withColumn("fold", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(folds)).cast("int"))
@@ -221,7 +225,7 @@ def classify(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: st
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     columns = "".join(f", p_{c} double" for c in chain.categories)
-    return rows.mapInArrow(_score(chain), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}{columns}, {chain.decides} boolean")
+    return few_rows(rows).mapInArrow(_score(chain), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}{columns}, {chain.decides} boolean")
 
 
 def without(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
@@ -234,7 +238,7 @@ def without(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
             flags = pa.concat_arrays([b.column(b.num_columns - 1) for b in score(iter([row]))])
             yield pa.RecordBatch.from_arrays(batch.filter(pa.compute.invert(flags)).columns, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return few_rows(docs).mapInArrow(run, docs.schema)
 
 
 CATEGORIES = ("low_quality", "toxic")

@@ -16,7 +16,7 @@ def test_equals_brute_force(spark):
     for i, t in ROWS:
         groups[bare(t)].append((-len(t or ""), i is None, i))
     want = sorted((str((i, min(groups[bare(t)])[2], len(groups[bare(t)]), sha256(bare(t).encode()).hexdigest())) for i, t in ROWS))
-    docs = spark.createDataFrame([(i, t, 1, "s") for i, t in ROWS], "doc_id long, text string, run int, sha string").repartition(4)
+    docs = spark.createDataFrame([(i, t, 1, "s") for i, t in ROWS], "doc_id long, text string, kept_id int, sha string").repartition(4)
     got = exact_groups(docs).select("doc_id", "keep_id", "group_size", "text_sha256", "kept").collect()
     assert sorted(str(tuple(r)[:4]) for r in got) == want
     assert sum(r.kept for r in got) == len(groups)

@@ -45,7 +45,7 @@ def corpus():
 
 def test_components_equal_brute_force(spark):
     rows = corpus()
-    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, component string, share int").repartition(5)
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, component string, kept_id int").repartition(5)
     assert {tuple(r) for r in M.near_duplicates(docs).collect()} == brute(rows)
     kept = M.near_dedup(docs)
     assert kept.columns == docs.columns

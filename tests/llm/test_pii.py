@@ -79,7 +79,7 @@ def test_days_and_short_numbers_are_permuted(spark):
 
 def test_nulls_long_texts_and_other_columns(spark):
     long = "word " * 100_000 + "4429526289707589" + " a" * 50_000 + "9" * 50_000 + "a" * 50_000 + " a@b" + ".c" * 50_000
-    docs = spark.createDataFrame([(1, None, 5), (1, None, 5), (2, "", 6), (3, long, 7)], "doc_id long, text string, _pii int")
+    docs = spark.createDataFrame([(1, None, 5), (1, None, 5), (2, "", 6), (3, long, 7)], "doc_id long, text string, pii_count int")
     out = P.pseudonymised(docs, KEY)
     assert out.columns == docs.columns
     rows = {r.doc_id: r.text for r in out.collect()}
