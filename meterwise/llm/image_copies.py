@@ -5,8 +5,9 @@
 2. Each 64-bit word of a descriptor is a key of a table; descriptors at a small Hamming distance agree in some word.
    Images that share a key meet in a bucket.
 3. Pairs need descriptors that are each other's nearest and one similarity transform that most of these matches obey.
-4. In each bucket the most connected image leads and the others are paired with it; buckets that then still hold several
-   components compare them block by block, so that no link is lost. Exact copies are one node from the start.
+4. In each bucket the most connected image leads; an image is compared with the leader that it shares most keys with.
+   Buckets that then still hold several components pair the images of different ones if they hold up to SMALL images,
+   and compare them block by block if more, so that no link is lost. Exact copies are one node from the start.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import crossing_links
-from .common import mix, stored
+from .common import mix, session_conf, stored
 from .minhash_dedup import components
 
 SCALES = (1.0, 1.4, 2.0)
@@ -32,6 +33,10 @@ STEP = 3.0
 LEAST_BITS = 8
 #: Keys that a pair must share, bits in which a match may differ, matches that must obey one transform, pixels by which they may miss.
 SHARED, DISTANCE, INLIERS, MISS = 2, 64, 7, 3.0
+#: Images of a bucket up to which those of different components are paired.
+SMALL = 16
+#: Images that a Python worker gets at once.
+BATCH = "256"
 _rng = np.random.default_rng(256)
 _PAIRS = np.clip(_rng.normal(0, RADIUS / 2, (TESTS, 2, 2)), -RADIUS * 0.7, RADIUS * 0.7)
 _DISC = np.array([(x, y) for x in range(-7, 8) for y in range(-7, 8) if x * x + y * y <= 49])
@@ -127,12 +132,15 @@ def keys_of(descriptors: np.ndarray) -> np.ndarray:
 
 
 def body_of(places: np.ndarray, descriptors: np.ndarray) -> bytes:
-    return places.astype(np.complex64).tobytes() + descriptors.tobytes()
+    """Places to a sixteenth of a pixel, then descriptors."""
+    grid = np.clip(np.rint(np.stack((places.real, places.imag), 1) * 16), 0, 2**32 - 1).astype("<u4")
+    return grid.tobytes() + descriptors.tobytes()
 
 
 def parse_body(body: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = len(body) // (8 + TESTS // 8)
-    return np.frombuffer(body, np.complex64, n), np.frombuffer(body, np.uint16, offset=8 * n).reshape(n, -1)
+    grid = np.frombuffer(body, "<u4", 2 * n).reshape(n, 2) / 16
+    return grid[:, 0] + 1j * grid[:, 1], np.frombuffer(body, np.uint8, offset=8 * n).reshape(n, -1)
 
 
 def consensus(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> int:
@@ -140,6 +148,7 @@ def consensus(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndar
     (a, da), (b, db) = one, two
     if min(len(a), len(b)) < INLIERS:
         return 0
+    da, db = (np.ascontiguousarray(d).view(np.uint16) for d in (da, db))
     distance = _BITS[da[:, None] ^ db[None]].sum(2, dtype=np.int32)
     near, back = distance.argmin(1), distance.argmin(0)
     rows = np.arange(len(a))
@@ -165,41 +174,51 @@ def consensus(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndar
     return len(np.unique(np.rint(x[obey] / 4)))
 
 
-def linked(one: tuple, two: tuple) -> bool:
-    return consensus(one, two) >= INLIERS
-
-
 def near(bucket: int, sketches: list, n: int, others: list) -> list[tuple[float, int]]:
+    """For blocks.crossing_links: keys are those that an image has in large buckets."""
     own, found = np.asarray(sketches[n][0]), []
     for m in others:
         both = np.intersect1d(own, sketches[m][0], assume_unique=True)
-        if len(both) >= SHARED and both[0] == bucket:
+        if len(both) and both[0] == bucket:
             found.append((float(len(both)), m))
     return found
 
 
-def _prepare(bodies: list) -> list:
-    return [parse_body(b) for b in bodies]
+def prepared(bodies: list) -> list[tuple]:
+    parsed = [parse_body(b) for b in bodies]
+    return [(p, keys_of(p[1])) for p in parsed]
+
+
+def linked(one: tuple, two: tuple) -> bool:
+    return len(np.intersect1d(one[1], two[1], assume_unique=True)) >= SHARED and consensus(one[0], two[0]) >= INLIERS
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            counts, keys, bodies = [], [], []
+            counts, bodies = [], []
             for data in part.column(1):
                 image = decode_pgm(data.as_py())
-                places, descriptors = describe(image) if image is not None else (np.zeros(0), np.zeros((0, TESTS // 8), np.uint8))
+                places, descriptors = describe(image) if image is not None else (np.zeros(0, complex), np.zeros((0, TESTS // 8), np.uint8))
                 counts.append(len(places))
-                keys.append(keys_of(descriptors) if len(places) else [])
                 bodies.append(body_of(places, descriptors))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(counts, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bodies, pa.binary())], names=["image_id", "digest", "n_corners", "keys", "body"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(counts, pa.int64()), pa.array(bodies, pa.binary())], names=["image_id", "digest", "n_corners", "body"])
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            keys = [keys_of(parse_body(b)[1]) for b in part.column(1).to_pylist()]
+            nodes = np.repeat(part.column(0).to_numpy(), [len(k) for k in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], names=["node", "bucket"])
 
 
 def _obey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b, x, y = (c.to_pylist() for c in batch.columns)
-        keep = [i for i in range(len(a)) if linked(parse_body(x[i]), parse_body(y[i]))]
+        keep = [i for i in range(len(a)) if linked(*prepared([x[i], y[i]]))]
         yield pa.RecordBatch.from_arrays([pa.array([v[i] for i in keep], pa.int64()) for v in (a, b)], names=["a", "b"])
 
 
@@ -213,26 +232,44 @@ def image_copies(images: DataFrame, id_col: str = "image_id", media_col: str = "
     """
     rows = images.select(F.col(id_col).cast("long").alias("image_id"), F.col(media_col).alias("media"))
     digest = F.when(F.col("media").isNotNull() & F.col("image_id").isNotNull(), F.unhex(F.sha2("media", 256)))
-    described = stored(rows.select("image_id", "media", digest.alias("digest")).mapInArrow(_describe, "image_id long, digest binary, n_corners long, keys array<long>, body binary"), "corners")
-    classes = described.where("digest is not null").groupBy("digest").agg(F.min("image_id").alias("node"))
-    nodes = described.join(classes.withColumnRenamed("node", "image_id"), ["digest", "image_id"], "left_semi").dropDuplicates(["digest", "image_id"])
-    nodes = stored(nodes.where(F.col("n_corners") >= INLIERS).select(F.col("image_id").alias("node"), "keys", F.lit(b"").alias("sketch"), "body"), "nodes")
-    keyed = nodes.select("node", F.explode("keys").alias("bucket"))
+    described = rows.select("image_id", "media", digest.alias("digest")).mapInArrow(_describe, "image_id long, digest binary, n_corners long, body binary")
+    with session_conf(images.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", BATCH):
+        described = stored(described.withColumn("row", F.monotonically_increasing_id()), "corners")
+    # of exact copies all but one are left out; the list is small where copies are few, and then spares the others a shuffle
+    known = described.where("digest IS NOT NULL").select("image_id", "digest", "row")
+    groups = known.groupBy("digest").agg(F.min(F.struct("image_id", "row")).alias("best"))
+    copies = stored(known.join(groups, "digest").where(F.col("row") != F.col("best.row")).select("row"), "copies")
+    bodies = described.where((F.col("n_corners") >= INLIERS) & F.col("digest").isNotNull()).join(copies, "row", "left_anti").select(F.col("image_id").alias("node"), "body")
+    keyed = bodies.mapInArrow(_keys, "node long, bucket long")
     crowded = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket", "n")
-    buckets = stored(keyed.join(crowded, "bucket"), "buckets")
+    buckets = stored(keyed.join(crowded, "bucket").select("bucket", "node", "n"), "buckets")
+    left, right = (bodies.select(F.col("node").alias(x), F.col("body").alias(f"body_{x}")) for x in "ab")
+
+    def obeyed(pairs: DataFrame) -> DataFrame:
+        tried = stored(pairs, "pairs")  # its size is known then, and decides how it is joined
+        return stored(tried.join(left, "a").join(right, "b").select("a", "b", "body_a", "body_b").mapInArrow(_obey, "a long, b long"), "links")
+
     rank = buckets.groupBy("node").agg(F.sum("n").alias("rank"))
     ranked = buckets.join(rank, "node")
     leaders = ranked.groupBy("bucket").agg(F.max(F.struct("rank", (-F.col("node")).alias("minus"))).alias("top")).select("bucket", (-F.col("top.minus")).alias("a"))
     stars = ranked.join(leaders, "bucket").where("a <> node").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= SHARED)
     best = stars.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("minus"))).alias("top")).select((-F.col("top.minus")).alias("a"), "b")
-    left, right = (nodes.select(F.col("node").alias(x), F.col("body").alias(f"body_{x}")) for x in "ab")
-    links = stored(best.join(left, "a").join(right, "b").select("a", "b", "body_a", "body_b").mapInArrow(_obey, "a long, b long"), "links")
+    links = obeyed(best)
+    labels = stored(components(links), "labels")
+    placed = buckets.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
+    split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    split = stored(placed.join(split, "bucket"), "split")
+    small, large = split.where(F.col("n") <= SMALL), split.where(F.col("n") > SMALL)
+    one, two = (small.select("bucket", F.col("node").alias(x), F.col("component").alias(f"component_{x}")) for x in "ab")
+    pairs = one.join(two, "bucket").where("a < b AND component_a <> component_b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED).select("a", "b")
+    links = links.unionAll(obeyed(pairs))
     labels = stored(components(links), "labels")
-    sized = buckets.select("bucket", "node", F.lit(4096).cast("long").alias("bytes"))
-    more = stored(crossing_links(sized, labels, nodes.select("node", "keys", "sketch"), nodes.select("node", "body"), near, _prepare, linked), "crossing")
-    if not more.isEmpty():
+    if not large.isEmpty():
+        sketches = large.groupBy("node").agg(F.array_sort(F.collect_set("bucket")).alias("keys"), F.lit(b"").alias("sketch"))  # at most an image's keys
+        sized = large.select("bucket", "node", F.lit(4096).cast("long").alias("bytes"))
+        more = stored(crossing_links(sized, labels, sketches, bodies, near, prepared, linked), "crossing")
         labels = stored(components(links.unionAll(more)), "labels")
-    named = classes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("class"))
+    named = groups.select("digest", F.col("best.image_id").alias("node")).join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("class"))
     out = described.select("image_id", "n_corners", "digest").join(named, "digest", "left")
     found = F.coalesce("class", "image_id")
     return out.select("image_id", "n_corners", found.alias("class_id"), F.coalesce(F.col("image_id") == found, F.lit(True)).alias("kept"))

@@ -29,14 +29,13 @@ def variants(image, rng):
 def test_copies_agree_and_others_do_not(pictures):
     rng = np.random.default_rng(8)
     bodies = [M.describe(p) for p in pictures]
-    parsed = [M.parse_body(M.body_of(*b)) for b in bodies]
-    keys = [M.keys_of(b[1]) for b in bodies]
+    parsed = M.prepared([M.body_of(*b) for b in bodies])
     found = total = 0
     for n, p in enumerate(pictures):
         for v in variants(p, rng):
             d = M.describe(np.clip(np.floor(v), 0, 255))
             total += 1
-            found += M.linked(parsed[n], M.parse_body(M.body_of(*d))) and len(np.intersect1d(keys[n], M.keys_of(d[1]))) >= M.SHARED
+            found += M.linked(parsed[n], M.prepared([M.body_of(*d)])[0])
     assert found >= 0.97 * total
     assert not any(M.linked(a, b) for n, a in enumerate(parsed) for b in parsed[:n])
 
@@ -60,15 +59,16 @@ def brute(rows):
             if a < b:
                 same = bool(digests.get(a, set()) & digests.get(b, set()))
                 if not same and a in bodies and b in bodies:
-                    shared = len(np.intersect1d(M.keys_of(bodies[a][1]), M.keys_of(bodies[b][1]))) >= M.SHARED if len(bodies[a][0]) and len(bodies[b][0]) else False
-                    same = shared and M.linked(M.parse_body(M.body_of(*bodies[a])), M.parse_body(M.body_of(*bodies[b])))
+                    same = min(len(bodies[a][0]), len(bodies[b][0])) >= M.INLIERS and M.linked(*M.prepared([M.body_of(*bodies[a]), M.body_of(*bodies[b])]))
                 if same:
                     x, y = sorted((root(a), root(b)))
                     up[y] = x
     return {i: root(i) for i in ids}
 
 
-def test_classes_equal_brute_force(spark, pictures):
+@pytest.mark.parametrize("small", [16, 2])
+def test_classes_equal_brute_force(spark, pictures, small, monkeypatch):
+    monkeypatch.setattr(M, "SMALL", small)
     rng = np.random.default_rng(9)
     rows = [(10 * n, M.encode_pgm(p)) for n, p in enumerate(pictures[:14])]
     rows += [(10 * n + k + 1, M.encode_pgm(v)) for n, p in enumerate(pictures[:6]) for k, v in enumerate(variants(p, rng))]
