@@ -38,27 +38,35 @@ def tokenizer_of(path: str) -> CachedEncoder:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
 
-    def ids(text: str) -> bytes:
-        return array("I", tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+    def ids(texts: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     widths = np.zeros(tokenizer.get_vocab_size(), np.int64)
     for token, i in tokenizer.get_vocab().items():
         widths[i] = len(token)  # a byte-level token has a character for each byte
 
     def encode(heads: list[str], words: list[str]) -> list[bytes]:
-        """The words go to the library as one text, which is cut where their bytes end."""
-        out = [ids(head) for head in heads]
-        plain = [w for w in words if w and not (w[0].isspace() or w[-1].isspace())]
-        known = {w: ids(f" {w}") for w in set(words).difference(plain)}
+        """Words go to the library many in one text, which is cut where their bytes end."""
+        odd = [i for i, w in enumerate(words) if not w or w[0].isspace() or w[-1].isspace()]
+        found = ids([*heads, *(f" {words[i]}" for i in odd)])
+        out, apart = found[: len(heads)], dict(zip(odd, found[len(heads) :], strict=True))
+        plain = [w for i, w in enumerate(words) if i not in apart] if odd else words
+        cut: list[bytes] = []
         for at in range(0, len(plain), 4096):
-            some = plain[at : at + 4096]
-            found = ids(" " + " ".join(some))
-            ends = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in some), np.int64, len(some)))
-            cuts = 4 * (np.searchsorted(np.cumsum(widths[np.frombuffer(found, "<u4")]), ends) + 1)
-            known.update(zip(some, (found[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)), strict=True))
-        return [*out, *map(known.__getitem__, words)]
-
-    return CachedEncoder(encode, 128 << 20)
+            text = " " + " ".join(plain[at : at + 4096])
+            [joined] = ids([text])
+            data = np.frombuffer(text.encode(), np.uint8)
+            ends = np.append(np.flatnonzero(data == 32)[1:], len(data)) if len(plain[at : at + 4096]) == np.count_nonzero(data == 32) else None
+            if ends is None:  # a word with blanks inside
+                ends = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in plain[at : at + 4096]), np.int64))
+            cuts = (4 * (np.searchsorted(np.cumsum(widths[np.frombuffer(joined, "<u4")]), ends) + 1)).tolist()
+            cut += [joined[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+        if not odd:
+            return out + cut
+        rest = iter(cut)
+        return out + [apart[i] if i in apart else next(rest) for i in range(len(words))]
+
+    return CachedEncoder(encode, 192 << 20)
 
 
 def pieces_of(ids: bytes, capacity: int) -> Iterator[tuple[int, int, bytes]]:
