@@ -3,7 +3,8 @@
 Values are found by one regular expression and validated: card numbers by their check digit, IBANs by their remainder,
 dates by the calendar, addresses by the range of their octets. A valid value is permuted within its format, so that a
 card number stays one that checks and a date stays a date, and equal values of all documents get equal pseudonyms under
-one key, however they are spaced or punctuated. What does not validate stays as it is.
+one key, however they are spaced or punctuated. A number ends where one of its kind can end; in a run of numbers cards
+are tried at every extent of whole groups. What does not validate stays as it is.
 """
 
 from __future__ import annotations
@@ -18,9 +19,41 @@ ROUNDS = 8
 EMAIL = r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 ADDRESS = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\w)"
 DATE = r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\w/-]|\.\d)"
-IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
-PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"
-CARD = r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"
+#: Lengths of IBANs by country.
+LENGTHS = {
+    length: names.split()
+    for length, names in (
+        (15, "NO"), (16, "BE"), (18, "DK FI FO GL NL"), (19, "MK SI"), (20, "AT BA EE KZ LT LU XK"), (21, "CH HR LI LV"), (22, "BG BH CR DE GB GE IE ME RS VA"),
+        (23, "AE GI IL IQ OM TL"), (24, "AD CZ ES MD PK RO SA SE SK TN VG"), (25, "LY PT ST"), (26, "IS TR"), (27, "FR GR IT MC MR SM"),
+        (28, "AL AZ BY CY DO GT HU LB PL SV"), (29, "BR EG PS QA UA"), (30, "JO KW MU"), (31, "MT SC"), (32, "LC"),
+    )
+}
+_KNOWN = "(?:" + "|".join(rf"(?:{'|'.join(names)})\d{{2}}(?: ?[A-Z0-9]){{{length - 4}}}" for length, names in LENGTHS.items()) + r")(?!\w)"
+#: An IBAN of a listed country ends at its length; other letters and digits stop where a listed one begins.
+IBAN = rf"(?<!\w){_KNOWN}|(?<!\w)[A-Z]{{2}}\d{{2}}(?:(?! {_KNOWN}) ?[A-Z0-9]{{4}}){{2,7}}(?:(?! {_KNOWN}) ?[A-Z0-9]{{1,3}})?(?!\w)"
+#: Where a number in groups goes no further: a card's groups begin, an address, a date or another phone number.
+_GROUPED = r"\d{4}[ -](?:\d{4}[ -]\d{4}[ -]\d{1,4}|\d{6}[ -]\d{4,5})(?![\w-])"
+_LOCAL = r"(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"
+_OTHER = f"{ADDRESS}|{DATE}|{_LOCAL}"
+_PARTS = lambda times, other: rf"\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:(?! (?:{other}))[ .-]?\d{{2,4}}){times}(?!\w)"
+#: 7 to 15 digits end here; the engine looks behind for nothing that repeats in groups.
+_DIGIT = r"\d[ .()-]{0,2}"
+_ENOUGH = rf"(?<={_DIGIT * 6}\d)(?<!{_DIGIT * 15}\d)"
+PHONE = "|".join(
+    (
+        r"(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\w)",
+        rf"(?<![\w+]){_PARTS('{1,4}', f'{_OTHER}|{_GROUPED}')}{_ENOUGH}",
+        rf"(?<![\w+]){_PARTS('{1,4}?', _OTHER)}{_ENOUGH}(?= {_GROUPED})",
+        rf"(?<![\w+]){_PARTS('{1,4}', _OTHER)}{_ENOUGH}",
+        r"(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)",
+        _LOCAL,
+    )
+)
+#: A run of numbers in which cards are looked for.
+_TOKEN = r"\d++(?:-\d++)*+(?![\w-])"
+CARD = rf"(?<![\w.-])(?=\d(?:[ -]?\d){{12}}){_TOKEN}(?: (?!{_OTHER}){_TOKEN})*+"
+#: Digits of a card's groups, the usual ones first.
+_CARDS = (r"^(?:16|4 4 4 4|15|4 6 5|14|4 6 4)$", r"^(?:13|17|18|19|4 4 4 1|4 4 4 4 [1-3])$")
 SECRET = r"(?i:(?<!\w)(?:token|password|passwd|secret|api[_-]?key)) ?[=:] ?[\"']?[0-9a-fA-F]{16,}(?!\w)"
 ALL = "|".join((EMAIL, SECRET, DATE, ADDRESS, IBAN, PHONE, CARD))
 #: Dates are permuted within these years.
@@ -113,16 +146,72 @@ def _card(value: Column, key: str) -> Column:
     return let(F.regexp_replace(value, "[^0-9]", ""), changed)
 
 
+def _cards(run: Column, key: str) -> Column:
+    """(new, n): a run of numbers with pseudonyms for its n cards.
+
+    A card is any 13 to 19 digits of whole groups that check, in a card's usual groups, in groups of at least three
+    digits, or as many groups as possible from the first. From left to right the longest is taken, usual groups first,
+    unless a more usual one begins within it.
+    """
+
+    def found(groups: Column, bare: Column) -> Column:
+        count = F.size(groups)
+        part = lambda array, i, j: F.slice(array, i + 1, j - i + 1)
+
+        def best(i: Column) -> Column:
+            ends = F.sequence(i, F.least(i + 18, count - 1))
+            spans = F.transform(ends, lambda j: F.struct(j.alias("j"), F.array_join(part(bare, i, j), "").alias("digits")))
+            spans = F.filter(spans, lambda s: F.length(s["digits"]).between(13, 19))
+            last = let(spans, lambda all_: F.when(F.size(all_) > 0, F.transform(all_, lambda s: F.struct(s["j"].alias("j"), s["digits"].alias("digits"), (s["j"] == F.element_at(all_, -1)["j"]).alias("most")))))
+
+            def rank(s: Column) -> Column:
+                sizes = F.transform(part(bare, i, s["j"]), F.length)
+                shape = F.array_join(F.transform(sizes, lambda n: n.cast("string")), " ")
+                return F.when(shape.rlike(_CARDS[0]), 0).when(shape.rlike(_CARDS[1]), 1).when(F.forall(sizes, lambda n: n > 2) | ((i == 0) & s["most"]), 2)
+
+            ranked = F.transform(F.filter(last, lambda s: luhn(s["digits"]) % 10 == 0), lambda s: F.struct(rank(s).alias("rank"), (-s["j"]).alias("end")))
+            return F.array_min(F.filter(ranked, lambda r: r["rank"].isNotNull()))
+
+        def choose(all_: Column) -> Column:
+            def step(state: Column, i: Column) -> Column:
+                own = F.get(all_, i)
+                better = F.exists(F.slice(all_, i + 2, F.greatest(-own["end"] - i, F.lit(0))), lambda x: F.coalesce(x["rank"] < own["rank"], F.lit(False)))
+                taken = F.struct((1 - own["end"]).alias("next"), F.concat(state["hits"], F.array(F.struct(i.alias("i"), (-own["end"]).alias("j")))).alias("hits"))
+                return F.when((i >= state["next"]) & own.isNotNull() & ~better, taken).otherwise(state)
+
+            begin = F.struct(F.lit(0).alias("next"), F.lit([]).cast("array<struct<i:int,j:int>>").alias("hits"))
+            return F.aggregate(F.sequence(F.lit(0), count - 1), begin, step, lambda state: state["hits"])
+
+        def written(hits: Column) -> Column:
+            n = F.size(hits)
+            plain = lambda i, j: F.when(j >= i, F.array_join(part(groups, i, j), "")).otherwise("")
+            before = lambda k: F.when(k == 0, 0).otherwise(F.get(hits, k - 1)["j"] + 1)
+            pieces = F.transform(hits, lambda h, k: F.concat(plain(before(k), h["i"] - 1), _card(plain(h["i"], h["j"]), key)))
+            return F.when(n > 0, F.struct(F.concat(F.array_join(pieces, ""), plain(before(n), count - 1)).alias("new"), n.alias("n"))).otherwise(F.struct(run.alias("new"), F.lit(0).alias("n")))
+
+        return let(let(F.transform(F.sequence(F.lit(0), count - 1), best), choose), written)
+
+    return let(F.regexp_extract_all(run, F.lit("[ -]?[0-9]+"), F.lit(0)), lambda groups: let(F.transform(groups, lambda g: F.regexp_replace(g, "[^0-9]", "")), lambda bare: found(groups, bare)))
+
+
 def _iban(value: Column, key: str) -> Column:
-    """The country stays, the check digits are those of the permuted account."""
+    """The country stays, the check digits are those of the permuted account. What follows after a blank may not belong
+    to it: the longest part that checks is taken."""
+    bare_of = lambda v: F.replace(v, F.lit(" "), F.lit(""))
+    holds = lambda bare: F.length(bare).between(12, 35) & (mod97(F.concat(F.substr(bare, F.lit(5), F.length(bare)), F.substr(bare, F.lit(1), F.lit(4)))) == 1)
+
+    def changed(part: Column) -> Column:
+        def new(bare: Column) -> Column:
+            country, account = F.substr(bare, F.lit(1), F.lit(2)), F.substr(bare, F.lit(5), F.length(bare))
+            check = lambda new: F.lpad((98 - mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
+            whole = let(feistel(account, key, "iban", country), lambda new: F.concat(country, check(new), new))
+            return _fill(part, whole, "A-Z0-9")
 
-    def changed(bare: Column) -> Column:
-        country, account = F.substr(bare, F.lit(1), F.lit(2)), F.substr(bare, F.lit(5), F.length(bare))
-        check = lambda new: F.lpad((98 - mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
-        whole = let(feistel(account, key, "iban", country), lambda new: F.concat(country, check(new), new))
-        return F.when(mod97(F.concat(account, F.substr(bare, F.lit(1), F.lit(4)))) == 1, _fill(value, whole, "A-Z0-9")).otherwise(value)
+        return F.concat(let(bare_of(part), new), F.substr(value, F.length(part) + 1, F.length(value)))
 
-    return let(F.replace(value, F.lit(" "), F.lit("")), changed)
+    words = F.split(value, " ")
+    parts = F.transform(F.sequence(F.size(words), F.lit(1)), lambda n: F.array_join(F.slice(words, 1, n), " "))
+    return let(F.get(F.filter(parts, lambda p: holds(bare_of(p))), F.lit(0)), lambda part: F.when(part.isNotNull(), changed(part)).otherwise(value))
 
 
 def _phone(value: Column, key: str) -> Column:
@@ -200,13 +289,14 @@ def _secret(value: Column, key: str) -> Column:
 
 
 def pseudonym(value: Column, key: str) -> Column:
-    """The pseudonym of one value that ALL has found; the value itself if it does not validate."""
+    """(new, n): what ALL has found with pseudonyms for its n values; what does not validate stays."""
     whole = lambda pattern: value.rlike(f"^(?:{pattern})$")
-    kinds = ((value.contains("@"), _email), (whole(SECRET), _secret), (whole(DATE), _date), (whole(ADDRESS), _address), (whole(IBAN), _iban), (whole(PHONE), _phone))
+    kinds = ((value.contains("@"), _email), (whole(SECRET), _secret), (whole(DATE), _date), (whole(ADDRESS), _address), (value.rlike("^[A-Z]"), _iban), (value.rlike("^[+(]") | whole(_LOCAL), _phone))
     out = None
     for holds, change in kinds:
-        out = F.when(holds, change(value, key)) if out is None else out.when(holds, change(value, key))
-    return out.otherwise(_card(value, key))
+        one = let(change(value, key), lambda new: F.struct(new.alias("new"), (new != value).cast("int").alias("n")))
+        out = F.when(holds, one) if out is None else out.when(holds, one)
+    return out.otherwise(_cards(value, key))
 
 
 def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
@@ -218,9 +308,9 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", count_col:
     text = F.col(text_col)
     may = text.rlike("[0-9@]")  # every value has a digit or an @
     out = docs.withColumns({found: F.when(may, F.regexp_extract_all(text, F.lit(ALL), F.lit(0))), parts: F.when(may, F.split(text, ALL, -1))})
-    out = out.withColumn(count, F.transform(found, lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new"))))
+    out = out.withColumn(count, F.transform(found, lambda m: pseudonym(m, key)))
     joined = F.concat(F.array_join(F.zip_with(F.slice(F.col(parts), 1, F.size(count)), F.col(count), lambda a, b: F.concat(a, b["new"])), ""), F.element_at(parts, -1))
     columns = [F.when(F.size(found) > 0, joined).otherwise(text).alias(text_col) if c == text_col else F.col(c) for c in docs.columns]
     if count_col:
-        columns.append(F.coalesce(F.size(F.filter(count, lambda m: m["old"] != m["new"])), F.lit(0)).alias(count_col))
+        columns.append(F.coalesce(F.aggregate(count, F.lit(0), lambda n, m: n + m["n"]), F.lit(0)).alias(count_col))
     return out.select(*columns)

@@ -87,3 +87,23 @@ def test_nulls_long_texts_and_other_columns(spark):
     assert out.count() == 4 and P.pseudonymised(docs.limit(0), KEY).count() == 0
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_neighbours_do_not_hide_values(spark):
+    card, iban, phone, address = "4429526289707589", "BE68 5390 0754 7034", "+1 (826) 555-4081", "190.137.223.204"
+    spaced = "4429 5262 8970 7589"
+    cases = [f"{card} 12/26", f"{card} 123", f"order 12 {card}", f"12 {spaced} 123 7", f"{iban} EUR", f"AB12 {iban} {card}", f"NO93 8601 1117 947 {spaced}", f"{phone} {address}", f"{phone} {spaced}"]
+    cases += [f"+44 20 7946 0958 {address}", f"+49 30 1234 {spaced}", f"+49 30 1234567 {card}", f"{card} {address}", f"{card} 1999-12-31", f"{card} 555-123-4567", f"{card} {spaced}"]
+    got = run(spark, cases + [card, iban, phone, address])
+    plain_card, plain_iban, plain_phone, plain_address = (t for t, _ in got[-4:])
+    told = dict(zip(cases, got, strict=False))
+    groups = " ".join(plain_card[i : i + 4] for i in range(0, 16, 4))
+    assert told[f"{card} 12/26"] == (f"{plain_card} 12/26", 1) and told[f"{card} 123"] == (f"{plain_card} 123", 1)
+    assert told[f"order 12 {card}"] == (f"order 12 {plain_card}", 1) and told[f"12 {spaced} 123 7"] == (f"12 {groups} 123 7", 1)
+    assert told[f"{iban} EUR"] == (f"{plain_iban} EUR", 1) and told[f"AB12 {iban} {card}"] == (f"AB12 {plain_iban} {plain_card}", 2)
+    assert told[f"{phone} {address}"] == (f"{plain_phone} {plain_address}", 2) and told[f"{phone} {spaced}"] == (f"{plain_phone} {groups}", 2)
+    assert told[f"+44 20 7946 0958 {address}"][0].endswith(" " + plain_address) and told[f"{card} {address}"] == (f"{plain_card} {plain_address}", 2)
+    assert told[f"+49 30 1234 {spaced}"][0].endswith(" " + groups) and told[f"+49 30 1234567 {card}"][0].endswith(" " + plain_card)
+    assert told[f"{card} {spaced}"] == (f"{plain_card} {groups}", 2)
+    assert told[f"NO93 8601 1117 947 {spaced}"][1] == 2 and told[f"NO93 8601 1117 947 {spaced}"][0].endswith(" " + groups)
+    assert [told[f"{card} {x}"][1] for x in ("1999-12-31", "555-123-4567")] == [2, 2]
