@@ -66,12 +66,13 @@ def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-PLACES = pa.schema([("deal", pa.int64()), ("prefix", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("place", pa.int32()), ("sure", pa.bool_())])
+PLACES = pa.schema([("deal", pa.int64()), ("prefix", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("place", pa.int32()), ("sure", pa.bool_()), ("count", pa.int64())])
 
 
 def _places(window: int, prefix: int):
     """Rows for the suffixes of a batch. Those whose prefix two of its documents share are sure, and dealt by document;
-    two rows without a place then tell other batches."""
+    two rows without a place then tell other batches, the first with their count. The counts of a prefix's rows that are
+    dealt by it thus add up to its suffixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in small_batches(batches, 2, BATCH):
@@ -83,14 +84,15 @@ def _places(window: int, prefix: int):
             head = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1]))) if len(p) else np.zeros(0, np.int64)
             low, high = d[head], d[np.append(head[1:], len(p)) - 1] if len(p) else d
             shared = low < high
-            sure = np.repeat(shared, np.diff(np.append(head, len(p))))
+            sizes = np.diff(np.append(head, len(p)))
+            sure = np.repeat(shared, sizes)
             n = 2 * int(shared.sum())
             tell = np.concatenate((p[head][shared], p[head][shared]))
             told = np.concatenate((low[shared], high[shared]))
             row_of, place = row[order], s.place[order].astype(np.int32)
             deal = np.where(sure, mix(row_of.view(np.uint64)).view(np.int64), p)
             nothing = np.zeros(n, np.int64)
-            columns = [(deal, tell), (p, tell), (d, told), (row_of, nothing), (place, np.full(n, -1, np.int32)), (sure, np.zeros(n, bool))]
+            columns = [(deal, tell), (p, tell), (d, told), (row_of, nothing), (place, np.full(n, -1, np.int32)), (sure, np.zeros(n, bool)), ((~sure).astype(np.int64), np.concatenate((sizes[shared], nothing[: n // 2])))]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], schema=PLACES)
 
     return run
@@ -98,7 +100,7 @@ def _places(window: int, prefix: int):
 
 def _shared(group: int):
     """From rows sorted by prefix and doc_id, those whose prefix has several documents; and (heavy) each prefix of more
-    than `group` rows. Only the rows of one document are held until another is seen."""
+    than `group` suffixes. Only the rows of one document are held until another is seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -118,7 +120,7 @@ def _shared(group: int):
             sizes = np.diff(np.append(head, len(p)))
             low, high = d[head].copy(), d[head + sizes - 1]
             shared, heavy = low < high, []
-            totals = sizes.copy()
+            totals = np.add.reduceat(batch.column(6).to_numpy(), head)
             if p[0] == last:
                 low[0] = first_doc
                 shared[0] = known or first_doc < high[0]
@@ -199,25 +201,31 @@ def _candidates(window: int, prefix: int):
 def _trees(window: int, chunk: int = 200_000):
     """From candidate rows sorted by prefix and doc_id, and settled rows (no prefix), the words to remove.
 
-    Whole groups are taken together, about `chunk` rows at a time: below the node of its prefix each window leads to a
-    node of its own words, and the first document that passes there keeps them.
+    About `chunk` rows are taken at a time: below the node of its prefix each window leads to a node of its own words, and
+    the first document that passes there keeps them. Of a group that goes on, each window with its first document stays.
     """
 
-    def removed(table: pa.RecordBatch) -> pa.RecordBatch:
+    def removed(table: pa.RecordBatch, seen: tuple[np.ndarray, np.ndarray]) -> tuple[pa.RecordBatch, tuple[np.ndarray, np.ndarray]]:
         lists = table.column(5)
         sizes = np.diff(lists.offsets.to_numpy())
         at = np.repeat(np.arange(table.num_rows), sizes)
-        ids, rows, start = (table.column(i).to_numpy() for i in (1, 2, 3))
+        p, ids, rows, start = (table.column(i).to_numpy() for i in (0, 1, 2, 3))
         hashes = lists.flatten().to_numpy()
         begin = start[at] + np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        later = _later(hashes, ids[at])
+        w, d = np.concatenate((seen[0], hashes)), np.concatenate((seen[1], ids[at]))
+        later = _later(w, d)[len(seen[0]) :]
+        open_ = np.concatenate((np.full(len(seen[0]), p[0] == p[-1]), (p == p[-1])[at]))
+        w, d = w[open_], d[open_]
+        w, first = np.unique(w, return_index=True)  # rows come by doc_id
         head = _runs(at, later)
         ends = np.append(head[1:], len(at))
         head, ends = head[later[head]], ends[later[head]]
-        return pa.RecordBatch.from_arrays([pa.array(ids[at[head]]), pa.array(rows[at[head]]), pa.array(begin[head].astype(np.int32)), pa.array((begin[ends - 1] + window).astype(np.int32))], names=["doc_id", "row", "start", "stop"])
+        gone = pa.RecordBatch.from_arrays([pa.array(ids[at[head]]), pa.array(rows[at[head]]), pa.array(begin[head].astype(np.int32)), pa.array((begin[ends - 1] + window).astype(np.int32))], names=["doc_id", "row", "start", "stop"])
+        return gone, (w, d[first])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        seen = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             open_ = pa.compute.is_valid(batch.column(0))
             settled = batch.filter(pa.compute.invert(open_))
@@ -225,14 +233,11 @@ def _trees(window: int, chunk: int = 200_000):
                 yield settled.select(["doc_id", "row", "start", "stop"])
             held.append(batch.filter(open_))
             if sum(b.num_rows for b in held) >= chunk:
-                whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                p = whole.column(0).to_numpy()
-                cut = int(np.searchsorted(p, p[-1]))
-                if cut:
-                    yield removed(whole.slice(0, cut))
-                held = [whole.slice(cut)]
+                gone, seen = removed(pa.Table.from_batches(held).combine_chunks().to_batches()[0], seen)
+                yield gone
+                held = []
         if sum(b.num_rows for b in held):
-            yield removed(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+            yield removed(pa.Table.from_batches(held).combine_chunks().to_batches()[0], seen)[0]
 
     return run
 
@@ -263,7 +268,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
     known = few_rows(rows).where("doc_id is not null")
-    places = known.mapInArrow(_places(window, prefix), "deal long, prefix long, doc_id long, row long, place int, sure boolean")
+    places = known.mapInArrow(_places(window, prefix), "deal long, prefix long, doc_id long, row long, place int, sure boolean, count long")
     places = places.repartition("deal").sortWithinPartitions("prefix", "doc_id")
     shared = stored(places.mapInArrow(_shared(group), "doc_id long, row long, place int, heavy long"), "places")
     by_text = shared.where("place >= 0").groupBy("doc_id", "row").agg(F.collect_set("place").alias("places"))

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from meterwise.llm import substring_dedup as S
@@ -65,3 +67,37 @@ def test_texts_are_shuffled_once(spark, tmp_path):
 
 def test_empty(spark):
     assert S.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_large_groups_are_counted_over_all_batches():
+    rng = random.Random(5)
+    shared = [f"s{i}" for i in range(12)]
+    texts = [" ".join([f"a{rng.random()}" for _ in range(15)] + shared + [f"b{rng.random()}" for _ in range(15)]) for _ in range(40)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(a, a + 10)), pa.array(range(a, a + 10)), pa.array(texts[a : a + 10])], names=["doc_id", "row", "text"]) for a in range(0, 40, 10)]
+    prefixes, counts = np.unique(S.Suffixes([t.encode() for t in texts], S.WINDOW, S.PREFIX).prefix, return_counts=True)
+    rows = pa.Table.from_batches([b for batch in batches for b in S._places(S.WINDOW, S.PREFIX)(iter([batch]))])
+    rows = rows.sort_by([("prefix", "ascending"), ("doc_id", "ascending")])
+    own = rows.filter(pa.compute.invert(rows["sure"]))  # what is dealt by prefix
+    assert counts.max() == 40
+    for size in (7, 1000):
+        for group in (20, 39, 40):
+            out = [b for b in S._shared(group)(iter(own.to_batches(max_chunksize=size)))]
+            heavy = sorted(x for b in out for x in b.column(3).to_pylist() if x is not None)
+            assert heavy == sorted(prefixes[counts > group].tolist())
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 1000])
+def test_groups_go_on_over_chunks(chunk):
+    rng = random.Random(chunk)
+    rows = sorted((p, d, [p * 100 + rng.randrange(4) for _ in range(3)]) for p in range(4) for d in [rng.randrange(30) for _ in range(20)])
+    table = pa.table([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array(range(len(rows))), pa.array([0] * len(rows), pa.int32()), pa.array([0] * len(rows), pa.int32()), pa.array([r[2] for r in rows])], schema=S.CANDIDATES)
+    first = {}
+    for _, d, windows in rows:
+        for w in windows:
+            first[w] = min(d, first.get(w, d))
+    want = {(n, i) for n, (_, d, windows) in enumerate(rows) for i, w in enumerate(windows) if first[w] < d}
+    got = set()
+    for b in S._trees(1, chunk)(iter(table.to_batches(max_chunksize=2))):
+        for r in b.to_pylist():
+            got |= {(r["row"], i) for i in range(r["start"], r["stop"])}
+    assert got == want
