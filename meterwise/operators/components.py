@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .joins import join_spread
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut, in the folder of spark.checkpoint.dir; a local session may go without one."""
@@ -22,23 +25,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def connected(edges: DataFrame, cut: Callable[[DataFrame], DataFrame] = checkpointed) -> DataFrame:
     """(node, component) for the nodes of edges (a, b): the smallest node that each reaches.
 
     Large stars link every neighbour above a node to its least neighbour, small stars those below it; each round halves
-    the longest paths or better. A neighbourhood is only ever a minimum, so hot nodes need no memory.
+    the longest paths or better. A neighbourhood is only ever a minimum and a count, and the neighbours of a hub get the
+    minimum where they are, so hot nodes need no memory and no task of their own. cut ends the lineage of each round.
     """
-    edges = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
+    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    before, total = None, edges.count()
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("m", "u").alias("m"), "n")
+        large = join_spread(both, least, ["u"], "n", 2 * total).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         pairs = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
-        edges = checkpointed(large.join(low, "u").select(pairs.alias("e")).select("e.*").where("u <> v").distinct())
+        edges = cut(join_spread(large, low, ["u"], "n", 2 * total).select(pairs.alias("e")).select("e.*").where("u <> v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             found = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
             return found.unionAll(found.select(F.col("component").alias("node"), "component").distinct())
-        before = now
+        before, total = now, now[0]
