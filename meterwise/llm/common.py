@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -69,9 +71,6 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_BYTES = np.random.default_rng(20240229).integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = _BYTES.copy()
-_LOWER[65:91] = _BYTES[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Kinds of bytes that words may consist of.
@@ -79,17 +78,10 @@ LETTERS = np.zeros(256, bool)
 LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
 LETTERS_AND_DIGITS = LETTERS.copy()
 LETTERS_AND_DIGITS[48:58] = True
-_STEP = 0x9E3779B97F4A7C15
-_BACK = pow(_STEP, -1, 2**64)
-_powers: list[np.ndarray] = []
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size, np.uint64(x))], dtype=np.uint64) for x in (_STEP, _BACK)]
-    return _powers[0][:n], _powers[1][:n]
+_SPAN = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+#: Of a little-endian word of 64 bits, the mask of its first n bytes.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -102,34 +94,50 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Words:
     """The words [^\\x20\\x09-\\x0D]+ of a few texts: byte spans in `data`, hashes, and where each text begins.
 
-    With `kind` (LETTERS: ASCII letters and bytes beyond ASCII) words are runs of such bytes instead.
+    With `kind` (LETTERS: ASCII letters and bytes beyond ASCII) words are runs of such bytes instead. A word has 128 bits
+    in two lanes, `hashes` and `second`: up to 16 bytes are mixed whole, longer words are digested by BLAKE2.
     """
 
     def __init__(self, texts: list[bytes], lower: bool = False, kind: np.ndarray | None = None):
-        self.data = b"\n".join(texts)
+        joined = b"\n".join(texts)
+        self.data = joined.lower() if lower else joined
         raw = np.frombuffer(self.data, np.uint8)
         ends_of_text = np.cumsum(np.fromiter((len(x) + 1 for x in texts), np.int64, len(texts)))
         inside = np.concatenate(([False], (~_SPACE if kind is None else kind)[raw], [False]))
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         self.starts, self.ends = edges[0::2], edges[1::2]
-        up, down = _power(len(raw) + 1)
-        self._total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((_LOWER if lower else _BYTES)[raw] * up[: len(raw)], dtype=np.uint64)))
-        self._down = down
-        self.hashes = self.spans(self.starts, self.ends)
+        padded = self.data + bytes(16)
+        self._eights = np.ndarray((len(self.data) + 9,), "<u8", padded, strides=(1,))
         #: text i has the words first[i] to first[i + 1]
         self.first = np.concatenate(([0], np.searchsorted(self.starts, ends_of_text))) if len(texts) else np.zeros(1, np.int64)
 
-    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hashes of the bytes from starts to ends."""
-        return mix((self._total[ends] - self._total[starts]) * self._down[starts] + (ends - starts).astype(np.uint64))
+    @functools.cached_property
+    def hashes(self) -> np.ndarray:
+        return self.spans(self.starts, self.ends)
 
-    def grams(self, k: int) -> np.ndarray:
+    @functools.cached_property
+    def second(self) -> np.ndarray:
+        return self.spans(self.starts, self.ends, 1)
+
+    def spans(self, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+        """Hashes of the bytes from starts to ends."""
+        size = ends - starts
+        low = self._eights[starts] & _FIRST[np.minimum(size, 8)]
+        high = self._eights[np.minimum(starts + 8, len(self._eights) - 1)] & _FIRST[np.clip(size - 8, 0, 8)]
+        h = mix(low + mix(high + size.astype(np.uint64) * _SPAN[1 - lane]) * _SPAN[lane])
+        for i in np.flatnonzero(size > 16).tolist():
+            digest = hashlib.blake2b(self.data[starts[i] : ends[i]], digest_size=16).digest()
+            h[i] = int.from_bytes(digest[8 * lane : 8 * lane + 8], "little")
+        return h
+
+    def grams(self, k: int, lane: int = 0) -> np.ndarray:
         """Hashes of k consecutive words, from each word on; those that leave a text are meaningless."""
-        n = max(len(self.hashes) - k + 1, 0)
+        words = self.second if lane else self.hashes
+        n = max(len(words) - k + 1, 0)
         h = np.zeros(n, np.uint64)
         for j in range(k):
-            h = h * _GRAM + self.hashes[j : j + n]
-        return mix(h)
+            h = mix(h * _GRAM + words[j : j + n])
+        return h
 
 
 def utf8(column: pa.Array) -> list[bytes]:

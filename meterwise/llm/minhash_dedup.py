@@ -7,6 +7,10 @@
    own, the full sets confirm the pairs, and confirmed pairs go to the components.
 4. Buckets that still hold several components compare, in blocks, nodes of different components, so that no link is
    lost: signatures first, then the full sets; only confirmed links leave a block.
+
+Shingles have two independent hashes of 64 bits, mixed from whole words: sets are sketched by one and compared by the
+other, and sets collapse as equal by a digest of both. A bucket or set that many documents share is joined by broadcast
+of its one row, so no task gets all of them.
 """
 
 from __future__ import annotations
@@ -19,8 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected
+from ..operators.joins import join_spread
 from .blocks import crossing_links
-from .common import Words, few_rows, small_batches, spare, stored
+from .common import Words, few_rows, mix, small_batches, spare, stored
 
 BANDS, ROWS = 28, 6
 #: Signatures this far below the threshold rule a pair out: five standard errors of the estimate.
@@ -34,20 +40,27 @@ _B = _rng.integers(0, 2**63, BANDS * ROWS, np.uint64)
 _BAND = _rng.integers(0, 2**63, BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_sets(texts: list[bytes], k: int = SHINGLE) -> Iterator[np.ndarray]:
-    """Each text's set of k-word shingles as sorted 64-bit hashes; A-Z are lower-cased. A text of fewer words is one shingle."""
+def shingle_sets(texts: list[bytes], k: int = SHINGLE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each text's set of k-word shingles in two lanes of 64 bits, each in the order of the first; A-Z are lower-cased. A
+    text of fewer words is one shingle. Sets are sketched by the first lane and compared by the second."""
     words = Words(texts, lower=True)
-    grams = words.grams(k)
+    lanes = words.grams(k), words.grams(k, 1)
     for a, b in zip(words.first[:-1], words.first[1:], strict=True):
         if b - a >= k:
-            yield np.unique(grams[a : b - k + 1])
+            first, at = np.unique(lanes[0][a : b - k + 1], return_index=True)
+            yield first, lanes[1][a + at]
         elif b > a:
-            h = np.uint64(b - a)
-            for w in words.hashes[a:b]:
-                h = np.uint64((int(h) * 0x9E3779B97F4A7C15 + int(w)) & 0xFFFFFFFFFFFFFFFF)
-            yield np.array([h], np.uint64)
+            short = [np.array([b - a], np.uint64) for _ in lanes]
+            for i in range(a, b):
+                short = [mix(h * np.uint64(0x9E3779B97F4A7C15) + w[i]) for h, w in zip(short, (words.hashes, words.second), strict=True)]
+            yield short[0], short[1]
         else:
-            yield np.zeros(0, np.uint64)
+            yield np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+
+
+def common_count(x: np.ndarray, y: np.ndarray) -> int:
+    """How many elements two sets have in common."""
+    return len(np.intersect1d(x, y, assume_unique=True))
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
@@ -65,9 +78,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in small_batches(batches, 1):
         sizes, hi, lo, bands, signatures = [], [], [], [], []
         lengths = [len(x) for x in texts]
-        for s in shingle_sets(texts):
+        for s, second in shingle_sets(texts):
             sizes.append(len(s))
-            digest = np.frombuffer(hashlib.md5(s.tobytes()).digest(), np.int64)
+            digest = np.frombuffer(hashlib.blake2b(s.tobytes() + second.tobytes(), digest_size=16).digest(), np.int64)
             hi.append(digest[0])
             lo.append(digest[1])
             if not len(s):
@@ -81,7 +94,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 h = (h ^ rows[:, r]) * np.uint64(0xBF58476D1CE4E5B9)
                 h ^= h >> np.uint64(29)
             bands.append(h.view(np.int64))
-            signatures.append((least >> np.uint64(48)).astype(np.uint16).tobytes())
+            signatures.append((mix(least) >> np.uint64(48)).astype(np.uint16).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(x, t) for x, t in zip((sizes, hi, lo, lengths, bands, signatures), SKETCH.types[1:], strict=True))], schema=SKETCH)
 
 
@@ -111,11 +124,11 @@ def _confirm(percent: int):
         for batch, texts in small_batches(batches, 3):
             a, salt, b = (batch.column(i).to_pylist() for i in range(3))
             found = []
-            for x, s, y, shingles in zip(a, salt, b, shingle_sets(texts), strict=True):
+            for x, s, y, (_, shingles) in zip(a, salt, b, shingle_sets(texts), strict=True):
                 if y is None:
                     lead, mine = (x, s), shingles
                 elif lead == (x, s):
-                    both = len(np.intersect1d(mine, shingles, assume_unique=True))
+                    both = common_count(mine, shingles)
                     if 100 * both >= percent * (len(mine) + len(shingles) - both):
                         found.append((x, y))
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
@@ -136,24 +149,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest id that each node of edges (a, b) reaches, by alternating large and small stars.
-
-    Neighbourhoods are never collected: a star is a minimum per node, joined back. Each round is stored.
-    """
-    edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
-    while True:
-        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        edges = stored(small, "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            found = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-            return found.unionAll(found.select(F.col("component").alias("node"), "component").distinct())
-        before = now
+    """(node, component): the smallest id that each node of edges (a, b) reaches, by alternating large and small stars,
+    each round stored."""
+    return connected(edges, lambda df: stored(df, "edges"))
 
 
 def _near(floor: float):
@@ -177,14 +175,14 @@ def _linked(percent: int):
     def linked(x: np.ndarray, y: np.ndarray) -> bool:
         if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
             return False
-        both = len(np.intersect1d(x, y, assume_unique=True))
+        both = common_count(x, y)
         return 100 * both >= percent * (len(x) + len(y) - both)
 
     return linked
 
 
 def _sets(texts: list[str]) -> list[np.ndarray]:
-    return list(shingle_sets([(t or "").encode() for t in texts]))
+    return [second for _, second in shingle_sets([(t or "").encode() for t in texts])]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -199,34 +197,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("the bands are set for a threshold of at least 80 per cent")
     floor = percent / 100 - MARGIN
     sketch = stored(sketches(docs, id_col, text_col), "sketch")
-    known = sketch.where("n_shingles > 0 and doc_id is not null")
-    classes = known.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("node"))
-    nodes = stored(known.join(classes.withColumnRenamed("node", "doc_id"), ["set_hi", "set_lo", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_hi", "set_lo"]).select("doc_id", "bands", "signature", "bytes"), "nodes")
+    total = sketch.count()
+    compared = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    known = sketch.where(compared)
+    classes = known.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("node"), F.count("*").alias("members"))
+    first = classes.select("set_hi", "set_lo", F.col("node").alias("doc_id"))
+    nodes = stored(known.join(first, ["set_hi", "set_lo", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_hi", "set_lo"]).select("doc_id", "bands", "signature", "bytes"), "nodes")
     bands = nodes.select(F.col("doc_id").alias("node"), "bytes", F.explode("bands").alias("bucket"))
-    crowded = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket", "n")
-    buckets = stored(bands.join(crowded, "bucket").select("bucket", "node", "n", "bytes"), "buckets")
+    crowded = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket", "n", F.col("n").alias("size"))
+    buckets = stored(join_spread(bands, crowded, ["bucket"], "size", BANDS * nodes.count()).select("bucket", "node", "n", "bytes"), "buckets")
     rank = buckets.groupBy("node").agg(F.sum("n").alias("rank"))
     # the hint: all texts are dealt by id at every size of the input
     wanted = rank.select(F.col("node").alias("doc_id")).hint("merge")
     texts = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id", "left_semi"), "texts")
-    ranked = buckets.select("bucket", "node").join(rank, "node")
-    leaders = ranked.groupBy("bucket").agg(F.max(F.struct("rank", (-F.col("node")).alias("minus"))).alias("top")).select("bucket", (-F.col("top.minus")).alias("a"))
-    stars = ranked.join(leaders, "bucket").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    ranked = stored(buckets.select("bucket", "node").join(rank, "node"), "ranked")
+    leaders = ranked.groupBy("bucket").agg(F.max(F.struct("rank", (-F.col("node")).alias("minus"))).alias("top"), F.count("*").alias("n")).select("bucket", (-F.col("top.minus")).alias("a"), "n")
+    stars = join_spread(ranked, leaders, ["bucket"], "n", ranked.count()).where("a <> node").select("a", F.col("node").alias("b")).distinct()
     left = nodes.select(F.col("doc_id").alias("a"), F.col("signature").alias("sig_a"))
     right = nodes.select(F.col("doc_id").alias("b"), F.col("signature").alias("sig_b"))
     stars = stars.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_alike(floor), "a long, b long, share double")
     best = stars.groupBy("b").agg(F.max(F.struct("share", (-F.col("a")).alias("minus"))).alias("top")).select((-F.col("top.minus")).alias("a"), "b")
     links = stored(confirmed(stored(best, "best"), texts, percent), "links")
     labels = stored(components(links), "labels")
-    known = nodes.select(F.col("doc_id").alias("node"), F.col("bands").alias("keys"), F.col("signature").alias("sketch"))
+    keys = nodes.select(F.col("doc_id").alias("node"), F.col("bands").alias("keys"), F.col("signature").alias("sketch"))
     bodies = texts.select(F.col("doc_id").alias("node"), F.col("text").alias("body"))
-    more = stored(crossing_links(buckets.select("bucket", "node", "bytes"), labels, known, bodies, _near(floor), _sets, _linked(percent)), "crossing")
+    more = stored(crossing_links(buckets.select("bucket", "node", "bytes"), labels, keys, bodies, _near(floor), _sets, _linked(percent)), "crossing")
     if not more.isEmpty():
-        labels = stored(components(links.unionAll(more)), "labels")
-    named = classes.join(labels, "node", "left").select("set_hi", "set_lo", F.coalesce("component", "node").alias("c"))
-    rows = sketch.select("doc_id", "n_shingles", "set_hi", "set_lo").join(named, ["set_hi", "set_lo"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+        labels = stored(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)), "labels")
+    named = classes.join(labels, "node", "left").select("set_hi", "set_lo", "members", F.coalesce("component", "node").alias("component"))
+    rows = join_spread(known.select("doc_id", "n_shingles", "set_hi", "set_lo"), named, ["set_hi", "set_lo"], "members", total)
+    alone = sketch.where(~compared).select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
+    rows = rows.select("doc_id", "n_shingles", "component").unionAll(alone)
+    return rows.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:

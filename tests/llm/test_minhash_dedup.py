@@ -78,3 +78,31 @@ def test_components_of_a_long_path_and_a_star(spark):
 def test_threshold_is_checked(spark):
     with pytest.raises(ValueError):
         M.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), percent=70)
+
+
+def alternating(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_fool_polynomial_hashes_are_told_apart(spark):
+    one = alternating(2048)
+    two = one.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, f"p q {one} r s"), (2, f"p q {two} r s"), (3, one), (4, two)], "doc_id long, text string")
+    assert all(r.kept and r.component_id == r.doc_id for r in M.near_duplicates(docs).collect())
+
+
+def test_hot_groups_of_equal_and_alike_texts(spark, monkeypatch):
+    from meterwise.operators import joins
+
+    monkeypatch.setattr(joins, "LEAST", 20)
+    monkeypatch.setattr(joins, "SHARE", 10)
+    rows = corpus()
+    rows += [(1000 + n, rows[3][1]) for n in range(150)] + [(2000 + n, " ") for n in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in M.near_duplicates(docs).collect()} == brute(rows)
+
+
+def test_signatures_of_large_sets_differ():
+    one, two = ([f"{name}{i}" for i in range(20_000)] for name in "xy")
+    sketches = [M.mix(M.minima(s)) >> 48 for s, _ in M.shingle_sets([" ".join(t).encode() for t in (one, two)])]
+    assert (sketches[0] == sketches[1]).mean() < 0.02
