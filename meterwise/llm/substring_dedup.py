@@ -1,15 +1,18 @@
 """Removal of repeated passages by prefix-partitioned suffix trees over words.
 
-A window is WINDOW consecutive words. Suffixes start at sampled words: in every window that word whose PREFIX words have
-the least hash, so windows of equal words sample the same place, and a window is found by the suffix it samples and by
-where it begins before that.
+A window is WINDOW consecutive words. The trees are sparse: suffixes start at sampled words, in every window that word whose
+PREFIX words have the least hash, so windows of equal words sample the same place. A window is then found by the suffix
+that it samples and by how many words before it the window begins.
 
 1. Suffixes are dealt by their prefix, its first PREFIX words. A prefix of one document only is a leaf and goes.
-2. Suffixes with a shared prefix come with the windows that sample them. A group of up to GROUP suffixes is a subtree
-   that fits in memory. For a larger one the prefix is lengthened to the whole window, so that it falls into groups
-   whose windows are all equal.
-3. In each subtree the nodes WINDOW words deep are the repeated windows; edges are told apart by 64-bit hashes of their
-   words. A window is removed if a smaller doc_id passes its node; runs of such windows are the maximal repeats.
+2. Suffixes with a shared prefix come with their words: those up to the end of their windows, and those before them. If more
+   than GROUP suffixes share a prefix, their windows become suffixes of their own, from their first word on, and the
+   prefix grows word by word until a group fits. A group whose prefix is a whole window is one leaf; of such a group the
+   parts compete, GROUP suffixes at a time, until its first document is known.
+3. The sorted suffixes of a group, with the number of words that neighbours have in common, are its subtree: an internal node at
+   depth d is a run of suffixes with d words in common. A window that begins k words before its suffix belongs to
+   the node at depth WINDOW - k and, below it, to suffixes with the same k words before them. It goes if a smaller doc_id
+   passes there; runs of such windows are the maximal repeats. Words are compared as such, not by hashes.
 
 Each task first settles what its own batch of documents can: prefixes that two of them share, windows that one of them
 has before another. What is hot thus reaches the shuffles once a batch.
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, few_rows, mix, small_batches, stored
@@ -32,13 +35,15 @@ WINDOW, PREFIX = 13, 5
 GROUP = 50_000
 #: Bytes of text that a task looks at together.
 BATCH = 4 << 20
+#: Parts into which the rows of a large group are dealt when they meet its mark.
+SALTS = 256
 
 
 class Suffixes:
     """The sampled suffixes of some texts, and for each window of a text the suffix that it samples."""
 
     def __init__(self, texts: list[bytes], window: int, prefix: int):
-        words = Words(texts)
+        self.words = words = Words(texts)
         count = max(len(words.hashes) - window + 1, 0)
         text_of = np.repeat(np.arange(len(texts)), np.diff(words.first))
         starts = np.arange(count)
@@ -90,7 +95,7 @@ def _places(window: int, prefix: int):
             tell = np.concatenate((p[head][shared], p[head][shared]))
             told = np.concatenate((low[shared], high[shared]))
             row_of, place = row[order], s.place[order].astype(np.int32)
-            deal = np.where(sure, mix(row_of.view(np.uint64)).view(np.int64), p)
+            deal = np.where(sure, mix(row_of.view(np.uint64) ^ mix(d.view(np.uint64))).view(np.int64), p)
             nothing = np.zeros(n, np.int64)
             columns = [(deal, tell), (p, tell), (d, told), (row_of, nothing), (place, np.full(n, -1, np.int32)), (sure, np.zeros(n, bool)), ((~sure).astype(np.int64), np.concatenate((sizes[shared], nothing[: n // 2])))]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], schema=PLACES)
@@ -146,7 +151,7 @@ def _shared(group: int):
     return run
 
 
-CANDIDATES = pa.schema([("prefix", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("windows", pa.list_(pa.int64()))])
+CANDIDATES = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("place", pa.int32()), ("before", pa.string()), ("suffix", pa.string())])
 
 
 def _runs(*keys: np.ndarray) -> np.ndarray:
@@ -158,25 +163,30 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def _later(window: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Whether a smaller doc has the same window."""
-    order = np.lexsort((doc, window))
-    w, d = window[order], doc[order]
-    head = _runs(w)
-    least = np.repeat(d[head], np.diff(np.append(head, len(w))))
-    later = np.zeros(len(w), bool)
-    later[order] = d > least
-    return later
+def _firsts(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each place the first place with the same key whose doc is the least."""
+    order = np.lexsort((doc, key))
+    head = _runs(key[order])
+    first = np.empty(len(key), np.int64)
+    first[order] = np.repeat(order[head], np.diff(np.append(head, len(key))))
+    return first
+
+
+def _numbers(words: list) -> np.ndarray:
+    """The words as numbers, equal ones alike."""
+    known: dict = {}
+    return np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
 
 
 def _candidates(window: int, prefix: int):
     """Of rows (doc_id, row, text, places), runs of windows that sample those places. Windows that a smaller document of
-    the batch has too are settled: words start to stop of the row go. The others carry their hashes."""
+    the batch has too are settled: words start to stop of the row go. The others come with their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = (b.filter(b.column(3).is_valid()) for b in batches)
         for batch, texts in small_batches(some, 2, BATCH):
-            s = Suffixes(texts, window, prefix)
+            s = Suffixes([b" ".join(t.split()) for t in texts], window, prefix)
+            words, first_word = s.words, s.words.first[:-1]
             ids, rows = _ids(batch)
             places = batch.column(3)
             offsets = places.offsets.to_numpy()
@@ -184,60 +194,112 @@ def _candidates(window: int, prefix: int):
             wanted = np.isin(s.text.astype(np.int64) << 32 | s.place, asked)
             suffix = np.repeat(np.arange(len(s.text)), s.lengths)
             keep = wanted[suffix] if len(suffix) else np.zeros(0, bool)
-            suffix, hashes, start = suffix[keep], s.windows[keep].view(np.int64), s.start[keep]
-            doc = ids[s.text[suffix]]
-            settled = _later(hashes, doc)
+            suffix, hashes, start = suffix[keep], s.windows[keep], s.start[keep]
+            text = s.text[suffix]
+            doc = ids[text]
+            first = _firsts(hashes, doc)
+            settled = doc[first] < doc
+            number, at = _numbers(words.data.split()), start + first_word[text]
+            later = np.flatnonzero(settled)
+            for j in range(window):  # equal hashes are not yet equal words
+                later = later[number[at[later] + j] == number[at[first[later]] + j]]
+            settled[:] = False
+            settled[later] = True
             head = _runs(suffix, settled)
             ends = np.append(head[1:], len(suffix))
-            goes, of = settled[head], s.text[suffix[head]]
-            first, stop = start[head].astype(np.int32), (start[ends - 1] + window).astype(np.int32)
-            sizes = np.where(goes, 0, ends - head)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(hashes[~settled]))
-            yield pa.RecordBatch.from_arrays([pa.array(s.prefix[suffix[head]], mask=goes), pa.array(ids[of]), pa.array(rows[of]), pa.array(first), pa.array(stop), lists], schema=CANDIDATES)
+            goes, of, place = settled[head], s.text[suffix[head]], s.place[suffix[head]]
+            begin, stop = start[head], start[ends - 1] + window if len(head) else start
+            base = first_word[of]
+            a, b, c = words.starts[begin + base], words.starts[place + base], words.ends[stop + base - 1]
+            spans = [None if gone else (words.data[x:y], words.data[y:z] + b" ") for gone, x, y, z in zip(goes.tolist(), a.tolist(), b.tolist(), c.tolist(), strict=True)]
+            texts_of = [pa.array([t and t[i] for t in spans], pa.binary()).cast(pa.string()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(s.prefix[suffix[head]], mask=goes), pa.array(ids[of]), pa.array(rows[of]), *(pa.array(x.astype(np.int32)) for x in (begin, stop, place)), *texts_of], schema=CANDIDATES)
 
     return run
 
 
-def _trees(window: int, chunk: int = 200_000):
-    """From candidate rows sorted by prefix and doc_id, and settled rows (no prefix), the words to remove.
-
-    About `chunk` rows are taken at a time: below the node of its prefix each window leads to a node of its own words, and
-    the first document that passes there keeps them. Of a group that goes on, each window with its first document stays.
-    """
-
-    def removed(table: pa.RecordBatch, seen: tuple[np.ndarray, np.ndarray]) -> tuple[pa.RecordBatch, tuple[np.ndarray, np.ndarray]]:
-        lists = table.column(5)
-        sizes = np.diff(lists.offsets.to_numpy())
-        at = np.repeat(np.arange(table.num_rows), sizes)
-        p, ids, rows, start = (table.column(i).to_numpy() for i in (0, 1, 2, 3))
-        hashes = lists.flatten().to_numpy()
-        begin = start[at] + np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        w, d = np.concatenate((seen[0], hashes)), np.concatenate((seen[1], ids[at]))
-        later = _later(w, d)[len(seen[0]) :]
-        open_ = np.concatenate((np.full(len(seen[0]), p[0] == p[-1]), (p == p[-1])[at]))
-        w, d = w[open_], d[open_]
-        w, first = np.unique(w, return_index=True)  # rows come by doc_id
-        head = _runs(at, later)
-        ends = np.append(head[1:], len(at))
-        head, ends = head[later[head]], ends[later[head]]
-        gone = pa.RecordBatch.from_arrays([pa.array(ids[at[head]]), pa.array(rows[at[head]]), pa.array(begin[head].astype(np.int32)), pa.array((begin[ends - 1] + window).astype(np.int32))], names=["doc_id", "row", "start", "stop"])
-        return gone, (w, d[first])
+GONE = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
+_GONE = "doc_id long, row long, start int, stop int"
+
+
+def _symbols(texts: list[str], backwards: bool = False) -> np.ndarray:
+    """The words of each text, all followed by a space, as a row of numbers, in which -1 stands for none."""
+    counts = np.array([t.count(" ") for t in texts], np.int64)
+    number = _numbers("".join(texts).split(" ")[:-1])
+    row = np.repeat(np.arange(len(texts)), counts)
+    column = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    out = np.full((len(texts), int(counts.max(initial=0))), -1, np.int64)
+    out[row, counts[row] - 1 - column if backwards else column] = number
+    return out
+
+
+class Subtrees:
+    """The suffix trees of one or more groups. Rows are (key, doc_id, start, stop, place, before, suffix), sorted by key and suffix,
+    so that `common`, the number of words that a suffix shares with the one above it, holds the nodes: those at depth d are
+    the runs in which `common` is d or more."""
+
+    def __init__(self, key: np.ndarray, before: list[str], suffix: list[str], window: int):
+        self.window, self.before, words = window, _symbols(before, backwards=True), _symbols(suffix)
+        same = (words[1:] == words[:-1]) & (words[1:] >= 0) & (key[1:] == key[:-1])[:, None]
+        self.common = np.concatenate(([0], np.cumprod(same, axis=1).sum(1)))
+
+    def removed(self, doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """For each suffix and k, whether its window that begins k words before it is in a smaller doc too. A suffix has
+        the windows that begin from `begin` down to `end` words before it."""
+        gone = np.zeros((len(doc), int(begin.max(initial=0)) + 2), bool)
+        left = np.zeros(len(doc), np.int64)
+        for k in range(int(begin.max(initial=-1)) + 1):
+            if k:
+                left = np.unique((left << 32) + self.before[:, k - 1] + 1, return_inverse=True)[1].reshape(-1)
+            node = np.cumsum(self.common < self.window - k)
+            inner = np.bincount(node)[node] > 1
+            at = np.flatnonzero(inner & (end <= k) & (k <= begin))
+            if len(at):
+                d = doc[at]
+                gone[at, k] = d[_firsts((node[at] << 32) + left[at], d)] < d
+        return gone
+
+
+def _trees(window: int, group: int, survivors: bool = False):
+    """From rows (key, doc_id, row, start, stop, place, before, suffix), sorted by key and suffix, and settled rows (no
+    key), the words to remove. Whole groups are taken together, several small ones or one. With survivors the other rows
+    come back too (stop null)."""
+
+    def settle(table: pa.RecordBatch) -> pa.RecordBatch:
+        key, ids, rows, start, stop, place = (table.column(i).to_numpy() for i in range(6))
+        tree = Subtrees(key, table.column(6).to_pylist(), table.column(7).to_pylist(), window)
+        gone = tree.removed(ids, place - start, place - stop + window)
+        flat = np.diff(np.concatenate(([False], gone.reshape(-1))).astype(np.int8))
+        first, end = np.flatnonzero(flat == 1), np.flatnonzero(flat == -1)  # the last column of each row is false
+        at, most, least = first // gone.shape[1], (end - 1) % gone.shape[1], first % gone.shape[1]
+        found = pa.RecordBatch.from_arrays([pa.array(x.astype(t.to_pandas_dtype())) for x, t in zip((ids[at], rows[at], place[at] - most, place[at] - least + window), GONE.types, strict=True)], schema=GONE)
+        if not survivors:
+            return found
+        stay = pa.array(np.flatnonzero(~gone.any(1)))
+        n, m = found.num_rows, len(stay)
+        other = [*(table.column(i).take(stay) for i in (1, 2, 3)), pa.nulls(m, pa.int32()), table.column(7).take(stay)]
+        columns = [pa.concat_arrays([x, y]) for x, y in zip([*found.columns, pa.nulls(n, other[-1].type)], other, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=[*GONE.names, "suffix"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        seen = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        count = 0
         for batch in batches:
-            open_ = pa.compute.is_valid(batch.column(0))
+            open_ = batch.column(0).is_valid()
             settled = batch.filter(pa.compute.invert(open_))
             if settled.num_rows:
-                yield settled.select(["doc_id", "row", "start", "stop"])
-            held.append(batch.filter(open_))
-            if sum(b.num_rows for b in held) >= chunk:
-                gone, seen = removed(pa.Table.from_batches(held).combine_chunks().to_batches()[0], seen)
-                yield gone
-                held = []
-        if sum(b.num_rows for b in held):
-            yield removed(pa.Table.from_batches(held).combine_chunks().to_batches()[0], seen)[0]
+                yield settled.select(GONE.names)
+            batch = batch.filter(open_)
+            held.append(batch)
+            count += batch.num_rows
+            if count >= group:
+                whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                cut = int(_runs(whole.column(0).to_numpy())[-1])  # the last group may go on
+                if cut:
+                    yield settle(whole.slice(0, cut))
+                held, count = [whole.slice(cut)], count - cut
+        if count:
+            yield settle(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
     return run
 
@@ -257,13 +319,80 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "text"])
 
 
+def _prefix_key(words: int) -> Column:
+    return F.xxhash64(F.substring_index("suffix", " ", words))
+
+
+def _marked(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """rows (key, doc_id, row, start, ...) with the column `large` that marks has for some keys. Such keys stand for many rows,
+    which are dealt out and meet copies of their mark."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "row", "start"), F.lit(SALTS)).cast("int"))
+    copies = marks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, ["key", "salt"], "left").drop("salt")
+
+
+def _grown(windows: DataFrame, window: int, prefix: int, group: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """Windows (doc_id, row, start, suffix) with, as key, the shortest prefix that at most `group` of them share; and
+    those that share their whole words with more."""
+    fit = []
+    for words in range(prefix, window + 1):
+        keyed = windows.withColumn("key", _prefix_key(words))
+        large = keyed.groupBy("key").count().where(F.col("count") > group).select("key", F.lit(True).alias("large"))
+        marked = stored(_marked(keyed, large), f"prefix-{words}")
+        fit.append(marked.where("large IS NULL").drop("large"))
+        windows = marked.where("large").drop("large")
+        if windows.isEmpty():
+            return fit, None
+    return fit, windows
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The rows of CANDIDATES by groups, those of a group sorted by their suffixes."""
+    return rows.repartition(F.coalesce("key", F.hash("doc_id", "row"))).sortWithinPartitions("key", "suffix")
+
+
+def _suffixes(windows: DataFrame, window: int) -> DataFrame:
+    """Windows (key, doc_id, row, start, suffix) as rows of CANDIDATES."""
+    return windows.select("key", "doc_id", "row", "start", (F.col("start") + window).cast("int").alias("stop"), F.col("start").alias("place"), F.lit("").alias("before"), "suffix")
+
+
+def _leaves(windows: DataFrame, window: int, group: int) -> list[DataFrame]:
+    """What goes of windows (key, doc_id, row, start, suffix) that too many share: a part of a group loses all but the
+    windows of its first document, which then compete with those of other parts."""
+    gone: list[DataFrame] = []
+    while True:
+        groups = windows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+        most = groups.where("lo < hi").agg(F.max("n")).first()[0]
+        if most is None:
+            return gone
+        parts = -(-most // max(group, 8))
+        part = F.pmod(F.xxhash64("doc_id", "row", "start", F.lit(len(gone))), F.lit(parts))
+        rows = _suffixes(windows.withColumn("key", F.xxhash64("key", part)), window)
+        settled = stored(_dealt(rows).mapInArrow(_trees(window, group, survivors=True), f"{_GONE}, suffix string"), "leaves")
+        gone.append(settled.where("stop IS NOT NULL").drop("suffix"))
+        windows = settled.where("stop IS NULL").select(_prefix_key(window).alias("key"), "doc_id", "row", "start", "suffix")
+
+
+def _large_groups(candidates: DataFrame, heavy: DataFrame, window: int, prefix: int, group: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Candidates of groups that fit, windows of larger ones among them as suffixes of their own; and what goes already."""
+    marked = stored(_marked(candidates, heavy), "candidates")
+    words = F.split(F.concat("before", "suffix"), " ")
+    each = F.transform(F.sequence(F.lit(0), F.col("stop") - F.col("start") - window), lambda i: F.struct((F.col("start") + i).alias("start"), F.concat(F.array_join(F.slice(words, i + 1, F.lit(window)), " "), F.lit(" ")).alias("suffix")))
+    windows = marked.where("large").select("doc_id", "row", F.explode(each).alias("w")).select("doc_id", "row", "w.start", "w.suffix")
+    fit, rest = _grown(windows, window, prefix, group)
+    whole = marked.where("large IS NULL").select(*CANDIDATES.names)
+    for part in fit:
+        whole = whole.unionByName(_suffixes(part, window))
+    return whole, [] if rest is None else _leaves(rest, window, group)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_removed, text (the kept words, joined by one space).
 
     Words are [^\\x20\\x09-\\x0D]+. A word goes if a window of `window` words covers it whose words also follow each
-    other in a document with a smaller id. Windows are judged on the input. Null texts have no words. A null id is
-    neither smaller nor larger than any: its text stays whole and removes nothing. Rows that share an id remove nothing
-    from each other. Other columns are ignored.
+    other in a document with a smaller id. Windows are judged on the input. Null texts have no words; an empty table gives no
+    rows; a text of any length is looked at whole. A null id is neither smaller nor larger than any: its text stays
+    whole and removes nothing. Rows that share an id remove nothing from each other. Other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
@@ -274,14 +403,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_text = shared.where("place >= 0").groupBy("doc_id", "row").agg(F.collect_set("place").alias("places"))
     # the hints, and two left joins: texts are dealt by document at every size of the input, once for both joins
     asked = rows.join(by_text.hint("merge"), ["doc_id", "row"], "left").select("doc_id", "row", "text", "places")
-    candidates = asked.mapInArrow(_candidates(window, prefix), "prefix long, doc_id long, row long, start int, stop int, windows array<long>")
-    heavy = shared.where("heavy is not null").select(F.col("heavy").alias("prefix"), F.lit(True).alias("is_heavy")).distinct()
+    candidates = asked.mapInArrow(_candidates(window, prefix), "key long, doc_id long, row long, start int, stop int, place int, before string, suffix string")
+    heavy = shared.where("heavy is not null").select(F.col("heavy").alias("key"), F.lit(True).alias("large")).distinct()
+    gone: list[DataFrame] = []
     if not heavy.isEmpty():
-        marked = candidates.join(heavy, "prefix", "left")
-        one = F.transform("windows", lambda w, i: F.struct(w.alias("prefix"), (F.col("start") + i).alias("start"), (F.col("start") + i + window).alias("stop"), F.array(w).alias("windows")))
-        parts = F.when(F.col("is_heavy"), one).otherwise(F.array(F.struct("prefix", "start", "stop", "windows")))
-        candidates = marked.select("doc_id", "row", F.explode(parts).alias("part")).select("part.prefix", "doc_id", "row", "part.start", "part.stop", "part.windows")
-    dealt = candidates.repartition(F.coalesce("prefix", F.hash("doc_id", "row"))).sortWithinPartitions("prefix", "doc_id")
-    gaps = dealt.mapInArrow(_trees(window), "doc_id long, row long, start int, stop int").groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "stop")).alias("gaps"))
+        candidates, gone = _large_groups(candidates, heavy, window, prefix, group)
+    removed = _dealt(candidates).mapInArrow(_trees(window, group), _GONE)
+    for part in gone:
+        removed = removed.unionByName(part)
+    gaps = removed.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "stop")).alias("gaps"))
     whole = rows.join(gaps.hint("merge"), ["doc_id", "row"], "left").select("doc_id", "text", "gaps")
     return whole.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, text string")
