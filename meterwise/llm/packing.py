@@ -1,8 +1,8 @@
 """Best-fit packing of tokenized documents into sequences of a fixed capacity.
 
-Bounded-space online best-fit: each packing task holds a fixed number of open sequences in a bitset keyed by free space
-and puts a piece where it leaves the least. A piece that fits nowhere opens a sequence; if too many are open, the
-fullest closes first.
+Bounded-space online best-fit: each packing task takes the pieces as they arrive, in the order of their documents, holds
+a fixed number of open sequences in a bitset keyed by free space and puts a piece where it leaves the least. A piece that
+fits nowhere opens a sequence; if too many are open, the fullest closes first.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import functools
 import os
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,18 +25,20 @@ from .common import few_rows, stored, text_batches
 
 #: Pieces for one packing task: enough that its open sequences at the end weigh little, few enough for many tasks.
 TASK_PIECES = 20_000
-#: Sequences that a task may hold open.
-OPEN = 1 << 14
+#: Sequences that a task may hold open. More of them change the number of sequences by less than a thousandth.
+OPEN = 1024
 
 
 @functools.lru_cache(2)
-def tokenizer_of(path: str) -> CachedEncoder:
-    """Encodes with the library `tokenizers`; special tokens are ordinary text."""
+def tokenizer_of(path: str) -> Callable[[list[str]], list[bytes]]:
+    """Encodes texts as the library `tokenizers` does, without adding special tokens. Texts that hold one, as it takes these for
+    tokens, go to it whole; the others word by word, through a cache."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks share the cores
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    whole = tokenizer.normalizer is not None or any(" " in x for x in added)
 
     def ids(texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -66,7 +68,14 @@ def tokenizer_of(path: str) -> CachedEncoder:
         rest = iter(cut)
         return out + [apart[i] if i in apart else next(rest) for i in range(len(words))]
 
-    return CachedEncoder(encode, 192 << 20)
+    cached = CachedEncoder(encode, 192 << 20)
+
+    def encoded(texts: list[str]) -> list[bytes]:
+        apart = [whole or any(x in t for x in added) for t in texts]
+        found = {True: iter(ids([t for t, a in zip(texts, apart, strict=True) if a])), False: iter(cached([t for t, a in zip(texts, apart, strict=True) if not a]))}
+        return [next(found[a]) for a in apart]
+
+    return encoded
 
 
 def pieces_of(ids: bytes, capacity: int) -> Iterator[tuple[int, int, bytes]]:
@@ -134,7 +143,8 @@ class OpenSequences:
 def pack(pieces: DataFrame, capacity: int = 1024, open_sequences: int = OPEN, task_pieces: int = TASK_PIECES) -> DataFrame:
     """pieces (doc_id, piece, length, ...) with sequence_id and offset; lengths are from 1 to the capacity.
 
-    pieces is read twice, so give a stored table. Tasks pack independently of each other, the longest pieces first.
+    pieces is read twice, so give a stored table. Tasks pack independently of each other, pieces in the order of their
+    documents; ties in that order are broken by the pieces' checksums, so a repeated task packs alike.
     """
     tasks = max(1, -(-pieces.count() // task_pieces))
     names, at = [*pieces.columns, "sequence_id", "offset"], pieces.columns.index("length")
@@ -146,17 +156,18 @@ def pack(pieces: DataFrame, capacity: int = 1024, open_sequences: int = OPEN, ta
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([p[i] + base * (1 - i) for p in placed], pa.int64()) for i in (0, 1))], names=names)
 
     keys = [F.col(c) for c in ("doc_id", "piece", "ids_crc32") if c in pieces.columns]
-    dealt = pieces.repartition(tasks, *keys).sortWithinPartitions(F.desc("length"), *keys)  # alike in a repeated task
+    dealt = pieces.repartition(tasks, *keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(run, StructType([*pieces.schema, StructField("sequence_id", LongType()), StructField("offset", LongType())]))
 
 
 def best_fit_packing(docs: DataFrame, path: str, end: int = 2, capacity: int = 1024, open_sequences: int = OPEN, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if asked for).
 
-    A document's ids are those of the tokenizer file `path`, without special tokens, then `end`. A document of more than
-    `capacity` ids is cut into pieces of that length, of which the first may be shorter; others are whole. ids are
-    little-endian unsigned 32-bit integers, ids_crc32 is theirs. A null text counts as empty: its one piece is `end`.
-    Repeated rows and null ids are packed as they come; other columns are ignored.
+    A document's ids are those that the tokenizer file `path` gives without adding special tokens, then `end`; a text that
+    holds a special token has its id. A document of more than `capacity` ids is cut into pieces of that length, of which
+    the first may be shorter; others are whole. ids are little-endian unsigned 32-bit integers, ids_crc32 is theirs. A
+    null text counts as empty: its one piece is `end`. A text of any length is tokenized whole; an empty table gives no
+    rows. Repeated rows and null ids are packed as they come; other columns are ignored.
     """
     return pack(stored(tokenized_pieces(docs, path, end, capacity, with_ids, id_col, text_col), "pieces"), capacity, open_sequences)
 
