@@ -211,27 +211,33 @@ class CachedEncoder:
 
 
 @functools.lru_cache(2)
-def encoder_of(path: str, pattern: str) -> CachedEncoder:
+def encoder_of(path: str, pattern: str, cut_at_blanks: bool) -> Callable[[list[str]], list[bytes]]:
     vocabulary, find = ranks_of(path), regex.compile(pattern).findall
 
-    def encode(heads: list[str], words: list[str]) -> list[bytes]:
-        cut = [[piece.encode() for piece in find(chunk)] for chunk in [*heads, *(f" {w}" for w in words)]]
+    def whole(texts: list[str]) -> list[bytes]:
+        cut = [[piece.encode() for piece in find(t)] for t in texts]
         ids = encode_pieces([piece for pieces in cut for piece in pieces], vocabulary)
         return [b"".join(map(ids.__getitem__, pieces)) for pieces in cut]
 
-    return CachedEncoder(encode)
+    def encode(heads: list[str], words: list[str]) -> list[bytes]:
+        return whole([*heads, *(f" {w}" for w in words)])
+
+    return CachedEncoder(encode) if cut_at_blanks else whole
 
 
-def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", cut_at_blanks: bool = True) -> DataFrame:
     """(doc_id, ids) for each row of docs: the whole text's ids as little-endian unsigned 32-bit integers.
 
     path names a file of base64 tokens and ranks, pattern the expression whose matches are merged separately. Special
-    tokens are ordinary text. A null text counts as empty and has no ids; repeated and null doc_ids stay as they are;
-    other columns are ignored.
+    tokens are ordinary text. A null text counts as empty and has no ids; a text of any length is encoded whole; an empty
+    table gives no rows; repeated and null doc_ids stay as they are; other columns are ignored.
+
+    With cut_at_blanks, texts are cut before single blanks and chunks are encoded once. That is right for patterns that
+    begin a match at each blank that no white space comes before, and for no others, such as `\\S+ \\S+`: ask for False then.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder_of(path, pattern)
+        encode = encoder_of(path, pattern, cut_at_blanks)
         for batch, texts in text_batches(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(encode(texts), pa.binary())], names=["doc_id", "ids"])
 

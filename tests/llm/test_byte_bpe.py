@@ -55,3 +55,13 @@ def test_empty_table_and_null_ids(spark):
     assert B.bpe_encode(docs, PATH, public_tokenizers.PATTERN).count() == 0
     encoded = spark.createDataFrame([(1, None)], "doc_id long, ids binary")
     assert B.bpe_decode(encoded, PATH).where(F.col("decoded").isNull()).count() == 1
+
+
+def test_patterns_that_join_words_need_whole_texts(spark):
+    with open(PATH, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    pattern = r"\S+ \S+|\S+|\s+"
+    library = tiktoken.Encoding("joined", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    docs = spark.createDataFrame([(1, "two words and one more"), (2, "a b")], "doc_id long, text string")
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in B.bpe_encode(docs, PATH, pattern, cut_at_blanks=False).collect()}
+    assert got == {1: library.encode_ordinary("two words and one more"), 2: library.encode_ordinary("a b")}
