@@ -1,9 +1,9 @@
 """Toxicity by a classifier chain: linear models of one category after another.
 
 A model sees the words of a document and the probabilities of the categories before it. For training those are
-out-of-fold: each row's come from a model that has not seen its fold, so that later models meet probabilities as they
-will be on new documents. Features are hashed words and beginnings of words, which inflected forms share; of them those
-that tell a category best are kept.
+out-of-fold: each row's come from a model that has not seen its fold, neither to choose its features nor to weigh them, so
+that later models and the threshold meet probabilities as they will be on new documents. Features are hashed words and
+beginnings of words, which inflected forms share; each model keeps those that tell its category best on its own rows.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LETTERS, Words, few_rows, mix, small_batches, stored
@@ -103,8 +103,10 @@ def fit(row: np.ndarray, place: np.ndarray, dense: np.ndarray, y: np.ndarray, wi
     return w
 
 
-def _fit_fold(category: int, width: int, folds: int):
-    """One model: rows of all folds but its own train it, its own get probabilities; the last model trains on all rows."""
+def _fit_fold(category: int, chosen: np.ndarray, folds: int):
+    """One model: rows of all folds but its own train it, its own get probabilities; the last model trains on all rows.
+    chosen has, for each model, the features that it uses."""
+    width = chosen.shape[1]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["fold", "id"], kind="stable")
@@ -113,6 +115,8 @@ def _fit_fold(category: int, width: int, folds: int):
         y = np.array([x[category] for x in rows["labels"]], float)
         dense = np.array([list(x) for x in rows["earlier"]], float).reshape(len(rows), -1)
         row, place = _lists(rows["places"])
+        used = chosen[model][place]
+        row, place = row[used], place[used]
         inside = train[row]
         w = fit((np.cumsum(train) - 1)[row[inside]], place[inside], dense[train], y[train], width) if train.any() else np.zeros(width + dense.shape[1] + 1)
         if model == folds:
@@ -123,34 +127,56 @@ def _fit_fold(category: int, width: int, folds: int):
     return run
 
 
-def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], decides: str, sample: int = SAMPLE, folds: int = FOLDS, severe: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> Chain:
+def telling(counts: DataFrame, totals: list, folds: int, categories: int) -> list[list[tuple[int, int]]]:
+    """For each category and model (model i leaves fold i out, the last none) the features (feature, model) that tell it best on the
+    model's rows. counts has for each feature, and totals for all rows, the sums by fold: rows, then rows of each category."""
+    width = 1 + categories
+
+    def summed(column, model: int, k: int):
+        parts = [column(f * width + k) for f in range(folds) if f != model]
+        return sum(parts[1:], parts[0])
+
+    found = []
+    for c in range(categories):
+        models = []
+        for model in range(folds + 1):
+            n, hits = (summed(lambda i: totals[i], model, k) for k in (0, c + 1))
+            share = hits / max(n, 1)
+            rows, told = (summed(lambda i: F.col("sums")[i], model, k) for k in (0, c + 1))
+            score = F.when(rows >= LEAST_DOCS, (told - rows * share) / F.sqrt(rows * max(share * (1 - share), 1e-9)))
+            models.append(F.struct(F.lit(model).alias("model"), F.abs(score).alias("score")))
+        each = counts.select("feature", F.explode(F.array(*models)).alias("m")).select("feature", "m.*").where(F.col("score") >= LEAST_SCORE)
+        rank = F.row_number().over(Window.partitionBy("model").orderBy(F.desc("score"), "feature"))
+        found.append([(r.feature, r.model) for r in each.withColumn("rank", rank).where(F.col("rank") <= FEATURES).select("feature", "model").collect()])  # at most FEATURES for each model
+    return found
+
+
+def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], decides: str, sample: int = SAMPLE, folds: int = FOLDS, id_col: str = "doc_id", text_col: str = "text") -> Chain:
     """Trains a chain on rows of labels (id, a 0/1 column for each category) and the texts of docs.
 
-    At most `sample` labelled rows are used, those whose id has the least hash; rows with a null label are left out.
-    severe names one more category at the end of the chain, that has no column: rows of the category `decides` that have
-    at least as many of its 256 most telling features as half of such rows. The threshold is that of the best F1 on
-    out-of-fold probabilities. Without labelled rows nothing is ever flagged.
+    At most `sample` labelled rows are used, those whose id has the least hash; rows with a null label are left out, of
+    rows that share an id one is used. The threshold is that of the best F1 on out-of-fold probabilities, the highest of
+    those that tie. Without labelled rows nothing is ever flagged.
     """
-    spark = docs.sparkSession
     known = labels.where(" AND ".join(f"`{c}` IS NOT NULL" for c in (id_col, *categories))).dropDuplicates([id_col])
     some = known.select(F.col(id_col).alias("id"), F.array(*(F.col(c).cast("int") for c in categories)).alias("labels")).orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(some), "id")  # bounded by `sample`
     kind = texts.schema["id"].dataType.simpleString()
-    rows = stored(few_rows(texts).select("id", "text", "labels").mapInArrow(_features, f"id {kind}, labels array<int>, features array<long>").dropDuplicates(["id"]), "labelled")
-    told = [F.sum(F.col("labels")[i]).alias(f"n{i}") for i in range(len(categories))]
-    totals = rows.agg(F.count("*").alias("n"), *told).first()
-    counts = stored(rows.select("labels", F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("n"), *told).where(F.col("n") >= LEAST_DOCS), "counts")
-    best: list[list[int]] = []
-    for i in range(len(categories)):
-        share = (totals[f"n{i}"] or 0) / max(totals["n"], 1)
-        score = (F.col(f"n{i}") - F.col("n") * share) / F.sqrt(F.col("n") * max(share * (1 - share), 1e-9))
-        top = counts.select("feature", score.alias("score")).where(F.abs("score") >= LEAST_SCORE).orderBy(F.abs("score").desc(), "feature").limit(FEATURES)
-        best.append([r.feature for r in top.orderBy(F.desc("score"), "feature").collect()])
-    features = np.unique(np.array([f for b in best for f in b], np.int64))
+    rows = few_rows(texts).select("id", "text", "labels").mapInArrow(_features, f"id {kind}, labels array<int>, features array<long>").dropDuplicates(["id"])
+    rows = stored(rows.withColumn("fold", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(folds)).cast("int")), "labelled")
+    flags = [F.lit(1), *(F.col("labels")[c] for c in range(len(categories)))]
+    sums = F.array(*(F.sum(F.when(F.col("fold") == f, x).otherwise(0)) for f in range(folds) for x in flags)).alias("sums")
+    totals = [x or 0 for x in rows.agg(sums).first()[0]]
+    counts = stored(rows.select("labels", "fold", F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("n"), sums).where(F.col("n") >= LEAST_DOCS).drop("n"), "counts")
+    best = telling(counts, totals, folds, len(categories))
+    features = np.unique(np.array([f for b in best for f, _ in b], np.int64))
     width = len(features)
-    strong = np.sort(np.array(best[categories.index(decides)][:256], np.int64))
+    chosen = [np.zeros((folds + 1, width), bool) for _ in categories]
+    for c, b in enumerate(best):
+        if b:
+            chosen[c][np.array([m for _, m in b]), np.searchsorted(features, np.array([f for f, _ in b], np.int64))] = True
 
-    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(2)
             ends, value = lists.offsets.to_numpy(), lists.flatten().to_numpy()
@@ -158,30 +184,25 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...],
             at = np.searchsorted(features, value)
             at[at == width] = 0
             known = features[at] == value if width else np.zeros(len(value), bool)
-            hits = np.bincount(row[np.isin(value, strong)], minlength=batch.num_rows)
             counts = np.bincount(row[known], minlength=batch.num_rows)
             places = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(at[known].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), places, pa.array(hits.astype(np.int32))], names=["id", "labels", "places", "hits"])
-
-    rows = rows.mapInArrow(chosen, f"id {kind}, labels array<int>, places array<int>, hits int")
-    rows = rows.withColumn("fold", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(folds)).cast("int"))
-    rows = stored(rows, "chosen")
-    if severe:
-        flagged = rows.where(F.col("labels")[categories.index(decides)] == 1)
-        half = flagged.agg(F.percentile_approx("hits", 0.5)).first()[0] or 1
-        rows = rows.withColumn("labels", F.concat("labels", F.array(((F.col("labels")[categories.index(decides)] == 1) & (F.col("hits") >= max(half, 1))).cast("int"))))
-    names = (*categories, *([severe] if severe else []))
-    rows = rows.withColumn("earlier", F.array().cast("array<double>"))
-    bias, weights, earlier, threshold = np.full(len(names), -30.0), np.zeros((len(names), width)), np.zeros((len(names), len(names))), 1.0
-    for i, name in enumerate(names if totals["n"] else ()):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), places, batch.column(3)], names=["id", "labels", "places", "fold"])
+
+    rows = rows.mapInArrow(placed, f"id {kind}, labels array<int>, places array<int>, fold int")
+    rows = stored(rows.withColumn("earlier", F.array().cast("array<double>")), "chosen")
+    k = len(categories)
+    bias, weights, earlier, threshold = np.full(k, -30.0), np.zeros((k, width)), np.zeros((k, k)), 1.0
+    for i, name in enumerate(categories if any(totals) else ()):
         models = rows.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(folds))))
-        fitted = stored(models.groupBy("model").applyInPandas(_fit_fold(i, width, folds), f"id {kind}, probability double, weights array<double>"), "fitted")
+        fitted = stored(models.groupBy("model").applyInPandas(_fit_fold(i, chosen[i], folds), f"id {kind}, probability double, weights array<double>"), "fitted")
         w = np.array(fitted.where("weights is not null").first().weights)
         bias[i], weights[i], earlier[i, :i] = w[-1], w[:width], w[width:-1]
-        rows = stored(rows.join(fitted.where("weights is null").select("id", "probability"), "id").withColumn("earlier", F.concat("earlier", F.array("probability"))).drop("probability"), "chain")
+        rows = rows.join(fitted.where("weights is null").select("id", "probability"), "id").withColumn("earlier", F.concat("earlier", F.array("probability"))).drop("probability")
+        if i + 1 < k or name == decides:
+            rows = stored(rows, "chain")
         if name == decides:
             threshold = _best_threshold(rows.select(F.col("labels")[i], F.col("earlier")[i]).collect())  # bounded by `sample`
-    return Chain(names, features, bias, earlier, weights, decides, threshold)
+    return Chain(categories, features, bias, earlier, weights, decides, threshold)
 
 
 def _best_threshold(rows: list) -> float:
@@ -221,7 +242,8 @@ def _score(chain: Chain):
 def classify(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, p_<category> for each, and a boolean named after the deciding category.
 
-    Null and empty texts have no features and get the probabilities of the biases. Repeated rows and null ids stay.
+    Null and empty texts have no features and get the probabilities of the biases; texts of any length are scored whole. An
+    empty table gives no rows. Repeated rows and null ids stay; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     columns = "".join(f", p_{c} double" for c in chain.categories)
@@ -245,6 +267,6 @@ CATEGORIES = ("low_quality", "toxic")
 
 
 def labelled_chain(docs: DataFrame, labels: DataFrame, **options) -> Chain:
-    """The chain low_quality, toxic, severe from a table of labels with the columns doc_id, quality and toxic."""
+    """The chain low_quality, toxic from a table of labels with the columns doc_id, quality and toxic."""
     known = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
-    return train_chain(docs, known, CATEGORIES, "toxic", severe="severe", **options)
+    return train_chain(docs, known, CATEGORIES, "toxic", **options)

@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -42,9 +44,72 @@ def test_held_out_accuracy(spark, chain):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in out.items() if not r.toxic}
 
 
-def test_the_chain_feeds_earlier_probabilities(chain):
-    assert chain.categories == ("low_quality", "toxic", "severe")
-    assert np.any(chain.earlier[2, :2] != 0) and not np.any(chain.earlier[0])
+def features(text):
+    words = re.findall(rb"[a-z\x80-\xff]+", (text or "").encode().lower())
+    return {(0, w) for w in words} | {(n, w[:n]) for w in words for n in T.BEGINNINGS if len(w) >= n}
+
+
+def newton(x, y, penalty=0.3):
+    """The same logistic regression by Newton's method; the last column of x is the bias."""
+    w, weight = np.zeros(x.shape[1]), np.append(np.full(x.shape[1] - 1, penalty), 0.0)
+    if y.min() == y.max():
+        w[-1] = np.log(min(max(y.mean(), 1e-4), 1 - 1e-4) / (1 - min(max(y.mean(), 1e-4), 1 - 1e-4)))
+        return w
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-x @ w))
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.diag(weight + 1e-9), x.T @ (p - y) + weight * w)
+        w = w - step * min(1.0, 5 / max(np.abs(step).max(), 1e-9))
+    return w
+
+
+def brute_chain(rows, fold, folds, new):
+    """Probabilities of every category for the texts `new`, by dense models of the same features and folds."""
+    sets, labels = [features(t) for _, t, _ in rows], np.array([y for _, _, y in rows], float)
+    earlier, later = np.zeros((len(rows), 0)), np.zeros((len(new), 0))
+    for c in range(labels.shape[1]):
+        y, out, final = labels[:, c], np.zeros(len(rows)), None
+        for model in range(folds + 1):
+            inside = fold != model
+            count, told = Counter(f for s, i in zip(sets, inside) if i for f in s), Counter(f for s, i, v in zip(sets, inside, y) if i and v for f in s)
+            share = y[inside].mean()
+            score = {f: abs(told[f] - n * share) / np.sqrt(n * max(share * (1 - share), 1e-9)) for f, n in count.items() if n >= T.LEAST_DOCS}
+            used = sorted(f for f, v in score.items() if v >= T.LEAST_SCORE)
+            assert len(used) <= T.FEATURES
+            table = lambda some, before, used=used: np.column_stack([np.array([[float(f in s) for f in used] for s in some]).reshape(len(some), -1), before, np.ones(len(some))])
+            w = newton(table(sets, earlier)[inside], y[inside])
+            if model < folds:
+                out[~inside] = 1 / (1 + np.exp(-table(sets, earlier)[~inside] @ w))
+            else:
+                final = 1 / (1 + np.exp(-table([features(t) for t in new], later) @ w))
+        earlier, later = np.column_stack([earlier, out]), np.column_stack([later, final])
+    return later, earlier
+
+
+def three_categories(seed, n):
+    return [(i, t + (" grolm" if y and i % 2 else ""), (1 - q, y, int(bool(y and i % 2)))) for i, t, q, y in corpus(seed, n)]
+
+
+def test_a_chain_of_three_categories_equals_brute_force(spark):
+    rows = three_categories(4, 300)
+    table = spark.createDataFrame([(i, t, *y) for i, t, y in rows], "doc_id long, text string, low_quality int, toxic int, severe int")
+    names = ("low_quality", "toxic", "severe")
+    chain = T.train_chain(table.select("doc_id", "text"), table.select("doc_id", *names), names, "toxic")
+    assert chain.categories == names and not np.any(chain.earlier[0]) and np.any(chain.earlier[2, :2] != 0)
+    folds = {r.doc_id: r.fold for r in table.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(T.FOLDS)).alias("fold")).collect()}
+    new = [t for _, t, _ in three_categories(5, 100)] + ["", "vexnar", "junkjunk Zlurken"]
+    want, out_of_fold = brute_chain(rows, np.array([folds[i] for i, _, _ in rows]), T.FOLDS, new)
+    got = {r.doc_id: r for r in T.classify(spark.createDataFrame(list(enumerate(new)), "doc_id long, text string"), chain).collect()}
+    found = np.array([[got[i][f"p_{c}"] for c in names] for i in range(len(new))])
+    assert np.abs(found - want).max() < 0.03
+    assert abs(chain.threshold - T._best_threshold([(y[1], p) for (_, _, y), p in zip(rows, out_of_fold[:, 1])])) < 0.1
+
+
+def test_features_of_a_model_do_not_see_its_fold(spark):
+    # a word that only toxic rows of one fold have tells nothing to the model that leaves this fold out
+    sums = lambda *by_fold: [x for pair in by_fold for x in pair]
+    totals = sums((100, 20), (100, 20))
+    counts = spark.createDataFrame([(7, sums((20, 20), (0, 0))), (8, sums((20, 20), (20, 20)))], "feature long, sums array<long>")
+    assert sorted(T.telling(counts, totals, 2, 1)[0]) == [(7, 1), (7, 2), (8, 0), (8, 1), (8, 2)]
 
 
 def test_nulls_ties_and_long_texts(spark, chain):
