@@ -1,4 +1,4 @@
-"""Command line: build a report from landed exports or host metrics, or ship a gathered table."""
+"""Command line: gather a period of a controller's relations, build a report, or ship a table."""
 
 from __future__ import annotations
 
@@ -6,33 +6,60 @@ import argparse
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+from . import __version__
 from .functions.dates import parse_date, parse_days, parse_month, period
-from .operators import rollups
-from .options import OPTIONAL_SHEETS, SHEETS, ReportOptions
-from .plans import reports
+from .operators import hosts, rollups
+from .options import OPTIONAL_SHEETS, SHEETS, Heading, MissingSetting, ReportOptions, Settings
+from .plans import gather, reports
+from .sinks.files import exists, file_system, read_text, url
 from .sinks.landing import ship_tarballs
+from .sources import extract
 from .sources.exports import read_exports
 
 KINDS = ("provider", "company", "renewal")
+#: What the rollups read of an export.
+HOST_COLUMNS = ("organization_name", "job_template_name", "host_variable", "host_name", "job_remote_id", "created", "job_created", *rollups.TASK_COUNTERS)
+EVENT_COLUMNS = ("host_name", "task_action", "resolved_action", "resolved_role", "role", "job_remote_id", "duration")
+_HEADING = {"title": "heading of the report", "company": "company name", "email": "its e-mail address", "login": "its login", "business_leader": "its business leader", "procurement_leader": "its procurement leader", "po_number": "PO number"}
+_END_USER = ("name", "city", "state", "country")
 
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="meterwise", description=__doc__)
+    top.add_argument("--version", action="version", version=__version__)
     commands = top.add_subparsers(dest="command", required=True)
+    collect = commands.add_parser("gather", help="take a period of the relations, a day a slice")
+    collect.add_argument("--relations", required=True, help="where the relations are, as Parquet tables")
+    collect.add_argument("--path", required=True, help="where tarballs go")
+    collect.add_argument("--settings", required=True, help="JSON file with the platform's names")
+    collect.add_argument("--since", help="a date, Nd or Nmonths; where the last gathering ended if not given")
+    collect.add_argument("--until", help="a date, Nd or Nmonths; now if not given")
+    what = collect.add_mutually_exclusive_group(required=True)
+    what.add_argument("--ship", action="store_true", help="write the tarballs")
+    what.add_argument("--dry-run", action="store_true", help="only count what would be shipped")
     report = commands.add_parser("report", help="build a report")
     report.add_argument("kind", choices=KINDS)
-    report.add_argument("--path", required=True, help="where exports have landed and reports go")
+    report.add_argument("--path", required=True, help="where exports have landed and reports go: a path or a URL")
     report.add_argument("--metrics", help="Parquet table of host metrics, for renewal")
+    report.add_argument("--relations", help="relations to take host metrics from, for renewal")
+    report.add_argument("--settings", help="JSON file with the platform's names")
     report.add_argument("--month", help="YYYY-MM; the last month if no days are given")
     report.add_argument("--since", help="first day: a date, Nd or Nmonths")
     report.add_argument("--until", help="last day, included")
     report.add_argument("--ephemeral", help="tell nodes apart that are automated for at most so many days, as 30d or 2months")
     report.add_argument("--price", type=float, default=0.0)
+    report.add_argument("--sku", default="")
+    report.add_argument("--sku-description", default="")
+    for name, text in _HEADING.items():
+        report.add_argument(f"--{name.replace('_', '-')}", default="", help=text)
+    for name in _END_USER:
+        report.add_argument(f"--end-user-{name}", default="", help=f"{name} of the end user")
     report.add_argument("--organizations", help="names, separated by semicolons")
     report.add_argument("--sheets", help=f"of {', '.join((*SHEETS, *OPTIONAL_SHEETS))}, separated by commas")
     report.add_argument("--force", action="store_true", help="replace a report that is there")
+    report.add_argument("--tables", action="store_true", help="save the tables as Parquet instead of a workbook")
     ship = commands.add_parser("ship", help="ship a gathered table as tarballs")
     ship.add_argument("table", choices=("job_host_summary", "main_jobevent"))
     for name in ("--source", "--path", "--install", "--since", "--until"):
@@ -49,35 +76,67 @@ def options_of(args: argparse.Namespace, now: datetime) -> ReportOptions:
         until=until or (now.date() if since else None),
         now=now,
         price_per_node=args.price,
+        sku=args.sku,
+        sku_description=args.sku_description,
+        company=tuple(getattr(args, f"end_user_{name}") for name in _END_USER),
         organizations=tuple(args.organizations.split(";")) if args.organizations else None,
         sheets=tuple(args.sheets.split(",")) if args.sheets else SHEETS,
         ephemeral_days=parse_days(args.ephemeral) if args.ephemeral else None,
+        heading=Heading(**{name: getattr(args, name) for name in _HEADING}),
     )
 
 
+def settings_of(args: argparse.Namespace) -> Settings:
+    return Settings.of(read_text(args.settings)) if args.settings else Settings()
+
+
+def _metrics(spark: SparkSession, args: argparse.Namespace, options: ReportOptions) -> DataFrame:
+    if options.since is None or not (args.metrics or args.relations):
+        raise MissingSetting("a renewal report needs --since, and --metrics or --relations")
+    if args.metrics:
+        return spark.read.parquet(args.metrics)
+    fields = settings_of(args).host_fields
+    if fields is None:
+        raise MissingSetting("host metrics of relations need host_fields in the settings")
+    since = datetime.combine(options.since, datetime.min.time())
+    return hosts.numbered(extract.host_metrics(extract.landed_database(spark, args.relations), since, fields))
+
+
 def build_report(spark: SparkSession, args: argparse.Namespace, now: datetime) -> bool:
     options = options_of(args, now)
+    file_system(args.path)  # a place of an unknown kind is refused before anything is read
     file = reports.report_file(args.path, args.kind, options.month, options.since, options.until)
-    if file.exists() and not args.force:
+    if exists(file) and not args.force:
         return False
     names: list[str] = []
     if args.kind == "renewal":
-        if options.since is None or not args.metrics:
-            raise ValueError("a renewal report needs --since and --metrics")
-        tables = reports.renewal_report(spark.read.parquet(args.metrics), options)
+        tables = reports.renewal_report(_metrics(spark, args, options), options)
     else:
-        since, until = period(options.month, options.since, options.until)
-        url = args.path if "://" in args.path else f"file://{args.path}"
-        host_rollup = rollups.host_rollup(read_exports(spark, url, "job_host_summary", since, until)).persist()
+        (since, until), renamed = period(options.month, options.since, options.until), settings_of(args).columns
+        read = lambda table, columns: read_exports(spark, url(args.path), table, since, until, columns, renamed)
+        host_rollup = rollups.host_rollup(read("job_host_summary", HOST_COLUMNS)).persist()
         if host_rollup.isEmpty():
             return False
-        events = rollups.content_rollup(read_exports(spark, url, "main_jobevent", since, until)).persist()
+        events = rollups.content_rollup(read("main_jobevent", EVENT_COLUMNS)).persist()
         content = None if events.isEmpty() else events
         if args.kind == "provider":
             tables = reports.provider_report(host_rollup, content, options)
         else:
             tables, names = reports.provider_report_by_company(host_rollup, content, options)
-    return reports.save_report(file, reports.workbook(tables, options, f"Usage report: {args.kind}", names), args.force)
+    if args.tables:
+        reports.save_tables(tables, url(file.removesuffix(".xlsx")), "overwrite" if args.force else "errorifexists")
+        return True
+    return reports.save_report(file, reports.workbook(args.kind, tables, options, names), args.force)
+
+
+def gather_period(spark: SparkSession, args: argparse.Namespace, now: datetime) -> list[str]:
+    """The lines that the command prints: files and rows of each table, or what they would be."""
+    settings = settings_of(args)
+    since, until = gather.interval(args.path, parse_date(args.since, now), parse_date(args.until, now), now)
+    tables = gather.gathered(extract.landed_database(spark, args.relations), settings, since, until)
+    if args.dry_run:
+        return [f"{r.table} {r.slice_start}: {r.rows} rows" for r in gather.counts(tables).orderBy("table", "slice_start").toLocalIterator()]
+    return [f"{name}: {files} files, {rows} rows" for name, (files, rows) in gather.ship(tables, settings, args.path, until).items()]
 
 
 def main(argv: Sequence[str] | None = None, now: datetime | None = None) -> int:
@@ -86,11 +145,13 @@ def main(argv: Sequence[str] | None = None, now: datetime | None = None) -> int:
     if args.command == "report":
         print("written" if build_report(spark, args, now) else "nothing to do")
         return 0
+    if args.command == "gather":
+        print("\n".join(gather_period(spark, args, now)))
+        return 0
     table, since, until = spark.read.parquet(args.source), parse_date(args.since, now), parse_date(args.until, now)
     if args.dry_run:
         print(f"{table.count()} rows")
         return 0
-    url = args.path if "://" in args.path else f"file://{args.path}"
-    for r in ship_tarballs(table, url, args.table, args.install, since, until).toLocalIterator():
+    for r in ship_tarballs(table, url(args.path), args.table, args.install, since, until).toLocalIterator():
         print(r.file, r.rows)
     return 0

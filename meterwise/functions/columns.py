@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..options import NULL_TOKENS
 
-#: Word characters of any script; the third group keeps its last repetition.
-_COLLECTION = r"(?U)^(\w+)\.(\w+)\.((\w+)(\.|$))+"
-_ROLE = r"(?U)^(\w+)\.(\w+)$"
+#: What counts as a full name and as a role's. The third group keeps its last repetition.
+COLLECTION, ROLE = r"^(\w+)\.(\w+)\.((\w+)(\.|$))+", r"^(\w+)\.(\w+)$"
+#: The same for word characters of any script.
+_COLLECTION, _ROLE = f"(?U){COLLECTION}", f"(?U){ROLE}"
 
 
 def _group(column: Column, pattern: str, group: int) -> Column:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from calendar import monthrange
-from datetime import date, datetime, timedelta
+from datetime import UTC, date, datetime, timedelta
 
+from dateutil import parser
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ def _months_back(day: datetime, months: int) -> datetime:
 
 def parse_date(text: str | None, now: datetime) -> datetime | None:
     """`Nd`: midnight N - 1 days ago, so 1d is today; `Nmo`, `Nmonth`, `Nmonths`: midnight N months ago; `Nm`: N minutes
-    ago; else a date or time in ISO format."""
+    ago; else a date or time as people write it. A time with a zone is brought to UTC, one without is UTC."""
     if not text:
         return None
     midnight = now.replace(hour=0, minute=0, second=0, microsecond=0)
@@ -29,9 +30,10 @@ def parse_date(text: str | None, now: datetime) -> datetime | None:
         n, unit = int(m[1]), m[2]
         return midnight - timedelta(days=n - 1) if unit == "d" else now - timedelta(minutes=n) if unit == "m" else _months_back(midnight, n)
     try:
-        return datetime.fromisoformat(text)
-    except ValueError:
+        found = parser.parse(text, default=midnight)
+    except (ValueError, OverflowError):
         raise UnparsableParameter(f"not a date: {text}") from None
+    return found.astimezone(UTC).replace(tzinfo=None) if found.tzinfo else found
 
 
 def parse_days(text: str | None) -> int:

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from .joins import join_spread
 
+#: Edges of a node, two numbers each, that one task may take.
+EDGES = 50_000
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut, in the folder of spark.checkpoint.dir; a local session may go without one."""
@@ -37,10 +40,10 @@ def connected(edges: DataFrame, cut: Callable[[DataFrame], DataFrame] = checkpoi
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("m", "u").alias("m"), "n")
-        large = join_spread(both, least, ["u"], "n", 2 * total).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = join_spread(both, least, ["u"], "n", 2 * total, least=EDGES).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         pairs = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
-        edges = cut(join_spread(large, low, ["u"], "n", 2 * total).select(pairs.alias("e")).select("e.*").where("u <> v").distinct())
+        edges = cut(join_spread(large, low, ["u"], "n", 2 * total, least=EDGES).select(pairs.alias("e")).select("e.*").where("u <> v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             found = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import joined_set, whole_days
-from .components import connected
+from ..functions.columns import whole_days
+from .components import checkpointed, connected
+from .joins import join_spread
 
 #: The identifiers, and the texts that stand for a missing one.
 IDENTIFIERS = {"hostname": (), "host_variable": ("",), "product_serial": ("", "NA"), "machine_id": ("", "NA")}
@@ -19,40 +20,46 @@ def identified(metrics: DataFrame) -> DataFrame:
     return metrics.withColumns({c: F.when(~F.col(c).isin(*missing), F.col(c)) for c, missing in IDENTIFIERS.items() if missing})
 
 
+def numbered(metrics: DataFrame, idx: str = "idx") -> DataFrame:
+    """metrics with a number for each row, which stays: the rows are stored with it."""
+    return checkpointed(metrics.withColumn(idx, F.monotonically_increasing_id()))
+
+
 def node_groups(metrics: DataFrame, idx: str = "idx") -> DataFrame:
     """(idx, group_id) for each row: the smallest idx that a chain of shared identifiers reaches.
 
     Each value of an identifier links its rows to the smallest idx that has it, so edges grow with the rows and no value,
-    however common, makes pairs.
+    however common, makes pairs or a task of its own. metrics is read several times.
     """
     values = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in enumerate(IDENTIFIERS))))
     rows = metrics.select(idx, values.alias("i")).select(F.col(idx).alias("b"), "i.kind", "i.value").where("value IS NOT NULL")
-    least = rows.groupBy("kind", "value").agg(F.min("b").alias("a"), F.max("b").alias("top")).where("a < top").drop("top")
-    labels = connected(rows.join(least, ["kind", "value"]).select("a", "b").where("a <> b").distinct())
+    least = rows.groupBy("kind", "value").agg(F.min("b").alias("a"), F.max("b").alias("top"), F.count("*").alias("n")).where("a < top").drop("top")
+    labels = connected(join_spread(rows, least, ["kind", "value"], "n", len(IDENTIFIERS) * metrics.count()).select("a", "b").where("a <> b").distinct())
     return metrics.select(idx).join(labels.withColumnRenamed("node", idx), idx, "left").select(idx, F.coalesce("component", idx).alias("group_id"))
 
 
 def managed_nodes(metrics: DataFrame, idx: str = "idx") -> DataFrame:
     """One row for each node. Its name is that of the row last automated, of those not deleted if there are any, and the
-    first name in order of rows automated at the same time; it is deleted if all its rows are."""
-    rows = identified(metrics)
+    first name in order of rows automated at the same time; it is deleted if all its rows are.
+
+    Rows are grouped by name first, so that names are counted once without expanding the rows for each count.
+    """
+    rows = checkpointed(identified(metrics))
     rows = rows.join(node_groups(rows, idx), idx)
-    latest = F.struct("deleted", F.col("last_automation").isNull(), -F.unix_micros(F.col("last_automation").cast("timestamp")), "hostname")
-    nodes = rows.groupBy("group_id").agg(
-        F.min_by("hostname", latest).alias("hostname"),
-        F.count_distinct("hostname").alias("record_count"),
-        F.count_distinct(F.when(~F.col("deleted"), F.col("hostname"))).alias("record_count_active"),
-        F.count_distinct(F.when(F.col("deleted"), F.col("hostname"))).alias("record_count_deleted"),
-        joined_set("hostname").alias("hostnames"),
-        joined_set("host_variable").alias("host_variables"),
-        joined_set("product_serial").alias("product_serials"),
-        joined_set("machine_id").alias("machine_ids"),
-        F.min("deleted").alias("deleted"),
-        F.min("first_automation").alias("first_automation"),
-        F.max("last_automation").alias("last_automation"),
-        F.sum("automated_counter").alias("automated_counter"),
-        F.sum("deleted_counter").alias("deleted_counter"),
-        F.max("last_deleted").alias("last_deleted"),
+    latest = F.struct("deleted", F.col("last_automation").isNull().alias("never"), (-F.unix_micros(F.col("last_automation").cast("timestamp"))).alias("age"), "hostname")
+    sets = {"host_variable": "host_variables", "product_serial": "product_serials", "machine_id": "machine_ids"}
+    spans = [F.min("first_automation").alias("first_automation"), F.max("last_automation").alias("last_automation"), F.sum("automated_counter").alias("automated_counter"), F.sum("deleted_counter").alias("deleted_counter"), F.max("last_deleted").alias("last_deleted")]
+    names = rows.groupBy("group_id", "hostname").agg(F.min(latest).alias("latest"), F.min("deleted").alias("all_deleted"), F.max("deleted").alias("some_deleted"), *(F.collect_set(c).alias(n) for c, n in sets.items()), *spans)
+    joined = lambda values: F.array_join(F.array_sort(F.array_distinct(values)), ", ")
+    nodes = names.groupBy("group_id").agg(
+        F.min("latest")["hostname"].alias("hostname"),
+        F.count("hostname").alias("record_count"),
+        F.count(F.when(~F.col("all_deleted"), F.col("hostname"))).alias("record_count_active"),
+        F.count(F.when(F.col("some_deleted"), F.col("hostname"))).alias("record_count_deleted"),
+        joined(F.collect_list("hostname")).alias("hostnames"),
+        *(joined(F.flatten(F.collect_list(n))).alias(n) for n in sets.values()),
+        F.min("all_deleted").alias("deleted"),
+        *spans,
     )
     return nodes.withColumn("days_automated", whole_days(F.col("first_automation"), F.col("last_automation")))
 
@@ -82,9 +89,9 @@ def lasting_nodes(nodes: DataFrame, days: int, now: datetime) -> DataFrame:
 def ephemeral_usage(nodes: DataFrame, windows: DataFrame) -> DataFrame:
     """(window_start, window_end, ephemeral_hosts): the names automated within each window, 0 for none.
 
-    Windows begin on successive days, so a node counts in those from the day its first window ends on to that of its
-    last automation: each name is put into the windows of its days by an equality join, and the windows without any
-    are added.
+    Windows are of one length and begin at midnight on successive days, so a node counts in those from the day its first
+    window ends on to that of its last automation. A name's spans of days are merged; each adds one on its first day and takes
+    it back after its last, and the windows add up what their days change: two rows a name, however long the period.
     """
     days = windows.select("window_start", "window_end", F.to_date("window_start").alias("day"))
     reach = days.agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.max(F.date_diff(F.to_date("window_end"), "day")).alias("span")).first()
@@ -92,10 +99,20 @@ def ephemeral_usage(nodes: DataFrame, windows: DataFrame) -> DataFrame:
         return windows.select("window_start", "window_end", F.lit(0).cast("long").alias("ephemeral_hosts"))
     first = F.greatest(F.date_sub(F.to_date("first_automation"), reach.span), F.lit(reach.first_day))
     last = F.least(F.to_date("last_automation"), F.lit(reach.last_day))
-    spread = nodes.where("hostname IS NOT NULL").select("hostname", "first_automation", "last_automation", F.explode(F.when(first <= last, F.sequence(first, last))).alias("day"))
-    inside = spread.join(days, "day").where("last_automation >= window_start AND first_automation <= window_end")
-    counts = inside.groupBy("window_start").agg(F.count_distinct("hostname").alias("n"))
-    return windows.join(counts, "window_start", "left").select("window_start", "window_end", F.coalesce("n", F.lit(0)).alias("ephemeral_hosts"))
+    spans = nodes.where("hostname IS NOT NULL").select("hostname", first.alias("first"), last.alias("last")).where("first <= last")
+    of_name = Window.partitionBy("hostname").orderBy("first", "last")
+    before = F.max("last").over(of_name.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("new", F.coalesce(F.col("first") > F.date_add(before, 1), F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(of_name))
+    spans = spans.groupBy("hostname", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    changes = spans.select(F.explode(F.array(F.struct(F.col("first").alias("day"), F.lit(1).alias("by")), F.struct(F.date_add("last", 1).alias("day"), F.lit(-1).alias("by")))).alias("c"))
+    changes = changes.groupBy("c.day").agg(F.sum("c.by").alias("by"))
+    upto = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)  # one row for each day of the period
+    return days.join(changes, "day", "left").select("window_start", "window_end", F.coalesce(F.sum("by").over(upto), F.lit(0)).alias("ephemeral_hosts"))
+
+
+#: The lines of a renewal summary.
+AUTOMATED, EPHEMERAL, DELETED = "Automated hosts", "Ephemeral automated hosts total", "Deleted Automated hosts"
+PEAK = "Ephemeral automated hosts maximum concurrent usage in defined interval"
 
 
 def renewal_summary(nodes: DataFrame, days: int | None = None, now: datetime | None = None, usage: DataFrame | None = None) -> DataFrame:
@@ -103,17 +120,16 @@ def renewal_summary(nodes: DataFrame, days: int | None = None, now: datetime | N
     live, name = ~F.col("deleted"), F.col("hostname")
     count = lambda holds: F.count_distinct(F.when(holds, name))
     if days is None:
-        lines = {"Automated hosts": count(live)}
+        lines = {AUTOMATED: count(live)}
         peak = None
     else:
         short = ephemeral(days, now)
-        lines = {"Automated hosts": count(live & ~short), "Ephemeral automated hosts total": count(live & short)}
+        lines = {AUTOMATED: count(live & ~short), EPHEMERAL: count(live & short)}
         peak = usage.agg(F.coalesce(F.max("ephemeral_hosts"), F.lit(0)).alias("quantity_consumed"))
-    lines["Deleted Automated hosts"] = count(F.col("deleted"))
+    lines[DELETED] = count(F.col("deleted"))
     counts = nodes.agg(*(c.alias(f"c{i}") for i, c in enumerate(lines.values())))
     pairs = F.explode(F.array(*(F.struct(F.lit(i if i < 2 or days is None else 3).alias("position"), F.lit(text).alias("description"), F.col(f"c{i}").alias("quantity_consumed")) for i, text in enumerate(lines))))
     out = counts.select(pairs.alias("line")).select("line.*")
     if peak is not None:
-        text = "Ephemeral automated hosts maximum concurrent usage in defined interval"
-        out = out.unionByName(peak.select(F.lit(2).alias("position"), F.lit(text).alias("description"), "quantity_consumed"))
+        out = out.unionByName(peak.select(F.lit(2).alias("position"), F.lit(PEAK).alias("description"), "quantity_consumed"))
     return out

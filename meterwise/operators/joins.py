@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 SHARE, LEAST = 10_000, 500
 
 
-def join_spread(rows: DataFrame, keyed: DataFrame, on: Sequence[str], size: str, total: int, how: str = "inner") -> DataFrame:
+def join_spread(rows: DataFrame, keyed: DataFrame, on: Sequence[str], size: str, total: int, how: str = "inner", least: int | None = None) -> DataFrame:
     """rows joined (inner or left) with keyed, which has one row for each key and in `size` its number of rows in rows.
 
     Hot keys, at most SHARE of them, are broadcast, and their rows stay where they are; the other keys meet by shuffle, each
-    with at most LEAST rows or one in SHARE of the `total`. rows and keyed are read more than once, so rows should be stored.
+    with at most `least` (LEAST) rows or one in SHARE of the `total`. rows and keyed are read more than once, so rows should be stored.
     """
-    most = max(LEAST, total // SHARE)
+    most = max(LEAST if least is None else least, total // SHARE)
     if total <= most:
         return rows.join(keyed.drop(size), list(on), how)
     hot = keyed.where(F.col(size) > most).drop(size)

@@ -12,25 +12,31 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rounded, total
 
-JOB = F.struct  # (job_remote_id, install_uuid): a struct counts as distinct even where a part is null
+JOB = ("job_remote_id", "install_uuid")
+
+
+def _counted(hosts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Jobs and names, each counted once, runs, tasks and times for each key; a job counts even where a part of it is null.
+
+    Jobs and names are grouped below the keys, each by itself, and the two counts meet in a last grouping of a row or
+    two a key: no row is expanded for each distinct count.
+    """
+    measures = [F.count("host_name").alias("host_runs"), total("task_runs").alias("task_runs"), F.min("job_created").alias("first_run"), F.max("job_created").alias("last_run")]
+    merged = [F.sum("host_runs").alias("host_runs"), F.sum("task_runs").alias("task_runs"), F.min("first_run").alias("first_run"), F.max("last_run").alias("last_run")]
+    jobs = hosts.groupBy(*keys, *JOB).agg(*measures).groupBy(*keys).agg(F.count("*").alias("job_runs"), *merged)
+    names = hosts.groupBy(*keys, "host_name").agg(F.lit(1)).groupBy(*keys).agg(F.count("host_name").alias("host_runs_unique"))
+    both = jobs.unionByName(names, allowMissingColumns=True).groupBy(*keys).agg(*(F.max(c).alias(c) for c in ("job_runs", "host_runs_unique", "host_runs", "task_runs", "first_run", "last_run")))
+    return both
 
 
 def by_job(hosts: DataFrame) -> DataFrame:
-    return hosts.groupBy("organization_name", "job_template_name").agg(
-        F.count_distinct(JOB("job_remote_id", "install_uuid")).alias("job_runs"),
-        F.count_distinct("host_name").alias("host_runs_unique"),
-        F.count("host_name").alias("host_runs"),
-        total("task_runs").alias("task_runs"),
-        F.min("job_created").alias("first_run"),
-        F.max("job_created").alias("last_run"),
-    )
+    return _counted(hosts, ["organization_name", "job_template_name"])
 
 
 def by_organization(hosts: DataFrame, jobs: bool = True) -> DataFrame:
-    counts = [F.count_distinct("host_name").alias("host_runs_unique"), F.count("host_name").alias("host_runs"), total("task_runs").alias("task_runs")]
     if jobs:
-        counts.insert(0, F.count_distinct(JOB("job_remote_id", "install_uuid")).alias("job_runs"))
-    return hosts.groupBy("organization_name").agg(*counts)
+        return _counted(hosts, ["organization_name"]).drop("first_run", "last_run")
+    return hosts.groupBy("organization_name").agg(F.count_distinct("host_name").alias("host_runs_unique"), F.count("host_name").alias("host_runs"), total("task_runs").alias("task_runs"))
 
 
 def _node_counts() -> list:

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dates import day_slices, days_between, sliding_windows
+from ..functions.columns import COLLECTION, ROLE
+from ..functions.dates import day_slices, days_between, parse_date, parse_days, parse_month, sliding_windows, truncated
 from ..operators import hosts, rollups, usage
-from ..options import CONNECTION_FIELD, HOST_FIELD, MACHINE_FIELD, SERIAL_FIELD
+from ..operators.components import checkpointed
+from ..sinks.landing import land, landed, ship_slices
 from ..sources import adapters, extract
+from ..sources.exports import read_exports
+from ..streaming.incremental import gather_new
+from .gather import sliced
 
 PRICE = 11.55
 ORGANIZATIONS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "No organization name")
@@ -41,7 +48,7 @@ def _usage(spark: SparkSession, nodes: DataFrame) -> DataFrame:
 
 
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _nodes(spark, sf_dir)
+    nodes = checkpointed(_nodes(spark, sf_dir))  # counted twice
     return hosts.renewal_summary(nodes, DAYS, NOW, _usage(spark, nodes))
 
 
@@ -53,6 +60,68 @@ def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.merged_host_rollups(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='meterwise-')}"
+    return f"{folder.rstrip('/')}/meterwise/{name}-{uuid.uuid4().hex}"
+
+
+def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Job hosts shipped as tarballs, a slice a year and installation, read back, and rolled up."""
+    rows = adapters.job_hosts(spark, sf_dir).withColumn("id", F.xxhash64("job_remote_id", "host_name", "ok"))
+    path = _scratch(spark, "exports")
+    for install in ("install-F", "install-O"):
+        year = F.date_trunc("year", "created").cast("timestamp_ntz")
+        part = rows.where(F.col("install_uuid") == install).drop("install_uuid")
+        texts = part.select(*(F.col(c).cast("string").alias(c) for c in part.columns), year.alias("slice_start"), (year + F.expr("INTERVAL 1 DAY")).alias("slice_end"))
+        ship_slices(texts.repartition("slice_start").sortWithinPartitions("slice_start"), path, "job_host_summary", install).agg(F.sum("rows")).collect()
+    return rollups.host_rollup(read_exports(spark, path, "job_host_summary", date(1990, 1, 1), date(2010, 12, 31)))
+
+
+def _landed_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Job hosts landed as Parquet by month, of which the folders of a period are read."""
+    path = _scratch(spark, "landed")
+    month = F.date_trunc("month", "created")
+    land(adapters.job_hosts(spark, sf_dir).withColumn("month_start", month), path, F.col("month_start"))
+    rows = landed(spark.read.parquet(path), date(1996, 1, 1), date(1996, 12, 31))
+    return rows.groupBy("organization_name").agg(F.count("*").alias("n_rows"), F.sum("ok").alias("ok"))
+
+
+def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rollups of two streaming runs, the second over what has landed since the first, merged."""
+    rows, path = adapters.job_hosts(spark, sf_dir), _scratch(spark, "incremental")
+    late = F.col("job_remote_id") % 2 == 0
+    for part in (rows.where(~late), rows.where(late)):
+        part.write.mode("append").parquet(f"{path}/landed")
+        gather_new(spark, f"{path}/landed", f"{path}/rollups", f"{path}/checkpoint", rows.schema).awaitTermination()
+    return rollups.merged_host_rollups(spark.read.parquet(f"{path}/rollups").drop("batch"))
+
+
+#: Texts of dates and days, and the moment that they are read at.
+TEXTS = ("1d", "3d", "0d", "1mo", "2months", "13month", "10m", "2024-01-02", "2024-01-02T03:04:05", "2024-01-02T03:04:05+02:00", "5 March 2024 14:30")
+READ_AT = datetime(2024, 3, 31, 15, 45)
+
+
+def _periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How texts of dates, days and months are read."""
+    rows = [("date", t, parse_date(t, READ_AT).isoformat(sep=" ")) for t in TEXTS]
+    rows += [("days", t, str(parse_days(t))) for t in ("5d", "1day", "2days", "2mo", "1month", "3months")]
+    rows += [("month", t, str(parse_month(t or None, READ_AT))) for t in ("2023-11", "")]
+    rows += [("truncated", g, str(truncated(READ_AT.date(), g))) for g in ("daily", "monthly", "yearly")]
+    return spark.createDataFrame(rows, "kind string, text string, value string")
+
+
+def _gathered_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that a gathering ships, by day."""
+    since, until = datetime(1996, 1, 1, 7, 30), datetime(1996, 3, 1)
+    rows = sliced(extract.job_hosts(adapters.database(spark, sf_dir), since, until, adapters.FIELDS), "modified", since, until)
+    return rows.groupBy("slice_start", "slice_end").agg(F.count("*").alias("n_rows"), F.sum("ok").alias("ok"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "jobhost_rollup": _hosts,
@@ -70,9 +139,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "usage_by_collection": lambda s, d: usage.by_content(_content(s, d), "collection_name"),
         "usage_by_role": lambda s, d: usage.by_content(_content(s, d), "role_name"),
         "usage_by_module": lambda s, d: usage.by_content(_content(s, d), "module_name"),
-        "jobhost_extract": lambda s, d: extract.job_hosts(adapters.database(s, d), *PERIOD),
+        "jobhost_extract": lambda s, d: extract.job_hosts(adapters.database(s, d), *PERIOD, adapters.FIELDS),
         "jobevent_extract": lambda s, d: extract.job_events(adapters.database(s, d), datetime(1990, 1, 1), datetime(2010, 1, 1)),
-        "host_metric_extract": lambda s, d: extract.host_metrics(adapters.database(s, d), datetime(1998, 6, 1)),
+        "host_metric_extract": lambda s, d: extract.host_metrics(adapters.database(s, d), datetime(1998, 6, 1), adapters.FIELDS),
         "host_dedup": _nodes,
         "managed_nodes": lambda s, d: hosts.active(_nodes(s, d)),
         "managed_nodes_ephemeral": lambda s, d: hosts.ephemeral_nodes(_nodes(s, d), DAYS, NOW),
@@ -81,8 +150,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ephemeral_windows": lambda s, d: _usage(s, _nodes(s, d)),
         "renewal_summary": _summary,
         "renewal_summary_plain": lambda s, d: hosts.renewal_summary(_nodes(s, d)),
+        "exports_rollup": _exported,
+        "landed_period": _landed_period,
+        "incremental_rollup": _incremental,
+        "gathered_slices": _gathered_slices,
+        "period_texts": _periods,
         "daily_slices": lambda s, d: day_slices(s, *SLICES),
         "report_days": lambda s, d: days_between(s, date(1996, 1, 20), date(1997, 3, 5), "monthly"),
+        "report_years": lambda s, d: days_between(s, date(1994, 1, 20), date(1997, 3, 5), "yearly"),
+        "report_single_days": lambda s, d: days_between(s, date(1996, 2, 20), date(1996, 3, 5)),
     }
 
 
@@ -97,8 +173,7 @@ _HOSTS = f"""{_JOB_HOSTS}, normalised AS (
     CAST(coalesce(sum(task_runs), 0) AS BIGINT) AS task_runs, min(created) AS first_automation, max(created) AS last_automation, max(job_created) AS job_created
   FROM normalised GROUP BY ALL
 )"""
-_COLLECTION = r"'^(\w+)\.(\w+)\.((\w+)(\.|$))+'"
-_ROLE = r"'^(\w+)\.(\w+)$'"
+_COLLECTION, _ROLE = f"'{COLLECTION}'", f"'{ROLE}'"
 _EVENTS = rf"""job_events AS ({adapters.oracle_text(adapters.JOB_EVENTS)}), named AS (
   SELECT host_name, coalesce(resolved_action, task_action) AS module_name, coalesce(resolved_role, role) AS full_role, install_uuid, job_remote_id, duration
   FROM job_events WHERE task_action IS NOT NULL AND host_name IS NOT NULL
@@ -185,7 +260,7 @@ def oracle_sql() -> dict[str, str]:
         "usage_by_role": _by_content("role_name"),
         "usage_by_module": _by_content("module_name"),
         "jobhost_extract": f"""WITH {_database("job_hosts", "jobs", "unified_jobs", "templates", "inventories", "organizations", "hosts")}
-SELECT r.id, r.created, r.modified, r.host_name, r.host_id AS host_remote_id, {_variable(HOST_FIELD)} AS host_variable, {_variable(CONNECTION_FIELD)} AS connection_variable,
+SELECT r.id, r.created, r.modified, r.host_name, r.host_id AS host_remote_id, {_variable(adapters.FIELDS.address)} AS host_variable, {_variable(adapters.FIELDS.connection)} AS connection_variable,
   r.changed, r.dark, r.failures, r.ok, r.processed, r.skipped, r.failed, r.ignored, r.rescued, u.created AS job_created, r.job_id AS job_remote_id,
   u.unified_job_template_id AS job_template_remote_id, u.name AS job_template_name, i.id AS inventory_remote_id, i.name AS inventory_name, o.id AS organization_remote_id, o.name AS organization_name,
   t.id AS project_remote_id, t.name AS project_name
@@ -201,8 +276,8 @@ FROM (SELECT *, replace(event_data, chr(92) || 'u', chr(92) || 'u005cu') AS d FR
 WHERE e.event LIKE 'runner%' AND r.modified >= TIMESTAMP '1990-01-01' AND r.modified < TIMESTAMP '2010-01-01'""",
         "host_metric_extract": f"""WITH {_database("host_metrics", "hosts")}
 SELECT m.hostname, coalesce(h.id, 0) AS host_id, m.first_automation, m.last_automation, m.automated_counter, m.deleted_counter, m.last_deleted, m.deleted,
-  json_extract_string(h.facts, '$.{SERIAL_FIELD}') AS product_serial, json_extract_string(h.facts, '$.{MACHINE_FIELD}') AS machine_id,
-  {_variable(HOST_FIELD)} AS host_variable, {_variable(CONNECTION_FIELD)} AS connection_variable
+  json_extract_string(h.facts, '$.{adapters.FIELDS.serial}') AS product_serial, json_extract_string(h.facts, '$.{adapters.FIELDS.machine}') AS machine_id,
+  {_variable(adapters.FIELDS.address)} AS host_variable, {_variable(adapters.FIELDS.connection)} AS connection_variable
 FROM db_host_metrics m LEFT JOIN db_hosts h ON h.name = m.hostname WHERE m.last_automation >= TIMESTAMP '1998-06-01'""",
         "host_dedup": f"WITH RECURSIVE {_NODES} SELECT * FROM nodes",
         "managed_nodes": f"WITH RECURSIVE {_NODES} SELECT * FROM nodes WHERE NOT deleted",
@@ -217,7 +292,21 @@ UNION ALL SELECT 2, 'Ephemeral automated hosts maximum concurrent usage in defin
 UNION ALL SELECT 3, 'Deleted Automated hosts', count(DISTINCT hostname) FROM nodes WHERE deleted""",
         "renewal_summary_plain": f"""WITH RECURSIVE {_NODES} SELECT 0 AS position, 'Automated hosts' AS description, count(DISTINCT hostname) AS quantity_consumed FROM nodes WHERE NOT deleted
 UNION ALL SELECT 1, 'Deleted Automated hosts', count(DISTINCT hostname) FROM nodes WHERE deleted""",
+        "exports_rollup": rollup,
+        "landed_period": f"""WITH {_JOB_HOSTS} SELECT organization_name, count(*) AS n_rows, CAST(sum(ok) AS BIGINT) AS ok FROM job_hosts
+WHERE created >= TIMESTAMP '1996-01-01' AND created < TIMESTAMP '1997-01-01' GROUP BY 1""",
+        "incremental_rollup": rollup,
+        "gathered_slices": f"""WITH {_database("job_hosts")} SELECT greatest(date_trunc('day', modified), TIMESTAMP '1996-01-01 07:30:00') AS slice_start,
+  least(date_trunc('day', modified) + INTERVAL 1 DAY, TIMESTAMP '1996-03-01') AS slice_end, count(*) AS n_rows, CAST(sum(ok) AS BIGINT) AS ok
+FROM db_job_hosts WHERE modified >= TIMESTAMP '1996-01-01 07:30:00' AND modified < TIMESTAMP '1996-03-01' GROUP BY 1, 2""",
+        "period_texts": """SELECT * FROM (VALUES ('date', '1d', '2024-03-31 00:00:00'), ('date', '3d', '2024-03-29 00:00:00'), ('date', '0d', '2024-04-01 00:00:00'), ('date', '1mo', '2024-02-29 00:00:00'),
+  ('date', '2months', '2024-01-31 00:00:00'), ('date', '13month', '2023-02-28 00:00:00'), ('date', '10m', '2024-03-31 15:35:00'), ('date', '2024-01-02', '2024-01-02 00:00:00'),
+  ('date', '2024-01-02T03:04:05', '2024-01-02 03:04:05'), ('date', '2024-01-02T03:04:05+02:00', '2024-01-02 01:04:05'), ('date', '5 March 2024 14:30', '2024-03-05 14:30:00'),
+  ('days', '5d', '5'), ('days', '1day', '1'), ('days', '2days', '2'), ('days', '2mo', '60'), ('days', '1month', '30'), ('days', '3months', '90'), ('month', '2023-11', '2023-11-01'),
+  ('month', '', '2024-02-01'), ('truncated', 'daily', '2024-03-31'), ('truncated', 'monthly', '2024-03-01'), ('truncated', 'yearly', '2024-01-01')) AS t(kind, text, value)""",
         "daily_slices": """SELECT greatest(d, TIMESTAMP '1996-01-01 07:30:00') AS slice_start, least(d + INTERVAL 1 DAY, TIMESTAMP '1996-02-10 03:15:00') AS slice_end
 FROM (SELECT unnest(generate_series(TIMESTAMP '1996-01-01', TIMESTAMP '1996-02-10', INTERVAL 1 DAY)) AS d)""",
+        "report_years": "SELECT CAST(unnest(generate_series(DATE '1994-01-01', DATE '1997-01-01', INTERVAL 1 YEAR)) AS DATE) AS day",
+        "report_single_days": "SELECT CAST(unnest(generate_series(DATE '1996-02-20', DATE '1996-03-05', INTERVAL 1 DAY)) AS DATE) AS day",
         "report_days": "SELECT CAST(unnest(generate_series(DATE '1996-01-01', DATE '1997-03-01', INTERVAL 1 MONTH)) AS DATE) AS day",
     }

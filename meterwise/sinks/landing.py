@@ -10,61 +10,80 @@ from datetime import date, datetime
 
 import pyarrow as pa
 from pyarrow import csv as arrow_csv
-from pyarrow import fs as arrow_fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.exports import day_folder
+from .files import file_system
 
 
-def ship_tarballs(df: DataFrame, path: str, table: str, install_uuid: str, since: datetime, until: datetime, rows: int = 100_000) -> DataFrame:
-    """Writes df as tarballs of at most `rows` rows, each with the installation's config, into the folder of since's day.
+#: What a tarball holds at most: rows, and bytes of its columns in memory.
+ROWS, BYTES = 100_000, 64 << 20
 
-    Every partition writes its own files, under names that a repeated task writes again, so a retry leaves no copies.
-    Returns (file, rows) when evaluated.
+
+def _tarball(part: pa.Table, table: str, config: bytes) -> bytes:
+    text, out = io.BytesIO(), io.BytesIO()
+    arrow_csv.write_csv(part, text)
+    with tarfile.open(fileobj=out, mode="w:gz") as tar:
+        for name, data in (("config.json", config), (f"{table}.csv", text.getvalue())):
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            tar.addfile(info, io.BytesIO(data))
+    return out.getvalue()
+
+
+def ship_slices(df: DataFrame, path: str, table: str, install_uuid: str, rows: int = ROWS, most_bytes: int = BYTES) -> DataFrame:
+    """Writes df, which has the columns slice_start and slice_end beside those of the table, as tarballs with the installation's
+    config: each of one slice, of at most `rows` rows or about `most_bytes` bytes, in the folder of the slice's first day.
+
+    Every partition writes its own files, under names that a repeated task writes again, so a retry leaves no copies. Rows
+    of a slice should follow each other. Returns (file, rows) when evaluated.
     """
-    folder, stamp = day_folder(path, since.date()), f"{install_uuid}-{since:%Y-%m-%d-%H%M%S}-{until:%Y-%m-%d-%H%M%S}"
     config = json.dumps({"install_uuid": install_uuid}).encode()
-
-    def tarball(part: pa.Table) -> bytes:
-        text = io.BytesIO()
-        arrow_csv.write_csv(part, text)
-        out = io.BytesIO()
-        with tarfile.open(fileobj=out, mode="w:gz") as tar:
-            for name, data in (("config.json", config), (f"{table}.csv", text.getvalue())):
-                info = tarfile.TarInfo(name)
-                info.size = len(data)
-                tar.addfile(info, io.BytesIO(data))
-        return out.getvalue()
+    names = [c for c in df.columns if c not in ("slice_start", "slice_end")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, root = arrow_fs.FileSystem.from_uri(folder)
-        number, held, count = 0, [], 0
+        where, root = file_system(path)
+        number, held, slice_, count, size = 0, [], None, 0, 0
 
         def write(part: pa.Table) -> pa.RecordBatch:
-            file = f"{root}/{stamp}-{TaskContext.get().partitionId()}-{number}.tar.gz"
-            where.create_dir(root, recursive=True)
+            since, until = slice_
+            folder = day_folder(root, since.date())
+            file = f"{folder}/{install_uuid}-{since:%Y-%m-%d-%H%M%S}-{until:%Y-%m-%d-%H%M%S}-{table}-{TaskContext.get().partitionId()}-{number}.tar.gz"
+            where.create_dir(folder, recursive=True)
             with where.open_output_stream(file, compression=None) as out:
-                out.write(tarball(part))
+                out.write(_tarball(part, table, config))
             return pa.RecordBatch.from_pydict({"file": [file], "rows": pa.array([part.num_rows], pa.int64())})
 
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                held.append(batch.slice(at, rows))
-                count += held[-1].num_rows
-                if count >= rows:
-                    whole = pa.Table.from_batches(held)
-                    yield write(whole.slice(0, rows))
-                    number += 1
-                    rest = whole.slice(rows)
-                    held, count = rest.to_batches(), rest.num_rows
-        if count:
+            starts, ends = (batch.column(c).to_pylist() for c in ("slice_start", "slice_end"))
+            at = 0
+            while at < batch.num_rows:
+                end = next((i for i in range(at + 1, batch.num_rows) if starts[i] != starts[at]), batch.num_rows)
+                if held and slice_ != (starts[at], ends[at]):
+                    yield write(pa.Table.from_batches(held))
+                    number, held, count, size = number + 1, [], 0, 0
+                slice_ = starts[at], ends[at]
+                end = min(end, at + rows - count)
+                part = batch.slice(at, end - at).select(names)
+                held.append(part)
+                count, size, at = count + part.num_rows, size + part.nbytes, end
+                if count >= rows or size >= most_bytes:
+                    yield write(pa.Table.from_batches(held))
+                    number, held, count, size = number + 1, [], 0, 0
+        if held:
             yield write(pa.Table.from_batches(held))
 
     return df.mapInArrow(run, "file string, rows long")
 
 
+def ship_tarballs(df: DataFrame, path: str, table: str, install_uuid: str, since: datetime, until: datetime, rows: int = ROWS, most_bytes: int = BYTES) -> DataFrame:
+    """df as tarballs of one slice, from since to until: see ship_slices."""
+    slice_ = {"slice_start": F.lit(since).cast("timestamp_ntz"), "slice_end": F.lit(until).cast("timestamp_ntz")}
+    return ship_slices(df.withColumns(slice_), path, table, install_uuid, rows, most_bytes)
+
+
 def land(df: DataFrame, path: str, day: Column, mode: str = "errorifexists") -> None:
     """df as Parquet in folders year=/month=/day=, so that a filter on them prunes. mode overwrite replaces only days of df."""
     parts = {"year": F.year(day), "month": F.month(day), "day": F.dayofmonth(day)}

@@ -1,4 +1,4 @@
-"""A small spreadsheet writer: values, formulas, bold headers, prices and column widths."""
+"""A small spreadsheet writer: values, formulas, bold headers, prices and column widths. Rows are written as they come."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 from datetime import date, datetime
 from pathlib import Path
-from typing import Any
+from typing import Any, BinaryIO
 from xml.sax.saxutils import escape, quoteattr
 
 #: The most rows that a sheet of this format holds.
@@ -16,21 +16,22 @@ MOST_ROWS = 1_048_576
 _STYLES = {"plain": 0, "bold": 1, "price": 2, "time": 3, "title": 4}
 
 
+class Formula(str):
+    """A formula, without its equals sign. Texts are never formulas."""
+
+
+def styled(values: Iterable[Any], style: str = "plain", styles: dict[int, str] | None = None) -> list[tuple[Any, str]]:
+    return [(v, (styles or {}).get(i, style)) for i, v in enumerate(values)]
+
+
 @dataclass
 class Sheet:
-    """Rows of (value, style); a text that begins with = is a formula."""
+    """rows of (value, style), which may be a stream that is read once."""
 
     title: str
-    rows: list[list[tuple[Any, str]]] = field(default_factory=list)
+    rows: Iterable[list[tuple[Any, str]]] = field(default_factory=list)
     widths: Sequence[float] = ()
 
-    def add(self, values: Iterable[Any], style: str = "plain", styles: dict[int, str] | None = None) -> int:
-        """Adds a row and returns its number, from 1."""
-        if len(self.rows) == MOST_ROWS:
-            raise ValueError(f"sheet {self.title} has more than {MOST_ROWS} rows")
-        self.rows.append([(v, (styles or {}).get(i, style)) for i, v in enumerate(values)])
-        return len(self.rows)
-
 
 def column_name(index: int) -> str:
     """A, B, ... Z, AA, ... for 0, 1, ..."""
@@ -54,10 +55,9 @@ def _cell(reference: str, value: Any, style: str) -> str:
         return f'{head} t="b"><v>{int(value)}</v></c>'
     if isinstance(value, int | float):
         return f"{head}><v>{value!r}</v></c>"
-    text = str(value)
-    if text.startswith("="):
-        return f"{head}><f>{escape(text[1:])}</f></c>"
-    clean = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", text)
+    if isinstance(value, Formula):
+        return f"{head}><f>{escape(value)}</f></c>"
+    clean = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", str(value))
     return f'{head} t="inlineStr"><is><t xml:space="preserve">{escape(clean)}</t></is></c>'
 
 
@@ -67,6 +67,8 @@ def _sheet_xml(sheet: Sheet) -> Iterable[str]:
         yield "<cols>" + "".join(f'<col min="{i}" max="{i}" width="{w}" customWidth="1"/>' for i, w in enumerate(sheet.widths, 1)) + "</cols>"
     yield "<sheetData>"
     for n, row in enumerate(sheet.rows, 1):
+        if n > MOST_ROWS:
+            raise ValueError(f"sheet {sheet.title} has more than {MOST_ROWS} rows")
         yield f'<row r="{n}">' + "".join(_cell(f"{column_name(i)}{n}", v, s) for i, (v, s) in enumerate(row)) + "</row>"
     yield "</sheetData></worksheet>"
 
@@ -84,7 +86,8 @@ def sheet_titles(titles: Iterable[str]) -> list[str]:
     return found
 
 
-def write_workbook(path: str | Path, sheets: Sequence[Sheet]) -> None:
+def write_workbook(file: str | Path | BinaryIO, sheets: Iterable[Sheet]) -> None:
+    """Writes the sheets one after another to a file or an open stream; only one row is held at a time."""
     main, relations = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     package = "http://schemas.openxmlformats.org/package/2006"
     head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
@@ -92,16 +95,19 @@ def write_workbook(path: str | Path, sheets: Sequence[Sheet]) -> None:
     formats = '<numFmts count="2"><numFmt numFmtId="164" formatCode="$#,##0.00"/><numFmt numFmtId="165" formatCode="yyyy-mm-dd hh:mm:ss"/></numFmts>'
     cells = "".join(f'<xf numFmtId="{n}" fontId="{f}" fillId="0" borderId="0" applyNumberFormat="1" applyFont="1"/>' for n, f in ((0, 0), (0, 1), (164, 0), (165, 0), (0, 2)))
     styles = f'{head}<styleSheet xmlns="{main}">{formats}{fonts}<fills count="1"><fill><patternFill patternType="none"/></fill></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="5">{cells}</cellXfs></styleSheet>'
-    kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{n}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for n in range(1, len(sheets) + 1))
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+    titles: list[str] = []
+    with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as out:
+        for sheet in sheets:
+            titles.append(sheet.title)
+            with out.open(f"xl/worksheets/sheet{len(titles)}.xml", "w", force_zip64=True) as part:
+                for piece in _sheet_xml(sheet):
+                    part.write(piece.encode())
+        count = len(titles)
+        kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{n}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for n in range(1, count + 1))
         out.writestr("[Content_Types].xml", f'{head}<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/>{kinds}</Types>')
         out.writestr("_rels/.rels", f'{head}<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{relations}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        names = "".join(f'<sheet name={quoteattr(t)} sheetId="{n}" r:id="rId{n}"/>' for n, t in enumerate(sheet_titles(s.title for s in sheets), 1))
+        names = "".join(f'<sheet name={quoteattr(t)} sheetId="{n}" r:id="rId{n}"/>' for n, t in enumerate(sheet_titles(titles), 1))
         out.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="{relations}"><sheets>{names}</sheets></workbook>')
-        links = "".join(f'<Relationship Id="rId{n}" Type="{relations}/worksheet" Target="worksheets/sheet{n}.xml"/>' for n in range(1, len(sheets) + 1))
-        out.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{package}/relationships">{links}<Relationship Id="rId{len(sheets) + 1}" Type="{relations}/styles" Target="styles.xml"/></Relationships>')
+        links = "".join(f'<Relationship Id="rId{n}" Type="{relations}/worksheet" Target="worksheets/sheet{n}.xml"/>' for n in range(1, count + 1))
+        out.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{package}/relationships">{links}<Relationship Id="rId{count + 1}" Type="{relations}/styles" Target="styles.xml"/></Relationships>')
         out.writestr("xl/styles.xml", styles)
-        for n, sheet in enumerate(sheets, 1):
-            with out.open(f"xl/worksheets/sheet{n}.xml", "w") as part:
-                for piece in _sheet_xml(sheet):
-                    part.write(piece.encode())

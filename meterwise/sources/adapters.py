@@ -7,8 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..options import CONNECTION_FIELD, HOST_FIELD, MACHINE_FIELD, SERIAL_FIELD
+from ..options import HostFields
 
+#: The names that the test relations have.
+FIELDS = HostFields("host_address", "host_connection", "serial_number", "machine_number")
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 JOB_HOSTS = """
@@ -34,36 +36,38 @@ FROM (SELECT *, CAST(@K AS BIGINT) AS k FROM {events}) e JOIN {job_hosts} j ON j
 WHERE e.event_type IN ('click', 'view', 'error')
 """
 
+#: A host's first and last automation lie up to 980 and 720 days within its first and last line, so that some are short.
 HOST_METRICS = """
-SELECT s.s_suppkey AS idx, s.s_name AS hostname, min(l.l_shipdate) AS first_automation, max(l.l_shipdate) AS last_automation, count(*) AS automated_counter,
+SELECT s.s_suppkey AS idx, s.s_name AS hostname, min(l.l_shipdate) + (s.s_suppkey % 50) * INTERVAL '20' DAY AS first_automation,
+  max(l.l_shipdate) - (s.s_suppkey % 37) * INTERVAL '20' DAY AS last_automation, count(*) AS automated_counter,
   CAST(s.s_suppkey % 3 AS BIGINT) AS deleted_counter, s.s_acctbal < 1000 AS deleted, CASE WHEN s.s_suppkey % 3 > 0 THEN max(l.l_shipdate) END AS last_deleted,
   CASE WHEN s.s_suppkey % 6 IN (0, 1) THEN concat('SN', CAST(CAST(floor(s.s_suppkey / 6) AS INT) AS STRING)) WHEN s.s_suppkey % 6 = 2 THEN 'NA' ELSE '' END AS product_serial,
   CASE WHEN s.s_suppkey % 6 IN (1, 2) THEN concat('M', CAST(CAST(floor(s.s_suppkey / 6) AS INT) AS STRING)) WHEN s.s_suppkey % 6 = 3 THEN 'NA' ELSE '' END AS machine_id,
   CASE WHEN s.s_suppkey % 6 IN (2, 3) THEN concat('ip', CAST(CAST(floor(s.s_suppkey / 6) AS INT) AS STRING)) ELSE NULL END AS host_variable
-FROM {lineitem} l JOIN {supplier} s ON l.l_suppkey = s.s_suppkey WHERE l.l_orderkey % 37 = 0 GROUP BY s.s_suppkey, s.s_name, s.s_acctbal
+FROM {lineitem} l JOIN {supplier} s ON l.l_suppkey = s.s_suppkey GROUP BY s.s_suppkey, s.s_name, s.s_acctbal
 """
 
-#: Relations of a controller's database; @HOST and the like are the fields named in the options.
+#: Relations of a controller's database. Jobs without a row of their own, and references that lead nowhere, are in them.
 DATABASE = {
     "job_hosts": """
 SELECT l_orderkey * 10 + l_linenumber AS id, l_shipdate AS created, l_shipdate AS modified, concat('host-', CAST(l_suppkey AS STRING)) AS host_name, l_suppkey AS host_id,
   CAST(l_linenumber AS BIGINT) AS changed, CAST(0 AS BIGINT) AS dark, CAST(1 AS BIGINT) AS failures, CAST(l_quantity AS BIGINT) AS ok, CAST(1 AS BIGINT) AS processed,
   CAST(0 AS BIGINT) AS skipped, l_returnflag = 'R' AS failed, CAST(0 AS BIGINT) AS ignored, CAST(0 AS BIGINT) AS rescued, l_orderkey AS job_id FROM {lineitem}
 """,
-    "jobs": "SELECT o_orderkey AS unifiedjob_ptr_id, o_custkey % 50 AS project_id, CAST(o_custkey % 20 AS INT) AS inventory_id FROM {orders} WHERE o_orderkey % 7 <> 0",
+    "jobs": "SELECT CASE WHEN o_orderkey % 7 = 0 THEN -o_orderkey ELSE o_orderkey END AS unifiedjob_ptr_id, o_custkey % 50 - 5 AS project_id, CAST(o_custkey % 30 AS INT) AS inventory_id FROM {orders}",
     "unified_jobs": """
 SELECT o_orderkey AS id, o_orderdate AS created, o_custkey % 100 AS unified_job_template_id, concat('template ', CAST(o_custkey % 100 AS STRING)) AS name,
   CAST(o_custkey % 30 AS INT) AS organization_id FROM {orders}
 """,
-    "templates": "SELECT p_partkey AS id, p_name AS name FROM {part} WHERE p_partkey < 45",
-    "inventories": "SELECT n_nationkey AS id, n_name AS name FROM {nation} WHERE n_nationkey < 18",
+    "templates": "SELECT p_partkey AS id, p_name AS name FROM {part}",
+    "inventories": "SELECT n_nationkey AS id, n_name AS name FROM {nation}",
     "organizations": "SELECT n_nationkey AS id, n_name AS name FROM {nation}",
     "hosts": """
 SELECT s_suppkey AS id, concat('host-', CAST(s_suppkey % 60 AS STRING)) AS name,
-  concat('{"@SERIAL": "SN', CAST(s_suppkey % 9 AS STRING), '", "@MACHINE": "M', CAST(s_suppkey AS STRING), '"}') AS facts,
-  CASE s_suppkey % 5 WHEN 0 THEN concat('{"@HOST": "10.0.0.', CAST(s_suppkey AS STRING), '", "@CONNECTION": "ssh"}')
-    WHEN 1 THEN concat('---', chr(10), '@HOST: "node', CAST(s_suppkey AS STRING), '"', chr(10), '@CONNECTION=local')
-    WHEN 2 THEN concat('other: 1', chr(10), '  @HOST: indented') WHEN 3 THEN '' ELSE NULL END AS variables FROM {supplier}
+  concat('{"serial_number": "SN', CAST(s_suppkey % 9 AS STRING), '", "machine_number": "M', CAST(s_suppkey AS STRING), '"}') AS facts,
+  CASE s_suppkey % 5 WHEN 0 THEN concat('{"host_address": "10.0.0.', CAST(s_suppkey AS STRING), '", "host_connection": "ssh"}')
+    WHEN 1 THEN concat('---', chr(10), 'host_address: "node', CAST(s_suppkey AS STRING), '"', chr(10), 'host_connection=local')
+    WHEN 2 THEN concat('other: 1', chr(10), '  host_address: indented') WHEN 3 THEN '' ELSE NULL END AS variables FROM {supplier}
 """,
     "host_metrics": """
 SELECT concat('host-', CAST(s_suppkey AS STRING)) AS hostname, min(l_shipdate) AS first_automation, max(l_shipdate) AS last_automation, count(*) AS automated_counter,
@@ -71,18 +75,14 @@ SELECT concat('host-', CAST(s_suppkey AS STRING)) AS hostname, min(l_shipdate) A
 FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey GROUP BY s_suppkey, s_acctbal
 """,
     "events": """
-SELECT e.event_id AS id, e.ts AS created, e.ts AS modified, o.o_orderdate AS job_created,
+SELECT e.event_id * 10 + l.l_linenumber AS id, e.ts AS created, e.ts AS modified, o.o_orderdate AS job_created,
   CASE e.event_type WHEN 'click' THEN 'runner_on_ok' WHEN 'view' THEN 'runner_on_failed' WHEN 'error' THEN 'runner_retry' ELSE 'playbook_on_start' END AS event,
   concat('{"task_action": "ns.coll.mod', CAST(@K AS STRING), '", "resolved_role": "own.role", "duration": "', CAST(e.event_id % 100 AS STRING), '", "text": "caf', chr(92), 'u00e9"}') AS event_data,
   e.event_type = 'error' AS failed, e.event_type = 'view' AS changed, 'site.yml' AS playbook, 'all' AS play, concat('task ', @K) AS task, '' AS role,
   o.o_orderkey AS job_id, l.l_suppkey AS host_id, concat('host-', CAST(l.l_suppkey AS STRING)) AS host_name
-FROM {events} e JOIN {orders} o ON o.o_orderkey = e.event_id JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey AND l.l_linenumber = 1
+FROM {events} e JOIN {orders} o ON o.o_orderkey = e.event_id JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey
 """,
 }
-for _name, _text in DATABASE.items():
-    for _mark, _field in (("@HOST", HOST_FIELD), ("@CONNECTION", CONNECTION_FIELD), ("@SERIAL", SERIAL_FIELD), ("@MACHINE", MACHINE_FIELD)):
-        _text = _text.replace(_mark, _field)
-    DATABASE[_name] = _text
 _SPARK_K, _DUCKDB_K = "get_json_object(props, '$.k')", "json_extract_string(props, '$.k')"
 
 

@@ -1,7 +1,8 @@
 """Landed exports: a Spark data source for tarballs in day folders.
 
 An installation lands {path}/data/YYYY/MM/DD/{install_uuid}-{since}-{until}.tar.gz with config.json and CSV files. Each
-tarball is a partition; only the days asked for are listed, and members are read in memory, never unpacked to disk.
+tarball is a partition; only the days asked for are listed, and members are read in memory, never unpacked to disk. Of a
+CSV file only the columns asked for are made, all as texts.
 """
 
 from __future__ import annotations
@@ -11,20 +12,23 @@ import io
 import json
 import logging
 import tarfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import date, timedelta
 
 import pyarrow as pa
+from pyarrow import csv as arrow_csv
 from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.columns import without_null_tokens
+from ..sinks.files import file_system
 from .schemas import TABLES, columns_of, conformed, plain_name
 
 log = logging.getLogger(__name__)
-ROWS = 10_000
+#: Bytes of a CSV file that are parsed at once.
+BLOCK = 4 << 20
 
 
 def day_folder(path: str, day: date) -> str:
@@ -42,13 +46,46 @@ class Tarball(InputPartition):
     file: str
 
 
+def csv_batches(open_member, names: Sequence[str], renamed: Mapping[str, str]) -> Iterator[pa.RecordBatch]:
+    """The columns `names` of a CSV file as texts; those that it lacks are null. open_member opens it anew."""
+    header = next(csv.reader(io.TextIOWrapper(open_member(), "utf-8", newline="")), [])
+    there = {plain_name(name, renamed): name for name in header}
+    used = [there[n] for n in names if n in there]
+    if not used:
+        return
+    convert = arrow_csv.ConvertOptions(column_types=dict.fromkeys(header, pa.string()), include_columns=used, strings_can_be_null=False)
+    parsed = arrow_csv.open_csv(open_member(), arrow_csv.ReadOptions(block_size=BLOCK), arrow_csv.ParseOptions(newlines_in_values=True), convert)
+    for batch in parsed:
+        yield pa.RecordBatch.from_arrays([batch.column(there[n]) if n in there else pa.nulls(batch.num_rows, pa.string()) for n in names], names=list(names))
+
+
+def ragged_batches(open_member, names: Sequence[str], renamed: Mapping[str, str], rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """The same row by row, for files whose rows have unlike lengths: what a row lacks is null, what it has beyond the header goes."""
+    lines = csv.reader(io.TextIOWrapper(open_member(), "utf-8", newline=""))
+    header = {plain_name(name, renamed): i for i, name in enumerate(next(lines, []))}
+    at = [header.get(name) for name in names]
+    held: list[list[str]] = []
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] if i is not None and i < len(r) else None for r in held], pa.string()) for i in at], names=list(names))
+
+    for row in lines:
+        held.append(row)
+        if len(held) == rows:
+            yield batch()
+            held = []
+    if held:
+        yield batch()
+
+
 class ExportReader(DataSourceReader):
     def __init__(self, options: dict, names: list[str]):
         self.path, self.table, self.names = options["path"], options["table"], names
         self.since, self.until = date.fromisoformat(options["since"]), date.fromisoformat(options["until"])
+        self.renamed = json.loads(options.get("renamed", "{}"))
 
     def partitions(self) -> list[Tarball]:
-        where, root = arrow_fs.FileSystem.from_uri(self.path)
+        where, root = file_system(self.path)
         files = []
         for n in range((self.until - self.since).days + 1):
             folder = arrow_fs.FileSelector(day_folder(root, self.since + timedelta(days=n)), allow_not_found=True)
@@ -56,50 +93,40 @@ class ExportReader(DataSourceReader):
         return [Tarball(f) for f in sorted(files)] or [Tarball("")]
 
     def read(self, partition: Tarball) -> Iterator[pa.RecordBatch]:
-        """A tarball that cannot be read, or has no config, gives no rows, not even those before its fault."""
+        """A tarball that cannot be read, or has no config, gives no rows, not even those before its fault; so its rows, which
+        exporters bound, are held as Arrow columns until its end."""
         if not partition.file:
             return
-        where, _ = arrow_fs.FileSystem.from_uri(self.path)
+        where, _ = file_system(self.path)
         try:
             with where.open_input_file(partition.file) as file, tarfile.open(fileobj=file, mode="r:*") as tar:
                 inside = members(tar)
                 install = json.load(tar.extractfile(inside["config.json"]))["install_uuid"]
                 if f"{self.table}.csv" not in inside:
                     return
-                batches = list(self._rows(io.TextIOWrapper(tar.extractfile(inside[f"{self.table}.csv"]), "utf-8", newline=""), install))
+                opened = lambda: tar.extractfile(inside[f"{self.table}.csv"])
+                try:
+                    batches = list(csv_batches(opened, self.names, self.renamed))
+                except pa.ArrowInvalid:
+                    batches = list(ragged_batches(opened, self.names, self.renamed))
         except Exception as error:  # a broken tarball must not stop a report
             log.warning("%s is left out: %s", partition.file, error)
             return
-        yield from batches
-
-    def _rows(self, text: io.TextIOBase, install: str) -> Iterator[pa.RecordBatch]:
-        lines = csv.reader(text)
-        header = {plain_name(name): i for i, name in enumerate(next(lines, []))}
-        at = [header.get(name) for name in self.names]
-        rows: list[list[str]] = []
-
-        def batch() -> pa.RecordBatch:
-            columns = [[r[i] if i is not None and i < len(r) else None for r in rows] for i in at]
-            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), pa.array([install] * len(rows), pa.string())], names=[*self.names, "install_uuid"])
-
-        for row in lines:
-            rows.append(row)
-            if len(rows) == ROWS:
-                yield batch()
-                rows = []
-        if rows:
-            yield batch()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([install] * b.num_rows, pa.string())], names=[*self.names, "install_uuid"])
 
 
 class ExportSource(DataSource):
-    """Options: path, table (job_host_summary, main_jobevent), since and until (days, both included)."""
+    """Options: path, table (job_host_summary, main_jobevent), since and until (days, both included), columns (those to read,
+    separated by commas; all by default), renamed (JSON: an export's own column names to those of the schemas)."""
 
     @classmethod
     def name(cls) -> str:
         return "usage_export"
 
     def _names(self) -> list[str]:
-        return [name for name, _ in columns_of(TABLES[self.options["table"]])]
+        wanted = self.options.get("columns")
+        return [name for name, _ in columns_of(TABLES[self.options["table"]]) if not wanted or name in wanted.split(",")]
 
     def schema(self) -> str:
         return ", ".join(f"{name} string" for name in [*self._names(), "install_uuid"])
@@ -108,12 +135,15 @@ class ExportSource(DataSource):
         return ExportReader(dict(self.options), self._names())
 
 
-def read_exports(spark: SparkSession, path: str, table: str, since: date, until: date) -> DataFrame:
-    """A table of the exports that landed on the days from since to until, with the columns of its schema and install_uuid.
+def read_exports(spark: SparkSession, path: str, table: str, since: date, until: date, columns: Sequence[str] | None = None, renamed: Mapping[str, str] | None = None) -> DataFrame:
+    """A table of the exports that landed on the days from since to until, with the columns of its schema (or those of them
+    in `columns`) and install_uuid.
 
     Texts that mean null in an export are null, and so is what does not fit its column. Rows are not filtered by their
-    dates: the day of landing decides.
+    dates: the day of landing decides. renamed has an export's own names for columns.
     """
     spark.dataSource.register(ExportSource)
-    raw = spark.read.format("usage_export").option("path", path).option("table", table).option("since", since.isoformat()).option("until", until.isoformat()).load()
-    return conformed(without_null_tokens(raw), f"{TABLES[table]}, install_uuid string")
+    options = {"path": path, "table": table, "since": since.isoformat(), "until": until.isoformat(), "renamed": json.dumps(dict(renamed or {})), "columns": ",".join(columns or ())}
+    raw = spark.read.format("usage_export").options(**options).load()
+    kinds = [(n, k) for n, k in columns_of(TABLES[table]) if not columns or n in columns]
+    return conformed(without_null_tokens(raw), ", ".join(f"{n} {k}" for n, k in [*kinds, ("install_uuid", "string")]))

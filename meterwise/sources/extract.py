@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import event_field, variable
-from ..options import CONNECTION_FIELD, HOST_FIELD, MACHINE_FIELD, RUNNER_EVENTS, SERIAL_FIELD
+from ..options import RUNNER_EVENTS, HostFields
 
 COUNTERS = ("changed", "dark", "failures", "ok", "processed", "skipped", "failed", "ignored", "rescued")
 
@@ -18,7 +18,7 @@ def _within(column: Column, since: datetime, until: datetime) -> Column:
     return (column >= F.lit(since).cast("timestamp_ntz")) & (column < F.lit(until).cast("timestamp_ntz"))
 
 
-def job_hosts(db: Mapping[str, DataFrame], since: datetime, until: datetime) -> DataFrame:
+def job_hosts(db: Mapping[str, DataFrame], since: datetime, until: datetime, fields: HostFields) -> DataFrame:
     """What a job did on each host, with the names of its template, inventory, organization and project.
 
     db has job_hosts, jobs, unified_jobs, templates, inventories, organizations and hosts.
@@ -33,7 +33,7 @@ def job_hosts(db: Mapping[str, DataFrame], since: datetime, until: datetime) ->
     unified = db["unified_jobs"].select(F.col("id").alias("job_id"), F.col("created").alias("job_created"), F.col("unified_job_template_id").alias("job_template_remote_id"), F.col("name").alias("job_template_name"), F.col("organization_id").alias("organization_remote_id"))
     unified = unified.join(organizations.withColumn("organization_there", F.lit(True)), "organization_remote_id", "left")
     unified = unified.select("job_id", "job_created", "job_template_remote_id", "job_template_name", F.when(F.col("organization_there"), F.col("organization_remote_id")).alias("organization_remote_id"), "organization_name")
-    hosts = db["hosts"].select(F.col("id").alias("host_id"), variable(F.col("variables"), HOST_FIELD).alias("host_variable"), variable(F.col("variables"), CONNECTION_FIELD).alias("connection_variable"))
+    hosts = db["hosts"].select(F.col("id").alias("host_id"), variable(F.col("variables"), fields.address).alias("host_variable"), variable(F.col("variables"), fields.connection).alias("connection_variable"))
     return (
         runs.join(jobs, "job_id", "left").join(unified, "job_id", "left").join(hosts, "host_id", "left")
         .select("id", "created", "modified", "host_name", F.col("host_id").alias("host_remote_id"), "host_variable", "connection_variable", *COUNTERS, "job_created", F.col("job_id").alias("job_remote_id"),
@@ -41,31 +41,51 @@ def job_hosts(db: Mapping[str, DataFrame], since: datetime, until: datetime) ->
     )
 
 
-def job_events(db: Mapping[str, DataFrame], since: datetime, until: datetime) -> DataFrame:
+def job_events(db: Mapping[str, DataFrame], since: datetime, until: datetime, *more: str) -> DataFrame:
     """The task events of the jobs and hosts of a period. db has job_hosts, unified_jobs and events.
 
-    Events are found by job_created too, by which their table is partitioned.
+    Events are found by job_created too, by which their table is partitioned. more may name `run_modified`, the moment
+    that puts an event into the period.
     """
-    runs = db["job_hosts"].where(_within(F.col("modified"), since, until)).select(F.col("id").alias("job_host_id"), F.col("created").alias("job_host_created"), "job_id", "host_name")
+    runs = db["job_hosts"].where(_within(F.col("modified"), since, until)).select(F.col("id").alias("job_host_id"), F.col("created").alias("job_host_created"), F.col("modified").alias("run_modified"), "job_id", "host_name")
     scope = runs.join(db["unified_jobs"].select(F.col("id").alias("job_id"), F.col("created").alias("job_created")), "job_id")
     events = db["events"].where(F.col("event").isin(*RUNNER_EVENTS))
     fields = [event_field(F.col("event_data"), f).alias(f) for f in ("task_action", "resolved_action", "resolved_role", "duration")]
     return events.join(scope, ["job_created", "job_id", "host_name"]).select(
-        "job_host_id", "job_host_created", "id", "created", "modified", "job_created", "event", *fields, "failed", "changed", "playbook", "play", "task", "role", F.col("job_id").alias("job_remote_id"), F.col("host_id").alias("host_remote_id"), "host_name"
+        "job_host_id", "job_host_created", "id", "created", "modified", "job_created", "event", *fields, "failed", "changed", "playbook", "play", "task", "role", F.col("job_id").alias("job_remote_id"), F.col("host_id").alias("host_remote_id"), "host_name", *more
     )
 
 
-def host_metrics(db: Mapping[str, DataFrame], since: datetime) -> DataFrame:
+def host_metrics(db: Mapping[str, DataFrame], since: datetime, fields: HostFields) -> DataFrame:
     """Hosts automated since a moment, once for each inventory that they are in. db has host_metrics and hosts."""
     recent = db["host_metrics"].where(F.col("last_automation") >= F.lit(since).cast("timestamp_ntz"))
-    facts = {SERIAL_FIELD: "product_serial", MACHINE_FIELD: "machine_id"}
+    facts = {fields.serial: "product_serial", fields.machine: "machine_id"}
     hosts = db["hosts"].select(
         F.col("name").alias("hostname"), F.col("id").alias("host_id"), *(F.get_json_object("facts", f"$.{f}").alias(n) for f, n in facts.items()),
-        variable(F.col("variables"), HOST_FIELD).alias("host_variable"), variable(F.col("variables"), CONNECTION_FIELD).alias("connection_variable"),
+        variable(F.col("variables"), fields.address).alias("host_variable"), variable(F.col("variables"), fields.connection).alias("connection_variable"),
     )
     return recent.join(hosts, "hostname", "left").withColumn("host_id", F.coalesce("host_id", F.lit(0)))
 
 
+#: The relations that the tables above are made of, and the number by which each is read in ranges.
+RELATIONS = {"job_hosts": "id", "jobs": "unifiedjob_ptr_id", "unified_jobs": "id", "templates": "id", "inventories": "id", "organizations": "id", "hosts": "id", "events": "id", "host_metrics": "id"}
+
+
+def landed_database(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The relations as Parquet tables under a path."""
+    return {name: spark.read.parquet(f"{path.rstrip('/')}/{name}") for name in RELATIONS}
+
+
+def jdbc_database(spark: SparkSession, url: str, tables: Mapping[str, str], parts: int = 32, **properties: str) -> dict[str, DataFrame]:
+    """The relations of a controller's database; tables gives each its name there. Each is read in `parts` ranges."""
+    db = {}
+    for name, table in tables.items():
+        key = RELATIONS[name]
+        low, high = spark.read.jdbc(url, f"(SELECT min({key}) AS low, max({key}) AS high FROM {table}) AS bounds", properties=properties).first()
+        db[name] = jdbc_table(spark, url, table, key, low or 0, (high or 0) + 1, parts, **properties)
+    return db
+
+
 def jdbc_table(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, parts: int, **properties: str) -> DataFrame:
     """A table of the database, read in `parts` ranges of a numeric key at once."""
     return spark.read.jdbc(url, table, column=key, lowerBound=low, upperBound=high, numPartitions=parts, properties=properties)

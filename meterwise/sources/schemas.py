@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,21 +26,20 @@ HOST_METRICS = """hostname string, host_id long, first_automation timestamp_ntz,
 
 #: The tables of an export: the name of its file, and its columns.
 TABLES = {"job_host_summary": JOB_HOSTS, "main_jobevent": JOB_EVENTS}
-#: Exporters put a vendor's or a table's name before these.
-_PREFIXED = re.compile(r"^[a-z]+_((?:host_variable|connection_variable|product_serial|machine_id)s?)$|^main_jobhostsummary_(id|created)$")
+#: Columns that the files name after another table.
+RENAMED = {"main_jobhostsummary_id": "job_host_id", "main_jobhostsummary_created": "job_host_created"}
 
 
-def plain_name(name: str) -> str:
-    """A column's name in the schemas above."""
-    m = _PREFIXED.match(name)
-    return name if not m else m[1] or f"job_host_{m[2]}"
+def plain_name(name: str, renamed: Mapping[str, str] | None = None) -> str:
+    """A column's name in the schemas above; `renamed` has a platform's own names."""
+    return (renamed or {}).get(name) or RENAMED.get(name, name)
 
 
 def columns_of(schema: str) -> list[tuple[str, str]]:
     return [tuple(part.split(None, 1)) for part in re.sub(r"\s+", " ", schema).split(", ")]
 
 
-def conformed(df: DataFrame, schema: str) -> DataFrame:
+def conformed(df: DataFrame, schema: str, renamed: Mapping[str, str] | None = None) -> DataFrame:
     """df with exactly the columns of schema: missing ones are null, others go, and texts that do not fit become null."""
-    there = {plain_name(c): c for c in df.columns}
+    there = {plain_name(c, renamed): c for c in df.columns}
     return df.select(*((F.col(f"`{there[name]}`").try_cast(kind) if name in there else F.lit(None).cast(kind)).alias(name) for name, kind in columns_of(schema)))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.rollups import host_rollup
+from ..operators.rollups import TASK_COUNTERS, host_rollup
 
 
 def gather_new(spark: SparkSession, source: str, target: str, checkpoint: str, schema: StructType) -> StreamingQuery:
@@ -27,7 +30,7 @@ def gather_new(spark: SparkSession, source: str, target: str, checkpoint: str, s
 def hourly_usage(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     """Task runs by hour and organization of a stream of job hosts with a column created; rows later than `late` are left
     out, and an hour is final once it is that old."""
-    tasks = sum((F.coalesce(c, F.lit(0)) for c in ("dark", "failures", "ok", "skipped", "ignored", "rescued")), F.lit(0))
+    tasks = F.coalesce(reduce(add, (F.col(c) for c in TASK_COUNTERS)), F.lit(0))  # a null counter voids its row, as in the rollup
     rows = stream.select(F.col("created").cast("timestamp").alias("created"), "organization_name", "host_name", tasks.alias("task_runs"))
     hours = rows.withWatermark("created", late).groupBy(F.window("created", "1 hour").alias("hour"), "organization_name")
     return hours.agg(F.sum("task_runs").alias("task_runs"), F.approx_count_distinct("host_name").alias("hosts")).select(F.col("hour.start").alias("hour"), "organization_name", "task_runs", "hosts")
