@@ -1,9 +1,11 @@
 """Cropped and edited copies of images, by local descriptors.
 
-1. Corners are found on several scales of an image. Around each, the direction to the centre of brightness turns a fixed
-   set of binary brightness tests, so that the 256-bit descriptor stays when the image is turned.
-2. Each 64-bit word of a descriptor is a key of a table; descriptors at a small Hamming distance agree in some word.
-   Images that share a key meet in a bucket.
+1. Every image is brought to one size, so that resized copies look alike, and corners are found on several scales of it,
+   near enough to each other for any crop. Around each corner, the direction to the centre of brightness turns a fixed set
+   of binary brightness tests, so that the 256-bit descriptor stays when the image is turned. The tests reach far: small
+   patches of unlike images often look alike.
+2. Each word of KEY_BITS bits of a descriptor is a key of a table; descriptors at a small Hamming distance agree in some
+   word. Images that share SHARED keys are compared.
 3. Pairs need descriptors that are each other's nearest and one similarity transform that most of these matches obey.
 4. In each bucket the most connected image leads; an image is compared with the leader that it shares most keys with.
    Buckets that then still hold several components pair the images of different ones if they hold up to SMALL images,
@@ -23,15 +25,17 @@ from .blocks import crossing_links
 from .common import mix, session_conf, stored
 from .minhash_dedup import components
 
-SCALES = (1.0, 1.4, 2.0)
-#: Corners kept on a scale; pixels from the border that they must keep, for the tests' radius.
-CORNERS, BORDER, RADIUS = 24, 12, 10
-TESTS, WORDS = 256, 4
-#: Brightness by which a test must differ, in grey levels.
-STEP = 3.0
+#: The side of a square of the area to which images are resized; scales below, and the corners kept on each.
+AREA_SIDE = 160
+SCALES = tuple(2 ** (k / 8) for k in range(9))
+CORNERS = (28, 23, 19, 16, 13, 11, 9, 8, 7)
+#: Pixels that the tests and the disc for the direction reach, and that corners keep from the border.
+RADIUS, DISC, BORDER = 16, 12, 18
+TESTS, WORDS, KEY_BITS = 256, 4, 60
 #: A word with fewer set or unset bits says too little to be a key.
 LEAST_BITS = 8
-#: Keys that a pair must share, bits in which a match may differ, matches that must obey one transform, pixels by which they may miss.
+#: Keys that a pair must share, bits in which a match may differ, matches that must obey one transform, pixels (at the one
+#: size) by which they may miss.
 SHARED, DISTANCE, INLIERS, MISS = 2, 64, 7, 3.0
 #: Images of a bucket up to which those of different components are paired.
 SMALL = 16
@@ -39,7 +43,7 @@ SMALL = 16
 BATCH = "256"
 _rng = np.random.default_rng(256)
 _PAIRS = np.clip(_rng.normal(0, RADIUS / 2, (TESTS, 2, 2)), -RADIUS * 0.7, RADIUS * 0.7)
-_DISC = np.array([(x, y) for x in range(-7, 8) for y in range(-7, 8) if x * x + y * y <= 49])
+_DISC = np.array([(x, y) for x in range(-DISC, DISC + 1) for y in range(-DISC, DISC + 1) if x * x + y * y <= DISC * DISC])
 _BITS = np.array([bin(x).count("1") for x in range(1 << 16)], np.uint8)
 
 
@@ -73,22 +77,34 @@ def _blur(x: np.ndarray) -> np.ndarray:
 
 
 def _resized(image: np.ndarray, scale: float) -> np.ndarray:
+    """image at 1 / scale of its size: the mean of whole blocks, then between pixels."""
+    block = int(scale)
+    if block > 1 and min(image.shape) >= block:
+        height, width = (n // block for n in image.shape)
+        image = image[: height * block, : width * block].reshape(height, block, width, block).mean((1, 3), dtype=np.float32)
+        scale /= block
     if scale == 1:
         return image
-    height, width = (max(1, int(n / scale)) for n in image.shape)
+    height, width = (max(1, round(n / scale)) for n in image.shape)
     ys, xs = ((np.arange(n) + 0.5) * scale - 0.5 for n in (height, width))
     y0, x0 = (np.clip(np.floor(v).astype(int), 0, n - 2 if n > 1 else 0) for v, n in ((ys, image.shape[0]), (xs, image.shape[1])))
     y1, x1 = (np.minimum(v + 1, n - 1) for v, n in ((y0, image.shape[0]), (x0, image.shape[1])))
-    fy, fx = (ys - y0)[:, None], (xs - x0)[None]
-    return (image[y0][:, x0] * (1 - fx) + image[y0][:, x1] * fx) * (1 - fy) + (image[y1][:, x0] * (1 - fx) + image[y1][:, x1] * fx) * fy
+    fy, fx = np.clip(ys - y0, 0, 1).astype(np.float32)[:, None], np.clip(xs - x0, 0, 1).astype(np.float32)[None]
+    top, low = (image[y] * (1 - f) for y, f in ((y0, fy), (y1, 1 - fy)))
+    rows = top + low
+    return rows[:, x0] * (1 - fx) + rows[:, x1] * fx
 
 
 def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places (x + iy, in pixels of the image) and descriptors (bytes) of an image's corners."""
+    """Places (x + iy, in pixels of the image at the one size) and descriptors (bytes) of an image's corners."""
     places, found = [], []
-    base = _blur(image.astype(np.float32))
-    for scale in SCALES:
+    one_size = float(np.sqrt(image.size)) / AREA_SIDE
+    base = image.astype(np.float32)
+    base = _blur(_resized(_blur(base) if one_size > 1 else base, one_size))
+    for scale, most in zip(SCALES, CORNERS, strict=True):
         level = _resized(base, scale)
+        if scale > 1:
+            level = _blur(level)
         if min(level.shape) <= 2 * BORDER + 2:
             break
         gx, gy = np.zeros_like(level), np.zeros_like(level)
@@ -103,17 +119,18 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 if dy or dx:
                     peak &= inner >= r[BORDER + dy : r.shape[0] - BORDER + dy, BORDER + dx : r.shape[1] - BORDER + dx]
         y, x = np.nonzero(peak)
-        best = np.argsort(-inner[y, x], kind="stable")[:CORNERS]
+        best = np.argsort(-inner[y, x], kind="stable")[:most]
         y, x = y[best] + BORDER, x[best] + BORDER
         if not len(x):
             continue
-        disc = level[y[:, None] + _DISC[:, 1], x[:, None] + _DISC[:, 0]]
+        smooth = _blur(_blur(level))
+        disc = smooth[y[:, None] + _DISC[:, 1], x[:, None] + _DISC[:, 0]]
         disc = disc - disc.mean(1, keepdims=True)
         turn = (disc @ _DISC[:, 0]) + 1j * (disc @ _DISC[:, 1])
         turn = turn / np.maximum(np.abs(turn), 1e-6)
         at = (_PAIRS[..., 0] + 1j * _PAIRS[..., 1])[None] * turn[:, None, None]
-        value = level[y[:, None, None] + np.rint(at.imag).astype(int), x[:, None, None] + np.rint(at.real).astype(int)]
-        found.append(np.packbits(value[..., 1] - value[..., 0] > STEP, axis=1))
+        value = smooth[y[:, None, None] + np.rint(at.imag).astype(int), x[:, None, None] + np.rint(at.real).astype(int)]
+        found.append(np.packbits(value[..., 1] > value[..., 0], axis=1))
         places.append(((x + 0.5) + 1j * (y + 0.5)) * scale)
     if not found:
         return np.zeros(0, complex), np.zeros((0, TESTS // 8), np.uint8)
@@ -122,25 +139,23 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def keys_of(descriptors: np.ndarray) -> np.ndarray:
     """The table keys of an image, sorted: for each word that says enough, a hash of its table and its bits."""
-    words = np.ascontiguousarray(descriptors).view(np.uint16).reshape(len(descriptors), WORDS, -1)
-    bits = _BITS[words].sum(2, dtype=int)
-    size = 16 * words.shape[2]
-    keys = np.repeat(np.arange(1, WORDS + 1, dtype=np.uint64)[None], len(words), 0)
-    for i in range(words.shape[2]):
-        keys = mix(keys ^ (words[:, :, i] + np.uint64(i << 16)))
-    return np.unique(keys.view(np.int64)[(bits >= LEAST_BITS) & (bits <= size - LEAST_BITS)])
+    bits = np.unpackbits(descriptors, axis=1)[:, : WORDS * KEY_BITS].reshape(-1, WORDS, KEY_BITS)
+    words = np.packbits(np.pad(bits, ((0, 0), (0, 0), (0, 64 - KEY_BITS))), axis=2).view("<u8")[:, :, 0]
+    keys = mix(mix(words) + np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    ones = bits.sum(2, dtype=int)
+    return np.unique(keys.view(np.int64)[(ones >= LEAST_BITS) & (ones <= KEY_BITS - LEAST_BITS)])
 
 
 def body_of(places: np.ndarray, descriptors: np.ndarray) -> bytes:
-    """Places to a sixteenth of a pixel, then descriptors."""
-    grid = np.clip(np.rint(np.stack((places.real, places.imag), 1) * 16), 0, 2**32 - 1).astype("<u4")
+    """Places to an eighth of a pixel, then descriptors."""
+    grid = np.clip(np.rint(np.stack((places.real, places.imag), 1) * 8), 0, 2**16 - 1).astype("<u2")
     return grid.tobytes() + descriptors.tobytes()
 
 
 def parse_body(body: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(body) // (8 + TESTS // 8)
-    grid = np.frombuffer(body, "<u4", 2 * n).reshape(n, 2) / 16
-    return grid[:, 0] + 1j * grid[:, 1], np.frombuffer(body, np.uint8, offset=8 * n).reshape(n, -1)
+    n = len(body) // (4 + TESTS // 8)
+    grid = np.frombuffer(body, "<u2", 2 * n).reshape(n, 2) / 8
+    return grid[:, 0] + 1j * grid[:, 1], np.frombuffer(body, np.uint8, offset=4 * n).reshape(n, -1)
 
 
 def consensus(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> int:
@@ -227,8 +242,9 @@ def image_copies(images: DataFrame, id_col: str = "image_id", media_col: str = "
 
     class_id is the smallest id of the images that copies link, exact ones included; kept marks that image. A null or
     unreadable image is linked with its exact copies only, a null with nothing. Rows that share an id and their media
-    are exact copies; a null id is linked with nothing, has no class and is kept. Other columns are ignored. Images are
-    binary PGM; two are linked if they share SHARED keys and INLIERS of their corners obey one similarity transform.
+    are exact copies; a null id is linked with nothing, has no class and is kept. An empty table gives no rows. Other
+    columns are ignored. Images of any size are binary PGM; two are linked if they share SHARED keys and INLIERS of their
+    corners obey one similarity transform. Ids are numbers.
     """
     rows = images.select(F.col(id_col).cast("long").alias("image_id"), F.col(media_col).alias("media"))
     digest = F.when(F.col("media").isNotNull() & F.col("image_id").isNotNull(), F.unhex(F.sha2("media", 256)))
@@ -262,13 +278,13 @@ def image_copies(images: DataFrame, id_col: str = "image_id", media_col: str = "
     small, large = split.where(F.col("n") <= SMALL), split.where(F.col("n") > SMALL)
     one, two = (small.select("bucket", F.col("node").alias(x), F.col("component").alias(f"component_{x}")) for x in "ab")
     pairs = one.join(two, "bucket").where("a < b AND component_a <> component_b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED).select("a", "b")
-    links = links.unionAll(obeyed(pairs))
-    labels = stored(components(links), "labels")
+    joined = lambda links: stored(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(links)), "labels")
+    labels = joined(obeyed(pairs))
     if not large.isEmpty():
         sketches = large.groupBy("node").agg(F.array_sort(F.collect_set("bucket")).alias("keys"), F.lit(b"").alias("sketch"))  # at most an image's keys
         sized = large.select("bucket", "node", F.lit(4096).cast("long").alias("bytes"))
         more = stored(crossing_links(sized, labels, sketches, bodies, near, prepared, linked), "crossing")
-        labels = stored(components(links.unionAll(more)), "labels")
+        labels = joined(more)
     named = groups.select("digest", F.col("best.image_id").alias("node")).join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("class"))
     out = described.select("image_id", "n_corners", "digest").join(named, "digest", "left")
     found = F.coalesce("class", "image_id")

@@ -85,3 +85,48 @@ def test_classes_equal_brute_force(spark, pictures, small, monkeypatch):
 def test_empty(spark):
     assert M.image_copies(spark.createDataFrame([], "image_id long, media binary")).count() == 0
     assert M.drawn(spark.createDataFrame([(1, None), (None, [1.0])], "vec_id long, embedding array<float>")).count() == 2
+
+
+def warped(image, factor, angle, size):
+    """The image turned about its centre and scaled, between pixels, in a frame of the given size; black outside."""
+    (height, width), (rows, columns) = image.shape, size
+    ys, xs = np.mgrid[0:rows, 0:columns]
+    z = ((xs + 0.5 - columns / 2) + 1j * (ys + 0.5 - rows / 2)) * np.exp(1j * np.deg2rad(angle)) / factor
+    x, y = z.real + width / 2 - 0.5, z.imag + height / 2 - 0.5
+    x0, y0 = np.clip(np.floor(x).astype(int), 0, width - 2), np.clip(np.floor(y).astype(int), 0, height - 2)
+    fx, fy = np.clip(x - x0, 0, 1), np.clip(y - y0, 0, 1)
+    value = (image[y0, x0] * (1 - fx) + image[y0, x0 + 1] * fx) * (1 - fy) + (image[y0 + 1, x0] * (1 - fx) + image[y0 + 1, x0 + 1] * fx) * fy
+    return np.where((x >= -0.5) & (x <= width - 0.5) & (y >= -0.5) & (y <= height - 0.5), value, 0)
+
+
+def scaled(factor):
+    return lambda p: warped(p, factor, 0, tuple(round(n * factor) for n in p.shape))
+
+
+EDITS = {
+    **{f"turned by {a}": lambda p, a=a: warped(p, 1, a, p.shape) for a in (5, 10, 20, 30, 45)},
+    **{f"scaled by {f}": scaled(f) for f in (1.2, 1.4, 2.0, 4.0)},
+    **{f"reduced by {f}": scaled(1 / f) for f in (1.2, 1.4, 2.0)},
+    "cropped to half its area": lambda p: p[14:82, 14:82],
+    "cropped at a side": lambda p: p[:, 20:],
+    "brighter": lambda p: p * 0.7 + 60,
+}
+
+
+def test_recall_by_edit(spark, pictures):
+    rows = [(1000 * n, M.encode_pgm(p)) for n, p in enumerate(pictures)]
+    rows += [(1000 * n + k, M.encode_pgm(np.rint(edit(p)))) for n, p in enumerate(pictures) for k, edit in enumerate(EDITS.values(), 1)]
+    images = spark.createDataFrame(rows, "image_id long, media binary").repartition(8)
+    found = {r.image_id: r.class_id for r in M.image_copies(images).collect()}
+    recall = {name: sum(found[1000 * n + k] == found[1000 * n] for n in range(len(pictures))) / len(pictures) for k, name in enumerate(EDITS, 1)}
+    assert min(recall.values()) >= 0.9, recall
+    assert all(found[i] // 1000 == i // 1000 for i in found)  # unlike pictures are not linked
+
+
+def test_large_and_long_images_are_brought_to_one_size():
+    rng = np.random.default_rng(3)
+    picture = M.picture(rng.normal(size=64))
+    large = np.kron(picture, np.ones((20, 20)))
+    one, two = (M.prepared([M.body_of(*M.describe(x))])[0] for x in (picture, large))
+    assert M.linked(one, two)
+    assert len(M.describe(np.tile(picture, (1, 8)))[0]) and not len(M.describe(picture[:2])[0]) and not len(M.describe(picture[:1, :1])[0])
