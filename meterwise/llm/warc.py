@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, Not, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
 
-from .common import shared_dir
+from ..operators.joins import join_spread
+from .common import shared_dir, stored
 
 #: The columns that come from the headers; filters on them are pushed down.
 HEADER_COLUMNS = ("record_id", "record_type", "target_uri", "date", "content_type", "content_length", "payload_digest", "refers_to", "http_status", "payload_length")
@@ -347,9 +348,14 @@ def write_pages(pages: DataFrame, path: str, least: int = 0, date: str = "1970-0
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("key"), F.col(url_col).alias("target_uri"), payload.alias("payload"))
     rows = rows.select("*", F.unhex(F.sha1("payload")).alias("sha"), F.octet_length("payload").cast("long").alias("payload_length"))
-    groups = rows.where(F.col("payload_length") >= least).groupBy("sha", "payload_length").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("key"))
-    out = rows.join(groups, ["sha", "payload_length"], "left").select(
+    # groups are found and joined without payloads; these move by record at most, and not at all where few are revisits
+    digests = stored(rows.where(F.col("payload_length") >= least).select("key", "sha", "payload_length"), "payloads")
+    groups = digests.groupBy("sha", "payload_length").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL")
+    copies = join_spread(digests, groups, ["sha", "payload_length"], "n", digests.count()).where("NOT (key <=> first)").distinct()
+    revisits = stored(copies.select(F.col("sha").alias("r_sha"), F.col("payload_length").alias("r_length"), F.col("key").alias("r_key"), "first"), "revisits")
+    same = (F.col("sha") == F.col("r_sha")) & (F.col("payload_length") == F.col("r_length")) & F.col("key").eqNullSafe(F.col("r_key"))
+    revisit = F.col("first").isNotNull()
+    out = rows.join(revisits, same, "left").select(
         record_id(F.coalesce(F.col("key").cast("string"), F.lit("none"))).alias("record_id"),
         "target_uri",
         F.lit(date).alias("date"),
