@@ -9,12 +9,16 @@ are tried at every extent of whole groups. What does not validate stays as it is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import spare
 
 ROUNDS = 8
+#: The setting that holds the secret of pseudonyms.
+KEY_SETTING = "spark.meterwise.key"
 #: Fixed formats. Each begins where no longer value of its kind can have begun, so that a search takes linear time.
 EMAIL = r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 ADDRESS = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\w)"
@@ -299,6 +303,16 @@ def pseudonym(value: Column, key: str) -> Column:
     return out.otherwise(_cards(value, key))
 
 
+def session_key(spark: SparkSession) -> str:
+    """The secret in the setting KEY_SETTING. Where it is unset the session gets one of its own: pseudonyms then agree within
+    the session only, and nobody can invert them."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(16)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
 def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """docs with pseudonyms in its text, and (count_col) how many values of a text they replace.
 

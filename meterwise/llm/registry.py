@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from .byte_bpe import bpe_decode, bpe_encode
 from .common import table
 from .exact_dedup import exact_groups
@@ -16,7 +14,7 @@ from .image_copies import drawn, image_copies
 from .licenses import corpus_lines, license_scan, train_scanner
 from .minhash_dedup import near_duplicates
 from .packing import best_fit_packing
-from .pii import pseudonymised
+from .pii import pseudonymised, session_key
 from .substring_dedup import remove_repeats
 from .toxicity import classify, labelled_chain
 from .warc import archived_pages
@@ -43,7 +41,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymised(table(spark, sf_dir, "documents"), corpus_pipeline.KEY, count_col="n_values").select("doc_id", "n_values", "text")
+    return pseudonymised(table(spark, sf_dir, "documents"), session_key(spark), count_col="n_values").select("doc_id", "n_values", "text")
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +142,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": op8_license_scan,
         "op9_minhash_dedup": op9_minhash_dedup,
         "op10_toxicity": op10_toxicity,
-        "pipeline": corpus_pipeline.run,
     }
 
 

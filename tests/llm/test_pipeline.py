@@ -12,6 +12,8 @@ from test_toxicity import corpus
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from meterwise.llm.packing import sequences
+from meterwise.llm.pii import session_key
 
 
 @pytest.fixture(scope="module")
@@ -29,6 +31,7 @@ def sf_dir(spark, tmp_path_factory):
                 text[rng.randrange(150)] = f"edit{copy}"
             rows.append((1000 + 10 * n + copy, " ".join(text)))
         rows.append((2000 + n, "\n".join(base)))
+    rows += [(3005, " ".join(f"long{n % 7919}x{n}" for n in range(60_000)))]
     rows += [(3000, None), (3001, ""), (3002, " "), (3003, "write to ab.12@mail.example.com now"), (3004, "4429526289707580 does not check"), (1000, rows[300][1])]
     spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(5).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
@@ -48,18 +51,22 @@ def survivors(rows):
 
 def test_rows_equal_brute_force(spark, sf_dir):
     path, rows = sf_dir
-    out = corpus_pipeline.run(spark, path).collect()
+    packed = corpus_pipeline.run(spark, path).persist()
+    out = packed.collect()
+    whole = sequences(packed).collect()
+    assert sum(r.length for r in whole) == sum(r.length for r in out) and max(r.length for r in whole) <= 1024
     want = survivors(rows)
     assert {r.doc_id for r in out} == want.keys()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     import test_pii
 
-    test_pii.KEY = corpus_pipeline.KEY
+    test_pii.KEY = session_key(spark)
     name = brute_feistel("ab.12", "email", "mail.example.com")
     want[3003] = want[3003].replace("ab.12", name)
     parts = defaultdict(list)
     for r in out:
         parts[r.doc_id].append((r.start, r.length, r.ids_crc32))
+        assert zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length
     for i, text in want.items():
         ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
         assert sum(p[1] for p in parts[i]) == len(ids)
@@ -72,3 +79,9 @@ def test_stages_keep_the_columns(spark, sf_dir):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "pii", "packing"]
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf_dir[0]).columns == docs.columns, name
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}").count() == 0
