@@ -11,11 +11,9 @@ from meterwise.llm.common import stored, table
 from meterwise.llm.exact_dedup import exact_dedup
 from meterwise.llm.minhash_dedup import near_dedup
 from meterwise.llm.packing import best_fit_packing
-from meterwise.llm.pii import pseudonymised
+from meterwise.llm.pii import pseudonymised, session_key
 from meterwise.llm.toxicity import labelled_chain, without
 
-KEY = "meterwise"
-
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain rejects go. It is trained on the labelled ones among them."""
@@ -33,13 +31,13 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data become pseudonyms."""
-    return pseudonymised(docs, KEY)
+    """Personal data become pseudonyms under the secret of the setting spark.meterwise.key, or one of this session."""
+    return pseudonymised(docs, session_key(spark))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token ids, packed into sequences of 1024."""
-    return best_fit_packing(docs, public_tokenizers.path("byte_bpe_50k.json"), end=2, capacity=1024)
+    """The documents' token ids, packed into sequences of 1024: a row for each piece, with its ids and its place."""
+    return best_fit_packing(docs, public_tokenizers.path("byte_bpe_50k.json"), end=2, capacity=1024, with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -54,6 +52,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over the table documents, each written and reread. Null and empty texts go through as empty ones, of
+    which exact dedup leaves one; texts of any length are worked on whole; of an empty table nothing is left."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
