@@ -31,7 +31,7 @@ def parser() -> argparse.ArgumentParser:
     top.add_argument("--version", action="version", version=__version__)
     commands = top.add_subparsers(dest="command", required=True)
     collect = commands.add_parser("gather", help="take a period of the relations, a day a slice")
-    collect.add_argument("--relations", required=True, help="where the relations are, as Parquet tables")
+    collect.add_argument("--relations", required=True, help="where the relations are: Parquet tables below a path or URL, or a JDBC URL")
     collect.add_argument("--path", required=True, help="where tarballs go")
     collect.add_argument("--settings", required=True, help="JSON file with the platform's names")
     collect.add_argument("--since", help="a date, Nd or Nmonths; where the last gathering ended if not given")
@@ -90,16 +90,25 @@ def settings_of(args: argparse.Namespace) -> Settings:
     return Settings.of(read_text(args.settings)) if args.settings else Settings()
 
 
+def relations_of(spark: SparkSession, args: argparse.Namespace, settings: Settings) -> dict[str, DataFrame]:
+    """The relations in Parquet tables, or in the database of a JDBC URL, where the settings name them."""
+    if not args.relations.startswith("jdbc:"):
+        return extract.landed_database(spark, args.relations)
+    if missing := set(extract.RELATIONS) - set(settings.relations):
+        raise MissingSetting(f"the settings do not name the relations {', '.join(sorted(missing))}")
+    return extract.jdbc_database(spark, args.relations, settings.relations)
+
+
 def _metrics(spark: SparkSession, args: argparse.Namespace, options: ReportOptions) -> DataFrame:
     if options.since is None or not (args.metrics or args.relations):
         raise MissingSetting("a renewal report needs --since, and --metrics or --relations")
     if args.metrics:
         return spark.read.parquet(args.metrics)
-    fields = settings_of(args).host_fields
-    if fields is None:
+    settings = settings_of(args)
+    if settings.host_fields is None:
         raise MissingSetting("host metrics of relations need host_fields in the settings")
     since = datetime.combine(options.since, datetime.min.time())
-    return hosts.numbered(extract.host_metrics(extract.landed_database(spark, args.relations), since, fields))
+    return hosts.numbered(extract.host_metrics(relations_of(spark, args, settings), since, settings.host_fields))
 
 
 def build_report(spark: SparkSession, args: argparse.Namespace, now: datetime) -> bool:
@@ -133,7 +142,7 @@ def gather_period(spark: SparkSession, args: argparse.Namespace, now: datetime)
     """The lines that the command prints: files and rows of each table, or what they would be."""
     settings = settings_of(args)
     since, until = gather.interval(args.path, parse_date(args.since, now), parse_date(args.until, now), now)
-    tables = gather.gathered(extract.landed_database(spark, args.relations), settings, since, until)
+    tables = gather.gathered(relations_of(spark, args, settings), settings, since, until)
     if args.dry_run:
         return [f"{r.table} {r.slice_start}: {r.rows} rows" for r in gather.counts(tables).orderBy("table", "slice_start").toLocalIterator()]
     return [f"{name}: {files} files, {rows} rows" for name, (files, rows) in gather.ship(tables, settings, args.path, until).items()]

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
@@ -49,15 +50,34 @@ def sliced(table: DataFrame, moment: str, since: datetime, until: datetime) -> D
     return rows.repartitionByRange("slice_start", "id").sortWithinPartitions("slice_start", "id")
 
 
+@dataclass(frozen=True)
+class Collector:
+    """How a table of the export is made: its rows of a period, and the column with the moment that puts a row into it. A helper
+    column of this kind is not shipped."""
+
+    rows: Callable[[Mapping[str, DataFrame], datetime, datetime, Settings], DataFrame]
+    moment: str
+    helper: bool = False
+
+
+#: The tables of an export. Those of OPTIONAL_TABLES are gathered if the settings ask for them.
+COLLECTORS = {
+    "job_host_summary": Collector(lambda db, since, until, settings: extract.job_hosts(db, since, until, settings.host_fields), "modified"),
+    "main_jobevent": Collector(lambda db, since, until, settings: extract.job_events(db, since, until, "run_modified"), "run_modified", helper=True),
+}
+
+
 def gathered(db: Mapping[str, DataFrame], settings: Settings, since: datetime, until: datetime) -> dict[str, DataFrame]:
-    """The tables of an export for a period, in slices of a day: job_host_summary always, others as the settings ask."""
+    """The tables of an export for a period, in slices of a day."""
     if settings.host_fields is None:
         raise MissingSetting("gathering needs host_fields in the settings")
     if unknown := set(settings.tables) - set(OPTIONAL_TABLES):
         raise BadSetting(f"unknown tables: {', '.join(sorted(unknown))}")
-    tables = {"job_host_summary": sliced(extract.job_hosts(db, since, until, settings.host_fields), "modified", since, until)}
-    if "main_jobevent" in settings.tables:
-        tables["main_jobevent"] = sliced(extract.job_events(db, since, until, "run_modified"), "run_modified", since, until).drop("run_modified")
+    tables = {}
+    for name, collector in COLLECTORS.items():
+        if name not in OPTIONAL_TABLES or name in settings.tables:
+            rows = sliced(collector.rows(db, since, until, settings), collector.moment, since, until)
+            tables[name] = rows.drop(collector.moment) if collector.helper else rows
     return tables
 
 

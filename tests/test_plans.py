@@ -17,7 +17,7 @@ from meterwise.plans import gather, registry, reports
 from meterwise.sinks import landing, xlsx
 from meterwise.sources import adapters, extract
 from meterwise.sources.exports import read_exports
-from meterwise.sources.schemas import TABLES, columns_of, plain_name
+from meterwise.sources.schemas import TABLES, columns_of, conformed, plain_name
 from meterwise.streaming import incremental
 
 SF = "/root/testdata/sf0.001"
@@ -229,6 +229,9 @@ def test_wrong_settings_and_places(spark, relations, tmp_path):
     for text, error in (('{"host_fields": {"address": "a"}}', MissingSetting), ('{"x": 1}', BadSetting), ('{"tables": ["x"]}', BadSetting)):
         with pytest.raises(error):
             Settings.of(text)
+    args = parse(["gather", "--relations", "jdbc:x:y", "--path", str(tmp_path), "--settings", str(relations / "settings.json"), "--ship"])
+    with pytest.raises(MissingSetting, match="relations"):
+        cli.gather_period(spark, args, datetime(2024, 1, 1))
     with pytest.raises(SystemExit):
         parse(["gather", "--relations", "r", "--path", "p", "--settings", "s", "--ship", "--dry-run"])
 
@@ -279,3 +282,10 @@ def test_tarballs_are_cut_by_size_and_slice(spark, tmp_path):
     assert sum(f.rows for f in files) == 100 and {f.file.split("/data/")[1][:10] for f in files} == {"2024/01/01", "2024/01/02", "2024/01/03"}
     assert any("i-2024-01-01-030000-2024-01-02-000000-" in f.file for f in files) and any("2024-01-03-000000-2024-01-03-060000" in f.file for f in files)
     assert max(f.rows for f in landing.ship_slices(cut, f"file://{tmp_path}/b", "job_host_summary", "i", rows=7).collect()) == 7
+
+
+def test_moments_keep_their_wall_time(spark):
+    texts = ["2024-01-02 03:04:05", "2024-01-02 03:04:05.678", "2024-01-02T03:04:05+00:00", "2024-01-02 03:04:05+00", "2024-01-02 03:04:05+02:00", "no", ""]
+    rows = conformed(spark.createDataFrame([(t,) for t in texts], "created string"), "created timestamp_ntz").collect()
+    moment = datetime(2024, 1, 2, 3, 4, 5)
+    assert [r.created for r in rows] == [moment, datetime(2024, 1, 2, 3, 4, 5, 678000), moment, moment, moment, None, None]
