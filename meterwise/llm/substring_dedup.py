@@ -35,8 +35,8 @@ WINDOW, PREFIX = 13, 5
 GROUP = 50_000
 #: Bytes of text that a task looks at together.
 BATCH = 4 << 20
-#: Parts into which the rows of a large group are dealt when they meet its mark.
-SALTS = 256
+#: Marks of large groups that are broadcast, 12 bytes each; and parts into which their rows are dealt where there are more.
+MARKS, SALTS = 100_000, 256
 
 
 class Suffixes:
@@ -67,65 +67,92 @@ class Suffixes:
         self.lengths = np.diff(np.append(begins, len(starts)))
 
 
-def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where runs begin in which all keys stay the same."""
+    change = np.zeros(len(keys[0]), bool)
+    change[:1] = True
+    for k in keys:
+        change[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(change)
 
 
-PLACES = pa.schema([("deal", pa.int64()), ("prefix", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("place", pa.int32()), ("sure", pa.bool_()), ("count", pa.int64())])
+def _longs(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(values.astype(np.int32)))
+
+
+PLACES = pa.schema([("prefix", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int32()), ("place", pa.int32()), ("count", pa.int64()), ("places", pa.list_(pa.int32()))])
+_PLACES = "prefix long, doc_id long, tag int, place int, count long, places array<int>"
 
 
 def _places(window: int, prefix: int):
-    """Rows for the suffixes of a batch. Those whose prefix two of its documents share are sure, and dealt by document;
-    two rows without a place then tell other batches, the first with their count. The counts of a prefix's rows that are
-    dealt by it thus add up to its suffixes."""
+    """Rows for the suffixes of a batch. Those whose prefix two of its documents share are sure, and come as a list for
+    each document, without a prefix; two rows without a place then tell other batches, the first with their count. The
+    counts of a prefix's rows thus add up to its suffixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in small_batches(batches, 2, BATCH):
             s = Suffixes(texts, window, prefix)
-            ids, rows = _ids(batch)
-            doc, row = ids[s.text], rows[s.text]
-            order = np.lexsort((doc, s.prefix))
-            p, d = s.prefix[order], doc[order]
-            head = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1]))) if len(p) else np.zeros(0, np.int64)
-            low, high = d[head], d[np.append(head[1:], len(p)) - 1] if len(p) else d
-            shared = low < high
+            ids, tags = _longs(batch.column(0)), _longs(batch.column(1))
+            order = np.lexsort((ids[s.text], s.prefix))
+            p, d = s.prefix[order], ids[s.text[order]]
+            head = _runs(p)
             sizes = np.diff(np.append(head, len(p)))
-            sure = np.repeat(shared, sizes)
-            n = 2 * int(shared.sum())
-            tell = np.concatenate((p[head][shared], p[head][shared]))
-            told = np.concatenate((low[shared], high[shared]))
-            row_of, place = row[order], s.place[order].astype(np.int32)
-            deal = np.where(sure, mix(row_of.view(np.uint64) ^ mix(d.view(np.uint64))).view(np.int64), p)
-            nothing = np.zeros(n, np.int64)
-            columns = [(deal, tell), (p, tell), (d, told), (row_of, nothing), (place, np.full(n, -1, np.int32)), (sure, np.zeros(n, bool)), ((~sure).astype(np.int64), np.concatenate((sizes[shared], nothing[: n // 2])))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], schema=PLACES)
+            low, high = d[head], d[head + sizes - 1]
+            shared = low < high
+            sure = np.zeros(len(p), bool)
+            sure[order] = np.repeat(shared, sizes)
+            single, n = np.flatnonzero(~sure), int(shared.sum())
+            counts = np.bincount(s.text[sure], minlength=len(texts))
+            docs = np.flatnonzero(counts)
+            m = len(single) + 2 * n
+            columns = [
+                pa.array(np.concatenate((s.prefix[single], p[head][shared], p[head][shared], np.zeros(len(docs), np.int64))), mask=np.arange(m + len(docs)) >= m),
+                pa.array(np.concatenate((ids[s.text[single]], low[shared], high[shared], ids[docs]))),
+                pa.array(np.concatenate((tags[s.text[single]], np.zeros(2 * n, np.int64), tags[docs])).astype(np.int32)),
+                pa.array(np.concatenate((s.place[single], np.full(2 * n + len(docs), -1))).astype(np.int32)),
+                pa.array(np.concatenate((np.ones(len(single), np.int64), sizes[shared], np.zeros(n + len(docs), np.int64)))),
+                pa.concat_arrays([pa.nulls(m, PLACES.types[5]), _lists(s.place[sure], counts[docs])]),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, schema=PLACES)
 
     return run
 
 
+SHARED = pa.schema([("doc_id", pa.int64()), ("tag", pa.int32()), ("place", pa.int32()), ("places", pa.list_(pa.int32())), ("heavy", pa.int64())])
+_SHARED = "doc_id long, tag int, place int, places array<int>, heavy long"
+
+
 def _shared(group: int):
-    """From rows sorted by prefix and doc_id, those whose prefix has several documents; and (heavy) each prefix of more
-    than `group` suffixes. Only the rows of one document are held until another is seen."""
+    """From rows sorted by prefix and doc_id, those whose prefix has several documents, and those that are sure; and
+    (heavy) each prefix of more than `group` suffixes. Only the rows of one document are held until another is seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         last, first_doc, known, count = None, None, False, 0
 
         def out(part: pa.RecordBatch, heavy: list[int]) -> pa.RecordBatch:
-            part = part.filter(pa.array(part.column(4).to_numpy() >= 0))
+            part = part.filter(pa.array(part.column(3).to_numpy() >= 0))
             n, none = part.num_rows, len(heavy)
-            columns = [pa.concat_arrays([part.column(i), pa.nulls(none, part.column(i).type)]) for i in (2, 3, 4)]
-            return pa.RecordBatch.from_arrays([*columns, pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(heavy, pa.int64())])], names=["doc_id", "row", "place", "heavy"])
+            columns = [pa.concat_arrays([part.column(i), pa.nulls(none, part.column(i).type)]) for i in (1, 2, 3)]
+            return pa.RecordBatch.from_arrays([*columns, pa.nulls(n + none, SHARED.types[3]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(heavy, pa.int64())])], schema=SHARED)
 
         for batch in batches:
+            open_ = batch.column(0).is_valid()
+            sure, batch = batch.filter(pa.compute.invert(open_)), batch.filter(open_)
+            if sure.num_rows:
+                yield pa.RecordBatch.from_arrays([sure.column(1), sure.column(2), pa.nulls(sure.num_rows, pa.int32()), sure.column(5), pa.nulls(sure.num_rows, pa.int64())], schema=SHARED)
             if not batch.num_rows:
                 continue
-            p, d, sure = batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(5).to_numpy(zero_copy_only=False)
-            head = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
+            p, d = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            head = _runs(p)
             sizes = np.diff(np.append(head, len(p)))
             low, high = d[head].copy(), d[head + sizes - 1]
             shared, heavy = low < high, []
-            totals = np.add.reduceat(batch.column(6).to_numpy(), head)
+            totals = np.add.reduceat(batch.column(4).to_numpy(), head)
             if p[0] == last:
                 low[0] = first_doc
                 shared[0] = known or first_doc < high[0]
@@ -139,14 +166,14 @@ def _shared(group: int):
             if p[0] != last or len(head) > 1 or shared[0]:
                 held = []  # their prefix has one document
             heavy += p[head[:-1]][totals[:-1] > group].tolist()
-            keep = np.repeat(shared, sizes) | sure
+            keep = np.repeat(shared, sizes)
             if keep.any() or heavy:
                 yield out(batch.filter(pa.array(keep)), heavy)
             last, first_doc, known, count = int(p[-1]), int(low[-1]), bool(shared[-1]), int(totals[-1])
             if not known:
-                held.append(batch.slice(int(head[-1])).filter(pa.array(~sure[head[-1] :])))
+                held.append(batch.slice(int(head[-1])))
         if last is not None and count > group:
-            yield out(batch.slice(0, 0), [last])
+            yield out(pa.RecordBatch.from_arrays([pa.array([], t) for t in PLACES.types], schema=PLACES), [last])
 
     return run
 
@@ -154,15 +181,6 @@ def _shared(group: int):
 CANDIDATES = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("place", pa.int32()), ("before", pa.string()), ("suffix", pa.string())])
 
 
-def _runs(*keys: np.ndarray) -> np.ndarray:
-    """Where runs begin in which all keys stay the same."""
-    change = np.zeros(len(keys[0]), bool)
-    change[:1] = True
-    for k in keys:
-        change[1:] |= k[1:] != k[:-1]
-    return np.flatnonzero(change)
-
-
 def _firsts(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For each place the first place with the same key whose doc is the least."""
     order = np.lexsort((doc, key))
@@ -178,20 +196,22 @@ def _numbers(words: list) -> np.ndarray:
     return np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
 
 
-def _candidates(window: int, prefix: int):
+def _candidates(window: int, prefix: int, heavy: np.ndarray | None = None, only: bool = False):
     """Of rows (doc_id, row, text, places), runs of windows that sample those places. Windows that a smaller document of
-    the batch has too are settled: words start to stop of the row go. The others come with their words."""
+    the batch has too are settled: words start to stop of the row go. The others come with their words. heavy has
+    prefixes, of which the suffixes are left out or, with `only`, the only ones; rows then need no places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some = (b.filter(b.column(3).is_valid()) for b in batches)
+        some = batches if only else (b.filter(b.column(3).is_valid()) for b in batches)
         for batch, texts in small_batches(some, 2, BATCH):
             s = Suffixes([b" ".join(t.split()) for t in texts], window, prefix)
             words, first_word = s.words, s.words.first[:-1]
-            ids, rows = _ids(batch)
-            places = batch.column(3)
-            offsets = places.offsets.to_numpy()
-            asked = np.repeat(np.arange(batch.num_rows, dtype=np.int64), np.diff(offsets)) << 32 | places.flatten().to_numpy().astype(np.int64)
-            wanted = np.isin(s.text.astype(np.int64) << 32 | s.place, asked)
+            ids, rows = _longs(batch.column(0)), _longs(batch.column(1))
+            wanted = np.isin(s.prefix, [] if heavy is None else heavy) == only
+            if not only:
+                places = batch.column(3)
+                asked = np.repeat(np.arange(batch.num_rows, dtype=np.int64), np.diff(places.offsets.to_numpy())) << 32 | places.flatten().to_numpy().astype(np.int64)
+                wanted &= np.isin(s.text.astype(np.int64) << 32 | s.place, asked)
             suffix = np.repeat(np.arange(len(s.text)), s.lengths)
             keep = wanted[suffix] if len(suffix) else np.zeros(0, bool)
             suffix, hashes, start = suffix[keep], s.windows[keep], s.start[keep]
@@ -199,8 +219,8 @@ def _candidates(window: int, prefix: int):
             doc = ids[text]
             first = _firsts(hashes, doc)
             settled = doc[first] < doc
-            number, at = _numbers(words.data.split()), start + first_word[text]
             later = np.flatnonzero(settled)
+            number, at = _numbers(words.data.split()) if len(later) else later, start + first_word[text]
             for j in range(window):  # equal hashes are not yet equal words
                 later = later[number[at[later] + j] == number[at[first[later]] + j]]
             settled[:] = False
@@ -219,7 +239,7 @@ def _candidates(window: int, prefix: int):
 
 
 GONE = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
-_GONE = "doc_id long, row long, start int, stop int"
+_GONE, _CANDIDATES = "doc_id long, row long, start int, stop int", "key long, doc_id long, row long, start int, stop int, place int, before string, suffix string"
 
 
 def _symbols(texts: list[str], backwards: bool = False) -> np.ndarray:
@@ -305,13 +325,14 @@ def _trees(window: int, group: int, survivors: bool = False):
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, texts in small_batches(batches, 1):
-        words, gaps = Words(texts), batch.column(2).to_pylist()
+    for batch, texts in small_batches(batches, 2):
+        words, rows, gaps = Words(texts), batch.column(1).to_pylist(), batch.column(3).to_pylist()
         out: tuple[list, ...] = ([], [], [])
         for i, (a, b) in enumerate(zip(words.first[:-1], words.first[1:], strict=True)):
             keep = np.ones(b - a, bool)
             for gap in gaps[i] or ():
-                keep[gap["start"] : gap["stop"]] = False
+                if gap["row"] == rows[i]:
+                    keep[gap["start"] : gap["stop"]] = False
             at = np.flatnonzero(keep) + a
             out[0].append(int(b - a))
             out[1].append(int(b - a - len(at)))
@@ -324,8 +345,11 @@ def _prefix_key(words: int) -> Column:
 
 
 def _marked(rows: DataFrame, marks: DataFrame) -> DataFrame:
-    """rows (key, doc_id, row, start, ...) with the column `large` that marks has for some keys. Such keys stand for many rows,
-    which are dealt out and meet copies of their mark."""
+    """rows (key, doc_id, row, start, ...) with the column `large` that marks has for some keys. Up to MARKS of them are
+    broadcast; more keys, which stand for many rows each, meet them in parts, with copies of the mark."""
+    marks = stored(marks, "marks")
+    if marks.count() <= MARKS:
+        return rows.join(F.broadcast(marks), "key", "left")
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "row", "start"), F.lit(SALTS)).cast("int"))
     copies = marks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(copies, ["key", "salt"], "left").drop("salt")
@@ -373,17 +397,14 @@ def _leaves(windows: DataFrame, window: int, group: int) -> list[DataFrame]:
         windows = settled.where("stop IS NULL").select(_prefix_key(window).alias("key"), "doc_id", "row", "start", "suffix")
 
 
-def _large_groups(candidates: DataFrame, heavy: DataFrame, window: int, prefix: int, group: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Candidates of groups that fit, windows of larger ones among them as suffixes of their own; and what goes already."""
-    marked = stored(_marked(candidates, heavy), "candidates")
+def _large_groups(candidates: DataFrame, window: int, prefix: int, group: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Candidates of large groups as suffixes that begin where their windows do, in groups that fit; and what goes already."""
     words = F.split(F.concat("before", "suffix"), " ")
     each = F.transform(F.sequence(F.lit(0), F.col("stop") - F.col("start") - window), lambda i: F.struct((F.col("start") + i).alias("start"), F.concat(F.array_join(F.slice(words, i + 1, F.lit(window)), " "), F.lit(" ")).alias("suffix")))
-    windows = marked.where("large").select("doc_id", "row", F.explode(each).alias("w")).select("doc_id", "row", "w.start", "w.suffix")
+    settled = candidates.where("key IS NULL").select(*GONE.names)
+    windows = candidates.where("key IS NOT NULL").select("doc_id", "row", F.explode(each).alias("w")).select("doc_id", "row", "w.start", "w.suffix")
     fit, rest = _grown(windows, window, prefix, group)
-    whole = marked.where("large IS NULL").select(*CANDIDATES.names)
-    for part in fit:
-        whole = whole.unionByName(_suffixes(part, window))
-    return whole, [] if rest is None else _leaves(rest, window, group)
+    return [_suffixes(part, window) for part in fit], [settled, *([] if rest is None else _leaves(rest, window, group))]
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:
@@ -395,22 +416,35 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole and removes nothing. Rows that share an id remove nothing from each other. Other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    # rows that share an id are told apart by a hash of their texts; a tag is enough where more places than a row's own do no harm
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
+    rows = rows.select("doc_id", F.shiftright("row", 48).cast("int").alias("tag"), "row", "text")
     known = few_rows(rows).where("doc_id is not null")
-    places = known.mapInArrow(_places(window, prefix), "deal long, prefix long, doc_id long, row long, place int, sure boolean, count long")
-    places = places.repartition("deal").sortWithinPartitions("prefix", "doc_id")
-    shared = stored(places.mapInArrow(_shared(group), "doc_id long, row long, place int, heavy long"), "places")
-    by_text = shared.where("place >= 0").groupBy("doc_id", "row").agg(F.collect_set("place").alias("places"))
+    places = known.select("doc_id", "tag", "text").mapInArrow(_places(window, prefix), _PLACES)
+    places = places.repartition(F.coalesce("prefix", F.xxhash64("doc_id", "tag"))).sortWithinPartitions("prefix", "doc_id")
+    shared = stored(places.mapInArrow(_shared(group), _SHARED), "places")
+    by_text = shared.where("heavy IS NULL").groupBy("doc_id", "tag").agg(F.concat(F.collect_list("place"), F.flatten(F.collect_list("places"))).alias("places"))
     # the hints, and two left joins: texts are dealt by document at every size of the input, once for both joins
-    asked = rows.join(by_text.hint("merge"), ["doc_id", "row"], "left").select("doc_id", "row", "text", "places")
-    candidates = asked.mapInArrow(_candidates(window, prefix), "key long, doc_id long, row long, start int, stop int, place int, before string, suffix string")
-    heavy = shared.where("heavy is not null").select(F.col("heavy").alias("key"), F.lit(True).alias("large")).distinct()
+    asked = rows.join(by_text.hint("merge"), ["doc_id", "tag"], "left").select("doc_id", "row", "text", "places")
+    found = lambda texts, *which: texts.mapInArrow(_candidates(window, prefix, *which), _CANDIDATES)
+    heavy = stored(shared.where("heavy IS NOT NULL").select("heavy").distinct(), "heavy")
     gone: list[DataFrame] = []
-    if not heavy.isEmpty():
-        candidates, gone = _large_groups(candidates, heavy, window, prefix, group)
+    count = heavy.count()
+    if not count:
+        candidates = found(asked)
+    elif count <= MARKS:  # they are shared, so the texts need no places; a second look costs less than writing all candidates
+        prefixes = np.array([r.heavy for r in heavy.collect()], np.int64)
+        candidates, large = found(asked, prefixes), stored(found(known.select("doc_id", "row", "text"), prefixes, True), "large")
+    else:
+        marked = stored(_marked(found(asked), heavy.select(F.col("heavy").alias("key"), F.lit(True).alias("large"))), "candidates")
+        candidates, large = (marked.where(x).select(*CANDIDATES.names) for x in ("large IS NULL", "large"))
+    if count:
+        parts, gone = _large_groups(large, window, prefix, group)
+        for part in parts:
+            candidates = candidates.unionByName(part)
     removed = _dealt(candidates).mapInArrow(_trees(window, group), _GONE)
     for part in gone:
         removed = removed.unionByName(part)
-    gaps = removed.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "stop")).alias("gaps"))
-    whole = rows.join(gaps.hint("merge"), ["doc_id", "row"], "left").select("doc_id", "text", "gaps")
+    gaps = removed.select("doc_id", F.shiftright("row", 48).cast("int").alias("tag"), F.struct("row", "start", "stop").alias("gap")).groupBy("doc_id", "tag").agg(F.collect_list("gap").alias("gaps"))
+    whole = rows.join(gaps.hint("merge"), ["doc_id", "tag"], "left").select("doc_id", "row", "text", "gaps")
     return whole.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, text string")
