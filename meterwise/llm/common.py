@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -63,12 +64,41 @@ def spare(columns: list[str], *names: str) -> list[str]:
     return found
 
 
+#: The folder below the shared one where tables are stored.
+_scratch: ContextVar[str] = ContextVar("scratch", default="")
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read back: its lineage is cut and executors may be lost."""
+    """df written once as Parquet in the shared folder and read back: its lineage is cut and executors may be lost. The table
+    stays until `dropped` or the end of the `temporary` tables around it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/meterwise/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/meterwise/{_scratch.get()}{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a stored table that nothing reads any more."""
+    _delete(df.sparkSession, df.stored_at)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """What is stored inside is deleted at the end, so results must be written before."""
+    name = f"{_scratch.get()}temporary-{uuid.uuid4().hex}/"
+    token = _scratch.set(name)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        _delete(spark, f"{shared_dir(spark)}/meterwise/{name}")
 
 
 _SPACE = np.zeros(256, bool)
@@ -140,6 +170,16 @@ class Words:
         return h
 
 
+@contextmanager
+def kept_tables() -> Iterator[None]:
+    """What is stored inside stays, whatever temporary tables are around it."""
+    token = _scratch.set("")
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow column as UTF-8; null counts as empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

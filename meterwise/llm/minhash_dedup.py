@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected
 from ..operators.joins import join_spread
 from .blocks import crossing_links
-from .common import Words, few_rows, mix, small_batches, spare, stored
+from .common import Words, dropped, few_rows, mix, small_batches, spare, stored
 
 BANDS, ROWS = 28, 6
 #: Signatures this far below the threshold rule a pair out: five standard errors of the estimate.
@@ -149,9 +149,17 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest id that each node of edges (a, b) reaches, by alternating large and small stars,
-    each round stored."""
-    return connected(edges, lambda df: stored(df, "edges"))
+    """(node, component): the smallest id that each node of edges (a, b) reaches, by alternating large and small stars. Each
+    round is stored, and the one before it then deleted."""
+    rounds: list[DataFrame] = []
+
+    def cut(df: DataFrame) -> DataFrame:
+        rounds.append(stored(df, "edges"))
+        if len(rounds) > 1:
+            dropped(rounds.pop(0))
+        return rounds[0]
+
+    return connected(edges, cut)
 
 
 def _near(floor: float):
@@ -190,8 +198,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents are linked where 100 * |A & B| >= percent * |A | B| over their distinct 5-word shingles (A-Z lower-cased,
     words [^\\x20\\x09-\\x0D]+; fewer than five words are one shingle). component_id is the smallest id reachable. Null or
-    blank texts have no shingles and are linked with nothing. Rows that share an id are one node: their
-    component is that of their sets' links. A null id is linked with nothing: its component_id is null and it is kept. percent may not be under 80.
+    blank texts have no shingles and are linked with nothing; texts of any length are shingled whole; an empty table gives no
+    rows. Rows that share an id are one node: their component is that of their sets' links. A null id is linked with
+    nothing: its component_id is null and it is kept. Ids are numbers. Other columns are ignored. percent may not be under 80.
     """
     if percent < 80:
         raise ValueError("the bands are set for a threshold of at least 80 per cent")
