@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from meterwise.llm.common import stored, table
+from meterwise.llm.common import dropped, kept_tables, stored, table, temporary
 from meterwise.llm.exact_dedup import exact_dedup
 from meterwise.llm.minhash_dedup import near_dedup
 from meterwise.llm.packing import best_fit_packing
@@ -55,6 +55,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over the table documents, each written and reread. Null and empty texts go through as empty ones, of
     which exact dedup leaves one; texts of any length are worked on whole; of an empty table nothing is left."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    for n, (name, stage) in enumerate(STAGES):
+        with temporary(spark):  # a stage's own tables go when its result is written, and so does what it worked on
+            result, before = stage(spark, docs, sf_dir), docs
+            with kept_tables():
+                docs = stored(result, f"stage-{name}")
+        if n:
+            dropped(before)
     return docs
