@@ -27,10 +27,12 @@ from .common import few_rows, stored, text_batches
 TASK_PIECES = 20_000
 #: Sequences that a task may hold open. More of them change the number of sequences by less than a thousandth.
 OPEN = 1024
+#: Bytes of words and their ids that a Python worker remembers.
+CACHE = 192 << 20
 
 
 @functools.lru_cache(2)
-def tokenizer_of(path: str) -> Callable[[list[str]], list[bytes]]:
+def tokenizer_of(path: str, cache_bytes: int = CACHE) -> Callable[[list[str]], list[bytes]]:
     """Encodes texts as the library `tokenizers` does, without adding special tokens. Texts that hold one, as it takes these for
     tokens, go to it whole; the others word by word, through a cache."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks share the cores
@@ -68,7 +70,7 @@ def tokenizer_of(path: str) -> Callable[[list[str]], list[bytes]]:
         rest = iter(cut)
         return out + [apart[i] if i in apart else next(rest) for i in range(len(words))]
 
-    cached = CachedEncoder(encode, 192 << 20)
+    cached = CachedEncoder(encode, cache_bytes)
 
     def encoded(texts: list[str]) -> list[bytes]:
         apart = [whole or any(x in t for x in added) for t in texts]
@@ -86,13 +88,13 @@ def pieces_of(ids: bytes, capacity: int) -> Iterator[tuple[int, int, bytes]]:
         yield piece, start, ids[4 * start : 4 * (start + (capacity if piece else first))]
 
 
-def tokenized_pieces(docs: DataFrame, path: str, end: int, capacity: int, with_ids: bool, id_col: str, text_col: str) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, path: str, end: int, capacity: int, with_ids: bool, id_col: str, text_col: str, cache_bytes: int = CACHE) -> DataFrame:
     schema = pa.schema([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
     schema = schema if with_ids else schema.remove(4)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, stop = tokenizer_of(path), end.to_bytes(4, "little")
+        encode, stop = tokenizer_of(path, cache_bytes), end.to_bytes(4, "little")
         for batch, texts in text_batches(batches, 1):
             at, found = [], []
             for i, ids in enumerate(encode(texts)):
@@ -160,7 +162,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, open_sequences: int = OPEN, ta
     return dealt.mapInArrow(run, StructType([*pieces.schema, StructField("sequence_id", LongType()), StructField("offset", LongType())]))
 
 
-def best_fit_packing(docs: DataFrame, path: str, end: int = 2, capacity: int = 1024, open_sequences: int = OPEN, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def best_fit_packing(docs: DataFrame, path: str, end: int = 2, capacity: int = 1024, open_sequences: int = OPEN, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", cache_bytes: int = CACHE) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if asked for).
 
     A document's ids are those that the tokenizer file `path` gives without adding special tokens, then `end`; a text that
@@ -169,7 +171,7 @@ def best_fit_packing(docs: DataFrame, path: str, end: int = 2, capacity: int = 1
     null text counts as empty: its one piece is `end`. A text of any length is tokenized whole; an empty table gives no
     rows. Repeated rows and null ids are packed as they come; other columns are ignored.
     """
-    return pack(stored(tokenized_pieces(docs, path, end, capacity, with_ids, id_col, text_col), "pieces"), capacity, open_sequences)
+    return pack(stored(tokenized_pieces(docs, path, end, capacity, with_ids, id_col, text_col, cache_bytes), "pieces"), capacity, open_sequences)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
