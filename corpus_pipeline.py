@@ -14,6 +14,9 @@ from meterwise.llm.packing import best_fit_packing
 from meterwise.llm.pii import pseudonymised, session_key
 from meterwise.llm.toxicity import labelled_chain, without
 
+#: Words that a Python worker of the last stage remembers, in bytes; the workers of the other stages live beside it.
+CACHE = 32 << 20
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain rejects go. It is trained on the labelled ones among them."""
@@ -37,7 +40,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token ids, packed into sequences of 1024: a row for each piece, with its ids and its place."""
-    return best_fit_packing(docs, public_tokenizers.path("byte_bpe_50k.json"), end=2, capacity=1024, with_ids=True)
+    return best_fit_packing(docs, public_tokenizers.path("byte_bpe_50k.json"), end=2, capacity=1024, with_ids=True, cache_bytes=CACHE)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
