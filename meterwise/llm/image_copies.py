@@ -39,11 +39,14 @@ LEAST_BITS = 8
 SHARED, DISTANCE, INLIERS, MISS = 2, 64, 7, 3.0
 #: Images of a bucket up to which those of different components are paired.
 SMALL = 16
+#: Shared keys that are broadcast, 16 bytes each; more meet the keys by shuffle.
+MARKS = 2_000_000
 #: Images that a Python worker gets at once.
 BATCH = "256"
 _rng = np.random.default_rng(256)
 _PAIRS = np.clip(_rng.normal(0, RADIUS / 2, (TESTS, 2, 2)), -RADIUS * 0.7, RADIUS * 0.7)
 _DISC = np.array([(x, y) for x in range(-DISC, DISC + 1) for y in range(-DISC, DISC + 1) if x * x + y * y <= DISC * DISC])
+_ARMS = _DISC.T.astype(np.float32)
 _BITS = np.array([bin(x).count("1") for x in range(1 << 16)], np.uint8)
 
 
@@ -67,13 +70,16 @@ def encode_pgm(image: np.ndarray) -> bytes:
 
 
 def _blur(x: np.ndarray) -> np.ndarray:
-    """Five-tap binomial blur; the border repeats."""
-    for axis in (0, 1):
-        p = np.pad(x, [(2, 2) if a == axis else (0, 0) for a in (0, 1)], "edge")
-        n = x.shape[axis]
-        a, b, c, d, e = (p[i : i + n] if axis == 0 else p[:, i : i + n] for i in range(5))
-        x = (a + e + 4 * (b + d) + 6 * c) / 16
-    return x
+    """Five-tap binomial blur over the last two axes; the border repeats."""
+    height, width = x.shape[-2:]
+    p = np.empty((*x.shape[:-2], height + 4, width), x.dtype)
+    p[..., 2:-2, :], p[..., :2, :], p[..., -2:, :] = x, x[..., :1, :], x[..., -1:, :]
+    a, b, c, d, e = (p[..., i : i + height, :] for i in range(5))
+    x = (a + e + 4 * (b + d) + 6 * c) / 16
+    p = np.empty((*x.shape[:-1], width + 4), x.dtype)
+    p[..., 2:-2], p[..., :2], p[..., -2:] = x, x[..., :1], x[..., -1:]
+    a, b, c, d, e = (p[..., i : i + width] for i in range(5))
+    return (a + e + 4 * (b + d) + 6 * c) / 16
 
 
 def _resized(image: np.ndarray, scale: float) -> np.ndarray:
@@ -110,7 +116,7 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         gx, gy = np.zeros_like(level), np.zeros_like(level)
         gx[:, 1:-1] = level[:, 2:] - level[:, :-2]
         gy[1:-1] = level[2:] - level[:-2]
-        xx, yy, xy = _blur(gx * gx), _blur(gy * gy), _blur(gx * gy)
+        xx, yy, xy = _blur(np.stack((gx * gx, gy * gy, gx * gy)))
         r = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
         inner = r[BORDER:-BORDER, BORDER:-BORDER]
         peak = inner > max(1.0, 0.005 * float(inner.max()))
@@ -126,7 +132,7 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         smooth = _blur(_blur(level))
         disc = smooth[y[:, None] + _DISC[:, 1], x[:, None] + _DISC[:, 0]]
         disc = disc - disc.mean(1, keepdims=True)
-        turn = (disc @ _DISC[:, 0]) + 1j * (disc @ _DISC[:, 1])
+        turn = (disc * _ARMS[0]).sum(1) + 1j * (disc * _ARMS[1]).sum(1)
         turn = turn / np.maximum(np.abs(turn), 1e-6)
         at = (_PAIRS[..., 0] + 1j * _PAIRS[..., 1])[None] * turn[:, None, None]
         value = smooth[y[:, None, None] + np.rint(at.imag).astype(int), x[:, None, None] + np.rint(at.real).astype(int)]
@@ -258,7 +264,9 @@ def image_copies(images: DataFrame, id_col: str = "image_id", media_col: str = "
     bodies = described.where((F.col("n_corners") >= INLIERS) & F.col("digest").isNotNull()).join(copies, "row", "left_anti").select(F.col("image_id").alias("node"), "body")
     keyed = bodies.mapInArrow(_keys, "node long, bucket long")
     crowded = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket", "n")
-    buckets = stored(keyed.join(crowded, "bucket").select("bucket", "node", "n"), "buckets")
+    crowded = stored(crowded, "crowded")  # few of all keys: so the others need not move to be left out
+    marks = F.broadcast(crowded) if crowded.count() <= MARKS else crowded
+    buckets = stored(keyed.join(marks, "bucket").select("bucket", "node", "n"), "buckets")
     left, right = (bodies.select(F.col("node").alias(x), F.col("body").alias(f"body_{x}")) for x in "ab")
 
     def obeyed(pairs: DataFrame) -> DataFrame:

@@ -113,7 +113,10 @@ EDITS = {
 }
 
 
-def test_recall_by_edit(spark, pictures):
+@pytest.mark.parametrize("marks", [2_000_000, 0])
+def test_recall_by_edit(spark, pictures, monkeypatch, marks):
+    monkeypatch.setattr(M, "MARKS", marks)
+    pictures = pictures if marks else pictures[:6]
     rows = [(1000 * n, M.encode_pgm(p)) for n, p in enumerate(pictures)]
     rows += [(1000 * n + k, M.encode_pgm(np.rint(edit(p)))) for n, p in enumerate(pictures) for k, edit in enumerate(EDITS.values(), 1)]
     images = spark.createDataFrame(rows, "image_id long, media binary").repartition(8)
