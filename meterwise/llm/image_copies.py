@@ -236,6 +236,17 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], names=["node", "bucket"])
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each key of a batch of images how many have it, and the least and largest of them."""
+    for batch in _keys(batches):
+        node, bucket = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        order = np.lexsort((node, bucket))
+        node, bucket = node[order], bucket[order]
+        head = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] - 1)) if len(bucket) else order
+        size = np.diff(np.append(head, len(bucket)))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket[head], size, node[head], node[head + size - 1])], names=["bucket", "n", "lo", "hi"])
+
+
 def _obey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b, x, y = (c.to_pylist() for c in batch.columns)
@@ -263,7 +274,9 @@ def image_copies(images: DataFrame, id_col: str = "image_id", media_col: str = "
     copies = stored(known.join(groups, "digest").where(F.col("row") != F.col("best.row")).select("row"), "copies")
     bodies = described.where((F.col("n_corners") >= INLIERS) & F.col("digest").isNotNull()).join(copies, "row", "left_anti").select(F.col("image_id").alias("node"), "body")
     keyed = bodies.mapInArrow(_keys, "node long, bucket long")
-    crowded = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket", "n")
+    # keys are counted by batches and dealt as they are: nearly all are of one image, and tasks would only spill them
+    counted = bodies.mapInArrow(_counts, "bucket long, n long, lo long, hi long").repartition("bucket")
+    crowded = counted.groupBy("bucket").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("bucket", "n")
     crowded = stored(crowded, "crowded")  # few of all keys: so the others need not move to be left out
     marks = F.broadcast(crowded) if crowded.count() <= MARKS else crowded
     buckets = stored(keyed.join(marks, "bucket").select("bucket", "node", "n"), "buckets")
