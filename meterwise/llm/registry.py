@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import bpe_decode, bpe_encode
 from .common import table
 from .exact_dedup import exact_groups
+from .fingerprints import edited_copies
 from .image_copies import drawn, image_copies
 from .licenses import corpus_lines, license_scan, train_scanner
 from .minhash_dedup import near_duplicates
@@ -130,6 +131,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, labelled_chain(docs, table(spark, sf_dir, "labels")))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_copies(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_image_copies": op1_image_copies,
@@ -142,6 +147,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": op8_license_scan,
         "op9_minhash_dedup": op9_minhash_dedup,
         "op10_toxicity": op10_toxicity,
+        "op13_fingerprints": op13_fingerprints,
     }
 
 
