@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import bpe_decode, bpe_encode
+from .collocations import collocations
 from .common import table
 from .exact_dedup import exact_groups
 from .fingerprints import edited_copies
@@ -131,6 +132,34 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, labelled_chain(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM d),
+total AS (SELECT lang, sum(len(words))::HUGEINT AS n FROM w GROUP BY lang),
+gram AS (
+  SELECT lang, words[i : i + k - 1] AS phrase FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(words) >= k)
+), f AS (SELECT lang, phrase, count(*)::HUGEINT AS f FROM gram GROUP BY ALL HAVING count(*) >= 100),
+within AS (
+  SELECT lang, part, max(f) AS longer FROM (SELECT lang, f, unnest([phrase[1 : len(phrase) - 1], phrase[2 : len(phrase)]]) AS part FROM f WHERE len(phrase) > 2) GROUP BY ALL
+), own AS (
+  SELECT f.* FROM f LEFT JOIN within ON f.lang = within.lang AND f.phrase = within.part WHERE len(f.phrase) > 1 AND (longer IS NULL OR 100 * longer < 100 * f.f)
+), cut AS (
+  SELECT o.lang, o.phrase, o.f AS a, k, x.f AS l, y.f AS r, n, 1000 * o.f * n // (x.f * y.f) AS score
+  FROM (SELECT *, unnest(range(1, len(phrase))) AS k FROM own) o JOIN f x ON x.lang = o.lang AND x.phrase = o.phrase[1 : k] JOIN f y ON y.lang = o.lang AND y.phrase = o.phrase[k + 1 : len(o.phrase)]
+    JOIN total t ON t.lang = o.lang
+), least AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM cut),
+ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(phrase, ' ')) AS rank, array_to_string(phrase, ' ') AS phrase, a, l, r, n, score FROM least WHERE nth = 1
+)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""
+
+
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_copies(table(spark, sf_dir, "documents"))
 
@@ -147,6 +176,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": op8_license_scan,
         "op9_minhash_dedup": op9_minhash_dedup,
         "op10_toxicity": op10_toxicity,
+        "op11_collocations": op11_collocations,
         "op13_fingerprints": op13_fingerprints,
     }
 
@@ -157,4 +187,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_substring_dedup": OP6_SQL,
         "op7_exact_dedup": OP7_SQL,
         "op9_minhash_dedup": OP9_SQL,
+        "op11_collocations": OP11_SQL,
     }
