@@ -17,6 +17,7 @@ from .licenses import corpus_lines, license_scan, train_scanner
 from .minhash_dedup import near_duplicates
 from .packing import best_fit_packing
 from .pii import pseudonymised, session_key
+from .prefix_trie import conversation_trie
 from .substring_dedup import remove_repeats
 from .toxicity import classify, labelled_chain
 from .warc import archived_pages
@@ -160,6 +161,39 @@ SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BI
 """
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+#: CRC-32 bit by bit: 3988292384 is its reversed polynomial.
+OP12_SQL = r"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS i, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS said FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+    lambda a, x: list_reduce(list_prepend(xor(a, x), range(8)), lambda b, k: xor(b >> 1, 3988292384 * (b & 1)))), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)
+), r AS (
+  SELECT c.conv_id, i AS pos, said FROM c JOIN t ON t.conv_id = c.base AND i < h UNION ALL SELECT c.conv_id, 4 + i, said FROM c JOIN t ON t.conv_id = c.conv_id AND i >= h
+), s AS (
+  SELECT c.conv_id, coalesce(list(said ORDER BY pos) FILTER (WHERE pos IS NOT NULL), []) AS turns FROM c LEFT JOIN r ON r.conv_id = c.conv_id GROUP BY c.conv_id
+), m AS (
+  SELECT conv_id, depth, sha256(to_json(turns[1 : depth])::VARCHAR) AS key, CASE WHEN depth > 0 THEN sha256(to_json(turns[1 : depth - 1])::VARCHAR) END AS parent, depth = len(turns) AS ends,
+    CASE WHEN depth > 0 THEN len(regexp_extract_all(turns[depth].text, '[^ 	-]+')) ELSE 0 END AS words FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS depth FROM s)
+), node AS (
+  SELECT key, depth, any_value(parent) AS parent, any_value(words) AS words, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM m GROUP BY key, depth
+), child AS (SELECT parent AS key, depth - 1 AS depth, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY ALL),
+own AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN child ON child.key = node.key AND child.depth = node.depth),
+tree AS (
+  SELECT m.key, m.depth, sum(CASE WHEN v.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((v.n_convs - 1) * v.words) AS saved_tokens
+  FROM own v JOIN m ON m.conv_id = v.conv_id AND m.depth <= v.depth GROUP BY ALL
+)
+SELECT o.conv_id, o.depth, p.conv_id AS parent_conv_id, o.n_convs, o.n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, o.ends_sha256
+FROM own o JOIN tree ON tree.key = o.key AND tree.depth = o.depth LEFT JOIN own p ON p.key = o.parent AND p.depth = o.depth - 1
+"""
+
+
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_copies(table(spark, sf_dir, "documents"))
 
@@ -177,6 +211,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_minhash_dedup": op9_minhash_dedup,
         "op10_toxicity": op10_toxicity,
         "op11_collocations": op11_collocations,
+        "op12_prefix_trie": op12_prefix_trie,
         "op13_fingerprints": op13_fingerprints,
     }
 
@@ -188,4 +223,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_exact_dedup": OP7_SQL,
         "op9_minhash_dedup": OP9_SQL,
         "op11_collocations": OP11_SQL,
+        "op12_prefix_trie": OP12_SQL,
     }
