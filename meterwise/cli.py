@@ -141,11 +141,11 @@ def build_report(spark: SparkSession, args: argparse.Namespace, now: datetime) -
 def gather_period(spark: SparkSession, args: argparse.Namespace, now: datetime) -> list[str]:
     """The lines that the command prints: files and rows of each table, or what they would be."""
     settings = settings_of(args)
-    since, until = gather.interval(args.path, parse_date(args.since, now), parse_date(args.until, now), now)
-    tables = gather.gathered(relations_of(spark, args, settings), settings, since, until)
+    spans = gather.intervals(args.path, settings, parse_date(args.since, now), parse_date(args.until, now), now)
+    tables = gather.gathered(relations_of(spark, args, settings), settings, spans)
     if args.dry_run:
         return [f"{r.table} {r.slice_start}: {r.rows} rows" for r in gather.counts(tables).orderBy("table", "slice_start").toLocalIterator()]
-    return [f"{name}: {files} files, {rows} rows" for name, (files, rows) in gather.ship(tables, settings, args.path, until).items()]
+    return [f"{name}: {files} files, {rows} rows" for name, (files, rows) in gather.ship(tables, settings, args.path, spans).items()]
 
 
 def main(argv: Sequence[str] | None = None, now: datetime | None = None) -> int:

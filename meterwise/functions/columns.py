@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,10 +46,10 @@ def event_field(data: Column, name: str) -> Column:
     return F.get_json_object(F.replace(data, F.lit("\\u"), F.lit("\\u005cu")), f"$.{name}")
 
 
-def without_null_tokens(df: DataFrame, tokens: tuple[str, ...] = NULL_TOKENS) -> DataFrame:
-    """df with null for those texts that mean null in an export."""
-    kinds = dict(df.dtypes)
-    return df.select(*(F.when(~F.col(c).isin(*tokens), F.col(c)).alias(c) if kinds[c] == "string" else F.col(c) for c in df.columns))
+def without_null_tokens(df: DataFrame, tokens: tuple[str, ...] = NULL_TOKENS, among: Sequence[str] | None = None) -> DataFrame:
+    """df with null for those texts, in the columns `among` (all without it), that mean null in an export."""
+    kinds, chosen = dict(df.dtypes), set(df.columns if among is None else among)
+    return df.select(*(F.when(~F.col(c).isin(*tokens), F.col(c)).alias(c) if kinds[c] == "string" and c in chosen else F.col(c) for c in df.columns))
 
 
 def total(column: Column | str) -> Column:

@@ -19,7 +19,7 @@ CONTENT_KEYS = ["host_name", "module_name", "collection_name", "role_name", "ins
 TASK_COUNTERS = ("dark", "failures", "ok", "skipped", "ignored", "rescued")
 
 
-def normalised_job_hosts(job_hosts: DataFrame) -> DataFrame:
+def normalised_job_hosts(job_hosts: DataFrame, *more: str) -> DataFrame:
     """job_hosts with a name for each organization, and each host's real name where its variables give one.
 
     A row's task_runs are null, and later count as 0, if one of its counters is null.
@@ -35,12 +35,14 @@ def normalised_job_hosts(job_hosts: DataFrame) -> DataFrame:
         reduce(add, (F.col(c) for c in TASK_COUNTERS)).alias("task_runs"),
         "created",
         "job_created",
+        *more,
     )
 
 
-def host_rollup(job_hosts: DataFrame) -> DataFrame:
-    """Runs, tasks and times for each organization, template, host, installation and job; null keys are groups too."""
-    return normalised_job_hosts(job_hosts).groupBy(*HOST_KEYS).agg(
+def host_rollup(job_hosts: DataFrame, *more: str) -> DataFrame:
+    """Runs, tasks and times for each organization, template, host, installation and job, and of the columns `more`; null keys are
+    groups too."""
+    return normalised_job_hosts(job_hosts, *more).groupBy(*HOST_KEYS, *more).agg(
         F.count("host_name").alias("host_runs"),
         total("task_runs").alias("task_runs"),
         F.min("created").alias("first_automation"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from datetime import datetime, timedelta
@@ -11,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..options import OPTIONAL_TABLES, BadSetting, MissingSetting, Settings
-from ..sinks.files import exists, read_text, write_text
+from ..sinks.commits import Span
 from ..sinks.landing import BYTES, ROWS, ship_slices
 from ..sources import extract
+from . import state
 
 #: How far back a gathering begins that knows of none before.
 HORIZON = timedelta(weeks=4)
@@ -23,23 +23,31 @@ class NothingGathered(ValueError):
     """A period has no rows."""
 
 
-def state_file(path: str) -> str:
-    return f"{path.rstrip('/')}/gathered.json"
+def last_gathered(path: str, install: str) -> Mapping[str, datetime]:
+    """For each table the moment up to which earlier gatherings of an installation have shipped it to path."""
+    return state.load(path, install).marks
 
 
-def last_gathered(path: str) -> datetime | None:
-    """The moment up to which an earlier gathering has shipped to path."""
-    return datetime.fromisoformat(json.loads(read_text(state_file(path)))["until"]) if exists(state_file(path)) else None
-
-
-def interval(path: str, since: datetime | None, until: datetime | None, now: datetime) -> tuple[datetime, datetime]:
+def interval(last: datetime | None, since: datetime | None, until: datetime | None, now: datetime) -> Span:
     """The period of a gathering: without since it goes on where the last one ended, but begins HORIZON before its end at most."""
     until = min(until or now, now)
     if since is None:
-        since = max(last_gathered(path) or until - HORIZON, until - HORIZON)
+        since = max(last or until - HORIZON, until - HORIZON)
     if since >= until:
         raise BadSetting(f"nothing lies between {since} and {until}")
-    return since, until
+    return Span(since, until)
+
+
+def intervals(path: str, settings: Settings, since: datetime | None, until: datetime | None, now: datetime) -> dict[str, Span]:
+    """The period of each table that the settings ask for. A table that an earlier gathering has shipped up to the end asked for
+    is not among them, unless since is given."""
+    marks = last_gathered(path, settings.install_uuid) if settings.install_uuid else {}
+    end = min(until or now, now)
+    names = [n for n in COLLECTORS if n not in OPTIONAL_TABLES or n in settings.tables]
+    open_ = [n for n in names if since is not None or n not in marks or marks[n] < end]
+    if not open_:
+        raise BadSetting(f"all tables are shipped up to {end}")
+    return {n: interval(marks.get(n), since, until, now) for n in open_}
 
 
 def sliced(table: DataFrame, moment: str, since: datetime, until: datetime) -> DataFrame:
@@ -67,17 +75,17 @@ COLLECTORS = {
 }
 
 
-def gathered(db: Mapping[str, DataFrame], settings: Settings, since: datetime, until: datetime) -> dict[str, DataFrame]:
-    """The tables of an export for a period, in slices of a day."""
+def gathered(db: Mapping[str, DataFrame], settings: Settings, spans: Mapping[str, Span]) -> dict[str, DataFrame]:
+    """The tables of an export, each for its period, in slices of a day."""
     if settings.host_fields is None:
         raise MissingSetting("gathering needs host_fields in the settings")
     if unknown := set(settings.tables) - set(OPTIONAL_TABLES):
         raise BadSetting(f"unknown tables: {', '.join(sorted(unknown))}")
     tables = {}
-    for name, collector in COLLECTORS.items():
-        if name not in OPTIONAL_TABLES or name in settings.tables:
-            rows = sliced(collector.rows(db, since, until, settings), collector.moment, since, until)
-            tables[name] = rows.drop(collector.moment) if collector.helper else rows
+    for name, span in spans.items():
+        collector = COLLECTORS[name]
+        rows = sliced(collector.rows(db, span.since, span.until, settings), collector.moment, span.since, span.until)
+        tables[name] = rows.drop(collector.moment) if collector.helper else rows
     return tables
 
 
@@ -90,16 +98,27 @@ def counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     return out.select("table", "slice_start", "slice_end", "rows")
 
 
-def ship(tables: Mapping[str, DataFrame], settings: Settings, path: str, until: datetime, rows: int = ROWS, most_bytes: int = BYTES) -> dict[str, tuple[int, int]]:
-    """Ships the tables and then remembers until when; for each table its files and rows. Each table's tarballs are its own."""
+def ship(tables: Mapping[str, DataFrame], settings: Settings, path: str, spans: Mapping[str, Span], rows: int = ROWS, most_bytes: int = BYTES) -> dict[str, tuple[int, int]]:
+    """Ships the tables; for each its files and rows. Each is committed by itself, and then marked as shipped, so a table that
+    fails is the only one that the next gathering takes again. One gathering of an installation runs at a time."""
     if not settings.install_uuid:
         raise MissingSetting("shipping needs install_uuid in the settings")
-    sent = {}
-    for name, table in tables.items():
-        texts = table.select(*(F.col(c) if c.startswith("slice_") else F.col(c).cast("string").alias(c) for c in table.columns))
-        files = ship_slices(texts, f"{path.rstrip('/')}", name, settings.install_uuid, rows, most_bytes)
-        sent[name] = tuple(x or 0 for x in files.agg(F.count("*"), F.sum("rows")).first())
+    sent, errors = {}, []
+    with state.lease(path, settings.install_uuid) as lease:
+        for name, table in tables.items():
+            texts = table.select(*(F.col(c) if c.startswith("slice_") else F.col(c).cast("string").alias(c) for c in table.columns))
+            try:
+                files = ship_slices(texts, path.rstrip("/"), name, settings.install_uuid, rows, most_bytes, [spans[name]])
+            except BadSetting:
+                raise
+            except Exception as error:  # the other tables do not wait for this one
+                errors.append(error)
+                continue
+            sent[name] = tuple(x or 0 for x in files.agg(F.count("*"), F.sum("rows")).first())
+            if sent[name][1]:
+                lease.mark(name, spans[name].until)
+    if errors:
+        raise errors[0]
     if not any(n for _, n in sent.values()):
         raise NothingGathered("no rows in the period")
-    write_text(state_file(path), json.dumps({"until": until.isoformat()}))
     return sent

@@ -14,10 +14,11 @@ from ..functions.columns import COLLECTION, ROLE
 from ..functions.dates import day_slices, days_between, parse_date, parse_days, parse_month, sliding_windows, truncated
 from ..operators import hosts, rollups, usage
 from ..operators.components import checkpointed
+from ..sinks.files import file_system, names_in
 from ..sinks.landing import land, landed, ship_slices
 from ..sources import adapters, extract
-from ..sources.exports import read_exports
-from ..streaming.incremental import gather_new
+from ..sources.exports import read_exports, scan_exports
+from ..streaming.incremental import gather_exports, gather_new, streamed_rollup
 from .gather import sliced
 
 PRICE = 11.55
@@ -70,18 +71,65 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/meterwise/{name}-{uuid.uuid4().hex}"
 
 
-def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Job hosts shipped as tarballs, a slice a year and installation, read back, and rolled up."""
-    rows = adapters.job_hosts(spark, sf_dir).withColumn("id", F.xxhash64("job_remote_id", "host_name", "ok"))
-    path = _scratch(spark, "exports")
+def _shipped(job_hosts: DataFrame, path: str, until: datetime | None = None, **how) -> None:
+    """Ships job hosts as tarballs, a slice a year and installation; only rows before `until`, where slices end then."""
+    rows = job_hosts.withColumn("id", F.xxhash64("job_remote_id", "host_name", "ok"))
+    year, end = F.date_trunc("year", "created").cast("timestamp_ntz"), F.expr("INTERVAL 1 YEAR")
+    rows = rows if until is None else rows.where(F.col("created") < F.lit(until).cast("timestamp_ntz"))
+    last = year + end if until is None else F.least(year + end, F.lit(until).cast("timestamp_ntz"))
     for install in ("install-F", "install-O"):
-        year = F.date_trunc("year", "created").cast("timestamp_ntz")
         part = rows.where(F.col("install_uuid") == install).drop("install_uuid")
-        texts = part.select(*(F.col(c).cast("string").alias(c) for c in part.columns), year.alias("slice_start"), (year + F.expr("INTERVAL 1 DAY")).alias("slice_end"))
-        ship_slices(texts.repartition("slice_start").sortWithinPartitions("slice_start"), path, "job_host_summary", install).agg(F.sum("rows")).collect()
+        texts = part.select(*(F.col(c).cast("string").alias(c) for c in part.columns), year.alias("slice_start"), last.alias("slice_end"))
+        ship_slices(texts.repartition("slice_start").sortWithinPartitions("slice_start"), path, "job_host_summary", install, **how)
+
+
+def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Job hosts shipped as tarballs, read back, and rolled up."""
+    path = _scratch(spark, "exports")
+    _shipped(adapters.job_hosts(spark, sf_dir), path)
     return rollups.host_rollup(read_exports(spark, path, "job_host_summary", date(1990, 1, 1), date(2010, 12, 31)))
 
 
+def _reshipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, shipped up to the middle of a year first, and then again with all of that year."""
+    rows, path = adapters.job_hosts(spark, sf_dir), _scratch(spark, "reshipped")
+    _shipped(rows, path, until=datetime(1996, 7, 1))
+    _shipped(rows.where("created >= '1996-01-01'"), path)
+    return rollups.host_rollup(read_exports(spark, path, "job_host_summary", date(1990, 1, 1), date(2010, 12, 31)))
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shipped in two goes, the second of which replaces a slice of the first, each followed by a run of the stream."""
+    rows, path = adapters.job_hosts(spark, sf_dir), _scratch(spark, "streamed")
+    for part, until in ((rows, datetime(1996, 7, 1)), (rows.where("created >= '1996-01-01'"), None)):
+        _shipped(part, f"{path}/shipped", until)
+        gather_exports(spark, f"{path}/shipped", f"{path}/target", f"{path}/checkpoint").awaitTermination()
+    return streamed_rollup(spark, f"{path}/shipped", f"{path}/target")
+
+
+def _rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and unreadable tarballs by year of a landed set in which every tarball of 1994 has lost its second half."""
+    path = _scratch(spark, "rejects")
+    _shipped(adapters.job_hosts(spark, sf_dir), path, rows=1 << 40, most_bytes=1 << 50)
+    where, root = file_system(path)
+    for name in names_in(f"{path}/data/1994/01/01"):
+        if name.endswith(".tar.gz"):
+            with where.open_input_file(f"{root}/data/1994/01/01/{name}") as file:
+                half = file.read(file.size() // 2)
+            with where.open_output_stream(f"{root}/data/1994/01/01/{name}", compression=None) as out:
+                out.write(half)
+    scan = scan_exports(spark, path, "job_host_summary")
+    return scan.groupBy(F.year("slice_day").cast("long").alias("year")).agg(F.count_if("error IS NULL").alias("n_rows"), F.count_if("error IS NOT NULL").alias("n_rejects"))
+
+
+def _pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage of one installation in some years; the tarballs of others are not opened."""
+    path = _scratch(spark, "pruned")
+    _shipped(adapters.job_hosts(spark, sf_dir), path)
+    scan = scan_exports(spark, path, "job_host_summary").where("install_uuid = 'install-F' AND slice_day >= DATE '1993-01-01' AND slice_day < DATE '1995-01-01'")
+    return scan.where("error IS NULL").groupBy("install_uuid", "organization_name").agg(F.count("*").alias("n_rows"), F.sum("ok").alias("ok"))
+
+
 def _landed_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Job hosts landed as Parquet by month, of which the folders of a period are read."""
     path = _scratch(spark, "landed")
@@ -151,6 +199,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "renewal_summary": _summary,
         "renewal_summary_plain": lambda s, d: hosts.renewal_summary(_nodes(s, d)),
         "exports_rollup": _exported,
+        "reshipped_rollup": _reshipped,
+        "exports_stream_rollup": _streamed,
+        "export_rejects": _rejects,
+        "pruned_exports": _pruned,
         "landed_period": _landed_period,
         "incremental_rollup": _incremental,
         "gathered_slices": _gathered_slices,
@@ -293,6 +345,12 @@ UNION ALL SELECT 3, 'Deleted Automated hosts', count(DISTINCT hostname) FROM nod
         "renewal_summary_plain": f"""WITH RECURSIVE {_NODES} SELECT 0 AS position, 'Automated hosts' AS description, count(DISTINCT hostname) AS quantity_consumed FROM nodes WHERE NOT deleted
 UNION ALL SELECT 1, 'Deleted Automated hosts', count(DISTINCT hostname) FROM nodes WHERE deleted""",
         "exports_rollup": rollup,
+        "reshipped_rollup": rollup,
+        "exports_stream_rollup": rollup,
+        "export_rejects": f"""WITH {_JOB_HOSTS} SELECT CAST(year(created) AS BIGINT) AS year, CAST(count(*) FILTER (WHERE year(created) <> 1994) AS BIGINT) AS n_rows,
+  count(DISTINCT CASE WHEN year(created) = 1994 THEN install_uuid END) AS n_rejects FROM job_hosts GROUP BY 1""",
+        "pruned_exports": f"""WITH {_JOB_HOSTS} SELECT install_uuid, organization_name, count(*) AS n_rows, CAST(sum(ok) AS BIGINT) AS ok FROM job_hosts
+WHERE install_uuid = 'install-F' AND created >= TIMESTAMP '1993-01-01' AND created < TIMESTAMP '1995-01-01' GROUP BY 1, 2""",
         "landed_period": f"""WITH {_JOB_HOSTS} SELECT organization_name, count(*) AS n_rows, CAST(sum(ok) AS BIGINT) AS ok FROM job_hosts
 WHERE created >= TIMESTAMP '1996-01-01' AND created < TIMESTAMP '1997-01-01' GROUP BY 1""",
         "incremental_rollup": rollup,

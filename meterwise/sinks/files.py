@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyarrow import fs as arrow_fs
 
 from ..options import BadSetting
@@ -38,6 +41,55 @@ def write_text(path: str, text: str) -> None:
         out.write(text.encode())
 
 
+def create_text(path: str, text: str) -> bool:
+    """Writes a file that is whole or not there; False if another has written it before.
+
+    On a local file system the complete file gets its name by a link, which fails if the name is taken; elsewhere Hadoop's
+    file system creates it without overwriting, in a driver's session.
+    """
+    where, file = file_system(path)
+    if not isinstance(where, arrow_fs.LocalFileSystem):
+        return _create_by_hadoop(path, text)
+    os.makedirs(os.path.dirname(file) or "/", exist_ok=True)
+    part = f"{os.path.dirname(file)}/.{uuid.uuid4().hex}"
+    with open(part, "w", encoding="utf-8") as out:
+        out.write(text)
+        out.flush()
+        os.fsync(out.fileno())
+    try:
+        os.link(part, file)
+    except FileExistsError:
+        return False
+    finally:
+        os.remove(part)
+    return True
+
+
+def _create_by_hadoop(path: str, text: str) -> bool:
+    from pyspark.errors.exceptions.captured import Py4JJavaError
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.active()
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    try:
+        out = store.create(target, False)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in str(error.java_exception.getClass().getName()) or store.exists(target):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def names_in(path: str, folders: bool = False) -> list[str]:
+    """The names of the files, or folders, in a folder; none if there is no such folder."""
+    where, root = file_system(path)
+    kind = arrow_fs.FileType.Directory if folders else arrow_fs.FileType.File
+    return sorted(x.base_name for x in where.get_file_info(arrow_fs.FileSelector(root, allow_not_found=True)) if x.type == kind and not x.base_name.startswith("."))
+
+
 def url(path: str) -> str:
     """The path as a URL, for readers that take nothing else."""
     return path if "://" in path else f"file://{path}"

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import io
+import itertools
 import json
 import tarfile
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterator, Sequence
 from datetime import date, datetime
 
 import pyarrow as pa
@@ -14,10 +16,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.exports import day_folder
+from ..operators.components import checkpointed
+from . import commits
+from .commits import Manifest, Span, day_folder
 from .files import file_system
 
-
 #: What a tarball holds at most: rows, and bytes of its columns in memory.
 ROWS, BYTES = 100_000, 64 << 20
 
@@ -33,14 +36,10 @@ def _tarball(part: pa.Table, table: str, config: bytes) -> bytes:
     return out.getvalue()
 
 
-def ship_slices(df: DataFrame, path: str, table: str, install_uuid: str, rows: int = ROWS, most_bytes: int = BYTES) -> DataFrame:
-    """Writes df, which has the columns slice_start and slice_end beside those of the table, as tarballs with the installation's
-    config: each of one slice, of at most `rows` rows or about `most_bytes` bytes, in the folder of the slice's first day.
-
-    Every partition writes its own files, under names that a repeated task writes again, so a retry leaves no copies. Rows
-    of a slice should follow each other. Returns (file, rows) when evaluated.
-    """
-    config = json.dumps({"install_uuid": install_uuid}).encode()
+def write_slices(df: DataFrame, path: str, table: str, install_uuid: str, shipment: str, rows: int = ROWS, most_bytes: int = BYTES, config: dict | None = None) -> DataFrame:
+    """The first phase of ship_slices: the tarballs of a shipment, which do not count yet. (slice_start, slice_end, file, rows) when
+    evaluated; an attempt of a task that fails leaves files that are not among them."""
+    document = json.dumps({**(config or {}), "install_uuid": install_uuid}).encode()
     names = [c for c in df.columns if c not in ("slice_start", "slice_end")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,16 +47,16 @@ def ship_slices(df: DataFrame, path: str, table: str, install_uuid: str, rows: i
         number, held, slice_, count, size = 0, [], None, 0, 0
 
         def write(part: pa.Table) -> pa.RecordBatch:
-            since, until = slice_
-            folder = day_folder(root, since.date())
-            file = f"{folder}/{install_uuid}-{since:%Y-%m-%d-%H%M%S}-{until:%Y-%m-%d-%H%M%S}-{table}-{TaskContext.get().partitionId()}-{number}.tar.gz"
+            folder, task = day_folder(root, slice_[0].date()), TaskContext.get()
+            name = commits.tarball_name(install_uuid, Span(*slice_), table, shipment, f"{task.partitionId()}-{task.taskAttemptId()}-{number}")
             where.create_dir(folder, recursive=True)
-            with where.open_output_stream(file, compression=None) as out:
-                out.write(_tarball(part, table, config))
-            return pa.RecordBatch.from_pydict({"file": [file], "rows": pa.array([part.num_rows], pa.int64())})
+            with where.open_output_stream(f"{folder}/{name}", compression=None) as out:
+                out.write(_tarball(part, table, document))
+            start, end = (pa.array([x], pa.timestamp("us")) for x in slice_)
+            return pa.RecordBatch.from_arrays([start, end, pa.array([f"{folder}/{name}"]), pa.array([part.num_rows], pa.int64())], names=["slice_start", "slice_end", "file", "rows"])
 
         for batch in batches:
-            starts, ends = (batch.column(c).to_pylist() for c in ("slice_start", "slice_end"))
+            starts, ends = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("slice_start", "slice_end"))
             at = 0
             while at < batch.num_rows:
                 end = next((i for i in range(at + 1, batch.num_rows) if starts[i] != starts[at]), batch.num_rows)
@@ -75,13 +74,44 @@ def ship_slices(df: DataFrame, path: str, table: str, install_uuid: str, rows: i
         if held:
             yield write(pa.Table.from_batches(held))
 
-    return df.mapInArrow(run, "file string, rows long")
+    return df.mapInArrow(run, "slice_start timestamp_ntz, slice_end timestamp_ntz, file string, rows long")
+
+
+def ship_slices(df: DataFrame, path: str, table: str, install_uuid: str, rows: int = ROWS, most_bytes: int = BYTES, covers: Sequence[Span] | None = None, config: dict | None = None) -> DataFrame:
+    """Ships df, which has the columns slice_start and slice_end beside those of the table, as tarballs with the installation's
+    config: each of one slice, of at most `rows` rows or about `most_bytes` bytes, in the folder of the slice's first day.
+
+    All tarballs count at once, when the shipment is committed, or none; those of the same table whose slices lie in what
+    the shipment covers (the slices themselves, if `covers` is not given) count no more. PartlyShipped is raised where a
+    slice would be replaced only in part. Rows of a slice should follow each other. Returns (file, rows).
+    """
+    shipment = uuid.uuid4().hex
+    if covers:
+        commits.refuse_parts(path, install_uuid, table, covers)
+    written = checkpointed(write_slices(df, path, table, install_uuid, shipment, rows, most_bytes, config))
+    spans = list(covers) if covers else [Span(*r) for r in written.select("slice_start", "slice_end").distinct().collect()]
+    if not covers:
+        commits.refuse_parts(path, install_uuid, table, spans)
+    days: set[date] = set()
+    listed = (r for r in written.orderBy("slice_start", "slice_end", "file").toLocalIterator())
+    for day, found in itertools.groupby(listed, lambda r: r.slice_start.date()):
+        slices = {span: tuple(r.file.rpartition("/")[2] for r in some) for span, some in itertools.groupby(found, lambda r: Span(r.slice_start, r.slice_end))}
+        touching = [s for s in spans if day in (s.since.date(), *commits.days_of(s))] if covers else list(slices)
+        commits.write_manifest(path, day, Manifest(install_uuid, table, shipment, tuple(touching), slices))
+        days.add(day)
+    for day, folder in commits.live_folders(path, sorted({d for s in spans for d in commits.days_of(s)} - days), table, lambda i, _: i == install_uuid).items() if covers else ():
+        if folder.live:  # what was there is replaced by nothing
+            commits.write_manifest(path, day, Manifest(install_uuid, table, shipment, tuple(s for s in spans if day in commits.days_of(s)), {}))
+            days.add(day)
+    if days:
+        commits.commit(path, install_uuid, table, shipment, days)
+    return written.select("file", "rows")
 
 
 def ship_tarballs(df: DataFrame, path: str, table: str, install_uuid: str, since: datetime, until: datetime, rows: int = ROWS, most_bytes: int = BYTES) -> DataFrame:
     """df as tarballs of one slice, from since to until: see ship_slices."""
     slice_ = {"slice_start": F.lit(since).cast("timestamp_ntz"), "slice_end": F.lit(until).cast("timestamp_ntz")}
-    return ship_slices(df.withColumns(slice_), path, table, install_uuid, rows, most_bytes)
+    return ship_slices(df.withColumns(slice_), path, table, install_uuid, rows, most_bytes, [Span(since, until)])
 
 
 def land(df: DataFrame, path: str, day: Column, mode: str = "errorifexists") -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import add
 
@@ -10,7 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.rollups import TASK_COUNTERS, host_rollup
+from ..operators.rollups import TASK_COUNTERS, host_rollup, merged_host_rollups
+from ..sources.exports import live_slices, rejected, stream_exports
+
+#: What tells the slices of shipments apart in partial rollups.
+SLICE = ("shipment", "slice_start", "slice_day")
 
 
 def gather_new(spark: SparkSession, source: str, target: str, checkpoint: str, schema: StructType) -> StreamingQuery:
@@ -27,6 +32,32 @@ def gather_new(spark: SparkSession, source: str, target: str, checkpoint: str, s
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def gather_exports(spark: SparkSession, path: str, target: str, checkpoint: str, columns: Sequence[str] | None = None, renamed: Mapping[str, str] | None = None) -> StreamingQuery:
+    """Rolls up the job hosts of shipments committed since the last run and appends them to target/rollups, by shipment and slice,
+    and what is wrong with unreadable tarballs to target/rejects; then stops. streamed_rollup gives the whole.
+
+    The checkpoint holds the last record of each installation's log; a batch that is repeated writes the folders of its own
+    number anew.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        host_rollup(batch.where("error IS NULL"), *SLICE).write.mode("overwrite").parquet(f"{target}/rollups/batch={number}")
+        rejected(batch).write.mode("overwrite").parquet(f"{target}/rejects/batch={number}")
+        batch.unpersist()
+
+    stream = stream_exports(spark, path, "job_host_summary", columns, renamed)
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def streamed_rollup(spark: SparkSession, path: str, target: str) -> DataFrame:
+    """The rollup of what gather_exports has rolled up so far, without the slices that later shipments have replaced since."""
+    parts = spark.read.parquet(f"{target}/rollups").drop("batch")
+    days = [r[0] for r in parts.select("slice_day").distinct().collect()]
+    live = live_slices(spark, path, "job_host_summary", days)
+    return merged_host_rollups(parts.join(live, ["install_uuid", "shipment", "slice_start"], "left_semi"))
+
+
 def hourly_usage(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     """Task runs by hour and organization of a stream of job hosts with a column created; rows later than `late` are left
     out, and an hour is final once it is that old."""

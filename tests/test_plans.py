@@ -15,6 +15,7 @@ from meterwise.operators import hosts, rollups
 from meterwise.options import OPTIONAL_SHEETS, SHEETS, BadSetting, MissingSetting, ReportOptions, Settings
 from meterwise.plans import gather, registry, reports
 from meterwise.sinks import landing, xlsx
+from meterwise.sinks.commits import Span
 from meterwise.sources import adapters, extract
 from meterwise.sources.exports import read_exports
 from meterwise.sources.schemas import TABLES, columns_of, conformed, plain_name
@@ -177,9 +178,10 @@ def test_from_relations_to_workbooks(spark, relations, tmp_path):
     sent = cli.gather_period(spark, parse(["gather", *base, "--since", "1996-02-01", "--until", "1996-03-01", "--ship"]), now)
     rows = spark.read.parquet(f"file://{relations}/job_hosts").where("modified >= '1996-02-01' AND modified < '1996-03-01'")
     assert f"{rows.count()} rows" in sent[0] and sum(int(x.split()[-2]) for x in planned if x.startswith("job_host")) == rows.count()
-    assert gather.last_gathered(f"file://{tmp_path}") == datetime(1996, 3, 1)
-    assert gather.interval(f"file://{tmp_path}", None, None, datetime(1996, 3, 5)) == (datetime(1996, 3, 1), datetime(1996, 3, 5))
-    assert gather.interval(f"file://{tmp_path}", None, None, now)[0] == now - gather.HORIZON
+    last = gather.last_gathered(f"file://{tmp_path}", "install-X")
+    assert last["job_host_summary"] == datetime(1996, 3, 1)
+    assert gather.interval(last["job_host_summary"], None, None, datetime(1996, 3, 5)) == Span(datetime(1996, 3, 1), datetime(1996, 3, 5))
+    assert gather.interval(last["job_host_summary"], None, None, now).since == now - gather.HORIZON
     assert all((tmp_path / f"data/1996/02/{d:02}").is_dir() for d in (1, 15, 29))
     with pytest.raises(gather.NothingGathered):
         cli.gather_period(spark, parse(["gather", *base, "--since", "1980-02-01", "--until", "1980-03-01", "--ship"]), now)
@@ -223,9 +225,9 @@ def test_wrong_settings_and_places(spark, relations, tmp_path):
     with pytest.raises(MissingSetting):
         cli.build_report(spark, parse(["report", "renewal", "--path", str(tmp_path)]), datetime(2024, 1, 1))
     with pytest.raises(MissingSetting):
-        gather.gathered({}, Settings(), datetime(2024, 1, 1), datetime(2024, 1, 2))
+        gather.gathered({}, Settings(), {"job_host_summary": Span(datetime(2024, 1, 1), datetime(2024, 1, 2))})
     with pytest.raises(BadSetting):
-        gather.interval(str(tmp_path), datetime(2024, 1, 2), datetime(2024, 1, 2), datetime(2024, 1, 3))
+        gather.interval(None, datetime(2024, 1, 2), datetime(2024, 1, 2), datetime(2024, 1, 3))
     for text, error in (('{"host_fields": {"address": "a"}}', MissingSetting), ('{"x": 1}', BadSetting), ('{"tables": ["x"]}', BadSetting)):
         with pytest.raises(error):
             Settings.of(text)
