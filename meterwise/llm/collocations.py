@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from collections.abc import Iterator
+import itertools
+import uuid
+from collections.abc import Callable, Iterator
 from operator import itemgetter
 
 import ahocorasick
@@ -21,12 +23,13 @@ from pyspark.sql import functions as F
 
 from .common import Words, few_rows, mix, small_batches, stored, utf8
 
-#: Cells of a row of the sketch, its rows, and the slices in which rows are merged.
-CELLS, ROWS, SLICES = 1 << 24, 2, 64
+#: Rows of a sketch. Each has a cell for WIDTH bytes of text, between the bounds CELLS, and is added up by slices of SLICE cells;
+#: a task sends its counts when it has FLUSH phrases. Candidates are united in SLICES slices.
+ROWS, WIDTH, CELLS, SLICE, FLUSH, SLICES = 2, 16, (1 << 16, 1 << 28), 1 << 20, 4_000_000, 64
 #: Phrases, and bytes of them, that one automaton may have.
 PHRASES, BYTES = 1_000_000, 32 << 20
-#: Phrases that a task remembers to have named.
-NAMED = 1_000_000
+#: Phrases that a task remembers to have named, and those whose sums one task makes at a time.
+NAMED, PATTERNS = 1_000_000, 1 << 14
 #: Bytes between words, and those of them that end a piece.
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -73,7 +76,7 @@ class LangWords:
 
 def _cells(hashes: np.ndarray, cells: int) -> list[np.ndarray]:
     """A cell for each hash in each row of the sketch."""
-    return [((hashes >> np.uint64(32 * r)) & np.uint64(cells - 1)).astype(np.int64) for r in range(ROWS)]
+    return [(hashes >> np.uint64(32 * r)) & np.uint64(cells - 1) for r in range(ROWS)]
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], LangWords]]:
@@ -83,88 +86,168 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], LangWo
         yield langs, LangWords(texts, langs)
 
 
-def bounds(texts: DataFrame, least: int, longest: int, cells: int) -> list[bytes]:
-    """For each row of the sketch a bit for each cell: whether phrases that fall there may occur `least` times.
+def _packed(numbers: np.ndarray, kind: str) -> bytes:
+    """Numbers with their first bytes together, then their second ones and so on, compressed."""
+    data = numbers.astype(kind)
+    return pa.compress(data.view(np.uint8).reshape(len(data), -1).T.tobytes(), codec="zstd", asbytes=True)
 
-    Each task counts into a sketch of its own; counts up to 255 leave it, in slices that are added up by other tasks, so what
-    reaches the driver is two bits a cell, however large the texts.
+
+def _unpacked(data: bytes, n: int, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(data, n * width, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(raw.reshape(width, n).T).view(kind).ravel()
+
+
+_PARTS = "slice int, n long, places binary, counts binary"
+
+
+def _parts(places: np.ndarray, counts: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
+    """Counts at ascending places as rows of _PARTS, one for each slice of `size` places."""
+    edges = np.searchsorted(places, np.arange(0, int(places[-1]) + size + 1, size)) if len(places) else np.zeros(1, np.int64)
+    for s, (a, b) in enumerate(itertools.pairwise(edges.tolist())):
+        if a < b:
+            steps = np.diff(places[a:b].astype(np.int64) - s * size, prepend=0)
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([s], pa.int32()), "n": pa.array([b - a], pa.int64()), "places": [_packed(steps, "<u4")], "counts": [_packed(counts[a:b], "<i8")]})
+
+
+def _summed(parts: DataFrame, size: int, schema: str, finish: Callable[[int, np.ndarray], pa.RecordBatch]) -> DataFrame:
+    """What finish makes of each slice's sums; a task holds one slice at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, total = None, None
+        for batch in batches:
+            for s, n, places, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if s != of:
+                    if of is not None:
+                        yield finish(of, total)
+                    of, total = s, np.zeros(size, np.int64)
+                total[np.cumsum(_unpacked(places, n, "<u4"))] += _unpacked(counts, n, "<i8")
+        if of is not None:
+            yield finish(of, total)
+
+    return few_rows(parts.repartition("slice").sortWithinPartitions("slice")).mapInArrow(run, schema)
+
+
+class Sketch:
+    """A count-min sketch of which two bits a cell are kept, one in each row: whether a phrase that falls there may be frequent."""
+
+    def __init__(self, rows: list[bytes], cells: int):
+        self.rows, self.cells = [np.frombuffer(x, np.uint8) for x in rows], cells
+
+    def may_have(self, hashes: np.ndarray) -> np.ndarray:
+        found = np.ones(len(hashes), bool)
+        for row, at in zip(self.rows, _cells(hashes, self.cells), strict=True):
+            found &= (row[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+        return found
+
+
+def _held(words: LangWords, longest: int, sketches: list[Sketch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(k, hashes, at): where phrases of k words stand that the sketches, the first of pairs, the second of longer ones, do not rule
+    out, nor any phrase within. Lengths beyond the sketches are held as their parts are."""
+    below = None
+    for k, hashes, whole in words.phrases(longest, words.first):
+        at = np.flatnonzero(whole if below is None else whole & below[:-1] & below[1:])
+        if len(sketches) > (k > 2):
+            at = at[sketches[k > 2].may_have(hashes[at])]
+        yield k, hashes, at
+        below = np.zeros(len(whole), bool)
+        below[at] = True
+        if not len(at):
+            return
+
+
+def sketched(texts: DataFrame, least: int, sizes: range, cells: int, known: list[bytes]) -> list[bytes]:
+    """The sketch of phrases of `sizes` words: for each row a bit for each cell, whether its phrases occur `least` times together.
+
+    Tasks count their cells and send them by slices, which other tasks add up, so what reaches the driver is two bits a
+    cell. known has the rows of the sketch of pairs, if phrases of more words are counted: only those count whose pairs it has.
     """
-    if not 0 < least < 256:
-        raise ValueError("the sketch tells counts from 1 to 255 apart")
-    size = cells // SLICES
+    size = min(cells, SLICE)
+    shared = texts.sparkSession.sparkContext.broadcast(known)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = None
+        pairs = [Sketch(shared.value, cells)] if known else []
+        held, n = [], 0
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            hashes = np.concatenate(held)
+            both = np.concatenate([at + np.uint64(r * cells) for r, at in enumerate(_cells(hashes, cells))])
+            yield from _parts(*np.unique(both, return_counts=True), size)
+
         for _, words in _read(batches):
-            counts = np.zeros((ROWS, cells), np.uint32) if counts is None else counts
-            for _, hashes, whole in words.phrases(longest, words.first):
-                for row, at in zip(counts, _cells(hashes[whole], cells), strict=True):
-                    np.add.at(row, at, 1)
-        if counts is None:
-            return
-        for r in range(ROWS):
-            for s in range(SLICES):
-                part = counts[r, s * size : (s + 1) * size]
-                if part.any():
-                    data = pa.compress(np.minimum(part, 255).astype(np.uint8).tobytes(), codec="zstd", asbytes=True)
-                    yield pa.RecordBatch.from_pydict({"row": pa.array([r], pa.int32()), "slice": pa.array([s], pa.int32()), "counts": [data]})
+            for k, hashes, at in _held(words, sizes[-1], pairs):
+                if k in sizes:
+                    held.append(hashes[at])
+                    n += len(at)
+            if n > FLUSH:
+                yield from flushed()
+                held, n = [], 0
+        if n:
+            yield from flushed()
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, total = None, np.zeros(size, np.uint32)
+    def bits(s: int, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"slice": pa.array([s], pa.int32()), "bits": [np.packbits(total >= least, bitorder="little").tobytes()]})
 
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"row": pa.array([of[0]], pa.int32()), "slice": pa.array([of[1]], pa.int32()), "bits": [np.packbits(total >= least).tobytes()]})
+    merged = _summed(few_rows(texts).mapInArrow(count, _PARTS), size, "slice int, bits binary", bits)
+    found = {r["slice"]: bytes(r["bits"]) for r in merged.collect()}  # of bounded size: two bits a cell
+    each = cells // size
+    return [b"".join(found.get(r * each + s) or bytes(-(-size // 8)) for s in range(each)) for r in range(ROWS)]
 
-        for batch in batches:
-            for r, s, data in zip(*(batch.column(i) for i in range(3)), strict=True):
-                if of != (r.as_py(), s.as_py()):
-                    if of:
-                        yield done()
-                    of, total = (r.as_py(), s.as_py()), np.zeros(size, np.uint32)
-                total += np.frombuffer(pa.decompress(data.as_buffer(), size, codec="zstd"), np.uint8)
-        if of:
-            yield done()
-
-    parts = few_rows(texts).mapInArrow(count, "row int, slice int, counts binary")
-    merged = parts.repartition("row", "slice").sortWithinPartitions("row", "slice").mapInArrow(merge, "row int, slice int, bits binary")
-    bits = [[bytes(size // 8)] * SLICES for _ in range(ROWS)]
-    for r in merged.collect():  # of bounded size: two bits a cell
-        bits[r["row"]][r["slice"]] = bytes(r["bits"])
-    return [b"".join(x) for x in bits]
-
-
-def candidates(texts: DataFrame, bits: list[bytes], longest: int, cells: int) -> DataFrame:
-    """(lang, phrase) for the phrases of two words and more whose bound, and that of each phrase within, is high enough."""
-    shared = texts.sparkSession.sparkContext.broadcast(bits)
+
+def candidates(texts: DataFrame, rows: list[list[bytes]], longest: int, cells: int) -> DataFrame:
+    """(lang, phrase) for the phrases of two words and more whose bounds, and those of the phrases within, are high enough.
+
+    Tasks send the distinct ones that they find packed by slices of hashes, which other tasks unite.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(rows)
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        high = [np.unpackbits(np.frombuffer(x, np.uint8)) for x in shared.value]
-        named: set[tuple[int, int]] = set()
+        sketches, named, out = [Sketch(x, cells) for x in shared.value], set(), [[] for _ in range(SLICES)]
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for s, found in enumerate(out):
+                if found:
+                    table, sink = pa.table({"lang": pa.array([f[0] for f in found], pa.string()), "phrase": pa.array([f[1] for f in found], pa.string())}), pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                        stream.write_table(table)
+                    yield pa.RecordBatch.from_pydict({"slice": pa.array([s], pa.int32()), "phrases": [sink.getvalue().to_pybytes()]})
+
         for langs, words in _read(batches):
-            ends, out, below = np.cumsum(words.of_text), [], None
-            for k, hashes, whole in words.phrases(longest, words.first):
-                at = np.flatnonzero(whole if below is None else whole & below[:-1] & below[1:])
-                at = at[np.logical_and.reduce([row[cell] > 0 for row, cell in zip(high, _cells(hashes[at], cells), strict=True)])]
-                below = np.zeros(len(whole), bool)
-                below[at] = True
-                if not len(at):
-                    break
+            ends = np.cumsum(words.of_text)
+            for k, hashes, at in _held(words, longest, sketches):
                 second = words.second[at]
                 for j in range(1, k):
                     second = mix(second * _NEXT + words.second[at + j])
                 order = np.lexsort((second, hashes[at]))
                 a, b = hashes[at][order], second[order]
-                new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+                new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
                 for i, key in zip(at[order][new].tolist(), zip(a[new].tolist(), b[new].tolist(), strict=True), strict=True):
                     if key not in named:
                         named.add(key)
-                        out.append((langs[int(np.searchsorted(ends, i, "right"))], words.text(i, k)))
+                        out[key[1] % SLICES].append((langs[int(np.searchsorted(ends, i, "right"))], words.text(i, k)))
             if len(named) > NAMED:
-                named.clear()
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.string()) for i in (0, 1)], names=["lang", "phrase"])
+                yield from sent()
+                named, out = set(), [[] for _ in range(SLICES)]
+        yield from sent()
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, found = None, set()
+        for batch in batches:
+            for s, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if s != of and found:
+                    yield made(found)
+                    found = set()
+                of, table = s, pa.ipc.open_stream(data).read_all()
+                found.update(zip(table["lang"].to_pylist(), table["phrase"].to_pylist(), strict=True))
+        if found:
+            yield made(found)
+
+    def made(found: set) -> pa.RecordBatch:
+        pairs = sorted(found)
+        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in pairs], pa.string()) for i in (0, 1)], names=["lang", "phrase"])
 
-    return few_rows(texts).mapInArrow(name, "lang string, phrase string").distinct()
+    sent = few_rows(texts).mapInArrow(name, "slice int, phrases binary").repartition("slice").sortWithinPartitions("slice")
+    return sent.mapInArrow(unite, "lang string, phrase string")
 
 
 class Scanner:
@@ -172,7 +255,7 @@ class Scanner:
     phrase has."""
 
     def __init__(self, patterns: pa.Table):
-        langs, self.ids = patterns["lang"].to_pylist(), patterns["pid"].to_numpy()
+        langs, self.size = patterns["lang"].to_pylist(), patterns.num_rows
         found = LangWords(utf8(patterns["phrase"]), langs)
         order = np.lexsort((found.second, found.first))
         first, second = found.first[order], found.second[order]
@@ -189,16 +272,16 @@ class Scanner:
         for i in np.flatnonzero(found.of_text > 1).tolist():
             self.automaton.add_word(tuple(symbols[ends[i] - found.of_text[i] : ends[i]].tolist()), i)
         self.automaton.make_automaton()
-        self.counts = np.zeros(len(self.ids), np.int64)
 
-    def scan(self, words: LangWords) -> None:
+    def scan(self, words: LangWords, counts: np.ndarray) -> None:
+        """Adds to counts how often each phrase occurs."""
         if not len(self.first) or not len(words.piece):
             return
         at = np.minimum(np.searchsorted(self.first, words.first), len(self.first) - 1)
         symbols = np.where((self.first[at] == words.first) & (self.second[at] == words.second), at + 1, 0)
         seen = np.bincount(symbols, minlength=len(self.alone))
         counted = np.flatnonzero((self.alone >= 0) & (seen > 0))
-        self.counts[self.alone[counted]] += seen[counted]
+        counts[self.alone[counted]] += seen[counted]
         ends = np.concatenate(([False], words.piece[1:] != words.piece[:-1]))
         guarded = np.zeros(len(symbols) + int(ends.sum()), np.int64)
         guarded[np.arange(len(symbols)) + np.cumsum(ends)] = symbols
@@ -207,27 +290,43 @@ class Scanner:
         if self.automaton.kind == ahocorasick.AHOCORASICK and len(guarded):
             matches = np.fromiter(map(itemgetter(1), self.automaton.iter(tuple(guarded.tolist()))), np.int64)
             if len(matches):
-                self.counts += np.bincount(matches, minlength=len(self.counts))
+                counts += np.bincount(matches, minlength=len(counts))
+
+
+_scanners: dict[str, Scanner] = {}
+
+
+def _scanner(key: str, patterns: Broadcast) -> Scanner:
+    """A Python worker builds the automaton of a scan once."""
+    if key not in _scanners:
+        _scanners.clear()
+        _scanners[key] = Scanner(patterns.value)
+    return _scanners[key]
 
 
 def _counted(texts: DataFrame, patterns: Broadcast, totals: bool) -> DataFrame:
-    """(pid, lang, n): how often each phrase occurs in a task's texts, and with `totals` rows without pid, how many words they have."""
+    """_PARTS of how often each phrase, by its row in patterns, occurs in a task's texts; with `totals` rows (lang, n) besides, of
+    how many words they have."""
+    key = uuid.uuid4().hex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner, words_of = None, {}
+        counts, words_of = None, {}
         for langs, words in _read(batches):
-            scanner = scanner or Scanner(patterns.value)
-            scanner.scan(words)
+            scanner = _scanner(key, patterns)
+            counts = np.zeros(scanner.size, np.int64) if counts is None else counts
+            scanner.scan(words, counts)
             if totals:
                 for lang, n in zip(langs, words.of_text.tolist(), strict=True):
                     words_of[lang] = words_of.get(lang, 0) + n
-        if scanner:
-            there = np.flatnonzero(scanner.counts)
-            yield pa.RecordBatch.from_arrays([pa.array(scanner.ids[there], pa.int64()), pa.nulls(len(there), pa.string()), pa.array(scanner.counts[there], pa.int64())], names=["pid", "lang", "n"])
+        if counts is not None:
+            there = np.flatnonzero(counts)
+            for part in _parts(there, counts[there], PATTERNS):
+                yield part.append_column("lang", pa.nulls(1, pa.string()))
         if words_of:
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(words_of), pa.int64()), pa.array(list(words_of), pa.string()), pa.array(list(words_of.values()), pa.int64())], names=["pid", "lang", "n"])
+            n = len(words_of)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.array(list(words_of.values()), pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(list(words_of), pa.string())], names=["slice", "n", "places", "counts", "lang"])
 
-    return few_rows(texts).mapInArrow(count, "pid long, lang string, n long")
+    return few_rows(texts).mapInArrow(count, f"{_PARTS}, lang string")
 
 
 def counted_phrases(texts: DataFrame, least: int, longest: int, cells: int, phrases: int = PHRASES, most_bytes: int = BYTES) -> tuple[DataFrame, DataFrame]:
@@ -236,23 +335,38 @@ def counted_phrases(texts: DataFrame, least: int, longest: int, cells: int, phra
 
     What one automaton may hold is bounded; more candidates take more automata, each broadcast by itself, and so many more scans.
     """
-    found = candidates(texts, bounds(texts, least, longest, cells), longest, cells)
+    pairs = sketched(texts, least, range(2, 3), cells, [])
+    sketches = [pairs, sketched(texts, least, range(3, longest + 1), cells, pairs)] if longest > 2 else [pairs]
+    found = candidates(texts, sketches, longest, cells)
     ends = F.array(F.col("phrase"), F.substring_index("phrase", " ", 1), F.substring_index("phrase", " ", -1))
-    named = found.select("lang", F.explode(ends).alias("phrase")).distinct().withColumn("pid", F.monotonically_increasing_id())
-    named = stored(named, "phrases")  # so the numbers stay
+    named = stored(found.select("lang", F.explode(ends).alias("phrase")).distinct(), "phrases")
     n, size = named.agg(F.count("*"), F.sum(F.octet_length("phrase"))).first()
     groups = max(1, -(-n // phrases), -(-(size or 0) // most_bytes))
-    context, parts = texts.sparkSession.sparkContext, []
+    context, sums, totals = texts.sparkSession.sparkContext, [], None
     for g in range(groups):
-        patterns = context.broadcast(named.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(groups)) == g).toArrow())
-        parts.append(stored(_counted(texts, patterns, g == 0), "phrase-counts"))
+        table = named.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(groups)) == g).toArrow()
+        patterns = context.broadcast(table)
+        parts = stored(_counted(texts, patterns, g == 0), "phrase-counts")
+
+        def rows(s: int, total: np.ndarray, patterns: Broadcast = patterns) -> pa.RecordBatch:
+            at = np.flatnonzero(total)
+            some = patterns.value.take(pa.array(at + s * PATTERNS)).combine_chunks()
+            return pa.RecordBatch.from_arrays([*(some[c].combine_chunks() for c in ("lang", "phrase")), pa.array(total[at], pa.int64())], names=["lang", "phrase", "f"])
+
+        sums.append(stored(_summed(parts.where("slice IS NOT NULL").drop("lang"), PATTERNS, "lang string, phrase string, f long", rows), "phrase-sums"))
+        totals = totals or parts.where("slice IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
         patterns.destroy()
-    counts = functools.reduce(DataFrame.unionByName, parts)
-    of_phrase = counts.where("pid IS NOT NULL").groupBy("pid").agg(F.sum("n").alias("f"))
-    return named.join(of_phrase, "pid").select("lang", "phrase", "f"), counts.where("pid IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
+    return functools.reduce(DataFrame.unionByName, sums), totals
+
+
+def cells_for(texts: DataFrame) -> int:
+    """Cells of a row of the sketch: a power of two, in proportion to the bytes of the texts within CELLS. Beyond, phrases are
+    ruled out less often, so that more of them are counted; results are the same."""
+    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return min(max(1 << max(size // WIDTH - 1, 0).bit_length(), CELLS[0]), CELLS[1])
 
 
-def collocations(docs: DataFrame, least: int = 100, longest: int = 5, percent: int = 100, best: int = 2000, cells: int = CELLS, phrases: int = PHRASES, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, longest: int = 5, percent: int = 100, best: int = 2000, cells: int | None = None, phrases: int = PHRASES, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """The `best` collocations of each language: lang, rank, phrase, a, l, r, n, score.
 
     Texts are lower-cased (A-Z), split at [.,;:!?\x0A-\x0D] into pieces and those at blanks and tabs into words. Phrases of two
@@ -262,11 +376,11 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, percent: i
     out. Ties go to the shorter first part, the more frequent phrase and the order of UTF-8 bytes.
 
     A null language is `und`; a null or empty text has no words; texts of any length are read whole; repeated rows count each;
-    an empty table gives no rows; other columns are ignored. The texts are read three times, and once more for each further automaton.
+    an empty table gives no rows; other columns are ignored. The texts are read five
+    times, and once more for each further automaton.
     """
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    counts, totals = counted_phrases(texts, least, longest, cells, phrases)
-    counts = stored(counts, "phrase-sums")
+    counts, totals = counted_phrases(texts, least, longest, cells or cells_for(texts), phrases)
     frequent = counts.withColumn("words", F.split("phrase", " ")).where((F.col("f") >= least) & (F.size("words") > 1))
     part = lambda begin, size: F.array_join(F.slice("words", begin, size), " ")
     # a phrase within a longer one lies within one that is a word longer and occurs as often at least

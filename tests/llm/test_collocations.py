@@ -56,7 +56,7 @@ def _run(spark, rows, **how):
     return sorted(tuple(r) for r in collocations(docs, **how).collect())
 
 
-@pytest.mark.parametrize("how", [{}, {"cells": 1 << 10, "phrases": 40}, {"percent": 60}])
+@pytest.mark.parametrize("how", [{}, {"cells": 1 << 7, "phrases": 40}, {"percent": 60}])
 def test_collocations_equal_brute_force(spark, how):
     """Also with a sketch so small that most phrases are candidates, and with several automata."""
     rows = _corpus()
@@ -79,5 +79,5 @@ def test_no_phrase_is_missed_and_few_others_are_counted(spark):
     found = {(r.lang, tuple(r.phrase.split(" "))): r.f for r in counts.collect()}
     assert all(found[key] == f[key[0]][key[1]] for key in found)
     assert {(lang, p) for lang, counts in f.items() for p, a in counts.items() if a >= 8 and len(p) > 1} <= set(found)
-    every = candidates(docs, [b"\xff" * 8192] * 2, 5, 1 << 16)
+    every = candidates(docs, [[b"\xff" * 8192] * 2] * 2, 5, 1 << 16)
     assert every.count() == sum(len(p) > 1 for counts in f.values() for p in counts)
