@@ -251,8 +251,8 @@ def candidates(texts: DataFrame, rows: list[list[bytes]], longest: int, cells: i
 
 
 class Scanner:
-    """The automaton of some phrases and the numbers of their words. Words are symbols from 1 on; 0 is the guard, which no
-    phrase has."""
+    """The automaton of some phrases and the numbers of their words, from 1 on. A word is three symbols, the digits of its
+    number, each of a range of its own, so that no node has many children; the symbol 0 is the guard, which no phrase has."""
 
     def __init__(self, patterns: pa.Table):
         langs, self.size = patterns["lang"].to_pylist(), patterns.num_rows
@@ -268,11 +268,18 @@ class Scanner:
         #: of each symbol, the phrase that is this word alone, or -1
         self.alone = np.full(len(self.first) + 1, -1)
         self.alone[symbols[ends[single] - 1]] = np.flatnonzero(single)
+        self.base = max(2, int(np.ceil(np.cbrt(len(self.first)))) + 1)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        digits = self.digits(symbols).tolist()
         for i in np.flatnonzero(found.of_text > 1).tolist():
-            self.automaton.add_word(tuple(symbols[ends[i] - found.of_text[i] : ends[i]].tolist()), i)
+            self.automaton.add_word(tuple(digits[3 * (ends[i] - found.of_text[i]) : 3 * ends[i]]), i)
         self.automaton.make_automaton()
 
+    def digits(self, symbols: np.ndarray) -> np.ndarray:
+        """Three symbols for each word's number."""
+        b, x = self.base, symbols - 1
+        return np.where(symbols[:, None] > 0, np.stack((1 + x // (b * b), 1 + b + x // b % b, 1 + 2 * b + x % b), 1), 0).ravel()
+
     def scan(self, words: LangWords, counts: np.ndarray) -> None:
         """Adds to counts how often each phrase occurs."""
         if not len(self.first) or not len(words.piece):
@@ -288,7 +295,7 @@ class Scanner:
         beside = np.concatenate(([False], guarded[:-1] > 0)) | np.concatenate((guarded[1:] > 0, [False]))
         guarded = guarded[beside]  # a word without a neighbour, and all but the first and last of some guards, match nothing
         if self.automaton.kind == ahocorasick.AHOCORASICK and len(guarded):
-            matches = np.fromiter(map(itemgetter(1), self.automaton.iter(tuple(guarded.tolist()))), np.int64)
+            matches = np.fromiter(map(itemgetter(1), self.automaton.iter(tuple(self.digits(guarded).tolist()))), np.int64)
             if len(matches):
                 counts += np.bincount(matches, minlength=len(counts))
 
