@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,32 +40,122 @@ def node_groups(metrics: DataFrame, idx: str = "idx") -> DataFrame:
     return metrics.select(idx).join(labels.withColumnRenamed("node", idx), idx, "left").select(idx, F.coalesce("component", idx).alias("group_id"))
 
 
-def managed_nodes(metrics: DataFrame, idx: str = "idx") -> DataFrame:
+def _until_still(start: DataFrame, iterations: int, step: Callable[[DataFrame, str], DataFrame], size: Callable[[DataFrame], object]) -> DataFrame:
+    """start after a step for each identifier in order, `iterations` times, or until no identifier changes its size any more. Steps
+    read their table more than once, so each is stored."""
+    table = checkpointed(start)
+    now, still = size(table), 0
+    for name in list(IDENTIFIERS) * iterations:
+        table = checkpointed(step(table, name))
+        before, now = now, size(table)
+        still = still + 1 if now == before else 0
+        if still == len(IDENTIFIERS):
+            break
+    return table
+
+
+def _first_seeds(rows: DataFrame, idx: str, iterations: int) -> DataFrame:
+    """(idx, first): for each row the smallest open row in whose bounded lookup it is; null if there is none. Labels go from
+    value to value as lookups do, so a value, however common, is a minimum."""
+
+    def step(labels: DataFrame, name: str) -> DataFrame:
+        least = labels.where(F.col(name).isNotNull() & F.col("first").isNotNull()).groupBy(name).agg(F.min("first").alias("least"))
+        return labels.join(least, name, "left").withColumn("first", F.least("first", "least")).drop("least")
+
+    labels = rows.select(idx, *IDENTIFIERS, F.when(F.col("open"), F.col(idx)).alias("first"))
+    sizes = lambda df: df.agg(F.sum(F.col("first").cast("decimal(38,0)")), F.count("first")).first()
+    return _until_still(labels, iterations, step, sizes).select(idx, "first")
+
+
+def _lookups(rows: DataFrame, seeds: DataFrame, idx: str, iterations: int) -> DataFrame:
+    """(group_id, idx): the rows that the bounded lookup of each seed finds, itself among them. What a seed has found meets
+    the rows by its distinct values, never row by row."""
+
+    def step(found: DataFrame, name: str) -> DataFrame:
+        of_rows = rows.where(F.col(name).isNotNull()).select(idx, name)
+        values = found.join(of_rows, idx).select("group_id", name).distinct()
+        return found.unionByName(values.join(of_rows, name).select("group_id", idx)).distinct()
+
+    return _until_still(seeds.select(F.col(idx).alias("group_id"), idx), iterations, step, DataFrame.count)
+
+
+def bounded_groups(metrics: DataFrame, iterations: int, idx: str = "idx") -> DataFrame:
+    """(idx, group_id) as a sequence of bounded lookups gives them: the rows in order of idx, each that no lookup before has found
+    begins one, of its name's rows and then `iterations` times of all rows that share a name, an address, a serial number and a
+    machine id, in this order, with those found. Groups may overlap, and a chain of more links than that is cut.
+
+    Lookups stay within components, so the first row of each begins one, and that finds all of most components. In the others
+    the rows that begin lookups are found in rounds: an open row that no smaller open one would find begins one for certain, so
+    each round decides many. metrics is read several times.
+    """
+    rows = checkpointed(metrics.select(idx, *IDENTIFIERS).join(node_groups(metrics, idx), idx).withColumn("open", F.lit(True)))
+    parts: list[DataFrame] = []
+    while not rows.isEmpty():
+        if not parts:
+            seeds = rows.where(F.col(idx) == F.col("group_id"))
+        else:
+            seeds = _first_seeds(rows, idx, iterations).where(F.col("first") == F.col(idx))
+        found = _lookups(rows, seeds, idx, iterations)
+        parts.append(found)
+        done = found.select(idx).distinct().withColumn("found", F.lit(True))
+        rows = rows.join(done, idx, "left").withColumn("open", F.col("open") & F.col("found").isNull()).drop("found")
+        rows = checkpointed(rows)
+        rows = checkpointed(rows.join(rows.where("open").select("group_id").distinct(), "group_id", "left_semi"))
+    return reduce(DataFrame.unionByName, parts) if parts else metrics.select(idx, F.col(idx).alias("group_id")).limit(0)
+
+
+#: Names of one kind that a row of a node holds at most; all are in node_members.
+NAMES = 1_000
+_SETS = {"hostname": "hostnames", "host_variable": "host_variables", "product_serial": "product_serials", "machine_id": "machine_ids"}
+
+
+def node_members(metrics: DataFrame, groups: DataFrame, idx: str = "idx") -> DataFrame:
+    """(group_id, kind, name): every identifier of every node, however many a node has."""
+    rows = identified(metrics).join(groups, idx)
+    values = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("name")) for c, k in _SETS.items())))
+    return rows.select("group_id", values.alias("v")).select("group_id", "v.*").where("name IS NOT NULL").distinct()
+
+
+def managed_nodes(metrics: DataFrame, idx: str = "idx", iterations: int | None = None, names: int = NAMES) -> DataFrame:
     """One row for each node. Its name is that of the row last automated, of those not deleted if there are any, and the
     first name in order of rows automated at the same time; it is deleted if all its rows are.
 
-    Rows are grouped by name first, so that names are counted once without expanding the rows for each count.
+    Nodes are the components of node_groups, or with `iterations` the groups of bounded_groups. Of names, addresses, serial
+    numbers and machine ids the first `names` in order stand in texts, and the counts say how many there are; node_members has all.
+    Names are ranked below their nodes, where a task keeps that many of each, so no row grows with a node.
     """
     rows = checkpointed(identified(metrics))
-    rows = rows.join(node_groups(rows, idx), idx)
+    groups = checkpointed(node_groups(rows, idx) if iterations is None else bounded_groups(rows, iterations, idx))
+    return aggregated(rows.join(groups, idx), names)
+
+
+def aggregated(rows: DataFrame, names: int = NAMES) -> DataFrame:
+    """One row for each group_id: see managed_nodes."""
     latest = F.struct("deleted", F.col("last_automation").isNull().alias("never"), (-F.unix_micros(F.col("last_automation").cast("timestamp"))).alias("age"), "hostname")
-    sets = {"host_variable": "host_variables", "product_serial": "product_serials", "machine_id": "machine_ids"}
     spans = [F.min("first_automation").alias("first_automation"), F.max("last_automation").alias("last_automation"), F.sum("automated_counter").alias("automated_counter"), F.sum("deleted_counter").alias("deleted_counter"), F.max("last_deleted").alias("last_deleted")]
-    names = rows.groupBy("group_id", "hostname").agg(F.min(latest).alias("latest"), F.min("deleted").alias("all_deleted"), F.max("deleted").alias("some_deleted"), *(F.collect_set(c).alias(n) for c, n in sets.items()), *spans)
-    joined = lambda values: F.array_join(F.array_sort(F.array_distinct(values)), ", ")
-    nodes = names.groupBy("group_id").agg(
+    of_name = rows.groupBy("group_id", "hostname").agg(F.min(latest).alias("latest"), F.min("deleted").alias("all_deleted"), F.max("deleted").alias("some_deleted"), *spans)
+    nodes = of_name.groupBy("group_id").agg(
         F.min("latest")["hostname"].alias("hostname"),
         F.count("hostname").alias("record_count"),
         F.count(F.when(~F.col("all_deleted"), F.col("hostname"))).alias("record_count_active"),
         F.count(F.when(F.col("some_deleted"), F.col("hostname"))).alias("record_count_deleted"),
-        joined(F.collect_list("hostname")).alias("hostnames"),
-        *(joined(F.flatten(F.collect_list(n))).alias(n) for n in sets.values()),
         F.min("all_deleted").alias("deleted"),
         *spans,
     )
+    nodes = nodes.join(_name_texts(rows, names), "group_id", "left").fillna("", list(_SETS.values()))
     return nodes.withColumn("days_automated", whole_days(F.col("first_automation"), F.col("last_automation")))
 
 
+def _name_texts(rows: DataFrame, names: int) -> DataFrame:
+    """(group_id, hostnames, ...): the first names of each kind, joined by commas. The rank in a window that only asks for the first
+    ones is cut before the exchange, so a node of very many names meets in one task with `names` of each task's."""
+    values = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("name")) for k, c in enumerate(_SETS))))
+    each = rows.select("group_id", values.alias("v")).select("group_id", "v.*").where("name IS NOT NULL").distinct()
+    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("group_id", "kind").orderBy("name"))).where(F.col("rank") <= names)
+    texts = ranked.groupBy("group_id", "kind").agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("text"))
+    return texts.groupBy("group_id").agg(*(F.max(F.when(F.col("kind") == k, F.col("text"))).alias(n) for k, n in enumerate(_SETS.values())))
+
+
 def ephemeral(days: int, now: datetime) -> Column:
     """Whether a node was automated for at most so many days, and first so long ago that it could have been for more."""
     threshold = (now - timedelta(days=days - 1)).replace(hour=0, minute=0, second=0, microsecond=0)

@@ -119,7 +119,7 @@ def _rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
             with where.open_output_stream(f"{root}/data/1994/01/01/{name}", compression=None) as out:
                 out.write(half)
     scan = scan_exports(spark, path, "job_host_summary")
-    return scan.groupBy(F.year("slice_day").cast("long").alias("year")).agg(F.count_if("error IS NULL").alias("n_rows"), F.count_if("error IS NOT NULL").alias("n_rejects"))
+    return scan.groupBy(F.year("slice_day").cast("long").alias("year")).agg(F.count_if(F.col("error").isNull()).alias("n_rows"), F.count_if(F.col("error").isNotNull()).alias("n_rejects"))
 
 
 def _pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,6 +191,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "jobevent_extract": lambda s, d: extract.job_events(adapters.database(s, d), datetime(1990, 1, 1), datetime(2010, 1, 1)),
         "host_metric_extract": lambda s, d: extract.host_metrics(adapters.database(s, d), datetime(1998, 6, 1), adapters.FIELDS),
         "host_dedup": _nodes,
+        "host_dedup_3": lambda s, d: hosts.managed_nodes(adapters.host_metrics(s, d), iterations=3),
+        "host_dedup_1": lambda s, d: hosts.managed_nodes(adapters.host_metrics(s, d), iterations=1),
         "managed_nodes": lambda s, d: hosts.active(_nodes(s, d)),
         "managed_nodes_ephemeral": lambda s, d: hosts.ephemeral_nodes(_nodes(s, d), DAYS, NOW),
         "managed_nodes_non_ephemeral": lambda s, d: hosts.lasting_nodes(_nodes(s, d), DAYS, NOW),
@@ -259,15 +261,11 @@ def _variable(name: str) -> str:
     return rf"""CASE WHEN json_valid(h.variables) THEN json_extract_string(h.variables, '$.{name}') ELSE trim(nullif(regexp_extract(h.variables, '(?m)^{name} *[:=] *(.+?) *$', 1), ''), '"') END"""
 
 
-_NODES = f"""raw AS ({adapters.oracle_text(adapters.HOST_METRICS)}), metrics AS (
+_METRICS = f"""raw AS ({adapters.oracle_text(adapters.HOST_METRICS)}), metrics AS (
   SELECT idx, hostname, first_automation, last_automation, automated_counter, deleted_counter, deleted, last_deleted, nullif(nullif(product_serial, ''), 'NA') AS product_serial,
     nullif(nullif(machine_id, ''), 'NA') AS machine_id, nullif(host_variable, '') AS host_variable FROM raw
-), edges AS (
-  SELECT a.idx AS a, b.idx AS b FROM metrics a JOIN metrics b ON a.hostname = b.hostname UNION SELECT a.idx, b.idx FROM metrics a JOIN metrics b ON a.product_serial = b.product_serial
-  UNION SELECT a.idx, b.idx FROM metrics a JOIN metrics b ON a.machine_id = b.machine_id UNION SELECT a.idx, b.idx FROM metrics a JOIN metrics b ON a.host_variable = b.host_variable
-), reach AS (
-  SELECT a, b FROM edges UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a
-), labels AS (SELECT a AS idx, min(b) AS group_id FROM reach GROUP BY a), nodes AS (
+)"""
+_GROUPED = """nodes AS (
   SELECT group_id, arg_min(hostname, (deleted, last_automation IS NULL, -epoch_us(last_automation), hostname)) AS hostname, count(DISTINCT hostname) AS record_count,
     count(DISTINCT CASE WHEN NOT deleted THEN hostname END) AS record_count_active, count(DISTINCT CASE WHEN deleted THEN hostname END) AS record_count_deleted,
     coalesce(string_agg(DISTINCT hostname, ', ' ORDER BY hostname), '') AS hostnames, coalesce(string_agg(DISTINCT host_variable, ', ' ORDER BY host_variable), '') AS host_variables,
@@ -277,6 +275,26 @@ _NODES = f"""raw AS ({adapters.oracle_text(adapters.HOST_METRICS)}), metrics AS
     greatest(CAST(floor((epoch_us(max(last_automation)) - epoch_us(min(first_automation))) / 86400000000) AS BIGINT), 0) AS days_automated
   FROM metrics JOIN labels USING (idx) GROUP BY group_id
 )"""
+_NODES = f"""{_METRICS}, edges AS (
+  SELECT a.idx AS a, b.idx AS b FROM metrics a JOIN metrics b ON a.hostname = b.hostname UNION SELECT a.idx, b.idx FROM metrics a JOIN metrics b ON a.product_serial = b.product_serial
+  UNION SELECT a.idx, b.idx FROM metrics a JOIN metrics b ON a.machine_id = b.machine_id UNION SELECT a.idx, b.idx FROM metrics a JOIN metrics b ON a.host_variable = b.host_variable
+), reach AS (
+  SELECT a, b FROM edges UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a
+), labels AS (SELECT a AS idx, min(b) AS group_id FROM reach GROUP BY a), {_GROUPED}"""
+
+
+def _bounded(iterations: int) -> str:
+    """The lookups of every row, step by step; then the rows in order, each that no chosen one has found being chosen."""
+    steps = "".join(
+        f""", found{n + 1} AS (SELECT seed, idx FROM found{n} UNION SELECT seed, b.idx FROM found{n} JOIN metrics a USING (idx) JOIN metrics b ON a.{kind} = b.{kind})"""
+        for n, kind in enumerate(["hostname", "host_variable", "product_serial", "machine_id"] * iterations)
+    )
+    return f"""{_METRICS}, found0 AS (SELECT idx AS seed, idx FROM metrics){steps}, whole AS (SELECT seed, list(idx) AS members FROM found{4 * iterations} GROUP BY seed), chosen AS (
+  SELECT seed, members AS gone FROM whole WHERE seed = (SELECT min(seed) FROM whole)
+  UNION ALL SELECT w.seed, list_concat(gone, members) FROM (SELECT c.gone, min(w.seed) AS seed FROM chosen c JOIN whole w ON NOT list_contains(c.gone, w.seed) GROUP BY c.gone) n JOIN whole w USING (seed)
+), labels AS (SELECT seed AS group_id, unnest(members) AS idx FROM whole WHERE seed IN (SELECT seed FROM chosen)), {_GROUPED}"""
+
+
 _SHORT = "days_automated <= 2450 AND first_automation <= TIMESTAMP '1996-05-02 00:00:00'"
 _WINDOWS = f"""windows AS (
   SELECT w AS window_start, w + INTERVAL 30 DAY - INTERVAL 1 MICROSECOND AS window_end FROM (SELECT unnest(generate_series(TIMESTAMP '1995-06-01', TIMESTAMP '2003-05-03', INTERVAL 1 DAY)) AS w)
@@ -332,6 +350,8 @@ SELECT m.hostname, coalesce(h.id, 0) AS host_id, m.first_automation, m.last_auto
   {_variable(adapters.FIELDS.address)} AS host_variable, {_variable(adapters.FIELDS.connection)} AS connection_variable
 FROM db_host_metrics m LEFT JOIN db_hosts h ON h.name = m.hostname WHERE m.last_automation >= TIMESTAMP '1998-06-01'""",
         "host_dedup": f"WITH RECURSIVE {_NODES} SELECT * FROM nodes",
+        "host_dedup_3": f"WITH RECURSIVE {_bounded(3)} SELECT * FROM nodes",
+        "host_dedup_1": f"WITH RECURSIVE {_bounded(1)} SELECT * FROM nodes",
         "managed_nodes": f"WITH RECURSIVE {_NODES} SELECT * FROM nodes WHERE NOT deleted",
         "managed_nodes_ephemeral": f"WITH RECURSIVE {_NODES} SELECT * FROM nodes WHERE NOT deleted AND {_SHORT}",
         "managed_nodes_non_ephemeral": f"WITH RECURSIVE {_NODES} SELECT * FROM nodes WHERE NOT deleted AND NOT ({_SHORT})",

@@ -123,3 +123,50 @@ def test_ephemeral_windows_equal_brute_force(spark):
     want = {r.window_start: len({x[1] for x in rows if x[1] and x[7] >= r.window_start and x[6] <= r.window_end}) for r in windows.collect()}
     assert got == want and 0 in got.values() and max(got.values()) > 3
     assert hosts.ephemeral_usage(nodes, windows.limit(0)).count() == 0
+
+
+def bounded_brute(rows, iterations):
+    """Lookups row after row, each over all rows."""
+    clean = {r[0]: (r[1], r[2] or None, None if r[3] in ("", "NA") else r[3], None if r[4] in ("", "NA") else r[4]) for r in rows}
+    done, groups = set(), {}
+    for idx in sorted(clean):
+        if idx in done:
+            continue
+        found = {idx}
+        for _ in range(iterations):
+            for k in range(4):
+                values = {clean[i][k] for i in found} - {None}
+                found |= {i for i, c in clean.items() if c[k] in values}
+        groups[idx] = found
+        done |= found
+    return {(g, i) for g, found in groups.items() for i in found}
+
+
+def test_bounded_lookups_equal_brute_force(spark):
+    """Chains that the bound cuts, so that groups overlap, hubs, and rows without names."""
+    rng = random.Random(4)
+    pick = lambda p, n: f"{p}{rng.randrange(n)}" if rng.random() < 0.5 else rng.choice(("", "NA", None))
+    rows = [metric(i, f"h{rng.randrange(20)}" if i % 9 else None, pick("v", 16), pick("s", 16), pick("m", 16)) for i in range(24)]
+    rows += [metric(100 + i, f"c{i}", f"cv{i // 2}", f"cs{(i + 1) // 2}") for i in rng.sample(range(8), 8)]
+    rows += [metric(200 + i, f"hub{i}", None, None, "one") for i in range(12)] + [metric(300, "x", "NA"), metric(301, "y", "NA")]
+    got = {(r.group_id, r.idx) for r in hosts.bounded_groups(hosts.identified(spark.createDataFrame(rows, METRICS)), 1).collect()}
+    assert got == bounded_brute(rows, 1) and len(got) > len(rows)
+
+
+def test_bounded_lookups_over_the_ten_cases_and_none(spark):
+    rows = [(h, v, s, m) for s, m, vs, hs in CASES for v, h in zip(vs, hs, strict=True)]
+    rows = [metric(i, h, v, s, m) for i, (h, v, s, m) in enumerate(rows)]
+    nodes = hosts.managed_nodes(spark.createDataFrame(rows, METRICS), iterations=3).collect()
+    assert len(nodes) == 1 and nodes[0].automated_counter == len(rows)
+    assert hosts.managed_nodes(spark.createDataFrame([], METRICS), iterations=3).count() == 0
+
+
+def test_a_node_of_very_many_names_has_short_rows(spark):
+    metrics = spark.range(100_000).selectExpr("id AS idx", "concat('a rather long host name, number ', id) AS hostname", "concat('v', id % 7) AS host_variable", "'' AS product_serial", "'image' AS machine_id",
+                                              "id % 2 = 0 AS deleted", "timestamp_ntz'2024-01-01' AS first_automation", "timestamp_ntz'2024-01-02' AS last_automation", "1L AS automated_counter", "0L AS deleted_counter", "CAST(NULL AS timestamp_ntz) AS last_deleted")
+    nodes = hosts.managed_nodes(metrics).collect()
+    assert len(nodes) == 1 and nodes[0].record_count == 100_000 and nodes[0].record_count_active == 50_000 and nodes[0].host_variables == "v0, v1, v2, v3, v4, v5, v6"
+    assert len(nodes[0].hostnames.split(", a ")) == hosts.NAMES and len(str(nodes[0])) < 1 << 20
+    rows = hosts.identified(metrics)
+    members = hosts.node_members(metrics, hosts.node_groups(rows))
+    assert {r.kind: r.n for r in members.groupBy("kind").agg(F.count("*").alias("n")).collect()} == {"hostnames": 100_000, "host_variables": 7, "machine_ids": 1}
