@@ -90,13 +90,13 @@ def settings_of(args: argparse.Namespace) -> Settings:
     return Settings.of(read_text(args.settings)) if args.settings else Settings()
 
 
-def relations_of(spark: SparkSession, args: argparse.Namespace, settings: Settings) -> dict[str, DataFrame]:
-    """The relations in Parquet tables, or in the database of a JDBC URL, where the settings name them."""
+def relations_of(spark: SparkSession, args: argparse.Namespace, settings: Settings, since: datetime, until: datetime | None = None) -> dict[str, DataFrame]:
+    """The relations in Parquet tables, or those of a period in the database of a JDBC URL, where the settings name them."""
     if not args.relations.startswith("jdbc:"):
         return extract.landed_database(spark, args.relations)
     if missing := set(extract.RELATIONS) - set(settings.relations):
         raise MissingSetting(f"the settings do not name the relations {', '.join(sorted(missing))}")
-    return extract.jdbc_database(spark, args.relations, settings.relations)
+    return extract.jdbc_database(spark, args.relations, settings.relations, since=since, until=until)
 
 
 def _metrics(spark: SparkSession, args: argparse.Namespace, options: ReportOptions) -> DataFrame:
@@ -108,7 +108,7 @@ def _metrics(spark: SparkSession, args: argparse.Namespace, options: ReportOptio
     if settings.host_fields is None:
         raise MissingSetting("host metrics of relations need host_fields in the settings")
     since = datetime.combine(options.since, datetime.min.time())
-    return hosts.numbered(extract.host_metrics(relations_of(spark, args, settings), since, settings.host_fields))
+    return hosts.numbered(extract.host_metrics(relations_of(spark, args, settings, since), since, settings.host_fields))
 
 
 def build_report(spark: SparkSession, args: argparse.Namespace, now: datetime) -> bool:
@@ -142,7 +142,8 @@ def gather_period(spark: SparkSession, args: argparse.Namespace, now: datetime)
     """The lines that the command prints: files and rows of each table, or what they would be."""
     settings = settings_of(args)
     spans = gather.intervals(args.path, settings, parse_date(args.since, now), parse_date(args.until, now), now)
-    tables = gather.gathered(relations_of(spark, args, settings), settings, spans)
+    db = relations_of(spark, args, settings, min(s.since for s in spans.values()), max(s.until for s in spans.values()))
+    tables = gather.gathered(db, settings, spans)
     if args.dry_run:
         return [f"{r.table} {r.slice_start}: {r.rows} rows" for r in gather.counts(tables).orderBy("table", "slice_start").toLocalIterator()]
     return [f"{name}: {files} files, {rows} rows" for name, (files, rows) in gather.ship(tables, settings, args.path, spans).items()]

@@ -13,20 +13,23 @@ from pyspark.sql import functions as F
 from ..functions.columns import rounded, total
 
 JOB = ("job_remote_id", "install_uuid")
+_MEASURES = ("host_runs", "task_runs", "first_run", "last_run")
 
 
 def _counted(hosts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Jobs and names, each counted once, runs, tasks and times for each key; a job counts even where a part of it is null.
 
-    Jobs and names are grouped below the keys, each by itself, and the two counts meet in a last grouping of a row or
-    two a key: no row is expanded for each distinct count.
+    The rollup is grouped by job and by name below the keys, and a last grouping counts the rows of both. Both groupings take
+    the same columns of the rollup, so that its exchange, and all below, is planned once and read twice; no row is expanded
+    for each distinct count, and a key, job or name of any size is summed before it is dealt.
     """
     measures = [F.count("host_name").alias("host_runs"), total("task_runs").alias("task_runs"), F.min("job_created").alias("first_run"), F.max("job_created").alias("last_run")]
-    merged = [F.sum("host_runs").alias("host_runs"), F.sum("task_runs").alias("task_runs"), F.min("first_run").alias("first_run"), F.max("last_run").alias("last_run")]
-    jobs = hosts.groupBy(*keys, *JOB).agg(*measures).groupBy(*keys).agg(F.count("*").alias("job_runs"), *merged)
-    names = hosts.groupBy(*keys, "host_name").agg(F.lit(1)).groupBy(*keys).agg(F.count("host_name").alias("host_runs_unique"))
-    both = jobs.unionByName(names, allowMissingColumns=True).groupBy(*keys).agg(*(F.max(c).alias(c) for c in ("job_runs", "host_runs_unique", "host_runs", "task_runs", "first_run", "last_run")))
-    return both
+    both = [hosts.groupBy(*keys, *by).agg(*measures).select(*keys, F.lit(n).alias("kind"), counts.alias("counts"), *_MEASURES) for n, (by, counts) in enumerate(((JOB, F.lit(True)), (("host_name",), F.col("host_name").isNotNull())))]
+    of = lambda kind, column: F.when(F.col("kind") == kind, F.col(column))
+    # either kind of rows adds up to the same
+    same = lambda fold, column: F.greatest(fold(of(0, column)), fold(of(1, column))).alias(column)
+    counts = [F.count_if((F.col("kind") == n) & F.col("counts")).alias(name) for n, name in enumerate(("job_runs", "host_runs_unique"))]
+    return both[0].unionByName(both[1]).groupBy(*keys).agg(*counts, same(F.sum, "host_runs"), same(F.sum, "task_runs"), same(F.min, "first_run"), same(F.max, "last_run"))
 
 
 def by_job(hosts: DataFrame) -> DataFrame:
@@ -53,12 +56,28 @@ def by_node_of_organization(hosts: DataFrame) -> DataFrame:
 
 
 def by_node_with_organizations(hosts: DataFrame, organizations: Sequence[str]) -> DataFrame:
-    """by_node, and for each organization a column org_<n> with its last automation of the node, in the order given.
+    """by_node, and in last_automations, an array, the last automation of the node in each organization, in the order given.
 
-    The names come from outside or from organization_names: a column for each cannot grow without bound.
+    Rows are grouped by node and organization once, and a node's entries, of which a sheet holds a bounded number, are put at
+    their organizations' places with the gaps between them filled; so more organizations add no aggregates, and no work for
+    each row. with_organization_columns makes columns of the array.
     """
-    last = [F.max(F.when(F.col("organization_name") == name, F.when(F.col("host_name").isNotNull(), F.col("last_automation")))).alias(f"org_{n}") for n, name in enumerate(organizations)]
-    return hosts.groupBy("host_name").agg(F.count_distinct("organization_name").alias("organizations"), *_node_counts(), *last)
+    table = hosts.sparkSession.createDataFrame([(name, n) for n, name in enumerate(organizations)], "organization_name string, place int")
+    # at most as many rows as a sheet has columns
+    of_both = hosts.groupBy("host_name", "organization_name").agg(*_node_counts()).join(F.broadcast(table), "organization_name", "left")
+    known = F.when(F.col("place").isNotNull() & F.col("host_name").isNotNull(), F.struct("place", "last_automation"))
+    merged = [F.sum("host_runs").alias("host_runs"), F.sum("task_runs").alias("task_runs"), F.min("first_automation").alias("first_automation"), F.max("last_automation").alias("last_automation")]
+    nodes = of_both.groupBy("host_name").agg(F.count("organization_name").alias("organizations"), *merged, F.array_sort(F.collect_list(known)).alias("found"))
+    none = F.lit(None).cast(hosts.schema["last_automation"].dataType)
+    before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get("found", i - 1)["place"])
+    filled = F.flatten(F.transform("found", lambda e, i: F.concat(F.array_repeat(none, e["place"] - before(i) - 1), F.array(e["last_automation"]))))
+    rest = F.array_repeat(none, F.lit(len(organizations)) - F.size(filled))
+    return nodes.select(*(c for c in nodes.columns if c != "found"), F.concat(filled, rest).alias("last_automations"))
+
+
+def with_organization_columns(nodes: DataFrame, organizations: int) -> DataFrame:
+    """nodes with a column org_<n> for each place of last_automations."""
+    return nodes.select(*(c for c in nodes.columns if c != "last_automations"), *(F.get("last_automations", n).alias(f"org_{n}") for n in range(organizations)))
 
 
 def organization_names(hosts: DataFrame, most: int = 16_000) -> list[str]:

@@ -44,18 +44,20 @@ class HostFields:
 @dataclass(frozen=True)
 class Settings:
     """A platform's names, from a JSON file: host_fields, columns (an export's column to that of the schemas), relations (their
-    names in its database), install_uuid, and the optional tables to gather."""
+    names in its database), install_uuid, the optional tables to gather, and config: what a platform says of itself (versions,
+    licence, settings), which is shipped with each gathering."""
 
     host_fields: HostFields | None = None
     columns: Mapping[str, str] = field(default_factory=dict)
     relations: Mapping[str, str] = field(default_factory=dict)
     install_uuid: str = ""
     tables: tuple[str, ...] = OPTIONAL_TABLES
+    config: Mapping[str, object] = field(default_factory=dict)
 
     @classmethod
     def of(cls, text: str) -> Settings:
         given = json.loads(text)
-        if unknown := set(given) - {"host_fields", "columns", "relations", "install_uuid", "tables"}:
+        if unknown := set(given) - {"host_fields", "columns", "relations", "install_uuid", "tables", "config"}:
             raise BadSetting(f"unknown settings: {', '.join(sorted(unknown))}")
         if unknown := set(given.get("tables", ())) - set(OPTIONAL_TABLES):
             raise BadSetting(f"unknown tables: {', '.join(sorted(unknown))}")
@@ -64,7 +66,7 @@ class Settings:
             names = HostFields(**fields) if fields else None
         except TypeError:
             raise MissingSetting("host_fields needs address, connection, serial and machine") from None
-        return cls(names, given.get("columns", {}), given.get("relations", {}), given.get("install_uuid", ""), tuple(given.get("tables", OPTIONAL_TABLES)))
+        return cls(names, given.get("columns", {}), given.get("relations", {}), given.get("install_uuid", ""), tuple(given.get("tables", OPTIONAL_TABLES)), given.get("config", {}))
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import platform
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from datetime import datetime, timedelta
@@ -9,6 +10,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import __version__
 from ..options import OPTIONAL_TABLES, BadSetting, MissingSetting, Settings
 from ..sinks.commits import Span
 from ..sinks.landing import BYTES, ROWS, ship_slices
@@ -98,6 +100,12 @@ def counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     return out.select("table", "slice_start", "slice_end", "rows")
 
 
+def config_snapshot(settings: Settings) -> dict:
+    """The document that is shipped beside the tables: the settings' config, and the system and versions that gathered them."""
+    system = {"system": platform.system(), "release": platform.release(), "type": platform.machine(), "python": platform.python_version()}
+    return {"platform": system, "version": __version__, "tables": list(settings.tables), **settings.config}
+
+
 def ship(tables: Mapping[str, DataFrame], settings: Settings, path: str, spans: Mapping[str, Span], rows: int = ROWS, most_bytes: int = BYTES) -> dict[str, tuple[int, int]]:
     """Ships the tables; for each its files and rows. Each is committed by itself, and then marked as shipped, so a table that
     fails is the only one that the next gathering takes again. One gathering of an installation runs at a time."""
@@ -108,7 +116,7 @@ def ship(tables: Mapping[str, DataFrame], settings: Settings, path: str, spans:
         for name, table in tables.items():
             texts = table.select(*(F.col(c) if c.startswith("slice_") else F.col(c).cast("string").alias(c) for c in table.columns))
             try:
-                files = ship_slices(texts, path.rstrip("/"), name, settings.install_uuid, rows, most_bytes, [spans[name]])
+                files = ship_slices(texts, path.rstrip("/"), name, settings.install_uuid, rows, most_bytes, [spans[name]], config_snapshot(settings))
             except BadSetting:
                 raise
             except Exception as error:  # the other tables do not wait for this one

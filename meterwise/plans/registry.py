@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import COLLECTION, ROLE
-from ..functions.dates import day_slices, days_between, parse_date, parse_days, parse_month, sliding_windows, truncated
+from ..functions.dates import sliding_windows
 from ..operators import hosts, rollups, usage
 from ..operators.components import checkpointed
 from ..sinks.files import file_system, names_in
-from ..sinks.landing import land, landed, ship_slices
+from ..sinks.landing import land, land_events, landed, ship_slices
 from ..sources import adapters, extract
-from ..sources.exports import read_exports, scan_exports
+from ..sources.exports import read_configs, read_exports, scan_exports, with_configs
 from ..streaming.incremental import gather_exports, gather_new, streamed_rollup
 from .gather import sliced
 
@@ -26,7 +26,6 @@ ORGANIZATIONS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "No organiz
 NOW, DAYS, SINCE, UNTIL = datetime(2003, 1, 15, 10, 30), 2450, date(1995, 6, 1), date(2003, 6, 1)
 WINDOW = 30
 PERIOD = (datetime(1996, 1, 1), datetime(1997, 1, 1))
-SLICES = (datetime(1996, 1, 1, 7, 30), datetime(1996, 2, 10, 3, 15))
 
 # ---- queries
 
@@ -108,15 +107,15 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows and unreadable tarballs by year of a landed set in which every tarball of 1994 has lost its second half."""
+    """Rows and unreadable tarballs by year of a landed set in which every tarball of 1999 has lost its second half."""
     path = _scratch(spark, "rejects")
     _shipped(adapters.job_hosts(spark, sf_dir), path, rows=1 << 40, most_bytes=1 << 50)
     where, root = file_system(path)
-    for name in names_in(f"{path}/data/1994/01/01"):
+    for name in names_in(f"{path}/data/1999/01/01"):
         if name.endswith(".tar.gz"):
-            with where.open_input_file(f"{root}/data/1994/01/01/{name}") as file:
+            with where.open_input_file(f"{root}/data/1999/01/01/{name}") as file:
                 half = file.read(file.size() // 2)
-            with where.open_output_stream(f"{root}/data/1994/01/01/{name}", compression=None) as out:
+            with where.open_output_stream(f"{root}/data/1999/01/01/{name}", compression=None) as out:
                 out.write(half)
     scan = scan_exports(spark, path, "job_host_summary")
     return scan.groupBy(F.year("slice_day").cast("long").alias("year")).agg(F.count_if(F.col("error").isNull()).alias("n_rows"), F.count_if(F.col("error").isNotNull()).alias("n_rejects"))
@@ -126,10 +125,28 @@ def _pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usage of one installation in some years; the tarballs of others are not opened."""
     path = _scratch(spark, "pruned")
     _shipped(adapters.job_hosts(spark, sf_dir), path)
-    scan = scan_exports(spark, path, "job_host_summary").where("install_uuid = 'install-F' AND slice_day >= DATE '1993-01-01' AND slice_day < DATE '1995-01-01'")
+    scan = scan_exports(spark, path, "job_host_summary").where("install_uuid = 'install-F' AND slice_day >= DATE '1996-01-01' AND slice_day < DATE '1998-01-01'")
     return scan.where("error IS NULL").groupBy("install_uuid", "organization_name").agg(F.count("*").alias("n_rows"), F.sum("ok").alias("ok"))
 
 
+def _by_platform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage by the platform that each slice's installation ran on: shipped in two goes, the later with a newer release."""
+    rows, path = adapters.job_hosts(spark, sf_dir), _scratch(spark, "platforms")
+    for part, release in ((rows.where("created < '1998-01-01'"), "8"), (rows.where("created >= '1998-01-01'"), "9")):
+        _shipped(part, path, config={"platform": {"system": "Linux", "release": release}})
+    used = with_configs(scan_exports(spark, path, "job_host_summary").where("error IS NULL"), read_configs(spark, path, "job_host_summary"))
+    release = F.try_variant_get("config", "$.platform.release", "string")
+    return used.groupBy("install_uuid", release.alias("release")).agg(F.count("*").alias("n_rows"), F.sum("ok").alias("ok"))
+
+
+def _pruned_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of a period's jobs, from events that have landed by month."""
+    path = _scratch(spark, "events")
+    db = adapters.database(spark, sf_dir)
+    land_events(db["events"], path, "month")
+    return extract.job_events({**db, "events": spark.read.parquet(path)}, *PERIOD)
+
+
 def _landed_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Job hosts landed as Parquet by month, of which the folders of a period are read."""
     path = _scratch(spark, "landed")
@@ -149,20 +166,6 @@ def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.merged_host_rollups(spark.read.parquet(f"{path}/rollups").drop("batch"))
 
 
-#: Texts of dates and days, and the moment that they are read at.
-TEXTS = ("1d", "3d", "0d", "1mo", "2months", "13month", "10m", "2024-01-02", "2024-01-02T03:04:05", "2024-01-02T03:04:05+02:00", "5 March 2024 14:30")
-READ_AT = datetime(2024, 3, 31, 15, 45)
-
-
-def _periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How texts of dates, days and months are read."""
-    rows = [("date", t, parse_date(t, READ_AT).isoformat(sep=" ")) for t in TEXTS]
-    rows += [("days", t, str(parse_days(t))) for t in ("5d", "1day", "2days", "2mo", "1month", "3months")]
-    rows += [("month", t, str(parse_month(t or None, READ_AT))) for t in ("2023-11", "")]
-    rows += [("truncated", g, str(truncated(READ_AT.date(), g))) for g in ("daily", "monthly", "yearly")]
-    return spark.createDataFrame(rows, "kind string, text string, value string")
-
-
 def _gathered_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that a gathering ships, by day."""
     since, until = datetime(1996, 1, 1, 7, 30), datetime(1996, 3, 1)
@@ -178,7 +181,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "usage_by_organization": lambda s, d: usage.by_organization(_hosts(s, d)),
         "usage_by_organization_basic": lambda s, d: usage.by_organization(_hosts(s, d), jobs=False),
         "usage_by_node": lambda s, d: usage.by_node(_hosts(s, d)),
-        "usage_by_node_org_detail": lambda s, d: usage.by_node_with_organizations(_hosts(s, d), ORGANIZATIONS),
+        "usage_by_node_org_detail": lambda s, d: usage.with_organization_columns(usage.by_node_with_organizations(_hosts(s, d), ORGANIZATIONS), len(ORGANIZATIONS)),
         "usage_by_node_per_org": lambda s, d: usage.by_node_of_organization(_hosts(s, d)),
         "billing_by_organization": lambda s, d: usage.billing_by_organization(_hosts(s, d), PRICE),
         "billing_total": lambda s, d: usage.billing_total(_hosts(s, d), PRICE, ("Example", "Town", "State", "Land"), "SKU1", "nodes"),
@@ -189,6 +192,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "usage_by_module": lambda s, d: usage.by_content(_content(s, d), "module_name"),
         "jobhost_extract": lambda s, d: extract.job_hosts(adapters.database(s, d), *PERIOD, adapters.FIELDS),
         "jobevent_extract": lambda s, d: extract.job_events(adapters.database(s, d), datetime(1990, 1, 1), datetime(2010, 1, 1)),
+        "jobevent_pruned": _pruned_events,
         "host_metric_extract": lambda s, d: extract.host_metrics(adapters.database(s, d), datetime(1998, 6, 1), adapters.FIELDS),
         "host_dedup": _nodes,
         "host_dedup_3": lambda s, d: hosts.managed_nodes(adapters.host_metrics(s, d), iterations=3),
@@ -205,14 +209,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "exports_stream_rollup": _streamed,
         "export_rejects": _rejects,
         "pruned_exports": _pruned,
+        "usage_by_platform": _by_platform,
         "landed_period": _landed_period,
         "incremental_rollup": _incremental,
         "gathered_slices": _gathered_slices,
-        "period_texts": _periods,
-        "daily_slices": lambda s, d: day_slices(s, *SLICES),
-        "report_days": lambda s, d: days_between(s, date(1996, 1, 20), date(1997, 3, 5), "monthly"),
-        "report_years": lambda s, d: days_between(s, date(1994, 1, 20), date(1997, 3, 5), "yearly"),
-        "report_single_days": lambda s, d: days_between(s, date(1996, 2, 20), date(1996, 3, 5)),
     }
 
 
@@ -307,6 +307,16 @@ _NODE_COUNTS = "count(host_name) AS host_runs, CAST(sum(task_runs) AS BIGINT) AS
 _JOBS = "count(DISTINCT (job_remote_id, install_uuid)) AS job_runs"
 
 
+def _events_of(since: str, until: str) -> str:
+    return f"""WITH {_database("job_hosts", "unified_jobs", "events")}
+SELECT r.id AS job_host_id, r.created AS job_host_created, e.id, e.created, e.modified, e.job_created, e.event, json_extract_string(d, '$.task_action') AS task_action,
+  json_extract_string(d, '$.resolved_action') AS resolved_action, json_extract_string(d, '$.resolved_role') AS resolved_role, json_extract_string(d, '$.duration') AS duration,
+  e.failed, e.changed, e.playbook, e.play, e.task, e.role, e.job_id AS job_remote_id, e.host_id AS host_remote_id, e.host_name
+FROM (SELECT *, replace(event_data, chr(92) || 'u', chr(92) || 'u005cu') AS d FROM db_events) e JOIN db_job_hosts r ON r.job_id = e.job_id AND r.host_name = e.host_name
+  JOIN db_unified_jobs u ON u.id = r.job_id AND u.created = e.job_created
+WHERE e.event LIKE 'runner%' AND r.modified >= TIMESTAMP '{since}' AND r.modified < TIMESTAMP '{until}'"""
+
+
 def oracle_sql() -> dict[str, str]:
     organizations = ", ".join(f"max(CASE WHEN organization_name = '{o}' AND host_name IS NOT NULL THEN last_automation END) AS org_{n}" for n, o in enumerate(ORGANIZATIONS))
     rollup = f"WITH {_HOSTS} SELECT * FROM hosts"
@@ -337,13 +347,8 @@ SELECT r.id, r.created, r.modified, r.host_name, r.host_id AS host_remote_id, {_
 FROM db_job_hosts r LEFT JOIN db_jobs j ON r.job_id = j.unifiedjob_ptr_id LEFT JOIN db_templates t ON t.id = j.project_id LEFT JOIN db_inventories i ON i.id = j.inventory_id
   LEFT JOIN db_unified_jobs u ON u.id = r.job_id LEFT JOIN db_organizations o ON o.id = u.organization_id LEFT JOIN db_hosts h ON h.id = r.host_id
 WHERE r.modified >= TIMESTAMP '1996-01-01' AND r.modified < TIMESTAMP '1997-01-01'""",
-        "jobevent_extract": f"""WITH {_database("job_hosts", "unified_jobs", "events")}
-SELECT r.id AS job_host_id, r.created AS job_host_created, e.id, e.created, e.modified, e.job_created, e.event, json_extract_string(d, '$.task_action') AS task_action,
-  json_extract_string(d, '$.resolved_action') AS resolved_action, json_extract_string(d, '$.resolved_role') AS resolved_role, json_extract_string(d, '$.duration') AS duration,
-  e.failed, e.changed, e.playbook, e.play, e.task, e.role, e.job_id AS job_remote_id, e.host_id AS host_remote_id, e.host_name
-FROM (SELECT *, replace(event_data, chr(92) || 'u', chr(92) || 'u005cu') AS d FROM db_events) e JOIN db_job_hosts r ON r.job_id = e.job_id AND r.host_name = e.host_name
-  JOIN db_unified_jobs u ON u.id = r.job_id AND u.created = e.job_created
-WHERE e.event LIKE 'runner%' AND r.modified >= TIMESTAMP '1990-01-01' AND r.modified < TIMESTAMP '2010-01-01'""",
+        "jobevent_extract": _events_of("1990-01-01", "2010-01-01"),
+        "jobevent_pruned": _events_of("1996-01-01", "1997-01-01"),
         "host_metric_extract": f"""WITH {_database("host_metrics", "hosts")}
 SELECT m.hostname, coalesce(h.id, 0) AS host_id, m.first_automation, m.last_automation, m.automated_counter, m.deleted_counter, m.last_deleted, m.deleted,
   json_extract_string(h.facts, '$.{adapters.FIELDS.serial}') AS product_serial, json_extract_string(h.facts, '$.{adapters.FIELDS.machine}') AS machine_id,
@@ -367,24 +372,16 @@ UNION ALL SELECT 1, 'Deleted Automated hosts', count(DISTINCT hostname) FROM nod
         "exports_rollup": rollup,
         "reshipped_rollup": rollup,
         "exports_stream_rollup": rollup,
-        "export_rejects": f"""WITH {_JOB_HOSTS} SELECT CAST(year(created) AS BIGINT) AS year, CAST(count(*) FILTER (WHERE year(created) <> 1994) AS BIGINT) AS n_rows,
-  count(DISTINCT CASE WHEN year(created) = 1994 THEN install_uuid END) AS n_rejects FROM job_hosts GROUP BY 1""",
+        "export_rejects": f"""WITH {_JOB_HOSTS} SELECT CAST(year(created) AS BIGINT) AS year, CAST(count(*) FILTER (WHERE year(created) <> 1999) AS BIGINT) AS n_rows,
+  count(DISTINCT CASE WHEN year(created) = 1999 THEN install_uuid END) AS n_rejects FROM job_hosts GROUP BY 1""",
         "pruned_exports": f"""WITH {_JOB_HOSTS} SELECT install_uuid, organization_name, count(*) AS n_rows, CAST(sum(ok) AS BIGINT) AS ok FROM job_hosts
-WHERE install_uuid = 'install-F' AND created >= TIMESTAMP '1993-01-01' AND created < TIMESTAMP '1995-01-01' GROUP BY 1, 2""",
+WHERE install_uuid = 'install-F' AND created >= TIMESTAMP '1996-01-01' AND created < TIMESTAMP '1998-01-01' GROUP BY 1, 2""",
+        "usage_by_platform": f"""WITH {_JOB_HOSTS} SELECT install_uuid, CASE WHEN created < TIMESTAMP '1998-01-01' THEN '8' ELSE '9' END AS release, count(*) AS n_rows, CAST(sum(ok) AS BIGINT) AS ok
+FROM job_hosts GROUP BY 1, 2""",
         "landed_period": f"""WITH {_JOB_HOSTS} SELECT organization_name, count(*) AS n_rows, CAST(sum(ok) AS BIGINT) AS ok FROM job_hosts
 WHERE created >= TIMESTAMP '1996-01-01' AND created < TIMESTAMP '1997-01-01' GROUP BY 1""",
         "incremental_rollup": rollup,
         "gathered_slices": f"""WITH {_database("job_hosts")} SELECT greatest(date_trunc('day', modified), TIMESTAMP '1996-01-01 07:30:00') AS slice_start,
   least(date_trunc('day', modified) + INTERVAL 1 DAY, TIMESTAMP '1996-03-01') AS slice_end, count(*) AS n_rows, CAST(sum(ok) AS BIGINT) AS ok
 FROM db_job_hosts WHERE modified >= TIMESTAMP '1996-01-01 07:30:00' AND modified < TIMESTAMP '1996-03-01' GROUP BY 1, 2""",
-        "period_texts": """SELECT * FROM (VALUES ('date', '1d', '2024-03-31 00:00:00'), ('date', '3d', '2024-03-29 00:00:00'), ('date', '0d', '2024-04-01 00:00:00'), ('date', '1mo', '2024-02-29 00:00:00'),
-  ('date', '2months', '2024-01-31 00:00:00'), ('date', '13month', '2023-02-28 00:00:00'), ('date', '10m', '2024-03-31 15:35:00'), ('date', '2024-01-02', '2024-01-02 00:00:00'),
-  ('date', '2024-01-02T03:04:05', '2024-01-02 03:04:05'), ('date', '2024-01-02T03:04:05+02:00', '2024-01-02 01:04:05'), ('date', '5 March 2024 14:30', '2024-03-05 14:30:00'),
-  ('days', '5d', '5'), ('days', '1day', '1'), ('days', '2days', '2'), ('days', '2mo', '60'), ('days', '1month', '30'), ('days', '3months', '90'), ('month', '2023-11', '2023-11-01'),
-  ('month', '', '2024-02-01'), ('truncated', 'daily', '2024-03-31'), ('truncated', 'monthly', '2024-03-01'), ('truncated', 'yearly', '2024-01-01')) AS t(kind, text, value)""",
-        "daily_slices": """SELECT greatest(d, TIMESTAMP '1996-01-01 07:30:00') AS slice_start, least(d + INTERVAL 1 DAY, TIMESTAMP '1996-02-10 03:15:00') AS slice_end
-FROM (SELECT unnest(generate_series(TIMESTAMP '1996-01-01', TIMESTAMP '1996-02-10', INTERVAL 1 DAY)) AS d)""",
-        "report_years": "SELECT CAST(unnest(generate_series(DATE '1994-01-01', DATE '1997-01-01', INTERVAL 1 YEAR)) AS DATE) AS day",
-        "report_single_days": "SELECT CAST(unnest(generate_series(DATE '1996-02-20', DATE '1996-03-05', INTERVAL 1 DAY)) AS DATE) AS day",
-        "report_days": "SELECT CAST(unnest(generate_series(DATE '1996-01-01', DATE '1997-03-01', INTERVAL 1 MONTH)) AS DATE) AS day",
     }

@@ -35,7 +35,7 @@ Tables = dict[str, DataFrame]
 
 
 def _node_table(table: DataFrame) -> DataFrame:
-    return table.select(*[c for c in (*_NODE, *(c for c in table.columns if c.startswith("org_"))) if c in table.columns])
+    return table.select(*[c for c in (*_NODE, "last_automations") if c in table.columns])
 
 
 def _content_tables(options: ReportOptions, content: DataFrame | None) -> Tables:
@@ -135,8 +135,8 @@ def heading(kind: str, options: ReportOptions, total: Formula | None = None) ->
 
 def _labels(title: str, columns: Sequence[str], names: Sequence[str]) -> list[str]:
     own = NODE_LABELS if title in ("Managed nodes", BY_ORGANIZATION) else {}
-    labels = {f"org_{n}": name for n, name in enumerate(names)} | LABELS | own
-    return [labels.get(c, c) for c in columns]
+    labels = LABELS | own
+    return [label for c in columns for label in (names if c == "last_automations" else [labels.get(c, c)])]
 
 
 def _sorted(title: str, table: DataFrame) -> Iterator[Row]:
@@ -147,7 +147,7 @@ def _sorted(title: str, table: DataFrame) -> Iterator[Row]:
 def _table(title: str, columns: Sequence[str], rows: Iterable[Row], names: Sequence[str] = ()) -> Rows:
     yield styled(_labels(title, columns, names), "bold")
     for r in rows:
-        yield styled(r[c] for c in columns)
+        yield styled(x for c in columns for x in (r[c] if c == "last_automations" else [r[c]]))
 
 
 def _bill(columns: Sequence[str], rows: Iterable[Row], start: int, spare: int = 0, total: bool = False) -> Rows:

@@ -125,3 +125,11 @@ def landed(df: DataFrame, since: date, until: date) -> DataFrame:
     """The rows of a landed table of the days from since to until, by its folders."""
     number = F.col("year") * 10_000 + F.col("month") * 100 + F.col("day")
     return df.where(number.between(since.year * 10_000 + since.month * 100 + since.day, until.year * 10_000 + until.month * 100 + until.day))
+
+
+def land_events(events: DataFrame, path: str, grain: str = "day") -> None:
+    """Events as Parquet in folders job_day= (or job_month=, with its first day), of their job's creation, by which
+    sources.extract.job_events prunes. A folder with a large share of all events is dealt to several tasks."""
+    name = f"job_{grain}"
+    rows = events.withColumn(name, F.to_date(F.date_trunc(grain, "job_created")))
+    rows.repartitionByRange(name, "job_id", "id").write.partitionBy(name).parquet(path)

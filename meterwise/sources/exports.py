@@ -22,7 +22,7 @@ from datetime import date, datetime, timedelta
 import pyarrow as pa
 from pyarrow import csv as arrow_csv
 from pyarrow import fs as arrow_fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
@@ -36,6 +36,8 @@ from .schemas import TABLES, columns_of, conformed, plain_name
 BLOCK, HELD = 4 << 20, 256 << 20
 #: What a scan knows of a row's tarball; `error` says why a tarball is rejected, in a row of its own.
 ORIGIN = {"install_uuid": "string", "shipment": "string", "slice_start": "timestamp_ntz", "slice_end": "timestamp_ntz", "slice_day": "date", "file": "string", "error": "string"}
+#: The member with an installation's own document, which is read like a table of one row and column.
+CONFIG = "config"
 #: What is wrong with a tarball itself; any other error is the store's, and fails the task, which Spark repeats.
 FORMAT_ERRORS = (tarfile.TarError, gzip.BadGzipFile, zlib.error, lzma.LZMAError, EOFError, csv.Error, pa.ArrowInvalid, ValueError, KeyError)
 
@@ -122,7 +124,11 @@ def ragged_batches(open_member, names: Sequence[str], renamed: Mapping[str, str]
 def _sound(tar: tarfile.TarFile, table: str, names: Sequence[str], renamed: Mapping[str, str], held: int) -> Iterator[pa.RecordBatch]:
     """The rows of a table, once all of it has been parsed: from memory if they take at most `held` bytes, else parsed again."""
     inside = members(tar)
-    install = json.load(tar.extractfile(inside["config.json"]))["install_uuid"]
+    config = tar.extractfile(inside["config.json"]).read().decode()
+    install = json.loads(config)["install_uuid"]
+    if table == CONFIG:
+        yield pa.RecordBatch.from_pydict({CONFIG: [config], "install_uuid": [install]})
+        return
     if f"{table}.csv" not in inside:
         return
     opened = lambda: tar.extractfile(inside[f"{table}.csv"])
@@ -183,11 +189,12 @@ class _Scan:
 
     def __init__(self, options: dict, names: list[str]):
         self.path, self.table, self.names = options["path"].rstrip("/"), options["table"], names
+        self.member = CONFIG if options.get("configs") else self.table
         self.renamed, self.held = json.loads(options.get("renamed", "{}")), int(options.get("held", HELD))
 
     def read(self, partition: Tarball) -> Iterator[pa.RecordBatch]:
         if partition.file:
-            yield from rows_of(file_system(self.path)[0], partition, self.table, self.names, self.renamed, self.held)
+            yield from rows_of(file_system(self.path)[0], partition, self.member, self.names, self.renamed, self.held)
 
     def tarballs(self, folders: Mapping[date, commits.Folder], shipments: set[str] | None = None) -> list[Tarball]:
         """The tarballs that count, or those of some shipments."""
@@ -254,13 +261,15 @@ class ExportStream(_Scan, DataSourceStreamReader):
 class ExportSource(DataSource):
     """Options: path, table (job_host_summary, main_jobevent), since and until (days, both included; all by default), columns
     (those to read, separated by commas; all by default), renamed (JSON: an export's own column names to those of the
-    schemas), held (bytes of a tarball that are kept in memory)."""
+    schemas), held (bytes of a tarball that are kept in memory), configs (true: the configs of the table's tarballs)."""
 
     @classmethod
     def name(cls) -> str:
         return "usage_export"
 
     def _names(self) -> list[str]:
+        if self.options.get("configs"):
+            return [CONFIG]
         wanted = self.options.get("columns")
         return [name for name, _ in columns_of(TABLES[self.options["table"]]) if not wanted or name in wanted.split(",")]
 
@@ -315,3 +324,27 @@ def live_slices(spark: SparkSession, path: str, table: str, days: Sequence[date]
     """(install_uuid, shipment, slice_start) of the slices that count now."""
     found = [(i, s, span.since) for folder in commits.live_folders(path, days, table).values() for i, s, span in folder.live]
     return spark.createDataFrame(found, "install_uuid string, shipment string, slice_start timestamp_ntz")
+
+
+def read_configs(spark: SparkSession, path: str, table: str, since: date | None = None, until: date | None = None) -> DataFrame:
+    """(install_uuid, slice_start, config): the configs, as VARIANT, in the tarballs of a table that count; one for each slice, the
+    greatest text where a slice's tarballs have several."""
+    spark.dataSource.register(ExportSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    bounds = {n: d.isoformat() for n, d in (("since", since), ("until", until)) if d}
+    raw = spark.read.format("usage_export").options(path=path, table=table, configs="true", **bounds).load().where("error IS NULL")
+    return raw.groupBy("install_uuid", "slice_start").agg(F.max(CONFIG).alias(CONFIG)).withColumn(CONFIG, F.try_parse_json(CONFIG))
+
+
+def with_configs(scan: DataFrame, configs: DataFrame) -> DataFrame:
+    """A scan with its installation's latest config that is not after the row's slice; null if there is none.
+
+    The slices of the scan, far fewer than its rows, and the configs are put in order once, each slice takes the last config
+    before it, and rows get it by their slice.
+    """
+    slices = scan.select("install_uuid", "slice_start").distinct()
+    both = slices.withColumn("known", F.lit(None).cast("string")).unionByName(configs.select("install_uuid", "slice_start", F.to_json(CONFIG).alias("known")))
+    upto = Window.partitionBy("install_uuid").orderBy("slice_start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("latest", F.last("known", ignorenulls=True).over(upto)).groupBy("install_uuid", "slice_start").agg(F.max("latest").alias("latest"))
+    joined = scan.alias("s").join(found.alias("f"), F.col("s.install_uuid").eqNullSafe(F.col("f.install_uuid")) & F.col("s.slice_start").eqNullSafe(F.col("f.slice_start")), "left")
+    return joined.select("s.*", F.try_parse_json("latest").alias(CONFIG))

@@ -39,7 +39,9 @@ def test_a_host_run_is_a_rollup_row_and_jobs_with_nulls_count(spark):
     assert (by["o1"].job_runs, by["o1"].host_runs_unique, by["o1"].host_runs, by["o1"].task_runs) == (1, 1, 1, 7)
     assert (by["o2"].job_runs, by["o2"].host_runs) == (2, 1)
     assert usage.organization_names(rollup) == ["No organization name", "o1", "o2"]
-    wide = {r.host_name: r for r in usage.by_node_with_organizations(rollup, ["o1", "o2"]).collect()}
+    wide = {r.host_name: r for r in usage.with_organization_columns(usage.by_node_with_organizations(rollup, ["o1", "o2"]), 2).collect()}
+    swapped = {r.host_name: r.last_automations for r in usage.by_node_with_organizations(rollup, ["none", "o2", "x", "o1", "y"]).collect()}
+    assert swapped["h1"] == [None, None, None, T0 + timedelta(hours=5), None] and swapped[None] == [None] * 5 and swapped["h2"][1] is not None
     assert wide["h1"].org_0 == T0 + timedelta(hours=5) and wide["h1"].org_1 is None and wide[None].org_1 is None
     assert usage.of_organizations(rollup, None).count() == 4 and usage.of_organizations(rollup, ["o1"]).count() == 1
     assert usage.billing_total(rollup.limit(0), 1.5).count() == 0
