@@ -33,7 +33,6 @@ SELECT j.host_name, j.job_remote_id, j.install_uuid, e.event_type AS event, CAST
   CASE WHEN e.k % 5 = 0 THEN NULL ELSE concat('ns', CAST(e.k % 4 AS STRING), '.coll', CAST(e.k % 3 AS STRING), '.role', CAST(e.k % 7 AS STRING)) END AS resolved_role,
   CASE WHEN e.k % 3 = 0 THEN NULL WHEN e.k % 3 = 1 THEN concat('owner', CAST(e.k % 5 AS STRING), '.role', CAST(e.k % 7 AS STRING)) ELSE 'plainrole' END AS role
 FROM (SELECT *, CAST(@K AS BIGINT) AS k FROM {events}) e JOIN {job_hosts} j ON j.job_remote_id = e.event_id
-WHERE e.event_type IN ('click', 'view', 'error')
 """
 
 #: A host's first and last automation lie up to 980 and 720 days within its first and last line, so that some are short.
