@@ -9,9 +9,8 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import itertools
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from operator import itemgetter
 
 import ahocorasick
@@ -22,10 +21,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, few_rows, mix, small_batches, stored, utf8
+from .sketch import PARTS, Sketch, frequent_cells, parts_of, places_of, summed, width
 
-#: Rows of a sketch. Each has a cell for WIDTH bytes of text, between the bounds CELLS, and is added up by slices of SLICE cells;
-#: a task sends its counts when it has FLUSH phrases. Candidates are united in SLICES slices.
-ROWS, WIDTH, CELLS, SLICE, FLUSH, SLICES = 2, 16, (1 << 16, 1 << 28), 1 << 20, 4_000_000, 64
+#: A sketch has a cell for WIDTH bytes of text; a task sends its counts when it has FLUSH phrases. Candidates are united in SLICES slices.
+WIDTH, FLUSH, SLICES = 16, 4_000_000, 64
 #: Phrases, and bytes of them, that one automaton may have.
 PHRASES, BYTES = 1_000_000, 32 << 20
 #: Phrases that a task remembers to have named, and those whose sums one task makes at a time.
@@ -74,11 +73,6 @@ class LangWords:
         return b" ".join(w.data[w.starts[i] : w.ends[i]] for i in range(at, at + k)).decode()
 
 
-def _cells(hashes: np.ndarray, cells: int) -> list[np.ndarray]:
-    """A cell for each hash in each row of the sketch."""
-    return [(hashes >> np.uint64(32 * r)) & np.uint64(cells - 1) for r in range(ROWS)]
-
-
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], LangWords]]:
     """Batches of (lang, text)."""
     for batch, texts in small_batches(batches, 1):
@@ -86,61 +80,6 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], LangWo
         yield langs, LangWords(texts, langs)
 
 
-def _packed(numbers: np.ndarray, kind: str) -> bytes:
-    """Numbers with their first bytes together, then their second ones and so on, compressed."""
-    data = numbers.astype(kind)
-    return pa.compress(data.view(np.uint8).reshape(len(data), -1).T.tobytes(), codec="zstd", asbytes=True)
-
-
-def _unpacked(data: bytes, n: int, kind: str) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    raw = np.frombuffer(pa.decompress(data, n * width, codec="zstd"), np.uint8)
-    return np.ascontiguousarray(raw.reshape(width, n).T).view(kind).ravel()
-
-
-_PARTS = "slice int, n long, places binary, counts binary"
-
-
-def _parts(places: np.ndarray, counts: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
-    """Counts at ascending places as rows of _PARTS, one for each slice of `size` places."""
-    edges = np.searchsorted(places, np.arange(0, int(places[-1]) + size + 1, size)) if len(places) else np.zeros(1, np.int64)
-    for s, (a, b) in enumerate(itertools.pairwise(edges.tolist())):
-        if a < b:
-            steps = np.diff(places[a:b].astype(np.int64) - s * size, prepend=0)
-            yield pa.RecordBatch.from_pydict({"slice": pa.array([s], pa.int32()), "n": pa.array([b - a], pa.int64()), "places": [_packed(steps, "<u4")], "counts": [_packed(counts[a:b], "<i8")]})
-
-
-def _summed(parts: DataFrame, size: int, schema: str, finish: Callable[[int, np.ndarray], pa.RecordBatch]) -> DataFrame:
-    """What finish makes of each slice's sums; a task holds one slice at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, total = None, None
-        for batch in batches:
-            for s, n, places, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if s != of:
-                    if of is not None:
-                        yield finish(of, total)
-                    of, total = s, np.zeros(size, np.int64)
-                total[np.cumsum(_unpacked(places, n, "<u4"))] += _unpacked(counts, n, "<i8")
-        if of is not None:
-            yield finish(of, total)
-
-    return few_rows(parts.repartition("slice").sortWithinPartitions("slice")).mapInArrow(run, schema)
-
-
-class Sketch:
-    """A count-min sketch of which two bits a cell are kept, one in each row: whether a phrase that falls there may be frequent."""
-
-    def __init__(self, rows: list[bytes], cells: int):
-        self.rows, self.cells = [np.frombuffer(x, np.uint8) for x in rows], cells
-
-    def may_have(self, hashes: np.ndarray) -> np.ndarray:
-        found = np.ones(len(hashes), bool)
-        for row, at in zip(self.rows, _cells(hashes, self.cells), strict=True):
-            found &= (row[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-        return found
-
-
 def _held(words: LangWords, longest: int, sketches: list[Sketch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(k, hashes, at): where phrases of k words stand that the sketches, the first of pairs, the second of longer ones, do not rule
     out, nor any phrase within. Lengths beyond the sketches are held as their parts are."""
@@ -162,36 +101,24 @@ def sketched(texts: DataFrame, least: int, sizes: range, cells: int, known: list
     Tasks count their cells and send them by slices, which other tasks add up, so what reaches the driver is two bits a
     cell. known has the rows of the sketch of pairs, if phrases of more words are counted: only those count whose pairs it has.
     """
-    size = min(cells, SLICE)
     shared = texts.sparkSession.sparkContext.broadcast(known)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = [Sketch(shared.value, cells)] if known else []
         held, n = [], 0
 
-        def flushed() -> Iterator[pa.RecordBatch]:
-            hashes = np.concatenate(held)
-            both = np.concatenate([at + np.uint64(r * cells) for r, at in enumerate(_cells(hashes, cells))])
-            yield from _parts(*np.unique(both, return_counts=True), size)
-
         for _, words in _read(batches):
             for k, hashes, at in _held(words, sizes[-1], pairs):
                 if k in sizes:
                     held.append(hashes[at])
                     n += len(at)
             if n > FLUSH:
-                yield from flushed()
+                yield from places_of(np.concatenate(held), cells)
                 held, n = [], 0
         if n:
-            yield from flushed()
-
-    def bits(s: int, total: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"slice": pa.array([s], pa.int32()), "bits": [np.packbits(total >= least, bitorder="little").tobytes()]})
+            yield from places_of(np.concatenate(held), cells)
 
-    merged = _summed(few_rows(texts).mapInArrow(count, _PARTS), size, "slice int, bits binary", bits)
-    found = {r["slice"]: bytes(r["bits"]) for r in merged.collect()}  # of bounded size: two bits a cell
-    each = cells // size
-    return [b"".join(found.get(r * each + s) or bytes(-(-size // 8)) for s in range(each)) for r in range(ROWS)]
+    return frequent_cells(few_rows(texts).mapInArrow(count, PARTS), least, cells)
 
 
 def candidates(texts: DataFrame, rows: list[list[bytes]], longest: int, cells: int) -> DataFrame:
@@ -312,7 +239,7 @@ def _scanner(key: str, patterns: Broadcast) -> Scanner:
 
 
 def _counted(texts: DataFrame, patterns: Broadcast, totals: bool) -> DataFrame:
-    """_PARTS of how often each phrase, by its row in patterns, occurs in a task's texts; with `totals` rows (lang, n) besides, of
+    """PARTS of how often each phrase, by its row in patterns, occurs in a task's texts; with `totals` rows (lang, n) besides, of
     how many words they have."""
     key = uuid.uuid4().hex
 
@@ -327,13 +254,13 @@ def _counted(texts: DataFrame, patterns: Broadcast, totals: bool) -> DataFrame:
                     words_of[lang] = words_of.get(lang, 0) + n
         if counts is not None:
             there = np.flatnonzero(counts)
-            for part in _parts(there, counts[there], PATTERNS):
+            for part in parts_of(there, counts[there], PATTERNS):
                 yield part.append_column("lang", pa.nulls(1, pa.string()))
         if words_of:
             n = len(words_of)
             yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.array(list(words_of.values()), pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(list(words_of), pa.string())], names=["slice", "n", "places", "counts", "lang"])
 
-    return few_rows(texts).mapInArrow(count, f"{_PARTS}, lang string")
+    return few_rows(texts).mapInArrow(count, f"{PARTS}, lang string")
 
 
 def counted_phrases(texts: DataFrame, least: int, longest: int, cells: int, phrases: int = PHRASES, most_bytes: int = BYTES) -> tuple[DataFrame, DataFrame]:
@@ -360,17 +287,15 @@ def counted_phrases(texts: DataFrame, least: int, longest: int, cells: int, phra
             some = patterns.value.take(pa.array(at + s * PATTERNS)).combine_chunks()
             return pa.RecordBatch.from_arrays([*(some[c].combine_chunks() for c in ("lang", "phrase")), pa.array(total[at], pa.int64())], names=["lang", "phrase", "f"])
 
-        sums.append(stored(_summed(parts.where("slice IS NOT NULL").drop("lang"), PATTERNS, "lang string, phrase string, f long", rows), "phrase-sums"))
+        sums.append(stored(summed(parts.where("slice IS NOT NULL").drop("lang"), PATTERNS, "lang string, phrase string, f long", rows), "phrase-sums"))
         totals = totals or parts.where("slice IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
         patterns.destroy()
     return functools.reduce(DataFrame.unionByName, sums), totals
 
 
 def cells_for(texts: DataFrame) -> int:
-    """Cells of a row of the sketch: a power of two, in proportion to the bytes of the texts within CELLS. Beyond, phrases are
-    ruled out less often, so that more of them are counted; results are the same."""
-    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    return min(max(1 << max(size // WIDTH - 1, 0).bit_length(), CELLS[0]), CELLS[1])
+    """Cells of a row of the sketch, in proportion to the bytes of the texts."""
+    return width((texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // WIDTH)
 
 
 def collocations(docs: DataFrame, least: int = 100, longest: int = 5, percent: int = 100, best: int = 2000, cells: int | None = None, phrases: int = PHRASES, lang_col: str = "lang", text_col: str = "text") -> DataFrame:

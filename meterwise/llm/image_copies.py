@@ -18,12 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import crossing_links
 from .common import mix, session_conf, stored
 from .minhash_dedup import components
+from .sketch import PARTS, Sketch, frequent_cells, places_of, width
 
 #: The side of a square of the area to which images are resized; scales below, and the corners kept on each.
 AREA_SIDE = 160
@@ -41,6 +43,8 @@ SHARED, DISTANCE, INLIERS, MISS = 2, 64, 7, 3.0
 SMALL = 16
 #: Shared keys that are broadcast, 16 bytes each; more meet the keys by shuffle.
 MARKS = 2_000_000
+#: Keys that a task counts before it sends them.
+FLUSH = 2_000_000
 #: Images that a Python worker gets at once.
 BATCH = "256"
 _rng = np.random.default_rng(256)
@@ -227,18 +231,39 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(counts, pa.int64()), pa.array(bodies, pa.binary())], names=["image_id", "digest", "n_corners", "body"])
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch], seen: Sketch | None = None) -> Iterator[pa.RecordBatch]:
+    """The keys of images (node, body), with `seen` those that two images may have."""
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
             keys = [keys_of(parse_body(b)[1]) for b in part.column(1).to_pylist()]
+            if seen:
+                keys = [k[seen.may_have(k.view(np.uint64))] for k in keys]
             nodes = np.repeat(part.column(0).to_numpy(), [len(k) for k in keys])
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], names=["node", "bucket"])
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _seen_twice(bodies: DataFrame, corners: int) -> Broadcast:
+    """A sketch of the keys that two images may have: nearly all keys are of one image, and are neither counted nor dealt."""
+    cells = width(2 * WORDS * corners)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in _keys(batches):
+            held.append(batch.column(1).to_numpy().view(np.uint64))
+            n += batch.num_rows
+            if n > FLUSH:
+                yield from places_of(np.concatenate(held), cells)
+                held, n = [], 0
+        if n:
+            yield from places_of(np.concatenate(held), cells)
+
+    return bodies.sparkSession.sparkContext.broadcast((frequent_cells(bodies.mapInArrow(count, PARTS), 2, cells), cells))
+
+
+def _counts(batches: Iterator[pa.RecordBatch], seen: Sketch) -> Iterator[pa.RecordBatch]:
     """For each key of a batch of images how many have it, and the least and largest of them."""
-    for batch in _keys(batches):
+    for batch in _keys(batches, seen):
         node, bucket = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         order = np.lexsort((node, bucket))
         node, bucket = node[order], bucket[order]
@@ -273,9 +298,10 @@ def image_copies(images: DataFrame, id_col: str = "image_id", media_col: str = "
     groups = known.groupBy("digest").agg(F.min(F.struct("image_id", "row")).alias("best"))
     copies = stored(known.join(groups, "digest").where(F.col("row") != F.col("best.row")).select("row"), "copies")
     bodies = described.where((F.col("n_corners") >= INLIERS) & F.col("digest").isNotNull()).join(copies, "row", "left_anti").select(F.col("image_id").alias("node"), "body")
-    keyed = bodies.mapInArrow(_keys, "node long, bucket long")
-    # keys are counted by batches and dealt as they are: nearly all are of one image, and tasks would only spill them
-    counted = bodies.mapInArrow(_counts, "bucket long, n long, lo long, hi long").repartition("bucket")
+    seen = _seen_twice(bodies, described.agg(F.sum("n_corners")).first()[0] or 0)
+    keyed = bodies.mapInArrow(lambda batches: _keys(batches, Sketch(*seen.value)), "node long, bucket long")
+    # keys are counted by batches and dealt as they are: those of one image that the sketch lets pass, tasks would only spill
+    counted = bodies.mapInArrow(lambda batches: _counts(batches, Sketch(*seen.value)), "bucket long, n long, lo long, hi long").repartition("bucket")
     crowded = counted.groupBy("bucket").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("bucket", "n")
     crowded = stored(crowded, "crowded")  # few of all keys: so the others need not move to be left out
     marks = F.broadcast(crowded) if crowded.count() <= MARKS else crowded
