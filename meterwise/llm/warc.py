@@ -15,6 +15,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -33,6 +34,8 @@ SCHEMA = "record_id string, record_type string, target_uri string, date string,
 ARROW = pa.schema([(c, pa.string()) for c in HEADER_COLUMNS[:5]] + [("content_length", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.string()), ("http_status", pa.int32()), ("payload_length", pa.int64()), ("computed_digest", pa.string()), ("payload", pa.binary()), ("file", pa.string()), ("offset", pa.int64())])
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNK = 1 << 16
+#: Manifests that are read at once.
+READERS = 16
 _MANIFEST = "_manifest-"
 
 
@@ -199,13 +202,15 @@ class WarcReader(DataSourceReader):
         if found.type == arrow_fs.FileType.File:
             return [WarcPartition((root,))]
         inside = [x for x in where.get_file_info(arrow_fs.FileSelector(root, recursive=True)) if x.is_file]
-        listed = [f"{m.path.rpartition('/')[0]}/{name}" for m in inside if m.base_name.startswith(_MANIFEST) for name in json.loads(where.open_input_file(m.path).read())]
-        manifests = any(m.base_name.startswith(_MANIFEST) for m in inside)
-        files = [x for x in inside if (x.path in set(listed) if manifests else x.base_name.endswith((".warc", ".warc.gz")))]
+        manifests = [m for m in inside if m.base_name.startswith(_MANIFEST)]
+        with ThreadPoolExecutor(READERS) as pool:
+            texts = list(pool.map(lambda m: where.open_input_file(m.path).read(), manifests))
+        listed = {f"{m.path.rpartition('/')[0]}/{name}" for m, text in zip(manifests, texts, strict=True) for name in json.loads(text)}
+        files = [x for x in inside if (x.path in listed if manifests else x.base_name.endswith((".warc", ".warc.gz")))]
         groups: list[list[str]] = []
         room = 0
         for x in sorted(files, key=lambda x: x.path):
-            if x.size > room:
+            if not groups or x.size > room:
                 groups.append([])
                 room = self.partition_bytes
             groups[-1].append(x.path)
@@ -342,7 +347,8 @@ def write_pages(pages: DataFrame, path: str, least: int = 0, date: str = "1970-0
     The payload is the html in UTF-8; null counts as empty. Of rows with equal payloads of `least` bytes or more, that
     with the smallest id is a response and the others are revisits that refer to it; smaller payloads are all responses.
     Rows that repeat both the smallest id and the payload are all responses; a null id is after all others, and rows
-    are all responses in a group without ids. Payloads count as equal by SHA-1 and length. Other columns are ignored.
+    are all responses in a group without ids. Payloads count as equal by SHA-1 and length. Payloads of any length are
+    written whole; of an empty table nothing is. Other columns are ignored.
     """
     register(pages.sparkSession)
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
@@ -385,6 +391,8 @@ def archived_pages(pages: DataFrame, path: str | None = None, least: int = 0) ->
     """Writes pages to archives and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Responses give the digest of the payload as it was read; revisits, whose payloads aren't stored, that of their headers.
+    Payloads of any length are archived whole, an empty table gives no rows, and repeated rows, ties and nulls are as in
+    write_pages.
     """
     spark = pages.sparkSession
     path = path or f"{shared_dir(spark)}/meterwise/warc-{uuid.uuid4().hex}"

@@ -1,5 +1,7 @@
 import gzip
+import json
 import os
+import time
 from collections import defaultdict
 
 import pyarrow as pa
@@ -70,3 +72,17 @@ def test_archives_of_other_writers(tmp_path):
             assert [(r["record_type"], r["http_status"], r["payload_length"]) for r in rows] == [("response", 404, None), ("resource", None, 70_000)]
             assert [len(r["payload"] or b"") for r in rows] == ([200_000, 70_000] if mode == "decode" else [0, 0])
             assert pa.RecordBatch.from_pylist(rows, W.ARROW).num_rows == 2
+
+
+def test_many_files_are_planned_fast_and_an_empty_first_one_too(spark, tmp_path):
+    for i in range(20_000):
+        (tmp_path / f"{i:06}.warc").touch()
+    began = time.perf_counter()
+    assert len(W.WarcReader({"path": f"file://{tmp_path}"}).partitions()) == 1
+    (tmp_path / "_manifest-x").write_text(json.dumps([f"{i:06}.warc" for i in range(15_000)]))
+    [planned] = W.WarcReader({"path": f"file://{tmp_path}"}).partitions()
+    assert len(planned.files) == 15_000 and time.perf_counter() - began < 5
+
+
+def test_no_pages(spark):
+    assert W.archived_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
