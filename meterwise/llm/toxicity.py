@@ -154,15 +154,17 @@ def telling(counts: DataFrame, totals: list, folds: int, categories: int) -> lis
 def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], decides: str, sample: int = SAMPLE, folds: int = FOLDS, id_col: str = "doc_id", text_col: str = "text") -> Chain:
     """Trains a chain on rows of labels (id, a 0/1 column for each category) and the texts of docs.
 
-    At most `sample` labelled rows are used, those whose id has the least hash; rows with a null label are left out, of
-    rows that share an id one is used. The threshold is that of the best F1 on out-of-fold probabilities, the highest of
+    At most `sample` labelled rows are used, those whose id has the least hash; rows with a null label are left out. Of
+    labels that share an id the least count, category by category, and of texts that share an id that with the least hash. The threshold is that of the best F1 on out-of-fold probabilities, the highest of
     those that tie. Without labelled rows nothing is ever flagged.
     """
-    known = labels.where(" AND ".join(f"`{c}` IS NOT NULL" for c in (id_col, *categories))).dropDuplicates([id_col])
-    some = known.select(F.col(id_col).alias("id"), F.array(*(F.col(c).cast("int") for c in categories)).alias("labels")).orderBy(F.xxhash64("id"), "id").limit(sample)
+    known = labels.where(" AND ".join(f"`{c}` IS NOT NULL" for c in (id_col, *categories)))
+    least = F.min(F.array(*(F.col(c).cast("int") for c in categories))).alias("labels")
+    some = known.groupBy(F.col(id_col).alias("id")).agg(least).orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(some), "id")  # bounded by `sample`
     kind = texts.schema["id"].dataType.simpleString()
-    rows = few_rows(texts).select("id", "text", "labels").mapInArrow(_features, f"id {kind}, labels array<int>, features array<long>").dropDuplicates(["id"])
+    texts = texts.groupBy("id", "labels").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = few_rows(texts).select("id", "text", "labels").mapInArrow(_features, f"id {kind}, labels array<int>, features array<long>")
     rows = stored(rows.withColumn("fold", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(folds)).cast("int")), "labelled")
     flags = [F.lit(1), *(F.col("labels")[c] for c in range(len(categories)))]
     sums = F.array(*(F.sum(F.when(F.col("fold") == f, x).otherwise(0)) for f in range(folds) for x in flags)).alias("sums")

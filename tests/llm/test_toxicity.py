@@ -133,3 +133,17 @@ def test_sample_is_bounded(spark):
     train = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int")
     chain = T.labelled_chain(train.select("doc_id", "text"), train.select("doc_id", "quality", "toxic"), sample=60)
     assert T.classify(train.select("doc_id", "text"), chain).where(F.col("toxic")).count() > 0
+
+
+def test_rows_that_share_an_id_train_alike_in_any_order(spark):
+    """Half of the labelled ids have a second, clashing label, and some documents a second text."""
+    rng = random.Random(3)
+    docs = [(i, f"{'bad words here' if i % 4 == 0 else 'good words there'} number {rng.randrange(9)} " * 3) for i in range(200)] + [(i, "another text of the same id") for i in range(0, 200, 10)]
+    labels = [(i, i % 2, int(i % 4 == 0)) for i in range(200)] + [(i, 1 - i % 2, int(i % 4 != 0)) for i in range(0, 200, 2)]
+    chains = []
+    for seed in (1, 2):
+        random.Random(seed).shuffle(docs)
+        random.Random(seed + 9).shuffle(labels)
+        chain = T.train_chain(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), ("quality", "toxic"), "toxic", folds=2)
+        chains.append((chain.threshold, chain.bias.tolist(), chain.weights.tolist()))
+    assert np.allclose(chains[0][0], chains[1][0]) and np.allclose(chains[0][1], chains[1][1]) and np.allclose(chains[0][2], chains[1][2])
