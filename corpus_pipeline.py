@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from meterwise.llm.common import dropped, kept_tables, stored, table, temporary
@@ -34,12 +33,14 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data become pseudonyms under the secret of the setting spark.meterwise.key, or one of this session."""
+    """Personal data become pseudonyms under the secret of the setting spark.meterwise.secret.key, or one of this session."""
     return pseudonymised(docs, session_key(spark))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token ids, packed into sequences of 1024: a row for each piece, with its ids and its place."""
+    import public_tokenizers  # here, as queries that need no vocabulary must be found without it
+
     return best_fit_packing(docs, public_tokenizers.path("byte_bpe_50k.json"), end=2, capacity=1024, with_ids=True, cache_bytes=CACHE)
 
 

@@ -9,6 +9,7 @@ are tried at every extent of whole groups. What does not validate stays as it is
 
 from __future__ import annotations
 
+import hashlib
 import secrets
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +19,7 @@ from .common import spare
 
 ROUNDS = 8
 #: The setting that holds the secret of pseudonyms.
-KEY_SETTING = "spark.meterwise.key"
+KEY_SETTING = "spark.meterwise.secret.key"
 #: Fixed formats. Each begins where no longer value of its kind can have begun, so that a search takes linear time.
 EMAIL = r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 ADDRESS = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\w)"
@@ -313,11 +314,27 @@ def session_key(spark: SparkSession) -> str:
     return key
 
 
+#: What Spark leaves out of the plans that it shows and logs: the digests that hashes are keyed with.
+_DIGEST = r"\b[0-9a-f]{64}\b"
+_REDACTED = "spark.sql.redaction.string.regex"
+
+
+def hidden(spark: SparkSession, key: str) -> str:
+    """The digest of a key that plans hold instead of it, and which Spark redacts in their texts from now on: who reads plans, the
+    web interface or event logs can't undo pseudonyms. (Settings with `secret` in their names are redacted by default.)"""
+    before = spark.conf.get(_REDACTED, None) or ""
+    if _DIGEST not in before:
+        spark.conf.set(_REDACTED, f"(?:{before})|{_DIGEST}" if before else _DIGEST)
+    return hashlib.sha256(key.encode()).hexdigest()
+
+
 def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """docs with pseudonyms in its text, and (count_col) how many values of a text they replace.
 
-    Null texts stay null, with 0 values; empty texts stay empty. Other columns and repeated rows stay as they are.
+    Null texts stay null, with 0 values; empty texts stay empty; texts of any length are gone through whole; an empty table gives
+    no rows. Other columns and repeated rows stay as they are.
     """
+    key = hidden(docs.sparkSession, key)
     count, found, parts = spare(docs.columns, "pii_count", "pii_found", "pii_parts")
     text = F.col(text_col)
     may = text.rlike("[0-9@]")  # every value has a digit or an @

@@ -10,7 +10,7 @@ KEY = "k"
 
 
 def keyed(kind, *parts):
-    return int(hashlib.sha256("|".join([KEY, kind, *map(str, parts)]).encode()).hexdigest()[:15], 16)
+    return int(hashlib.sha256("|".join([hashlib.sha256(KEY.encode()).hexdigest(), kind, *map(str, parts)]).encode()).hexdigest()[:15], 16)
 
 
 def brute_feistel(text, kind, tweak="", letters=26):
@@ -107,3 +107,11 @@ def test_neighbours_do_not_hide_values(spark):
     assert told[f"{card} {spaced}"] == (f"{plain_card} {groups}", 2)
     assert told[f"NO93 8601 1117 947 {spaced}"][1] == 2 and told[f"NO93 8601 1117 947 {spaced}"][0].endswith(" " + groups)
     assert [told[f"{card} {x}"][1] for x in ("1999-12-31", "555-123-4567")] == [2, 2]
+
+
+def test_plans_do_not_tell_the_key(spark):
+    docs = spark.createDataFrame([("mail a.b@example.org or 4111 1111 1111 1111",)], "text string")
+    secret = "a secret of some length"
+    plan = P.pseudonymised(docs, secret)._jdf.queryExecution().toString()
+    assert secret not in plan and hashlib.sha256(secret.encode()).hexdigest() not in plan and "redacted" in plan
+    assert P.pseudonymised(docs.limit(0), secret).count() == 0
