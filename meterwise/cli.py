@@ -1,10 +1,11 @@
-"""Command line: gather a period of a controller's relations, build a report, or ship a table."""
+"""Command line: gather a period of a controller's relations, build a report, ship a table, or send tarballs on to a service."""
 
 from __future__ import annotations
 
 import argparse
+import os
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +16,7 @@ from .options import OPTIONAL_SHEETS, SHEETS, Heading, MissingSetting, ReportOpt
 from .plans import gather, reports
 from .sinks.files import exists, file_system, read_text, url
 from .sinks.landing import ship_tarballs
+from .sinks.upload import Endpoint, upload
 from .sources import extract
 from .sources.exports import read_exports
 
@@ -65,6 +67,13 @@ def parser() -> argparse.ArgumentParser:
     for name in ("--source", "--path", "--install", "--since", "--until"):
         ship.add_argument(name, required=True)
     ship.add_argument("--dry-run", action="store_true", help="only count what would be shipped")
+    upload_ = commands.add_parser("upload", help="send landed tarballs on to a service")
+    upload_.add_argument("table", choices=("job_host_summary", "main_jobevent"))
+    upload_.add_argument("--path", required=True, help="where tarballs have landed")
+    upload_.add_argument("--endpoint", required=True, help="JSON file with upload_url, and maybe token_url, client_id, content_type, proxy and certificate")
+    upload_.add_argument("--secret-variable", default="METERWISE_CLIENT_SECRET", help="the environment variable that has the client's secret")
+    upload_.add_argument("--since", required=True, help="first day: a date, Nd or Nmonths")
+    upload_.add_argument("--until", help="last day, included; today if not given")
     return top
 
 
@@ -158,6 +167,11 @@ def main(argv: Sequence[str] | None = None, now: datetime | None = None) -> int:
     if args.command == "gather":
         print("\n".join(gather_period(spark, args, now)))
         return 0
+    if args.command == "upload":
+        (first, last), endpoint = ((parse_date(t, now) or now).date() for t in (args.since, args.until)), Endpoint.of(read_text(args.endpoint))
+        days = [first + timedelta(days=n) for n in range((last - first).days + 1)]
+        print(f"{upload(spark, args.path, args.table, days, endpoint, os.environ.get(args.secret_variable, ''))} files sent")
+        return 0
     table, since, until = spark.read.parquet(args.source), parse_date(args.since, now), parse_date(args.until, now)
     if args.dry_run:
         print(f"{table.count()} rows")
