@@ -34,6 +34,8 @@ from .schemas import TABLES, columns_of, conformed, plain_name
 
 #: Bytes of a CSV file that are parsed at once, and of a tarball's columns that are held until its end is known to be sound.
 BLOCK, HELD = 4 << 20, 256 << 20
+#: Days up to which each is listed without a look at which there are.
+LISTED = 62
 #: What a scan knows of a row's tarball; `error` says why a tarball is rejected, in a row of its own.
 ORIGIN = {"install_uuid": "string", "shipment": "string", "slice_start": "timestamp_ntz", "slice_end": "timestamp_ntz", "slice_day": "date", "file": "string", "error": "string"}
 #: The member with an installation's own document, which is read like a table of one row and column.
@@ -229,7 +231,7 @@ class ExportReader(_Scan, DataSourceReader):
             yield f
 
     def partitions(self) -> list[Tarball]:
-        if self.since and self.until:
+        if self.since and self.until and (self.until - self.since).days < LISTED:
             days = [self.since + timedelta(days=n) for n in range((self.until - self.since).days + 1)]
         else:
             days = [d for d in _days_there(self.path) if (not self.since or d >= self.since) and (not self.until or d <= self.until)]
