@@ -6,7 +6,9 @@
 3. In each bucket the most connected node leads. Each node is paired with the leader whose signature is closest to its
    own, the full sets confirm the pairs, and confirmed pairs go to the components.
 4. Buckets that still hold several components compare, in blocks, nodes of different components, so that no link is
-   lost: signatures first, then the full sets; only confirmed links leave a block.
+   lost: signatures first, then the full sets; only confirmed links leave a block. Where more than CROWD nodes of a bucket
+   are outside its largest component, that would cost more rows than FINE finer bands do, which then deal its nodes into
+   smaller buckets; a pair at the threshold meets in none of these with a probability of about 3e-6.
 
 Shingles have two independent hashes of 64 bits, mixed from whole words: sets are sketched by one and compared by the
 other, and sets collapse as equal by a digest of both. A bucket or set that many documents share is joined by broadcast
@@ -37,6 +39,11 @@ SALTS = 4096
 _rng = np.random.default_rng(909)
 _A = _rng.integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, BANDS * ROWS, np.uint64)
+#: Buckets with more nodes than CROWD, where comparing block by block would cost more rows, are split by FINE finer bands,
+#: each of FINE_ROWS places of the signature.
+FINE, FINE_ROWS = 128, 10
+CROWD = 512 * FINE
+_FINE = np.random.default_rng(910).permuted(np.tile(np.arange(BANDS * ROWS), (FINE, 1)), axis=1)[:, :FINE_ROWS]
 _BAND = _rng.integers(0, 2**63, BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -179,6 +186,28 @@ def _near(floor: float):
     return near
 
 
+def fine_keys(signatures: np.ndarray) -> np.ndarray:
+    """For each signature its FINE finer bands, as keys that tell bands apart."""
+    keys = np.tile(np.arange(1, FINE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), (len(signatures), 1))
+    for places in _FINE.T:
+        keys = mix(keys * np.uint64(0xD6E8FEB86659FD93) + signatures[:, places])
+    return keys.view(np.int64)
+
+
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        signatures = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(batch.num_rows, -1)
+        keys = pa.ListArray.from_arrays(np.arange(batch.num_rows + 1, dtype=np.int32) * FINE, fine_keys(signatures).ravel())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keys, batch.column(2)], names=["node", "bytes", "keys", "sketch"])
+
+
+def _crowds(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The buckets with more than CROWD nodes outside their largest component."""
+    rows = buckets.where(F.col("n") > CROWD).join(labels, "node", "left")
+    parts = rows.groupBy("bucket", F.coalesce("component", "node").alias("component")).agg(F.count("*").alias("n"))
+    return parts.groupBy("bucket").agg((F.sum("n") - F.max("n")).alias("others")).where(F.col("others") > CROWD).select("bucket")
+
+
 def _linked(percent: int):
     def linked(x: np.ndarray, y: np.ndarray) -> bool:
         if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
@@ -230,7 +259,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = stored(components(links), "labels")
     keys = nodes.select(F.col("doc_id").alias("node"), F.col("bands").alias("keys"), F.col("signature").alias("sketch"))
     bodies = texts.select(F.col("doc_id").alias("node"), F.col("text").alias("body"))
-    more = stored(crossing_links(buckets.select("bucket", "node", "bytes"), labels, keys, bodies, _near(floor), _sets, _linked(percent)), "crossing")
+    compared_by = (bodies, _near(floor), _sets, _linked(percent))
+    rest, finer = buckets.select("bucket", "node", "bytes"), None
+    if not buckets.where(F.col("n") > CROWD).isEmpty():
+        crowds = F.broadcast(stored(_crowds(buckets, labels), "crowds"))  # at most BANDS in CROWD of all nodes
+        inside = rest.join(crowds, "bucket", "left_semi").select(F.col("node").alias("doc_id")).distinct()
+        finer = stored(nodes.join(inside, "doc_id", "left_semi").select("doc_id", "bytes", "signature").mapInArrow(_finer, "node long, bytes long, keys array<long>, sketch binary"), "finer")
+        rest = rest.join(crowds, "bucket", "left_anti")
+    more = crossing_links(rest, labels, keys, *compared_by)
+    if finer is not None:
+        split = finer.select(F.explode("keys").alias("bucket"), "node", "bytes")
+        more = more.unionAll(crossing_links(split, labels, finer.select("node", "keys", "sketch"), *compared_by))
+    more = stored(more, "crossing")
     if not more.isEmpty():
         labels = stored(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)), "labels")
     named = classes.join(labels, "node", "left").select("set_hi", "set_lo", "members", F.coalesce("component", "node").alias("component"))

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from meterwise.llm import minhash_dedup as M
@@ -106,3 +107,40 @@ def test_signatures_of_large_sets_differ():
     one, two = ([f"{name}{i}" for i in range(20_000)] for name in "xy")
     sketches = [M.mix(M.minima(s)) >> 48 for s, _ in M.shingle_sets([" ".join(t).encode() for t in (one, two)])]
     assert (sketches[0] == sketches[1]).mean() < 0.02
+
+
+def templated(n, seed):
+    """Texts of which a template makes half their shingles or so, and copies of some with a few words changed."""
+    rng = random.Random(seed)
+    template = [f"t{i}" for i in range(80)]
+    rows = []
+    for i in range(n):
+        own = [f"o{rng.randrange(5000)}" for _ in range(45)]
+        rows.append((2 * i, " ".join(template + own)))
+        if i % 3 == 0:
+            own[rng.randrange(45)] = "changed"
+            rows.append((2 * i + 1, " ".join(template + own)))
+    return rows
+
+
+def test_crowded_buckets_are_split_by_finer_bands(spark, monkeypatch):
+    rows = templated(150, 6) + [(i + 1000, t) for i, t in corpus()]
+    want = brute(rows)
+    monkeypatch.setattr(M, "CROWD", 5)
+    crowds, seen = M._crowds, []
+    monkeypatch.setattr(M, "_crowds", lambda *x: seen.append(crowds(*x)) or seen[-1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {tuple(r) for r in M.near_duplicates(docs).collect()} == want
+    assert seen and seen[0].count() > 1
+
+
+def test_finer_bands_meet_at_the_threshold_and_part_templates():
+    rng = np.random.default_rng(11)
+    places = M.BANDS * M.ROWS
+    one = rng.integers(0, 2**16, (20_000, places)).astype(np.uint16)
+    for share, least, most in ((0.85, 1 - 5e-4, 1), (0.5, 0, 0.15)):
+        two = np.where(rng.random(one.shape) < share, one, one ^ 1).astype(np.uint16)
+        met = (M.fine_keys(one) == M.fine_keys(two)).any(1).mean()
+        assert least <= met <= most, (share, met)
+    # bands are told apart
+    assert len(np.unique(M.fine_keys(np.zeros((1, places), np.uint16)))) == M.FINE
