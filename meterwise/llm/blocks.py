@@ -110,5 +110,6 @@ def crossing_links(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, b
     dealt = deal(buckets, labels, block, block_bytes)
     signed = dealt.join(sketches, "node").select(*BLOCK.names, "keys", "sketch").repartition(*KEY).sortWithinPartitions(*KEY, "node")
     alike = stored(signed.mapInArrow(_compare(near, None, None), "bucket long, kind int, i int, j int, side int, node long, component long"), "alike")
-    whole = alike.join(sketches, "node").join(bodies, "node").select(*BLOCK.names, "keys", "sketch", "body")
+    wanted = bodies.join(alike.select("node").distinct(), "node", "left_semi")  # so that only these bodies move if they are few
+    whole = alike.join(sketches, "node").join(wanted, "node").select(*BLOCK.names, "keys", "sketch", "body")
     return whole.repartition(*KEY).sortWithinPartitions(*KEY, "node").mapInArrow(_compare(near, prepare, linked), "a long, b long").distinct()

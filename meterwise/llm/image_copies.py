@@ -22,6 +22,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import join_spread
 from .blocks import crossing_links
 from .common import mix, session_conf, stored
 from .minhash_dedup import components
@@ -41,8 +42,10 @@ LEAST_BITS = 8
 SHARED, DISTANCE, INLIERS, MISS = 2, 64, 7, 3.0
 #: Images of a bucket up to which those of different components are paired.
 SMALL = 16
-#: Shared keys that are broadcast, 16 bytes each; more meet the keys by shuffle.
+#: Shared keys that are broadcast, 16 bytes each, or four times the pairs; more meet the keys, or bodies, by shuffle.
 MARKS = 2_000_000
+#: Pairs of one image that a task compares.
+PART = 128
 #: Keys that a task counts before it sends them.
 FLUSH = 2_000_000
 #: Images that a Python worker gets at once.
@@ -179,11 +182,9 @@ def consensus(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndar
     rows = np.arange(len(a))
     good = (back[near] == rows) & (distance[rows, near] <= DISTANCE)
     x, y = a[good], b[near[good]]
-    order = np.argsort(distance[rows, near][good], kind="stable")
-    x, y = x[order], y[order]
     if len(x) < INLIERS:
         return 0
-    i, j = np.triu_indices(min(len(x), 24), 1)
+    i, j = np.triu_indices(len(x), 1)
     apart = np.abs(x[i] - x[j]) > 6
     i, j = i[apart], j[apart]
     if not len(i):
@@ -193,20 +194,24 @@ def consensus(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndar
     factor, i = factor[fair], i[fair]
     if not len(i):
         return 0
-    miss = np.abs(factor[:, None] * (x[None] - x[i][:, None]) + y[i][:, None] - y[None])
+    best, obey = 0, None
+    for at in range(0, len(i), 1024):
+        f, k = factor[at : at + 1024, None], i[at : at + 1024]
+        hits = np.abs(f * (x[None] - x[k][:, None]) + y[k][:, None] - y[None]) <= MISS
+        top = int(hits.sum(1).argmax())
+        if hits[top].sum() > best:
+            best, obey = int(hits[top].sum()), hits[top]
     # matches at one place on several scales count once
-    obey = miss[(miss <= MISS).sum(1).argmax()] <= MISS
     return len(np.unique(np.rint(x[obey] / 4)))
 
 
 def near(bucket: int, sketches: list, n: int, others: list) -> list[tuple[float, int]]:
-    """For blocks.crossing_links: keys are those that an image has in large buckets."""
-    own, found = np.asarray(sketches[n][0]), []
-    for m in others:
-        both = np.intersect1d(own, sketches[m][0], assume_unique=True)
-        if len(both) and both[0] == bucket:
-            found.append((float(len(both)), m))
-    return found
+    """For blocks.crossing_links: keys are the low 32 bits of those that an image has in buckets of several components. Pairs
+    that share SHARED of them are near, in whatever bucket they meet: few do, and their full keys are compared later."""
+    lists = [sketches[m][0] for m in others]
+    both = np.isin(np.concatenate(lists), sketches[n][0]).astype(np.int64)
+    counts = np.add.reduceat(both, np.cumsum([0, *map(len, lists[:-1])]))
+    return [(float(counts[k]), others[k]) for k in np.flatnonzero(counts >= SHARED).tolist()]
 
 
 def prepared(bodies: list) -> list[tuple]:
@@ -273,10 +278,31 @@ def _counts(batches: Iterator[pa.RecordBatch], seen: Sketch) -> Iterator[pa.Reco
 
 
 def _obey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (a, salt, b, body), each a's own body first (b null), the pairs that are linked."""
+    lead, mine = None, None
     for batch in batches:
-        a, b, x, y = (c.to_pylist() for c in batch.columns)
-        keep = [i for i in range(len(a)) if linked(*prepared([x[i], y[i]]))]
-        yield pa.RecordBatch.from_arrays([pa.array([v[i] for i in keep], pa.int64()) for v in (a, b)], names=["a", "b"])
+        found = []
+        for a, salt, b, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            [one] = prepared([body])
+            if b is None:
+                lead, mine = (a, salt), one
+            elif lead == (a, salt) and linked(mine, one):
+                found.append((a, b))
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def _obeyed(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are linked. The bodies of images without a pair stay where they are, as long as the pairs can be
+    broadcast; a hot a is dealt out in parts of about PART pairs, each with a copy of its body."""
+    tried = stored(pairs, "pairs")
+    total = tried.count()
+    parts = tried.groupBy("a").agg(F.count("*").alias("n"), F.ceil(F.count("*") / PART).alias("parts"))
+    salted = join_spread(tried, parts, ["a"], "n", total).select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("salt"))
+    leads = salted.select("a", "salt").distinct().select("a", "salt", F.lit(None).cast("long").alias("b"), F.col("a").alias("node"))
+    ends = salted.select("a", "salt", "b", F.col("b").alias("node")).unionAll(leads)
+    met = bodies.join(F.broadcast(ends) if total <= MARKS // 4 else ends, "node").select("a", "salt", "b", "body")
+    rows = met.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return stored(rows.mapInArrow(_obey, "a long, b long"), "links")
 
 
 def image_copies(images: DataFrame, id_col: str = "image_id", media_col: str = "media") -> DataFrame:
@@ -306,18 +332,12 @@ def image_copies(images: DataFrame, id_col: str = "image_id", media_col: str = "
     crowded = stored(crowded, "crowded")  # few of all keys: so the others need not move to be left out
     marks = F.broadcast(crowded) if crowded.count() <= MARKS else crowded
     buckets = stored(keyed.join(marks, "bucket").select("bucket", "node", "n"), "buckets")
-    left, right = (bodies.select(F.col("node").alias(x), F.col("body").alias(f"body_{x}")) for x in "ab")
-
-    def obeyed(pairs: DataFrame) -> DataFrame:
-        tried = stored(pairs, "pairs")  # its size is known then, and decides how it is joined
-        return stored(tried.join(left, "a").join(right, "b").select("a", "b", "body_a", "body_b").mapInArrow(_obey, "a long, b long"), "links")
-
     rank = buckets.groupBy("node").agg(F.sum("n").alias("rank"))
     ranked = buckets.join(rank, "node")
     leaders = ranked.groupBy("bucket").agg(F.max(F.struct("rank", (-F.col("node")).alias("minus"))).alias("top")).select("bucket", (-F.col("top.minus")).alias("a"))
     stars = ranked.join(leaders, "bucket").where("a <> node").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= SHARED)
     best = stars.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("minus"))).alias("top")).select((-F.col("top.minus")).alias("a"), "b")
-    links = obeyed(best)
+    links = _obeyed(best, bodies)
     labels = stored(components(links), "labels")
     placed = buckets.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
     split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
@@ -326,9 +346,12 @@ def image_copies(images: DataFrame, id_col: str = "image_id", media_col: str = "
     one, two = (small.select("bucket", F.col("node").alias(x), F.col("component").alias(f"component_{x}")) for x in "ab")
     pairs = one.join(two, "bucket").where("a < b AND component_a <> component_b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED).select("a", "b")
     joined = lambda links: stored(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(links)), "labels")
-    labels = joined(obeyed(pairs))
+    labels = joined(_obeyed(pairs, bodies))
     if not large.isEmpty():
-        sketches = large.groupBy("node").agg(F.array_sort(F.collect_set("bucket")).alias("keys"), F.lit(b"").alias("sketch"))  # at most an image's keys
+        low = F.col("bucket").bitwiseAND(2**32 - 1)
+        low = F.when(low < 2**31, low).otherwise(low - 2**32).cast("int")
+        # at most an image's keys, not a set, so that two keys alike in these bits count as two; with fewer than SHARED there is no pair
+        sketches = split.groupBy("node").agg(F.collect_list(low).alias("keys"), F.lit(b"").alias("sketch")).where(F.size("keys") >= SHARED)
         sized = large.select("bucket", "node", F.lit(4096).cast("long").alias("bytes"))
         more = stored(crossing_links(sized, labels, sketches, bodies, near, prepared, linked), "crossing")
         labels = joined(more)
