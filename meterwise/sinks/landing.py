@@ -6,10 +6,12 @@ import io
 import itertools
 import json
 import tarfile
+import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 from datetime import date, datetime
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import csv as arrow_csv
 from pyspark import TaskContext
@@ -23,56 +25,75 @@ from .files import file_system
 
 #: What a tarball holds at most: rows, and bytes of its columns in memory.
 ROWS, BYTES = 100_000, 64 << 20
+#: Tarballs that a task has open at once, bytes of each that are held in memory, and how hard they are compressed.
+OPEN, SPOOLED, LEVEL = 128, 1 << 20, 6
 
 
-def _tarball(part: pa.Table, table: str, config: bytes) -> bytes:
-    text, out = io.BytesIO(), io.BytesIO()
-    arrow_csv.write_csv(part, text)
-    with tarfile.open(fileobj=out, mode="w:gz") as tar:
-        for name, data in (("config.json", config), (f"{table}.csv", text.getvalue())):
-            info = tarfile.TarInfo(name)
-            info.size = len(data)
-            tar.addfile(info, io.BytesIO(data))
-    return out.getvalue()
+class _Part:
+    """A tarball in the making: its CSV file, on the task's disk once it is more than SPOOLED bytes."""
+
+    def __init__(self, schema: pa.Schema):
+        self.text, self.rows, self.size = tempfile.SpooledTemporaryFile(SPOOLED), 0, 0
+        self.csv = arrow_csv.CSVWriter(self.text, schema)
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        self.csv.write_batch(rows)
+        self.rows, self.size = self.rows + rows.num_rows, self.size + rows.nbytes
+
+    def write(self, out, table: str, config: bytes) -> None:
+        self.csv.close()
+        length = self.text.tell()
+        self.text.seek(0)
+        with self.text, tarfile.open(fileobj=out, mode="w|gz", compresslevel=LEVEL) as tar:
+            for name, data, size in (("config.json", io.BytesIO(config), len(config)), (f"{table}.csv", self.text, length)):
+                info = tarfile.TarInfo(name)
+                info.size = size
+                tar.addfile(info, data)
+
+
+def _by_slice(batch: pa.RecordBatch) -> Iterator[tuple[tuple[datetime, datetime], pa.RecordBatch]]:
+    """The rows of each slice in a batch."""
+    ends = [batch.column(batch.schema.get_field_index(c)) for c in ("slice_start", "slice_end")]
+    _, first, of = np.unique(np.column_stack([e.cast(pa.int64()).to_numpy(zero_copy_only=False) for e in ends]), axis=0, return_index=True, return_inverse=True)
+    for n, i in enumerate(first):
+        yield tuple(e[int(i)].as_py() for e in ends), batch if len(first) == 1 else batch.take(pa.array(np.flatnonzero(of.reshape(-1) == n)))
 
 
 def write_slices(df: DataFrame, path: str, table: str, install_uuid: str, shipment: str, rows: int = ROWS, most_bytes: int = BYTES, config: dict | None = None) -> DataFrame:
     """The first phase of ship_slices: the tarballs of a shipment, which do not count yet. (slice_start, slice_end, file, rows) when
-    evaluated; an attempt of a task that fails leaves files that are not among them."""
+    evaluated; an attempt of a task that fails leaves files that are not among them.
+
+    Rows go to the CSV file of their slice as they come, so a task holds a batch and no tarball, however large."""
     document = json.dumps({**(config or {}), "install_uuid": install_uuid}).encode()
     names = [c for c in df.columns if c not in ("slice_start", "slice_end")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, root = file_system(path)
-        number, held, slice_, count, size = 0, [], None, 0, 0
+        numbers, open_ = itertools.count(), {}
 
-        def write(part: pa.Table) -> pa.RecordBatch:
-            folder, task = day_folder(root, slice_[0].date()), TaskContext.get()
-            name = commits.tarball_name(install_uuid, Span(*slice_), table, shipment, f"{task.partitionId()}-{task.taskAttemptId()}-{number}")
+        def write(slice_: tuple[datetime, datetime]) -> pa.RecordBatch:
+            folder, task, part = day_folder(root, slice_[0].date()), TaskContext.get(), open_.pop(slice_)
+            name = commits.tarball_name(install_uuid, Span(*slice_), table, shipment, f"{task.partitionId()}-{task.taskAttemptId()}-{next(numbers)}")
             where.create_dir(folder, recursive=True)
             with where.open_output_stream(f"{folder}/{name}", compression=None) as out:
-                out.write(_tarball(part, table, document))
+                part.write(out, table, document)
             start, end = (pa.array([x], pa.timestamp("us")) for x in slice_)
-            return pa.RecordBatch.from_arrays([start, end, pa.array([f"{folder}/{name}"]), pa.array([part.num_rows], pa.int64())], names=["slice_start", "slice_end", "file", "rows"])
+            return pa.RecordBatch.from_arrays([start, end, pa.array([f"{folder}/{name}"]), pa.array([part.rows], pa.int64())], names=["slice_start", "slice_end", "file", "rows"])
 
         for batch in batches:
-            starts, ends = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("slice_start", "slice_end"))
-            at = 0
-            while at < batch.num_rows:
-                end = next((i for i in range(at + 1, batch.num_rows) if starts[i] != starts[at]), batch.num_rows)
-                if held and slice_ != (starts[at], ends[at]):
-                    yield write(pa.Table.from_batches(held))
-                    number, held, count, size = number + 1, [], 0, 0
-                slice_ = starts[at], ends[at]
-                end = min(end, at + rows - count)
-                part = batch.slice(at, end - at).select(names)
-                held.append(part)
-                count, size, at = count + part.num_rows, size + part.nbytes, end
-                if count >= rows or size >= most_bytes:
-                    yield write(pa.Table.from_batches(held))
-                    number, held, count, size = number + 1, [], 0, 0
-        if held:
-            yield write(pa.Table.from_batches(held))
+            for slice_, found in _by_slice(batch) if batch.num_rows else ():
+                left = found.select(names)
+                while left.num_rows:
+                    part = open_[slice_] = open_.pop(slice_, None) or _Part(left.schema)  # the last one used is the last in order
+                    now = left.slice(0, rows - part.rows)
+                    part.add(now)
+                    left = left.slice(now.num_rows)
+                    if part.rows >= rows or part.size >= most_bytes:
+                        yield write(slice_)
+                    elif len(open_) > OPEN:
+                        yield write(next(iter(open_)))
+        for slice_ in list(open_):
+            yield write(slice_)
 
     return df.mapInArrow(run, "slice_start timestamp_ntz, slice_end timestamp_ntz, file string, rows long")
 
@@ -83,7 +104,8 @@ def ship_slices(df: DataFrame, path: str, table: str, install_uuid: str, rows: i
 
     All tarballs count at once, when the shipment is committed, or none; those of the same table whose slices lie in what
     the shipment covers (the slices themselves, if `covers` is not given) count no more. PartlyShipped is raised where a
-    slice would be replaced only in part. Rows of a slice should follow each other. Returns (file, rows).
+    slice would be replaced only in part. Rows of a slice that do not follow each other make more tarballs only where a task has
+    more than OPEN slices at once. Returns (file, rows).
     """
     shipment = uuid.uuid4().hex
     if covers:

@@ -5,6 +5,7 @@ import json
 import tarfile
 from datetime import date, datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyarrow import fs as arrow_fs
 from pyspark.sql import functions as F
@@ -233,3 +234,14 @@ def test_state_changes_by_compare_and_set(tmp_path):
     assert state.load(path, "i").version == 42 and len(names_in(f"{path}/gathered/i")) == state.KEPT
     assert create_text(f"{path}/once", "a") and not create_text(f"{path}/once", "b") and (tmp_path / "once").read_text() == "a"
     assert json.loads((tmp_path / "gathered/i/00000042.json").read_text())["marks"]["a"] == DAY.isoformat()
+
+
+def test_rows_of_slices_in_any_order_make_one_tarball_each(spark, tmp_path):
+    """A tarball is written from its CSV file, which leaves memory once it is large."""
+    rows = moments(spark, 40, hours=24).withColumn("id", F.pmod("id", F.lit(2))).coalesce(1)
+    slices = {"slice_start": F.timestamp_add("DAY", "id", F.lit(DAY)).cast("timestamp_ntz"), "slice_end": F.timestamp_add("DAY", F.col("id") + 1, F.lit(DAY)).cast("timestamp_ntz")}
+    files = landing.ship_slices(rows.withColumns(slices).withColumn("id", F.col("id").cast("string")), f"file://{tmp_path}", "job_host_summary", "i").collect()
+    assert sorted(f.rows for f in files) == [20, 20] and len(hosts(spark, f"file://{tmp_path}")) == 40
+    part = landing._Part(pa.schema({"host_name": pa.string()}))
+    part.add(pa.RecordBatch.from_pydict({"host_name": ["h" * 100] * (landing.SPOOLED // 100)}))
+    assert part.text._rolled
