@@ -22,7 +22,7 @@ from .sources.exports import read_exports
 
 KINDS = ("provider", "company", "renewal")
 #: What the rollups read of an export.
-HOST_COLUMNS = ("organization_name", "job_template_name", "host_variable", "host_name", "job_remote_id", "created", "job_created", *rollups.TASK_COUNTERS)
+HOST_COLUMNS = rollups.HOST_COLUMNS
 EVENT_COLUMNS = ("host_name", "task_action", "resolved_action", "resolved_role", "role", "job_remote_id", "duration")
 _HEADING = {"title": "heading of the report", "company": "company name", "email": "its e-mail address", "login": "its login", "business_leader": "its business leader", "procurement_leader": "its procurement leader", "po_number": "PO number"}
 _END_USER = ("name", "city", "state", "country")

@@ -17,6 +17,8 @@ from ..options import NO_COLLECTION, NO_ORGANIZATION, NO_ROLE
 HOST_KEYS = ["organization_name", "job_template_name", "host_name", "original_host_name", "install_uuid", "job_remote_id"]
 CONTENT_KEYS = ["host_name", "module_name", "collection_name", "role_name", "install_uuid", "job_remote_id"]
 TASK_COUNTERS = ("dark", "failures", "ok", "skipped", "ignored", "rescued")
+#: What host_rollup reads of an export.
+HOST_COLUMNS = ("organization_name", "job_template_name", "host_variable", "host_name", "job_remote_id", "created", "job_created", *TASK_COUNTERS)
 
 
 def normalised_job_hosts(job_hosts: DataFrame, *more: str) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 from datetime import date, datetime
 
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,8 +71,15 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/meterwise/{name}-{uuid.uuid4().hex}"
 
 
-def _shipped(job_hosts: DataFrame, path: str, until: datetime | None = None, **how) -> None:
-    """Ships job hosts as tarballs, a slice a year and installation; only rows before `until`, where slices end then."""
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    """df as Parquet in a folder of path, for what reads it more than once."""
+    df.write.parquet(f"{path}/stored")
+    return df.sparkSession.read.parquet(f"{path}/stored")
+
+
+def _shipped(job_hosts: DataFrame, path: str, until: datetime | None = None, whole: bool = False, **how) -> None:
+    """Ships job hosts as tarballs, a slice a year and installation; only rows before `until`, where slices end then. A slice is
+    dealt to as many tasks as it needs, or, where its tarball is to be whole, to one."""
     rows = job_hosts.withColumn("id", F.xxhash64("job_remote_id", "host_name", "ok"))
     year, end = F.date_trunc("year", "created").cast("timestamp_ntz"), F.expr("INTERVAL 1 YEAR")
     rows = rows if until is None else rows.where(F.col("created") < F.lit(until).cast("timestamp_ntz"))
@@ -79,62 +87,73 @@ def _shipped(job_hosts: DataFrame, path: str, until: datetime | None = None, **h
     for install in ("install-F", "install-O"):
         part = rows.where(F.col("install_uuid") == install).drop("install_uuid")
         texts = part.select(*(F.col(c).cast("string").alias(c) for c in part.columns), year.alias("slice_start"), last.alias("slice_end"))
-        ship_slices(texts.repartition("slice_start").sortWithinPartitions("slice_start"), path, "job_host_summary", install, **how)
+        dealt = texts.repartition("slice_start") if whole else texts.repartitionByRange("slice_start", "id")
+        ship_slices(dealt, path, "job_host_summary", install, **how)
 
 
 def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Job hosts shipped as tarballs, read back, and rolled up."""
     path = _scratch(spark, "exports")
-    _shipped(adapters.job_hosts(spark, sf_dir), path)
-    return rollups.host_rollup(read_exports(spark, path, "job_host_summary", date(1990, 1, 1), date(2010, 12, 31)))
+    _shipped(_stored(adapters.job_hosts(spark, sf_dir), path), path)
+    return rollups.host_rollup(read_exports(spark, path, "job_host_summary", date(1990, 1, 1), date(2010, 12, 31), rollups.HOST_COLUMNS))
 
 
 def _reshipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, shipped up to the middle of a year first, and then again with all of that year."""
-    rows, path = adapters.job_hosts(spark, sf_dir), _scratch(spark, "reshipped")
+    path = _scratch(spark, "reshipped")
+    rows = _stored(adapters.job_hosts(spark, sf_dir), path)
     _shipped(rows, path, until=datetime(1996, 7, 1))
     _shipped(rows.where("created >= '1996-01-01'"), path)
-    return rollups.host_rollup(read_exports(spark, path, "job_host_summary", date(1990, 1, 1), date(2010, 12, 31)))
+    return rollups.host_rollup(read_exports(spark, path, "job_host_summary", date(1990, 1, 1), date(2010, 12, 31), rollups.HOST_COLUMNS))
 
 
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shipped in two goes, the second of which replaces a slice of the first, each followed by a run of the stream."""
-    rows, path = adapters.job_hosts(spark, sf_dir), _scratch(spark, "streamed")
+    path = _scratch(spark, "streamed")
+    rows = _stored(adapters.job_hosts(spark, sf_dir), path)
     for part, until in ((rows, datetime(1996, 7, 1)), (rows.where("created >= '1996-01-01'"), None)):
         _shipped(part, f"{path}/shipped", until)
         gather_exports(spark, f"{path}/shipped", f"{path}/target", f"{path}/checkpoint").awaitTermination()
     return streamed_rollup(spark, f"{path}/shipped", f"{path}/target")
 
 
+def _halve(where: FileSystem, folder: str, name: str) -> None:
+    """Cuts a file to its first half, a piece at a time."""
+    with where.open_input_file(f"{folder}/{name}") as file, where.open_output_stream(f"{folder}/.{name}", compression=None) as out:
+        left = file.size() // 2
+        while left:
+            out.write(piece := file.read(min(left, 4 << 20)))
+            left -= len(piece)
+    where.move(f"{folder}/.{name}", f"{folder}/{name}")
+
+
 def _rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and unreadable tarballs by year of a landed set in which every tarball of 1999 has lost its second half."""
     path = _scratch(spark, "rejects")
-    _shipped(adapters.job_hosts(spark, sf_dir), path, rows=1 << 40, most_bytes=1 << 50)
+    _shipped(_stored(adapters.job_hosts(spark, sf_dir), path), path, whole=True, rows=1 << 40, most_bytes=1 << 50)
     where, root = file_system(path)
-    for name in names_in(f"{path}/data/1999/01/01"):
+    for name in names_in(folder := f"{path}/data/1999/01/01"):
         if name.endswith(".tar.gz"):
-            with where.open_input_file(f"{root}/data/1999/01/01/{name}") as file:
-                half = file.read(file.size() // 2)
-            with where.open_output_stream(f"{root}/data/1999/01/01/{name}", compression=None) as out:
-                out.write(half)
-    scan = scan_exports(spark, path, "job_host_summary")
+            _halve(where, f"{root}{folder.removeprefix(path)}", name)
+    scan = scan_exports(spark, path, "job_host_summary", columns=["created"])
     return scan.groupBy(F.year("slice_day").cast("long").alias("year")).agg(F.count_if(F.col("error").isNull()).alias("n_rows"), F.count_if(F.col("error").isNotNull()).alias("n_rejects"))
 
 
 def _pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usage of one installation in some years; the tarballs of others are not opened."""
     path = _scratch(spark, "pruned")
-    _shipped(adapters.job_hosts(spark, sf_dir), path)
-    scan = scan_exports(spark, path, "job_host_summary").where("install_uuid = 'install-F' AND slice_day >= DATE '1996-01-01' AND slice_day < DATE '1998-01-01'")
+    _shipped(_stored(adapters.job_hosts(spark, sf_dir), path), path)
+    scan = scan_exports(spark, path, "job_host_summary", columns=["organization_name", "ok"]).where("install_uuid = 'install-F' AND slice_day >= DATE '1996-01-01' AND slice_day < DATE '1998-01-01'")
     return scan.where("error IS NULL").groupBy("install_uuid", "organization_name").agg(F.count("*").alias("n_rows"), F.sum("ok").alias("ok"))
 
 
 def _by_platform(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usage by the platform that each slice's installation ran on: shipped in two goes, the later with a newer release."""
-    rows, path = adapters.job_hosts(spark, sf_dir), _scratch(spark, "platforms")
+    path = _scratch(spark, "platforms")
+    rows = _stored(adapters.job_hosts(spark, sf_dir), path)
     for part, release in ((rows.where("created < '1998-01-01'"), "8"), (rows.where("created >= '1998-01-01'"), "9")):
         _shipped(part, path, config={"platform": {"system": "Linux", "release": release}})
-    used = with_configs(scan_exports(spark, path, "job_host_summary").where("error IS NULL"), read_configs(spark, path, "job_host_summary"))
+    used = with_configs(scan_exports(spark, path, "job_host_summary", columns=["ok"]).where("error IS NULL"), read_configs(spark, path, "job_host_summary"))
     release = F.try_variant_get("config", "$.platform.release", "string")
     return used.groupBy("install_uuid", release.alias("release")).agg(F.count("*").alias("n_rows"), F.sum("ok").alias("ok"))
 

@@ -145,7 +145,7 @@ def _sound(tar: tarfile.TarFile, table: str, names: Sequence[str], renamed: Mapp
             if parse is ragged_batches:
                 raise
     for b in kept if size <= held else parse(opened, names, renamed):
-        yield b.append_column("install_uuid", pa.array([install] * b.num_rows, pa.string()))
+        yield b.append_column("install_uuid", pa.repeat(pa.scalar(install, pa.string()), b.num_rows))
 
 
 def rows_of(where: arrow_fs.FileSystem, tarball: Tarball, table: str, names: Sequence[str], renamed: Mapping[str, str], held: int = HELD) -> Iterator[pa.RecordBatch]:
@@ -158,7 +158,7 @@ def rows_of(where: arrow_fs.FileSystem, tarball: Tarball, table: str, names: Seq
 
     def whole(batch: pa.RecordBatch, **more) -> pa.RecordBatch:
         for name, value in {**known, **more}.items():
-            batch = batch.append_column(name, pa.array([value] * batch.num_rows, kinds.get(name, pa.string())))
+            batch = batch.append_column(name, pa.repeat(pa.scalar(value, kinds.get(name, pa.string())), batch.num_rows))
         return batch.select(order)
 
     with where.open_input_file(tarball.file) as file:

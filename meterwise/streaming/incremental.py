@@ -6,12 +6,13 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import add
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.rollups import TASK_COUNTERS, host_rollup, merged_host_rollups
+from ..operators.rollups import HOST_COLUMNS, TASK_COUNTERS, host_rollup, merged_host_rollups
 from ..sources.exports import live_slices, rejected, stream_exports
 
 #: What tells the slices of shipments apart in partial rollups.
@@ -32,7 +33,7 @@ def gather_new(spark: SparkSession, source: str, target: str, checkpoint: str, s
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def gather_exports(spark: SparkSession, path: str, target: str, checkpoint: str, columns: Sequence[str] | None = None, renamed: Mapping[str, str] | None = None) -> StreamingQuery:
+def gather_exports(spark: SparkSession, path: str, target: str, checkpoint: str, columns: Sequence[str] = HOST_COLUMNS, renamed: Mapping[str, str] | None = None) -> StreamingQuery:
     """Rolls up the job hosts of shipments committed since the last run and appends them to target/rollups, by shipment and slice,
     and what is wrong with unreadable tarballs to target/rejects; then stops. streamed_rollup gives the whole.
 
@@ -41,7 +42,7 @@ def gather_exports(spark: SparkSession, path: str, target: str, checkpoint: str,
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.persist()
+        batch.persist(StorageLevel.DISK_ONLY)  # read twice, and as large as what has been shipped
         host_rollup(batch.where("error IS NULL"), *SLICE).write.mode("overwrite").parquet(f"{target}/rollups/batch={number}")
         rejected(batch).write.mode("overwrite").parquet(f"{target}/rejects/batch={number}")
         batch.unpersist()

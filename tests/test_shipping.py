@@ -11,7 +11,7 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import functions as F
 
 from meterwise.options import HostFields, Settings
-from meterwise.plans import gather, state
+from meterwise.plans import gather, registry, state
 from meterwise.sinks import commits, landing
 from meterwise.sinks.commits import Span
 from meterwise.sinks.files import create_text, names_in
@@ -245,3 +245,15 @@ def test_rows_of_slices_in_any_order_make_one_tarball_each(spark, tmp_path):
     part = landing._Part(pa.schema({"host_name": pa.string()}))
     part.add(pa.RecordBatch.from_pydict({"host_name": ["h" * 100] * (landing.SPOOLED // 100)}))
     assert part.text._rolled
+
+
+def test_a_slice_is_dealt_to_several_tasks_unless_it_is_to_be_whole(spark, tmp_path):
+    rows = spark.range(2_000).select(F.lit(DAY).cast("timestamp_ntz").alias("created"), F.col("id").alias("job_remote_id"), F.lit("h").alias("host_name"), F.lit(1).alias("ok"), F.lit("install-F").alias("install_uuid"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for whole in (False, True):
+            registry._shipped(rows, f"file://{tmp_path}/{whole}", whole=whole)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = {whole: len(list(tmp_path.glob(f"{whole}/data/**/*.tar.gz"))) for whole in (False, True)}
+    assert files == {False: 4, True: 1}
