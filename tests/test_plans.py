@@ -291,3 +291,17 @@ def test_moments_keep_their_wall_time(spark):
     rows = conformed(spark.createDataFrame([(t,) for t in texts], "created string"), "created timestamp_ntz").collect()
     moment = datetime(2024, 1, 2, 3, 4, 5)
     assert [r.created for r in rows] == [moment, datetime(2024, 1, 2, 3, 4, 5, 678000), moment, moment, moment, None, None]
+
+
+def test_parts_of_shuffles_and_scans_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(adapters, "PART_ROWS", 500)
+    settings = {n: spark.conf.get(n, None) for n in ("spark.sql.shuffle.partitions", "spark.sql.files.minPartitionNum", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert rollups.host_rollup(adapters.job_hosts(spark, "/root/testdata/sf0.001")).rdd.getNumPartitions() >= 6_000 // 500
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        adapters.in_parts(spark, 1)
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) == parts
+    finally:
+        for name, value in settings.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
