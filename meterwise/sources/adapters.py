@@ -14,6 +14,8 @@ FIELDS = HostFields("host_address", "host_connection", "serial_number", "machine
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 #: Rows of the large tables for each part of a shuffle or scan.
 PART_ROWS = 150_000
+#: Bytes up to which adaptive execution merges parts of large tables, in place of its default, which is too much for well-packed rows.
+MERGED, DEFAULT_MERGED = "8m", "67108864b"
 
 JOB_HOSTS = """
 SELECT l.l_shipdate AS created, o.o_orderdate AS job_created, l.l_orderkey AS job_remote_id, p.p_type AS job_template_name,
@@ -110,6 +112,8 @@ def in_parts(spark: SparkSession, rows: int) -> None:
     for setting in ("spark.sql.shuffle.partitions", "spark.sql.files.minPartitionNum"):
         if int(spark.conf.get(setting, None) or 0) < (parts := -(-rows // PART_ROWS)):
             spark.conf.set(setting, parts)
+            if spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == DEFAULT_MERGED:
+                spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", MERGED)
 
 
 def base_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

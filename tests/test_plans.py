@@ -295,11 +295,12 @@ def test_moments_keep_their_wall_time(spark):
 
 def test_parts_of_shuffles_and_scans_follow_the_rows(spark, monkeypatch):
     monkeypatch.setattr(adapters, "PART_ROWS", 500)
-    settings = {n: spark.conf.get(n, None) for n in ("spark.sql.shuffle.partitions", "spark.sql.files.minPartitionNum", "spark.sql.adaptive.enabled")}
+    settings = {n: spark.conf.get(n, None) for n in ("spark.sql.shuffle.partitions", "spark.sql.files.minPartitionNum", "spark.sql.adaptive.enabled", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         assert rollups.host_rollup(adapters.job_hosts(spark, "/root/testdata/sf0.001")).rdd.getNumPartitions() >= 6_000 // 500
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == adapters.MERGED
         adapters.in_parts(spark, 1)
         assert int(spark.conf.get("spark.sql.shuffle.partitions")) == parts
     finally:
