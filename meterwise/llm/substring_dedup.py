@@ -55,14 +55,14 @@ class Suffixes:
             sampled = np.concatenate([at + best[at].argmin(1) for at in np.array_split(starts, 1 + len(starts) // 100_000)])
             # windows of one text that sample one place follow each other
             begins = np.flatnonzero(np.concatenate(([True], (sampled[1:] != sampled[:-1]) | (text_of[starts[1:]] != text_of[starts[:-1]]))))
-            self.windows = words.grams(window)[starts]
             self.prefix = grams[sampled[begins]].view(np.int64)
         else:
             sampled = begins = np.zeros(0, np.int64)
-            self.windows, self.prefix = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            self.prefix = np.zeros(0, np.int64)
         first = words.first[:-1]
         self.text = text_of[sampled[begins]]
         self.place = sampled[begins] - first[self.text]
+        self.begin = starts
         self.start = starts - first[text_of[starts]] if len(starts) else starts
         self.lengths = np.diff(np.append(begins, len(starts)))
 
@@ -190,10 +190,16 @@ def _firsts(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return first
 
 
-def _numbers(words: list) -> np.ndarray:
-    """The words as numbers, equal ones alike."""
-    known: dict = {}
-    return np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+#: Every space a blank.
+_BLANKS = bytes.maketrans(b"\t\n\v\f\r", b" " * 5)
+
+
+def _single_spaced(text: bytes) -> bytes:
+    """The text with one blank for each run of spaces."""
+    text = text.translate(_BLANKS)
+    while b"  " in text:
+        text = text.replace(b"  ", b" ")
+    return text
 
 
 def _candidates(window: int, prefix: int, heavy: np.ndarray | None = None, only: bool = False):
@@ -204,7 +210,7 @@ def _candidates(window: int, prefix: int, heavy: np.ndarray | None = None, only:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = batches if only else (b.filter(b.column(3).is_valid()) for b in batches)
         for batch, texts in small_batches(some, 2, BATCH):
-            s = Suffixes([b" ".join(t.split()) for t in texts], window, prefix)
+            s = Suffixes([_single_spaced(t) for t in texts], window, prefix)
             words, first_word = s.words, s.words.first[:-1]
             ids, rows = _longs(batch.column(0)), _longs(batch.column(1))
             wanted = np.isin(s.prefix, [] if heavy is None else heavy) == only
@@ -214,13 +220,13 @@ def _candidates(window: int, prefix: int, heavy: np.ndarray | None = None, only:
                 wanted &= np.isin(s.text.astype(np.int64) << 32 | s.place, asked)
             suffix = np.repeat(np.arange(len(s.text)), s.lengths)
             keep = wanted[suffix] if len(suffix) else np.zeros(0, bool)
-            suffix, hashes, start = suffix[keep], s.windows[keep], s.start[keep]
+            suffix, at, start = suffix[keep], s.begin[keep], s.start[keep]
             text = s.text[suffix]
             doc = ids[text]
-            first = _firsts(hashes, doc)
+            first = _firsts(words.grams(window)[at], doc)
             settled = doc[first] < doc
             later = np.flatnonzero(settled)
-            number, at = _numbers(words.data.split()) if len(later) else later, start + first_word[text]
+            number = words.numbers() if len(later) else later
             for j in range(window):  # equal hashes are not yet equal words
                 later = later[number[at[later] + j] == number[at[first[later]] + j]]
             settled[:] = False
@@ -244,8 +250,8 @@ _GONE, _CANDIDATES = "doc_id long, row long, start int, stop int", "key long, do
 
 def _symbols(texts: list[str], backwards: bool = False) -> np.ndarray:
     """The words of each text, all followed by a space, as a row of numbers, in which -1 stands for none."""
-    counts = np.array([t.count(" ") for t in texts], np.int64)
-    number = _numbers("".join(texts).split(" ")[:-1])
+    words = Words([t.encode() for t in texts])
+    number, counts = words.numbers(), np.diff(words.first)
     row = np.repeat(np.arange(len(texts)), counts)
     column = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
     out = np.full((len(texts), int(counts.max(initial=0))), -1, np.int64)

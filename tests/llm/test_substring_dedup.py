@@ -141,3 +141,24 @@ def test_one_window_in_half_of_all_rows(spark):
     rows = [(n, " ".join([*(f"x{rng.random()}" for _ in range(8)), *([hot] if n % 2 else []), *(f"y{rng.random()}" for _ in range(8))])) for n in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
     assert sorted(map(tuple, S.remove_repeats(docs, group=3).collect()), key=str) == brute(rows)
+
+
+def test_words_are_numbered_by_their_bytes_without_a_call_for_each():
+    import cProfile
+    import pstats
+
+    from meterwise.llm.common import Words
+
+    long = "x" * 40
+    words = [*"aba", "é", "漢字", long, long + "y", long, "\x01", "", "a"]
+    assert Words([" ".join(words[:4]).encode(), b"", "\n ".join(words[4:]).encode()]).numbers().tolist() == [0, 1, 0, 2, 3, 4, 5, 4, 6, 0]
+    assert Words([]).numbers().tolist() == Words([b" \n"]).numbers().tolist() == []
+    text = " ".join(f"w{i}" for i in range(20_000))
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "row": i, "text": text, "places": list(range(20_000))} for i in range(2)], pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("text", pa.string()), ("places", pa.list_(pa.int32()))]))
+    profile = cProfile.Profile()
+    profile.enable()
+    found = pa.Table.from_batches(list(S._candidates(13, 5)(iter([batch]))))
+    profile.disable()
+    gone = found.filter(pa.compute.is_null(found["key"]))
+    assert set(gone["doc_id"].to_pylist()) == {1} and min(gone["start"].to_pylist()) == 0 and max(gone["stop"].to_pylist()) == 20_000
+    assert pstats.Stats(profile).total_calls < 40_000
