@@ -9,12 +9,14 @@
 3. Pairs need descriptors that are each other's nearest and one similarity transform that most of these matches obey.
 4. In each bucket the most connected image leads; an image is compared with the leader that it shares most keys with.
    Buckets that then still hold several components pair the images of different ones if they hold up to SMALL images,
-   and compare them block by block if more, so that no link is lost. Exact copies are one node from the start.
+   and compare them block by block if more, so that no link is lost. Nearly all pairs of small buckets meet in one only,
+   by chance: a sketch of pairs leaves them out before any row is made of them. Exact copies are one node from the start.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +44,13 @@ LEAST_BITS = 8
 SHARED, DISTANCE, INLIERS, MISS = 2, 64, 7, 3.0
 #: Images of a bucket up to which those of different components are paired.
 SMALL = 16
+#: Cells of the sketch of pairs for each meeting in a small bucket, up to the sketch's bound.
+PAIR_CELLS = 8
 #: Shared keys that are broadcast, 16 bytes each, or four times the pairs; more meet the keys, or bodies, by shuffle.
 MARKS = 2_000_000
 #: Pairs of one image that a task compares.
 PART = 128
-#: Keys that a task counts before it sends them.
+#: Keys, or pairs, that a task counts before it sends them.
 FLUSH = 2_000_000
 #: Images that a Python worker gets at once.
 BATCH = "256"
@@ -248,22 +252,69 @@ def _keys(batches: Iterator[pa.RecordBatch], seen: Sketch | None = None) -> Iter
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], names=["node", "bucket"])
 
 
-def _seen_twice(bodies: DataFrame, corners: int) -> Broadcast:
-    """A sketch of the keys that two images may have: nearly all keys are of one image, and are neither counted nor dealt."""
-    cells = width(2 * WORDS * corners)
+def _frequent(rows: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], least: int, expected: int) -> Broadcast:
+    """A sketch of those hashes of rows that may occur `least` times, wide enough for so many `expected` ones."""
+    cells = width(expected)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for batch in _keys(batches):
-            held.append(batch.column(1).to_numpy().view(np.uint64))
-            n += batch.num_rows
+        for found in hashes(batches):
+            held.append(found)
+            n += len(found)
             if n > FLUSH:
                 yield from places_of(np.concatenate(held), cells)
                 held, n = [], 0
         if n:
             yield from places_of(np.concatenate(held), cells)
 
-    return bodies.sparkSession.sparkContext.broadcast((frequent_cells(bodies.mapInArrow(count, PARTS), 2, cells), cells))
+    return rows.sparkSession.sparkContext.broadcast((frequent_cells(rows.mapInArrow(count, PARTS), least, cells), cells))
+
+
+def _seen_twice(bodies: DataFrame, corners: int) -> Broadcast:
+    """A sketch of the keys that two images may have: nearly all keys are of one image, and are neither counted nor dealt."""
+    return _frequent(bodies, lambda batches: (b.column(1).to_numpy().view(np.uint64) for b in _keys(batches)), 2, 2 * WORDS * corners)
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """From rows (bucket, node, component) that hold buckets together, each bucket's pairs a < b of different components.
+    Held are a batch, the bucket that it ends in, and as many pairs as their rows; a row meets those after it in its bucket."""
+    kept = [np.zeros(0, np.int64)] * 3
+    for batch in itertools.chain(batches, [None]):
+        if batch is None:
+            whole, kept = kept, []
+        else:
+            rows = [np.concatenate(x) for x in zip(kept, (c.to_numpy() for c in batch.columns), strict=True)]
+            last = int(np.flatnonzero(np.diff(rows[0], prepend=rows[0][:1] - 1))[-1]) if len(rows[0]) else 0
+            whole, kept = [x[:last] for x in rows], [x[last:] for x in rows]
+        bucket, node, component = whole
+        for step in range(1, len(bucket)):
+            same = bucket[step:] == bucket[:-step]
+            if not same.any():
+                break
+            one, two = node[:-step], node[step:]
+            met = same & (one != two) & (component[step:] != component[:-step])
+            yield np.minimum(one, two)[met], np.maximum(one, two)[met]
+
+
+def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(mix(a.view(np.uint64)) + b.view(np.uint64))
+
+
+def _sharing(small: DataFrame) -> DataFrame:
+    """The pairs (a, b), a < b, of images of different components that share SHARED of the buckets of small (bucket, node, n,
+    component), of n images at most. A bucket's pairs meet in the task that holds it; of them, it gives those that a sketch
+    of all pairs says may meet SHARED times, and these are counted."""
+    meetings = small.agg(F.sum((F.col("n") - 1) / 2)).first()[0] or 0
+    rows = small.select("bucket", "node", "component").repartition("bucket").sortWithinPartitions("bucket")
+    often = _frequent(rows, lambda batches: (_pair_hash(a, b) for a, b in _meetings(batches)), SHARED, PAIR_CELLS * int(meetings))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Sketch(*often.value)
+        for a, b in _meetings(batches):
+            may = seen.may_have(_pair_hash(a, b))
+            yield pa.RecordBatch.from_arrays([pa.array(a[may]), pa.array(b[may])], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED).select("a", "b")
 
 
 def _counts(batches: Iterator[pa.RecordBatch], seen: Sketch) -> Iterator[pa.RecordBatch]:
@@ -343,10 +394,8 @@ def image_copies(images: DataFrame, id_col: str = "image_id", media_col: str = "
     split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
     split = stored(placed.join(split, "bucket"), "split")
     small, large = split.where(F.col("n") <= SMALL), split.where(F.col("n") > SMALL)
-    one, two = (small.select("bucket", F.col("node").alias(x), F.col("component").alias(f"component_{x}")) for x in "ab")
-    pairs = one.join(two, "bucket").where("a < b AND component_a <> component_b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED).select("a", "b")
     joined = lambda links: stored(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(links)), "labels")
-    labels = joined(_obeyed(pairs, bodies))
+    labels = joined(_obeyed(_sharing(small), bodies))
     if not large.isEmpty():
         low = F.col("bucket").bitwiseAND(2**32 - 1)
         low = F.when(low < 2**31, low).otherwise(low - 2**32).cast("int")

@@ -82,6 +82,39 @@ def test_classes_equal_brute_force(spark, pictures, small, monkeypatch):
     assert want[500] == want[501] == 30 and want[1] == 0
 
 
+def test_pairs_that_meet_once_are_not_made(spark, monkeypatch):
+    """Pairs of a bucket meet in the task that holds it; only those that may share SHARED buckets leave it."""
+    rng = np.random.default_rng(11)
+    buckets = [rng.choice(2000, size=rng.integers(1, M.SMALL + 1), replace=False) for _ in range(600)]
+    buckets += [np.array([k, k + 1, 1999 - k]) for k in range(0, 40, 4) for _ in range(2)]
+    rows = [(k - 300, int(x), len(nodes), int(x) // 2 * 2 if x % 8 < 2 else int(x)) for k, nodes in enumerate(buckets) for x in nodes]
+    met = {}
+    for nodes in buckets:
+        for a in nodes.tolist():
+            for b in nodes.tolist():
+                if a < b and not (a % 8 == 0 and b == a + 1):
+                    met[a, b] = met.get((a, b), 0) + 1
+    want = {pair for pair, n in met.items() if n >= M.SHARED}
+    small = spark.createDataFrame(rows, "bucket long, node long, n long, component long").repartition(5)
+    made, kind = [], type(small)
+    mapped = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *args: made.append(mapped(self, *args)) or made[-1])
+    monkeypatch.setattr(M, "FLUSH", 500)
+    pairs = M._sharing(small)
+    monkeypatch.undo()
+    assert len(want) >= 20 and {tuple(r) for r in pairs.collect()} == want
+    assert made[-1].columns == ["a", "b"] and made[-1].count() <= len(met) / 10
+
+
+def test_small_buckets_are_not_joined(spark, pictures, monkeypatch):
+    plans, obeyed = [], M._obeyed
+    monkeypatch.setattr(M, "_obeyed", lambda pairs, bodies: plans.append(pairs._jdf.queryExecution().optimizedPlan().toString()) or obeyed(pairs, bodies))
+    rows = [(n, M.encode_pgm(p)) for n, p in enumerate(pictures[:8])] + [(10, M.encode_pgm(pictures[0][8:80, 14:90]))]
+    found = {r.image_id: r.class_id for r in M.image_copies(spark.createDataFrame(rows, "image_id long, media binary")).collect()}
+    assert found == brute(rows)
+    assert len(plans) == 2 and "Join" not in plans[1]
+
+
 def test_empty(spark):
     assert M.image_copies(spark.createDataFrame([], "image_id long, media binary")).count() == 0
     assert M.drawn(spark.createDataFrame([(1, None), (None, [1.0])], "vec_id long, embedding array<float>")).count() == 2
