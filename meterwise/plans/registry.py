@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from datetime import date, datetime
 
 from pyarrow.fs import FileSystem
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import COLLECTION, ROLE
 from ..functions.dates import sliding_windows
 from ..operators import hosts, rollups, usage
-from ..operators.components import checkpointed
+from ..operators.components import checkpointed, shuffles_removed
 from ..sinks.files import file_system, names_in
 from ..sinks.landing import land, land_events, landed, ship_slices
 from ..sources import adapters, extract
@@ -71,49 +72,58 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/meterwise/{name}-{uuid.uuid4().hex}"
 
 
-def _stored(df: DataFrame, path: str) -> DataFrame:
-    """df as Parquet in a folder of path, for what reads it more than once."""
-    df.write.parquet(f"{path}/stored")
-    return df.sparkSession.read.parquet(f"{path}/stored")
+@contextmanager
+def _stored(df: DataFrame, path: str) -> Iterator[DataFrame]:
+    """df as Parquet in a folder of path, for what reads it more than once inside; then the folder goes."""
+    where, root = file_system(path)
+    try:
+        with shuffles_removed(df.sparkSession):
+            df.write.parquet(f"{path}/stored")
+        yield df.sparkSession.read.parquet(f"{path}/stored")
+    finally:
+        where.delete_dir(f"{root.rstrip('/')}/stored")
 
 
 def _shipped(job_hosts: DataFrame, path: str, until: datetime | None = None, whole: bool = False, **how) -> None:
     """Ships job hosts as tarballs, a slice a year and installation; only rows before `until`, where slices end then. A slice is
-    dealt to as many tasks as it needs, or, where its tarball is to be whole, to one."""
-    rows = job_hosts.withColumn("id", F.xxhash64("job_remote_id", "host_name", "ok"))
+    dealt to as many tasks as it needs, or, where its tarball is to be whole, to one. Rows are dealt as they are, and become texts
+    where they are written; the rows of a job follow each other there, which makes tarballs small."""
+    rows = job_hosts
     year, end = F.date_trunc("year", "created").cast("timestamp_ntz"), F.expr("INTERVAL 1 YEAR")
     rows = rows if until is None else rows.where(F.col("created") < F.lit(until).cast("timestamp_ntz"))
     last = year + end if until is None else F.least(year + end, F.lit(until).cast("timestamp_ntz"))
     for install in ("install-F", "install-O"):
         part = rows.where(F.col("install_uuid") == install).drop("install_uuid")
-        texts = part.select(*(F.col(c).cast("string").alias(c) for c in part.columns), year.alias("slice_start"), last.alias("slice_end"))
-        dealt = texts.repartition("slice_start") if whole else texts.repartitionByRange("slice_start", "id")
-        ship_slices(dealt, path, "job_host_summary", install, **how)
+        cut = part.withColumns({"slice_start": year, "slice_end": last})
+        order = ["slice_start", "job_remote_id", "host_name", "created", "ok"]
+        dealt = cut.repartition("slice_start") if whole else cut.repartitionByRange(*order).sortWithinPartitions(*order)
+        ship_slices(dealt.select(*(F.col(c).cast("string").alias(c) for c in part.columns), "slice_start", "slice_end"), path, "job_host_summary", install, **how)
 
 
 def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Job hosts shipped as tarballs, read back, and rolled up."""
     path = _scratch(spark, "exports")
-    _shipped(_stored(adapters.job_hosts(spark, sf_dir), path), path)
+    with _stored(adapters.job_hosts(spark, sf_dir), path) as rows:
+        _shipped(rows, path)
     return rollups.host_rollup(read_exports(spark, path, "job_host_summary", date(1990, 1, 1), date(2010, 12, 31), rollups.HOST_COLUMNS))
 
 
 def _reshipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, shipped up to the middle of a year first, and then again with all of that year."""
     path = _scratch(spark, "reshipped")
-    rows = _stored(adapters.job_hosts(spark, sf_dir), path)
-    _shipped(rows, path, until=datetime(1996, 7, 1))
-    _shipped(rows.where("created >= '1996-01-01'"), path)
+    with _stored(adapters.job_hosts(spark, sf_dir), path) as rows:
+        _shipped(rows, path, until=datetime(1996, 7, 1))
+        _shipped(rows.where("created >= '1996-01-01'"), path)
     return rollups.host_rollup(read_exports(spark, path, "job_host_summary", date(1990, 1, 1), date(2010, 12, 31), rollups.HOST_COLUMNS))
 
 
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shipped in two goes, the second of which replaces a slice of the first, each followed by a run of the stream."""
     path = _scratch(spark, "streamed")
-    rows = _stored(adapters.job_hosts(spark, sf_dir), path)
-    for part, until in ((rows, datetime(1996, 7, 1)), (rows.where("created >= '1996-01-01'"), None)):
-        _shipped(part, f"{path}/shipped", until)
-        gather_exports(spark, f"{path}/shipped", f"{path}/target", f"{path}/checkpoint").awaitTermination()
+    with _stored(adapters.job_hosts(spark, sf_dir), path) as rows:
+        for part, until in ((rows, datetime(1996, 7, 1)), (rows.where("created >= '1996-01-01'"), None)):
+            _shipped(part, f"{path}/shipped", until)
+            gather_exports(spark, f"{path}/shipped", f"{path}/target", f"{path}/checkpoint").awaitTermination()
     return streamed_rollup(spark, f"{path}/shipped", f"{path}/target")
 
 
@@ -130,7 +140,8 @@ def _halve(where: FileSystem, folder: str, name: str) -> None:
 def _rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and unreadable tarballs by year of a landed set in which every tarball of 1999 has lost its second half."""
     path = _scratch(spark, "rejects")
-    _shipped(_stored(adapters.job_hosts(spark, sf_dir), path), path, whole=True, rows=1 << 40, most_bytes=1 << 50)
+    with _stored(adapters.job_hosts(spark, sf_dir), path) as rows:
+        _shipped(rows, path, whole=True, rows=1 << 40, most_bytes=1 << 50)
     where, root = file_system(path)
     for name in names_in(folder := f"{path}/data/1999/01/01"):
         if name.endswith(".tar.gz"):
@@ -142,7 +153,8 @@ def _rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usage of one installation in some years; the tarballs of others are not opened."""
     path = _scratch(spark, "pruned")
-    _shipped(_stored(adapters.job_hosts(spark, sf_dir), path), path)
+    with _stored(adapters.job_hosts(spark, sf_dir), path) as rows:
+        _shipped(rows, path)
     scan = scan_exports(spark, path, "job_host_summary", columns=["organization_name", "ok"]).where("install_uuid = 'install-F' AND slice_day >= DATE '1996-01-01' AND slice_day < DATE '1998-01-01'")
     return scan.where("error IS NULL").groupBy("install_uuid", "organization_name").agg(F.count("*").alias("n_rows"), F.sum("ok").alias("ok"))
 
@@ -150,9 +162,9 @@ def _pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _by_platform(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usage by the platform that each slice's installation ran on: shipped in two goes, the later with a newer release."""
     path = _scratch(spark, "platforms")
-    rows = _stored(adapters.job_hosts(spark, sf_dir), path)
-    for part, release in ((rows.where("created < '1998-01-01'"), "8"), (rows.where("created >= '1998-01-01'"), "9")):
-        _shipped(part, path, config={"platform": {"system": "Linux", "release": release}})
+    with _stored(adapters.job_hosts(spark, sf_dir), path) as rows:
+        for part, release in ((rows.where("created < '1998-01-01'"), "8"), (rows.where("created >= '1998-01-01'"), "9")):
+            _shipped(part, path, config={"platform": {"system": "Linux", "release": release}})
     used = with_configs(scan_exports(spark, path, "job_host_summary", columns=["ok"]).where("error IS NULL"), read_configs(spark, path, "job_host_summary"))
     release = F.try_variant_get("config", "$.platform.release", "string")
     return used.groupBy("install_uuid", release.alias("release")).agg(F.count("*").alias("n_rows"), F.sum("ok").alias("ok"))

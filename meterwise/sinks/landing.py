@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import checkpointed
+from ..operators.components import checkpointed, shuffles_removed
 from . import commits
 from .commits import Manifest, Span, day_folder
 from .files import file_system
@@ -110,7 +110,8 @@ def ship_slices(df: DataFrame, path: str, table: str, install_uuid: str, rows: i
     shipment = uuid.uuid4().hex
     if covers:
         commits.refuse_parts(path, install_uuid, table, covers)
-    written = checkpointed(write_slices(df, path, table, install_uuid, shipment, rows, most_bytes, config))
+    with shuffles_removed(df.sparkSession):
+        written = checkpointed(write_slices(df, path, table, install_uuid, shipment, rows, most_bytes, config))
     spans = list(covers) if covers else [Span(*r) for r in written.select("slice_start", "slice_end").distinct().collect()]
     if not covers:
         commits.refuse_parts(path, install_uuid, table, spans)

@@ -2,6 +2,7 @@
 
 import io
 import json
+import os
 import tarfile
 from datetime import date, datetime, timedelta
 
@@ -257,3 +258,22 @@ def test_a_slice_is_dealt_to_several_tasks_unless_it_is_to_be_whole(spark, tmp_p
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     files = {whole: len(list(tmp_path.glob(f"{whole}/data/**/*.tar.gz"))) for whole in (False, True)}
     assert files == {False: 4, True: 1}
+
+
+def shuffled(spark):
+    """Bytes of shuffle files on disk."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+    return sum(os.path.getsize(f) for f in files if "/shuffle_" in f and os.path.exists(f))
+
+
+def test_shipping_leaves_tarballs_only(spark, tmp_path):
+    """Neither the shuffle files of a shipment nor the stored rows stay on disk; tarballs have the rows of a job together."""
+    rows = spark.range(20_000).select(F.lit(DAY).cast("timestamp_ntz").alias("created"), F.pmod("id", F.lit(50)).alias("job_remote_id"), F.concat(F.lit("h"), "id").alias("host_name"), F.lit(1).alias("ok"), F.lit("install-F").alias("install_uuid"))
+    before = shuffled(spark)
+    with registry._stored(rows.repartition(3), f"file://{tmp_path}/exports") as stored:
+        registry._shipped(stored, f"file://{tmp_path}/exports")
+        assert (tmp_path / "exports/stored").exists()
+    assert sorted(x.name for x in (tmp_path / "exports").iterdir()) == ["data", "log"] and shuffled(spark) < before + 10_000
+    found = read_exports(spark, f"file://{tmp_path}/exports", "job_host_summary", date(2024, 1, 1), date(2024, 1, 1), ("job_remote_id", "host_name"))
+    assert found.count() == found.distinct().count() == 20_000
+    assert all(r[0] == sorted(r[0]) for r in found.groupBy(F.spark_partition_id()).agg(F.collect_list("job_remote_id")).select("collect_list(job_remote_id)").collect())
