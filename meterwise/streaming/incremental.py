@@ -6,12 +6,12 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import add
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..operators.components import shuffles_removed
 from ..operators.rollups import HOST_COLUMNS, TASK_COUNTERS, host_rollup, merged_host_rollups
 from ..sources.exports import live_slices, rejected, stream_exports
 
@@ -35,17 +35,18 @@ def gather_new(spark: SparkSession, source: str, target: str, checkpoint: str, s
 
 def gather_exports(spark: SparkSession, path: str, target: str, checkpoint: str, columns: Sequence[str] = HOST_COLUMNS, renamed: Mapping[str, str] | None = None) -> StreamingQuery:
     """Rolls up the job hosts of shipments committed since the last run and appends them to target/rollups, by shipment and slice,
-    and what is wrong with unreadable tarballs to target/rejects; then stops. streamed_rollup gives the whole.
+    and what is wrong with unreadable tarballs to target/rejects; then stops. streamed_rollup gives the whole. Tarballs are read
+    once: rollups has a row for each unreadable one too, with its file and error.
 
     The checkpoint holds the last record of each installation's log; a batch that is repeated writes the folders of its own
     number anew.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.persist(StorageLevel.DISK_ONLY)  # read twice, and as large as what has been shipped
-        host_rollup(batch.where("error IS NULL"), *SLICE).write.mode("overwrite").parquet(f"{target}/rollups/batch={number}")
-        rejected(batch).write.mode("overwrite").parquet(f"{target}/rejects/batch={number}")
-        batch.unpersist()
+        rows = batch.withColumn("file", F.when(F.col("error").isNotNull(), F.col("file")))
+        with shuffles_removed(batch.sparkSession):
+            host_rollup(rows, *SLICE, "file", "error").write.mode("overwrite").parquet(f"{target}/rollups/batch={number}")
+        rejected(batch.sparkSession.read.parquet(f"{target}/rollups/batch={number}")).write.mode("overwrite").parquet(f"{target}/rejects/batch={number}")
 
     stream = stream_exports(spark, path, "job_host_summary", columns, renamed)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -53,10 +54,12 @@ def gather_exports(spark: SparkSession, path: str, target: str, checkpoint: str,
 
 def streamed_rollup(spark: SparkSession, path: str, target: str) -> DataFrame:
     """The rollup of what gather_exports has rolled up so far, without the slices that later shipments have replaced since."""
-    parts = spark.read.parquet(f"{target}/rollups").drop("batch")
+    parts = spark.read.option("mergeSchema", "true").parquet(f"{target}/rollups").drop("batch")
+    parts = parts.where("error IS NULL") if "error" in parts.columns else parts
     days = [r[0] for r in parts.select("slice_day").distinct().collect()]
     live = live_slices(spark, path, "job_host_summary", days)
-    return merged_host_rollups(parts.join(live, ["install_uuid", "shipment", "slice_start"], "left_semi"))
+    # the slices come from the driver, and are few beside the rows, which else would all meet by some ten keys
+    return merged_host_rollups(parts.join(F.broadcast(live), ["install_uuid", "shipment", "slice_start"], "left_semi"))
 
 
 def hourly_usage(stream: DataFrame, late: str = "1 hour") -> DataFrame:

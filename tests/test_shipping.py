@@ -277,3 +277,19 @@ def test_shipping_leaves_tarballs_only(spark, tmp_path):
     found = read_exports(spark, f"file://{tmp_path}/exports", "job_host_summary", date(2024, 1, 1), date(2024, 1, 1), ("job_remote_id", "host_name"))
     assert found.count() == found.distinct().count() == 20_000
     assert all(r[0] == sorted(r[0]) for r in found.groupBy(F.spark_partition_id()).agg(F.collect_list("job_remote_id")).select("collect_list(job_remote_id)").collect())
+
+
+def test_a_stream_reads_tarballs_once_and_keeps_no_copy(spark, tmp_path, monkeypatch):
+    path, target = str(tmp_path / "shipped"), f"file://{tmp_path}/target"
+    ship(moments(spark, 20), path, DAY, NOON)
+    ship(moments(spark, 20), path, NOON, DAY + timedelta(days=1), install="j")
+    file = next((tmp_path / "shipped/data/2024/01/01").glob("j-*.tar.gz"))
+    file.write_bytes(file.read_bytes()[:50])
+    monkeypatch.setattr(type(spark.range(1)), "persist", None)
+    before = shuffled(spark)
+    gather_exports(spark, path, target, f"file://{tmp_path}/mark").awaitTermination()
+    assert shuffled(spark) <= before
+    assert [r.file.rpartition("/")[2] for r in spark.read.parquet(f"{target}/rejects").collect()] == [file.name]
+    rollup = streamed_rollup(spark, path, target)
+    assert rollup.agg(F.sum("host_runs"), F.count("*")).first() == (6, 6)
+    assert "SortMergeJoin" not in rollup._jdf.queryExecution().executedPlan().toString()
