@@ -8,13 +8,16 @@
    word. Images that share SHARED keys are compared.
 3. Pairs need descriptors that are each other's nearest and one similarity transform that most of these matches obey.
 4. In each bucket the most connected image leads; an image is compared with the leader that it shares most keys with.
-   Buckets that then still hold several components pair the images of different ones if they hold up to SMALL images,
-   and compare them block by block if more, so that no link is lost. Nearly all pairs of small buckets meet in one only,
-   by chance: a sketch of pairs leaves them out before any row is made of them. Exact copies are one node from the start.
+   In buckets that then still hold several components the images of different ones meet, so that no link is lost. Nearly
+   all pairs meet in one bucket only, by chance: a sketch of pairs leaves them out before any row is made of them. In
+   crowded buckets, where fewer keys than images would meet, images meet by pairs of their keys instead. Where more than
+   SMALL images have the same two keys, or nearly all of a crowded bucket are of one component, they are compared block
+   by block, each pair once. Exact copies are one node from the start.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Callable, Iterator
 
@@ -28,7 +31,7 @@ from ..operators.joins import join_spread
 from .blocks import crossing_links
 from .common import mix, session_conf, stored
 from .minhash_dedup import components
-from .sketch import PARTS, Sketch, frequent_cells, places_of, width
+from .sketch import CELLS, PARTS, Sketch, frequent_cells, places_of, width
 
 #: The side of a square of the area to which images are resized; scales below, and the corners kept on each.
 AREA_SIDE = 160
@@ -42,10 +45,14 @@ LEAST_BITS = 8
 #: Keys that a pair must share, bits in which a match may differ, matches that must obey one transform, pixels (at the one
 #: size) by which they may miss.
 SHARED, DISTANCE, INLIERS, MISS = 2, 64, 7, 3.0
-#: Images of a bucket up to which those of different components are paired.
+#: Images with two keys in common up to which those of different components are paired.
 SMALL = 16
-#: Cells of the sketch of pairs for each meeting in a small bucket, up to the sketch's bound.
-PAIR_CELLS = 8
+#: Buckets of up to SMALL images, or MEET for each key that an image has on average, are not crowded.
+MEET = 2
+#: Images beside those of one component up to which a crowded bucket is compared block by block.
+FEW = 16
+#: Cells of a sketch for each meeting of images, or of keys; with less than LEAST_CELLS at the sketch's bound there are several rounds.
+PAIR_CELLS, LEAST_CELLS = 8, 2
 #: Shared keys that are broadcast, 16 bytes each, or four times the pairs; more meet the keys, or bodies, by shuffle.
 MARKS = 2_000_000
 #: Pairs of one image that a task compares.
@@ -56,9 +63,9 @@ FLUSH = 2_000_000
 BATCH = "256"
 _rng = np.random.default_rng(256)
 _PAIRS = np.clip(_rng.normal(0, RADIUS / 2, (TESTS, 2, 2)), -RADIUS * 0.7, RADIUS * 0.7)
+_TESTED = np.concatenate([_PAIRS[:, n, 0] + 1j * _PAIRS[:, n, 1] for n in (0, 1)])
 _DISC = np.array([(x, y) for x in range(-DISC, DISC + 1) for y in range(-DISC, DISC + 1) if x * x + y * y <= DISC * DISC])
 _ARMS = _DISC.T.astype(np.float32)
-_BITS = np.array([bin(x).count("1") for x in range(1 << 16)], np.uint8)
 
 
 def decode_pgm(data: bytes | None) -> np.ndarray | None:
@@ -80,17 +87,32 @@ def encode_pgm(image: np.ndarray) -> bytes:
     return b"P5\n%d %d\n255\n" % (image.shape[1], image.shape[0]) + np.clip(image, 0, 255).astype(np.uint8).tobytes()
 
 
-def _blur(x: np.ndarray) -> np.ndarray:
-    """Five-tap binomial blur over the last two axes; the border repeats."""
+def _taps(x: np.ndarray, step: int) -> np.ndarray:
+    """Binomial sums of five values of a flat array, `step` apart."""
+    a, b, c, d, e = (x[i * step : len(x) - (4 - i) * step] for i in range(5))
+    out, more = b + d, a + e
+    out *= 4
+    out += more
+    out += np.multiply(c, 6, out=more)
+    return out
+
+
+def _within(x: np.ndarray) -> np.ndarray:
+    """Five-tap binomial blur over the last two axes, without the two outer rows and columns on each side."""
     height, width = x.shape[-2:]
-    p = np.empty((*x.shape[:-2], height + 4, width), x.dtype)
-    p[..., 2:-2, :], p[..., :2, :], p[..., -2:, :] = x, x[..., :1, :], x[..., -1:, :]
-    a, b, c, d, e = (p[..., i : i + height, :] for i in range(5))
-    x = (a + e + 4 * (b + d) + 6 * c) / 16
-    p = np.empty((*x.shape[:-1], width + 4), x.dtype)
-    p[..., 2:-2], p[..., :2], p[..., -2:] = x, x[..., :1], x[..., -1:]
-    a, b, c, d, e = (p[..., i : i + width] for i in range(5))
-    return (a + e + 4 * (b + d) + 6 * c) / 16
+    sums = _taps(_taps(x.reshape(-1), width), 1)
+    kept = np.ndarray((*x.shape[:-2], height - 4, width - 4), x.dtype, sums, strides=x.strides)
+    return kept * np.float32(1 / 256)
+
+
+def _blur(x: np.ndarray) -> np.ndarray:
+    """The same of an image, whose border repeats."""
+    height, width = x.shape
+    p = np.empty((height + 4, width + 4), x.dtype)
+    p[2:-2, 2:-2] = x
+    p[2:-2, :2], p[2:-2, -2:] = x[:, :1], x[:, -1:]
+    p[:2], p[-2:] = p[2], p[-3]
+    return _within(p)
 
 
 def _resized(image: np.ndarray, scale: float) -> np.ndarray:
@@ -102,14 +124,24 @@ def _resized(image: np.ndarray, scale: float) -> np.ndarray:
         scale /= block
     if scale == 1:
         return image
-    height, width = (max(1, round(n / scale)) for n in image.shape)
-    ys, xs = ((np.arange(n) + 0.5) * scale - 0.5 for n in (height, width))
-    y0, x0 = (np.clip(np.floor(v).astype(int), 0, n - 2 if n > 1 else 0) for v, n in ((ys, image.shape[0]), (xs, image.shape[1])))
-    y1, x1 = (np.minimum(v + 1, n - 1) for v, n in ((y0, image.shape[0]), (x0, image.shape[1])))
-    fy, fx = np.clip(ys - y0, 0, 1).astype(np.float32)[:, None], np.clip(xs - x0, 0, 1).astype(np.float32)[None]
-    top, low = (image[y] * (1 - f) for y, f in ((y0, fy), (y1, 1 - fy)))
-    rows = top + low
-    return rows[:, x0] * (1 - fx) + rows[:, x1] * fx
+    (y0, y1, fy), (x0, x1, fx) = (_between(n, scale) for n in image.shape)
+    left = 1 - fy[:, None]
+    rows = image[y0] * left
+    rows += image[y1] * (1 - left)
+    out = rows.take(x0, 1)
+    out *= 1 - fx
+    more = rows.take(x1, 1)
+    more *= fx
+    out += more
+    return out
+
+
+@functools.lru_cache(64)
+def _between(n: int, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each pixel of n at 1 / scale: the two between which it lies, and how near it is to the second."""
+    at = (np.arange(max(1, round(n / scale))) + 0.5) * scale - 0.5
+    one = np.clip(np.floor(at).astype(int), 0, n - 2 if n > 1 else 0)
+    return one, np.minimum(one + 1, n - 1), np.clip(at - one, 0, 1).astype(np.float32)
 
 
 def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,30 +156,31 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             level = _blur(level)
         if min(level.shape) <= 2 * BORDER + 2:
             break
-        gx, gy = np.zeros_like(level), np.zeros_like(level)
-        gx[:, 1:-1] = level[:, 2:] - level[:, :-2]
-        gy[1:-1] = level[2:] - level[:-2]
-        xx, yy, xy = _blur(np.stack((gx * gx, gy * gy, gx * gy)))
+        # corners keep BORDER from the border, so that more than three pixels around them are not needed
+        far = BORDER - 3
+        gx = level[far:-far, far + 1 : 1 - far] - level[far:-far, far - 1 : -far - 1]
+        gy = level[far + 1 : 1 - far, far:-far] - level[far - 1 : -far - 1, far:-far]
+        xx, yy, xy = _within(np.stack((gx * gx, gy * gy, gx * gy)))
         r = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
-        inner = r[BORDER:-BORDER, BORDER:-BORDER]
-        peak = inner > max(1.0, 0.005 * float(inner.max()))
-        for dy in (-1, 0, 1):
-            for dx in (-1, 0, 1):
-                if dy or dx:
-                    peak &= inner >= r[BORDER + dy : r.shape[0] - BORDER + dy, BORDER + dx : r.shape[1] - BORDER + dx]
+        inner = r[1:-1, 1:-1]
+        most_of = np.maximum(np.maximum(r[:, :-2], r[:, 2:]), r[:, 1:-1])
+        peak = inner >= np.maximum(np.maximum(most_of[:-2], most_of[2:]), most_of[1:-1])
+        peak &= inner > max(1.0, 0.005 * float(inner.max()))
         y, x = np.nonzero(peak)
         best = np.argsort(-inner[y, x], kind="stable")[:most]
         y, x = y[best] + BORDER, x[best] + BORDER
         if not len(x):
             continue
         smooth = _blur(_blur(level))
-        disc = smooth[y[:, None] + _DISC[:, 1], x[:, None] + _DISC[:, 0]]
+        flat, across = smooth.reshape(-1), smooth.shape[1]
+        corner = (y * across + x)[:, None]
+        disc = flat[corner + (_DISC[:, 1] * across + _DISC[:, 0])]
         disc = disc - disc.mean(1, keepdims=True)
         turn = (disc * _ARMS[0]).sum(1) + 1j * (disc * _ARMS[1]).sum(1)
         turn = turn / np.maximum(np.abs(turn), 1e-6)
-        at = (_PAIRS[..., 0] + 1j * _PAIRS[..., 1])[None] * turn[:, None, None]
-        value = smooth[y[:, None, None] + np.rint(at.imag).astype(int), x[:, None, None] + np.rint(at.real).astype(int)]
-        found.append(np.packbits(value[..., 1] > value[..., 0], axis=1))
+        at = np.rint((_TESTED[None] * turn[:, None]).view(np.float64)).astype(np.int64)
+        value = flat[corner + at[:, 1::2] * across + at[:, ::2]]
+        found.append(np.packbits(value[:, TESTS:] > value[:, :TESTS], axis=1))
         places.append(((x + 0.5) + 1j * (y + 0.5)) * scale)
     if not found:
         return np.zeros(0, complex), np.zeros((0, TESTS // 8), np.uint8)
@@ -156,10 +189,14 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def keys_of(descriptors: np.ndarray) -> np.ndarray:
     """The table keys of an image, sorted: for each word that says enough, a hash of its table and its bits."""
-    bits = np.unpackbits(descriptors, axis=1)[:, : WORDS * KEY_BITS].reshape(-1, WORDS, KEY_BITS)
-    words = np.packbits(np.pad(bits, ((0, 0), (0, 0), (0, 64 - KEY_BITS))), axis=2).view("<u8")[:, :, 0]
-    keys = mix(mix(words) + np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    ones = bits.sum(2, dtype=int)
+    part = np.ascontiguousarray(descriptors).view(">u8").astype(np.uint64)
+    words = np.empty_like(part)
+    words[:, 0] = part[:, 0]
+    for n in range(1, WORDS):  # WORDS words of 60 bits, which lie side by side
+        words[:, n] = part[:, n - 1] << np.uint64(64 - 4 * n) | part[:, n] >> np.uint64(4 * n)
+    words &= ~np.uint64(2 ** (64 - KEY_BITS) - 1)
+    keys = mix(mix(words.byteswap()) + np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    ones = np.bitwise_count(words)
     return np.unique(keys.view(np.int64)[(ones >= LEAST_BITS) & (ones <= KEY_BITS - LEAST_BITS)])
 
 
@@ -180,8 +217,10 @@ def consensus(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndar
     (a, da), (b, db) = one, two
     if min(len(a), len(b)) < INLIERS:
         return 0
-    da, db = (np.ascontiguousarray(d).view(np.uint16) for d in (da, db))
-    distance = _BITS[da[:, None] ^ db[None]].sum(2, dtype=np.int32)
+    da, db = (np.ascontiguousarray(d).view(np.uint64) for d in (da, db))
+    distance = np.bitwise_count(da[:, None, 0] ^ db[None, :, 0]).astype(np.uint16)
+    for word in range(1, da.shape[1]):
+        distance += np.bitwise_count(da[:, None, word] ^ db[None, :, word])
     near, back = distance.argmin(1), distance.argmin(0)
     rows = np.arange(len(a))
     good = (back[near] == rows) & (distance[rows, near] <= DISTANCE)
@@ -210,21 +249,22 @@ def consensus(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndar
 
 
 def near(bucket: int, sketches: list, n: int, others: list) -> list[tuple[float, int]]:
-    """For blocks.crossing_links: keys are the low 32 bits of those that an image has in buckets of several components. Pairs
-    that share SHARED of them are near, in whatever bucket they meet: few do, and their full keys are compared later."""
+    """For blocks.crossing_links: keys are the low 32 bits of those that an image has in buckets of several components, sketches
+    the buckets that are compared by blocks. Pairs that share SHARED keys are near in the first bucket that they share: few
+    are, and their full keys are compared later."""
     lists = [sketches[m][0] for m in others]
     both = np.isin(np.concatenate(lists), sketches[n][0]).astype(np.int64)
     counts = np.add.reduceat(both, np.cumsum([0, *map(len, lists[:-1])]))
-    return [(float(counts[k]), others[k]) for k in np.flatnonzero(counts >= SHARED).tolist()]
+    own = set(sketches[n][1])
+    return [(float(counts[k]), others[k]) for k in np.flatnonzero(counts >= SHARED).tolist() if min(own.intersection(sketches[others[k]][1])) == bucket]
 
 
 def prepared(bodies: list) -> list[tuple]:
-    parsed = [parse_body(b) for b in bodies]
-    return [(p, keys_of(p[1])) for p in parsed]
+    return [parse_body(b) for b in bodies]
 
 
 def linked(one: tuple, two: tuple) -> bool:
-    return len(np.intersect1d(one[1], two[1], assume_unique=True)) >= SHARED and consensus(one[0], two[0]) >= INLIERS
+    return consensus(one, two) >= INLIERS and len(np.intersect1d(keys_of(one[1]), keys_of(two[1]), assume_unique=True)) >= SHARED
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,21 +340,77 @@ def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(mix(a.view(np.uint64)) + b.view(np.uint64))
 
 
+def _repeated(rows: DataFrame, found: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, list[np.ndarray]]]], columns: list[str], total: int) -> DataFrame:
+    """Of what tasks find in rows, hashes and `columns` of numbers, that whose hash may be found SHARED times, of a total of so
+    many. A sketch of all hashes tells; beyond its bound there are several, each of a share of the hashes, one after another."""
+    rounds = max(-(-LEAST_CELLS * total // CELLS[1]), 1)
+    share = lambda hashes, r: mix(hashes) % np.uint64(rounds) == np.uint64(r) if rounds > 1 else np.ones(len(hashes), bool)
+    parts = []
+    for r in range(rounds):
+        often = _frequent(rows, lambda batches, r=r: (h[share(h, r)] for h, _ in found(batches)), SHARED, PAIR_CELLS * total // rounds)
+
+        def run(batches: Iterator[pa.RecordBatch], r: int = r, often: Broadcast = often) -> Iterator[pa.RecordBatch]:
+            seen = Sketch(*often.value)
+            for hashes, values in found(batches):
+                may = share(hashes, r)
+                may[may] = seen.may_have(hashes[may])
+                yield pa.RecordBatch.from_arrays([pa.array(v[may]) for v in values], names=columns)
+
+        part = rows.mapInArrow(run, ", ".join(f"{c} long" for c in columns))
+        parts.append(part if rounds == 1 else stored(part, "repeated"))
+        if rounds > 1:
+            often.destroy()
+    return functools.reduce(DataFrame.unionAll, parts)
+
+
 def _sharing(small: DataFrame) -> DataFrame:
     """The pairs (a, b), a < b, of images of different components that share SHARED of the buckets of small (bucket, node, n,
     component), of n images at most. A bucket's pairs meet in the task that holds it; of them, it gives those that a sketch
     of all pairs says may meet SHARED times, and these are counted."""
-    meetings = small.agg(F.sum((F.col("n") - 1) / 2)).first()[0] or 0
+    meetings = int(small.agg(F.sum((F.col("n") - 1) / 2)).first()[0] or 0)
     rows = small.select("bucket", "node", "component").repartition("bucket").sortWithinPartitions("bucket")
-    often = _frequent(rows, lambda batches: (_pair_hash(a, b) for a, b in _meetings(batches)), SHARED, PAIR_CELLS * int(meetings))
+    pairs = _repeated(rows, lambda batches: ((_pair_hash(a, b), [a, b]) for a, b in _meetings(batches)), ["a", "b"], meetings)
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED).select("a", "b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Sketch(*often.value)
-        for a, b in _meetings(batches):
-            may = seen.may_have(_pair_hash(a, b))
-            yield pa.RecordBatch.from_arrays([pa.array(a[may]), pa.array(b[may])], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED).select("a", "b")
+def _key_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """From rows (node, component, crowded, others) with an image's keys, a hash for each two of them of which one is crowded,
+    with (bucket, node, component), where the bucket is that hash."""
+
+    def joined() -> tuple[np.ndarray, list[np.ndarray]]:
+        hashes, sizes = np.concatenate([h for h, _, _ in held]), [len(h) for h, _, _ in held]
+        return hashes, [hashes.view(np.int64), *(np.repeat(np.array([x[k] for x in held], np.int64), sizes) for k in (1, 2))]
+
+    held, n = [], 0
+    for batch in batches:
+        for node, component, crowded, others in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            one, two = (np.sort(keys.values.to_numpy()).view(np.uint64) for keys in (crowded, others))
+            i, j = np.triu_indices(len(one), 1)
+            held.append((np.concatenate([mix(mix(one[i]) + one[j]), mix(mix(one)[:, None] + two).ravel()]), node, component))
+            n += len(held[-1][0])
+            if n > FLUSH:
+                yield joined()
+                held, n = [], 0
+    if n:
+        yield joined()
+
+
+def _finer(split: DataFrame) -> DataFrame:
+    """Buckets of split (bucket, node, component, crowded) for two keys instead of one, of which one is crowded: those that several
+    images have and that hold several components, with all their images."""
+    full = F.col("crowded")
+    keys = split.groupBy("node", "component").agg(F.collect_list(F.when(full, F.col("bucket"))).alias("crowded"), F.collect_list(F.when(~full, F.col("bucket"))).alias("others"))
+    keys = stored(keys.where(F.size("crowded") > 0), "keys")
+    total = keys.agg(F.sum(F.size("crowded") * (F.size("others") + (F.size("crowded") - 1) / 2))).first()[0]
+    found = stored(_repeated(keys, _key_pairs, ["bucket", "node", "component"], int(total or 0)), "finer")
+    several = found.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket", "n")
+    return stored(found.join(several, "bucket"), "finer")
+
+
+def _met(small: DataFrame) -> DataFrame:
+    """The pairs (a, b), a < b, of images of different components in the same bucket."""
+    rows = small.select("bucket", "node", "component").repartition("bucket").sortWithinPartitions("bucket")
+    return rows.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array(x) for x in pair], names=["a", "b"]) for pair in _meetings(batches)), "a long, b long").distinct()
 
 
 def _counts(batches: Iterator[pa.RecordBatch], seen: Sketch) -> Iterator[pa.RecordBatch]:
@@ -393,15 +489,27 @@ def image_copies(images: DataFrame, id_col: str = "image_id", media_col: str = "
     placed = buckets.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
     split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
     split = stored(placed.join(split, "bucket"), "split")
-    small, large = split.where(F.col("n") <= SMALL), split.where(F.col("n") > SMALL)
     joined = lambda links: stored(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(links)), "labels")
-    labels = joined(_obeyed(_sharing(small), bodies))
+    held = split.agg(F.count("*"), F.count_distinct("node")).first()
+    most = max(SMALL, MEET * held[0] // max(held[1], 1))
+    small, large = split.where(F.col("n") <= most), split.where(F.col("n") > most)
+    pairs, by_blocks = _sharing(small), None
     if not large.isEmpty():
+        main = large.groupBy("bucket", "n", "component").count().groupBy("bucket", "n").agg(F.max("count").alias("main"))
+        main = stored(main.select("bucket", (F.col("n") - F.col("main") <= FEW).alias("few")), "crowds")
+        sized = large.join(main, "bucket")
+        marked = small.withColumn("crowded", F.lit(False)).unionByName(sized.select(*small.columns, (~F.col("few")).alias("crowded")))
+        finer = _finer(marked.select("bucket", "node", "component", "crowded"))
+        pairs = pairs.unionAll(_met(finer.where(F.col("n") <= SMALL))).distinct()
+        by_blocks = sized.where("few").select("bucket", "node").unionAll(finer.where(F.col("n") > SMALL).select("bucket", "node"))
+    labels = joined(_obeyed(pairs, bodies))
+    if by_blocks is not None and not (by_blocks := stored(by_blocks, "blocks")).isEmpty():
         low = F.col("bucket").bitwiseAND(2**32 - 1)
         low = F.when(low < 2**31, low).otherwise(low - 2**32).cast("int")
         # at most an image's keys, not a set, so that two keys alike in these bits count as two; with fewer than SHARED there is no pair
-        sketches = split.groupBy("node").agg(F.collect_list(low).alias("keys"), F.lit(b"").alias("sketch")).where(F.size("keys") >= SHARED)
-        sized = large.select("bucket", "node", F.lit(4096).cast("long").alias("bytes"))
+        keys = split.join(by_blocks.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.collect_list(low).alias("keys")).where(F.size("keys") >= SHARED)
+        sketches = keys.join(by_blocks.groupBy("node").agg(F.collect_list("bucket").alias("sketch")), "node")
+        sized = by_blocks.select("bucket", "node", F.lit(4096).cast("long").alias("bytes"))
         more = stored(crossing_links(sized, labels, sketches, bodies, near, prepared, linked), "crossing")
         labels = joined(more)
     named = groups.select("digest", F.col("best.image_id").alias("node")).join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("class"))

@@ -166,3 +166,37 @@ def test_large_and_long_images_are_brought_to_one_size():
     one, two = (M.prepared([M.body_of(*M.describe(x))])[0] for x in (picture, large))
     assert M.linked(one, two)
     assert len(M.describe(np.tile(picture, (1, 8)))[0]) and not len(M.describe(picture[:2])[0]) and not len(M.describe(picture[:1, :1])[0])
+
+
+@pytest.mark.parametrize(("small", "few"), [(2, 0), (16, 0), (2, 16)])
+def test_crowded_buckets_lose_no_link(spark, pictures, monkeypatch, small, few):
+    """Images of crowded buckets meet by pairs of keys; what many share, and what is nearly all of one component, by blocks."""
+    for name, value in (("MEET", 0), ("SMALL", small), ("FEW", few), ("FLUSH", 300)):
+        monkeypatch.setattr(M, name, value)
+    rng = np.random.default_rng(10)
+    patch, alike = M.picture(rng.normal(size=64))[:27, :27], [p.copy() for p in pictures[:18]]
+    for p in alike:
+        p[30:57, 30:57] = patch
+    rows = [(10 * n, M.encode_pgm(p)) for n, p in enumerate(alike)] + [(10 * n + k + 1, M.encode_pgm(v)) for n, p in enumerate(alike[:3]) for k, v in enumerate(variants(p, rng))]
+    used, crossing = [], M.crossing_links
+    monkeypatch.setattr(M, "crossing_links", lambda buckets, *rest: used.append(buckets.count()) or crossing(buckets, *rest))
+    docs = spark.createDataFrame([(i, bytearray(m)) for i, m in rows], "image_id long, media binary").repartition(4)
+    assert {r.image_id: r.class_id for r in M.image_copies(docs).collect()} == brute(rows)
+    assert bool(used) or small == 16
+
+
+def test_crowded_buckets_are_not_compared_all_with_all(spark, monkeypatch):
+    """400 images with one common key: only those that share a second one leave the tasks, also where a sketch is not enough for all."""
+    monkeypatch.setattr(M, "FLUSH", 500)
+    rng = np.random.default_rng(12)
+    rows = [(1, node, 400, node) for node in range(400)]
+    rows += [(1000 + key, node, 2, node) for node in range(400) for key in rng.choice(40_000, 20, replace=False).tolist()]
+    held = {}
+    for bucket, node, _, _ in rows:
+        held.setdefault(bucket, set()).add(node)
+    want = {(a, b) for bucket, nodes in held.items() if bucket != 1 for a in nodes for b in nodes if a < b}
+    split = spark.createDataFrame([(b, node, c, b == 1) for b, node, _, c in rows], "bucket long, node long, component long, crowded boolean").repartition(5)
+    for rounds in (1, 3):
+        monkeypatch.setattr(M, "CELLS", (1 << 16, 1 << 28 if rounds == 1 else M.LEAST_CELLS * 8000 // 3 + 1))
+        finer = M._finer(split)
+        assert len(want) > 100 and {tuple(r) for r in M._met(finer).collect()} == want and finer.count() <= 4 * len(want)
